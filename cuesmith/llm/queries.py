@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..tables import table
-from . import lookalikes, splitting
+from . import lookalikes, mixing, splitting, tokenizing
 
 
 def p2_found(spark, folder):
@@ -25,6 +26,28 @@ def p3_forms(spark, folder):
     return lookalikes.canonical_texts(table(spark, folder, "transcript_segments"), "id", ["original_text", "normalized_text"])
 
 
+def p8_ids(spark, folder):
+    return tokenizing.encode_documents(table(spark, folder, "documents"))
+
+
+def p8_decoded(spark, folder):
+    return tokenizing.decode_documents(p8_ids(spark, folder))
+
+
+def _counted(spark, folder):
+    documents = table(spark, folder, "documents")
+    sizes = tokenizing.encode_documents(documents.where("source IS NOT NULL")).select(F.col("doc_id").alias("__id"), F.size("ids").alias("n_tokens"))
+    return cut_lineage(documents.select("doc_id", "source").join(sizes, F.col("doc_id") == F.col("__id")).drop("__id"))
+
+
+def p9_selection(spark, folder):
+    return mixing.select_documents(_counted(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark, folder):
+    return mixing.shares(_counted(spark, folder), table(spark, folder, "mix_targets"))
+
+
 QUERIES = {name: query for name, query in list(globals().items()) if name[:1] == "p" and "_" in name and name[1].isdigit()}
 
 # The Unicode White_Space property, for RE2.
@@ -56,3 +79,4 @@ SQL["p3_found"] = f"""
     SELECT a.id AS segment_id_a, b.id AS segment_id_b FROM c a JOIN c b ON a.transcript_id = b.transcript_id AND a.f = b.f AND a.id < b.id AND a.t <> b.t"""
 SQL["p3_forms"] = f"""
     SELECT DISTINCT id, {_sql_form("original_text")} AS original_text, {_sql_form("normalized_text")} AS normalized_text FROM transcript_segments"""
+SQL["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
