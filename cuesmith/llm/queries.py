@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..tables import table
-from . import lookalikes, mixing, splitting, tokenizing
+from . import lookalikes, mixing, repeats, splitting, tokenizing
 
 
 def p2_found(spark, folder):
@@ -48,6 +48,18 @@ def p9_shares(spark, folder):
     return mixing.shares(_counted(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p7_found(spark, folder):
+    return repeats.collapse(table(spark, folder, "source_segments")).select("transcript_id", "first_number", "last_number")
+
+
+def p7_runs(spark, folder):
+    return repeats.collapse(table(spark, folder, "source_segments"))
+
+
+def p7_counts(spark, folder):
+    return repeats.removed_counts(table(spark, folder, "source_segments"))
+
+
 QUERIES = {name: query for name, query in list(globals().items()) if name[:1] == "p" and "_" in name and name[1].isdigit()}
 
 # The Unicode White_Space property, for RE2.
@@ -80,3 +92,29 @@ SQL["p3_found"] = f"""
 SQL["p3_forms"] = f"""
     SELECT DISTINCT id, {_sql_form("original_text")} AS original_text, {_sql_form("normalized_text")} AS normalized_text FROM transcript_segments"""
 SQL["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+# DuckDB counts edits in bytes: each letter beyond ASCII of the five languages is put as one unused ASCII character.
+_LETTERS = "".join(c for c in map(chr, range(0xDF, 0x1EFA)) if c.islower() and (c in "ßàáâãäæçèéêëìíîïñòóôõöùúûüýÿăđĩũœơư" or 0x1EA0 <= ord(c)))
+_CODES = "".join(c for c in map(chr, range(1, 128)) if not (c.islower() or c.isdigit()))
+assert len(_LETTERS) <= len(_CODES)
+_CODE = "translate({}, '" + _LETTERS + "', '" + _CODES[: len(_LETTERS)].replace("'", "''") + "')"
+
+_REPEATS = r"""
+    WITH d AS (SELECT DISTINCT ON (transcript_id, sequence_number) * FROM source_segments),
+    v AS (SELECT *, regexp_replace(coalesce(text, ''), '[\x{ad}\x{34f}\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g') AS seen FROM d),
+    r AS (SELECT *, regexp_replace(lower(seen), '[^\p{L}\p{N}]', '', 'g') AS x, array_to_string(regexp_extract_all(seen, '\d+'), ' ') AS g FROM v),
+    l AS (SELECT *, lag(x) OVER w AS px, lag(g) OVER w AS pg, lag(end_ms) OVER w AS pe FROM r WINDOW w AS (PARTITION BY transcript_id ORDER BY sequence_number)),
+    j AS (SELECT *, CASE WHEN x <> '' AND px <> '' AND g = pg AND start_ms - pe <= 250
+                          AND (x = px OR (length(x) >= 20 AND length(px) >= 20 AND levenshtein(@x, @px) <= 2)) THEN 0 ELSE 1 END AS opens FROM l),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY transcript_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING) AS k FROM j),
+    runs AS (SELECT transcript_id, min(sequence_number) AS first_number, max(sequence_number) AS last_number, CAST(count(*) AS INTEGER) AS cues,
+                    min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(end_ms) - min(start_ms) AS duration_ms
+             FROM n GROUP BY transcript_id, k HAVING count(*) > 1)
+"""
+_REPEATS = _REPEATS.replace("@x", _CODE.format("x")).replace("@px", _CODE.format("px"))
+SQL["p7_found"] = _REPEATS + "SELECT transcript_id, first_number, last_number FROM runs"
+SQL["p7_runs"] = _REPEATS + "SELECT * FROM runs"
+SQL["p7_counts"] = _REPEATS + """
+    SELECT transcript_id, count(*) AS source_segment_count,
+           coalesce((SELECT CAST(sum(cues - 1) AS BIGINT) FROM runs WHERE runs.transcript_id = d.transcript_id), 0) AS removed_duplicate_count
+    FROM d GROUP BY transcript_id"""
