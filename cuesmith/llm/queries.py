@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..tables import table
-from . import lookalikes, mixing, repeats, splitting, tokenizing
+from . import lookalikes, mixing, repeats, splitting, tokenizing, turns
 
 
 def p2_found(spark, folder):
@@ -60,6 +60,15 @@ def p7_counts(spark, folder):
     return repeats.removed_counts(table(spark, folder, "source_segments"))
 
 
+def p6_found(spark, folder):
+    return turns.turns(table(spark, folder, "source_segments"))
+
+
+def p6_turns(spark, folder):
+    parts = turns.turn_parts(table(spark, folder, "source_segments"))
+    return parts.where("first_number IS NOT NULL").drop("kind", "marked")
+
+
 QUERIES = {name: query for name, query in list(globals().items()) if name[:1] == "p" and "_" in name and name[1].isdigit()}
 
 # The Unicode White_Space property, for RE2.
