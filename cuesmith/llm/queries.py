@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..tables import table
-from . import lookalikes, mixing, repeats, splitting, tokenizing, turns
+from . import languages, lookalikes, mixing, pairs, repeats, splitting, tokenizing, turns
 
 
 def p2_found(spark, folder):
@@ -69,6 +69,30 @@ def p6_turns(spark, folder):
     return parts.where("first_number IS NOT NULL").drop("kind", "marked")
 
 
+def _language_model(spark, folder):
+    return languages.fitted(*[table(spark, folder, t) for t in ("transcripts", "source_segments", "transcript_segments")])
+
+
+def p4_found(spark, folder):
+    messages = table(spark, folder, "chat_messages")
+    return pairs.found_defects(messages, _language_model(spark, folder), pairs.fitted_field(messages))
+
+
+def p5_records(spark, folder):
+    tables = [table(spark, folder, t) for t in ("transcripts", "chat_messages", "source_segments", "transcript_segments")]
+    return languages.wrong_labels(*tables, _language_model(spark, folder), pairs.without_empty)
+
+
+def p5_found(spark, folder):
+    return p5_records(spark, folder).drop("confidence")
+
+
+def p5_transcripts(spark, folder):
+    cues = [table(spark, folder, t) for t in ("source_segments", "transcript_segments")]
+    _, main = languages.transcript_languages(*cues, _language_model(spark, folder))
+    return main.select("transcript_id", F.col("main").alias("lang"), F.col("share").alias("confidence"))
+
+
 QUERIES = {name: query for name, query in list(globals().items()) if name[:1] == "p" and "_" in name and name[1].isdigit()}
 
 # The Unicode White_Space property, for RE2.
