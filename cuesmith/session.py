@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuesmith-checkpoint-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of a session, once, for clusters whose nodes don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_cuesmith_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='cuesmith-code-')}/cuesmith_code", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._cuesmith_shipped = True
