@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..tables import table
-from . import languages, lookalikes, mixing, pairs, repeats, splitting, tokenizing, turns
+from . import garbled, languages, lookalikes, mixing, pairs, repeats, splitting, tokenizing, turns
 
 
 def p2_found(spark, folder):
@@ -93,6 +93,14 @@ def p5_transcripts(spark, folder):
     return main.select("transcript_id", F.col("main").alias("lang"), F.col("share").alias("confidence"))
 
 
+def p10_found(spark, folder):
+    return garbled.affected(table(spark, folder, "documents"))
+
+
+def p10_restored(spark, folder):
+    return garbled.restored(table(spark, folder, "documents"))
+
+
 QUERIES = {name: query for name, query in list(globals().items()) if name[:1] == "p" and "_" in name and name[1].isdigit()}
 
 # The Unicode White_Space property, for RE2.
