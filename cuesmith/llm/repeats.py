@@ -126,7 +126,7 @@ def collapse(cues: DataFrame) -> DataFrame:
     stand in; null keys are left out, re-delivered rows count once, empty tables give no rows.
     """
     kept = cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
-    runs = by_bucket(kept.dropDuplicates(["transcript_id", "sequence_number"]), _runs, RUNS)
+    runs = by_bucket(kept, _runs, RUNS)
     # Inner runs are windows of their own, so that only two runs a bucket meet in the window of a transcript.
     own = [F.when(F.col("outer") == 0, F.col(c)).otherwise(-1) for c in ("bucket", "run")]
     order = Window.partitionBy("transcript_id", *own).orderBy("bucket", "run")

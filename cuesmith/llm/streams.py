@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ BUCKET_CUES = 2048
 
 
 def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """Call ``walk`` with the cues of each ``transcript_id, bucket``, ordered by ``sequence_number``.
+    """Call ``walk`` with the cues of each ``transcript_id, bucket``, ordered by ``sequence_number``, each number once.
 
     The buckets of a long transcript spread over tasks; tasks stream over their sorted buckets.
     """
@@ -24,7 +25,12 @@ def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], sche
         key = None
 
         def flush() -> list[tuple]:
-            return walk(pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]) if kept else []
+            if not kept:
+                return []
+            cues = pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+            at = cues["sequence_number"].to_numpy()
+            first = np.r_[True, at[1:] != at[:-1]]  # re-delivered cues stand next to each other
+            return walk(cues if first.all() else cues[first].reset_index(drop=True))
 
         for batch in batches:
             if batch.empty:

@@ -58,6 +58,10 @@ _DASH = re.compile(r"([^\W\d_][^:\n<>\[\]♪,.!?]{0,40}?)\s+[-–—](?=\s|$)")
 _NUMBER = re.compile(r"(.*?)[\s_#]*0*(\d+)$")
 _FILLER = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, FILLERS), key=len, reverse=True)) + r")(?!\w)(?:\.{2,}|[…,])?", re.IGNORECASE)
 _MAYBE = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, SOMETIMES), key=len, reverse=True)) + r")(?!\w)(?:\.{2,}|[…,])", re.IGNORECASE)
+_ANY_FILLER = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, FILLERS + SOMETIMES), key=len, reverse=True)) + r")(?!\w)|\s[,.;!?…]", re.IGNORECASE)
+_WORD = re.compile(r"[^\W_]")
+#: Without any of these a cue is one utterance.
+_MARKED = re.compile(f"[<>\\[(\\]{{*♪:\n–—{IGNORABLE}]|^\\s*-|\\s-\\s")
 _ALONE = re.compile(r"[\W_]*(?:(?:" + "|".join(sorted(map(re.escape, FILLERS + SOMETIMES), key=len, reverse=True)) + r")[\W_]+)*", re.IGNORECASE)
 
 
@@ -111,6 +115,8 @@ def same_speaker(a: str | None, b: str | None) -> bool:
 
 def clean_words(text: str) -> str:
     """Spoken text without fillers, or the empty string where nothing but fillers and signs is left."""
+    if not _ANY_FILLER.search(text):
+        return re.sub(r"^[\s,;–—-]+", "", " ".join(text.split())) if _WORD.search(text) else ""
     if not any(map(str.isalnum, text)) or not any(map(str.isalnum, text[_ALONE.match(text + " ").end() :])):
         return ""
     text = _MAYBE.sub(" ", _FILLER.sub(" ", text))
@@ -120,7 +126,9 @@ def clean_words(text: str) -> str:
 
 def utterances(text: str | None) -> list[tuple[str, str | None, str]]:
     """``(kind, speaker, spoken text)`` in order; kind is ``""`` before any mark, ``named`` or ``change``."""
-    text = _INVISIBLE.sub("", text or "").replace("\r\n", "\n")
+    if not text or not _MARKED.search(text):
+        return [("", None, clean_words(text or ""))]
+    text = _INVISIBLE.sub("", text).replace("\r\n", "\n")
     text = _TIME.sub(" ", text)
     out: list[list] = [["", None, ""]]
     at, expected = 0, True  # expected: a label may stand here
@@ -226,6 +234,7 @@ def _shifts(cues: DataFrame) -> DataFrame:
     """By how much the clock resets before a bucket shift its times: ``transcript_id, bucket, shift``."""
     inside = Window.partitionBy("transcript_id", "bucket").orderBy("sequence_number")
     across = Window.partitionBy("transcript_id").orderBy("bucket")
+    # Re-delivered cues have equal times, so they don't look like resets.
     placed = cues.withColumn("bucket", F.floor(F.col("sequence_number") / BUCKET_CUES).cast("int")).where("start_ms IS NOT NULL")
     seen = placed.select("transcript_id", "bucket", "sequence_number", "start_ms", "end_ms", F.lag("start_ms").over(inside).alias("s"), F.lag(F.greatest("start_ms", "end_ms")).over(inside).alias("e"))
     per = seen.groupBy("transcript_id", "bucket").agg(
@@ -246,7 +255,6 @@ def turn_parts(cues: DataFrame, times: bool = True) -> DataFrame:
     without words has null numbers. Null times take those of the cue before. Empty tables give no rows.
     """
     kept = cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
-    kept = kept.dropDuplicates(["transcript_id", "sequence_number"])
     if times:
         shifts = _shifts(kept)
         at = F.floor(F.col("sequence_number") / BUCKET_CUES).cast("int")
