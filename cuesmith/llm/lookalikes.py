@@ -13,10 +13,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .splitting import WHITE_SPACE
 
 # Characters that are not seen. Variation selectors and tags follow as ranges.
@@ -36,8 +37,10 @@ TWINS = {
 
 _IGNORE = re.compile(f"[{IGNORABLE}]")
 _BLANKS = re.compile(f"[{WHITE_SPACE}\x1c-\x1f]+")
-#: Words of these characters alone are spelt in the one form already.
-PLAIN = "^[\\u0020-\\u007e]*$"
+#: A text without these is in the one form but for its blanks: ASCII and composed Latin letters and common signs stay.
+UNSTABLE = f"[^\\u0021-\\u007e{WHITE_SPACE}\\u001c-\\u001f\\u00a1-\\u00ac\\u00ae-\\u00cf\\u00d1-\\u0188\\u018a-\\u024f\\u1ea0-\\u1ef9\\u2013-\\u201f\\u2026]"
+#: Blanks that are not single spaces between words.
+LOOSE = "[" + WHITE_SPACE.replace("\\u0020", "") + "\\u001c-\\u001f]|  |^ | $"
 WORDS_IN_TRIE_BITS = 12
 """Words are spread over 2**12 tries by the hash of their table spelling, which words that look the same share."""
 
@@ -143,36 +146,51 @@ def blank_split(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WHITE_SPACE}\\x1c-\\x1f]+"), lambda w: w != "")
 
 
+def _with_forms(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with ``form``. Rows of stable characters get it in place; of the others, the odd words alone are looked up
+    by a join and come back to their row as a map. Nulls in ``key`` or ``text`` are not allowed here."""
+    words = blank_split(F.col(text))
+    odd_words = F.array_distinct(F.filter(words, lambda w: w.rlike(UNSTABLE)))
+    marked = rows.withColumn("__odd", F.col(text).rlike(UNSTABLE))
+    mapping = canonical_words(rows.select(F.explode(F.split(text, f"[{WHITE_SPACE}\\x1c-\\x1f]+")).alias("word")))
+    wanted = marked.where("__odd").select(F.col(key).alias("__key"), F.explode(odd_words).alias("__word"))
+    found = wanted.join(mapping, F.col("__word") == F.col("word")).groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("word", "canonical"))).alias("__map"))
+    plain = F.when(F.col(text).rlike(LOOSE), F.array_join(words, " ")).otherwise(F.col(text))
+    joined = marked.where("__odd").join(found, F.col(key) == F.col("__key"), "left")
+    mended = F.filter(F.transform(words, lambda w: F.coalesce(F.col("__map")[w], w)), lambda w: w != "")
+    return marked.where(~F.col("__odd")).withColumn("form", plain).drop("__odd").unionByName(joined.withColumn("form", F.array_join(mended, " ")).drop("__odd", "__key", "__map"))
+
+
 def canonical_texts(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key`` and for each text column the same text in the one form; texts are equal in it exactly if they read the same.
 
-    Null stays null; a text of nothing visible becomes empty. Rows repeated under one key count once. ``key`` may not be
-    null (such rows are left out). Letter case, accents, superscripts, punctuation and entities as written are kept.
+    Null stays null; a text of nothing visible becomes empty. Rows repeated under one key count once; those with a null
+    ``key`` are left out. Letter case, accents, superscripts, punctuation and entities as written are kept.
     """
-    kept = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)])
-    long = kept.select("__key", F.posexplode(F.array(*[F.col(f"__{i}") for i in range(len(columns))])).alias("__column", "__text")).where("__text IS NOT NULL")
-    words = long.select("__key", "__column", F.posexplode_outer(blank_split(F.col("__text"))).alias("__at", "word"))
-    mapping = canonical_words(words.select("word"))
-    odd = words.join(mapping.where("word <> canonical").withColumnRenamed("word", "__odd"), F.col("word") == F.col("__odd"), "left")
-    put = F.coalesce("canonical", "word")
-    joined = odd.groupBy("__key", "__column").agg(F.array_sort(F.collect_list(F.struct("__at", put.alias("w")))).alias("ws"))
-    # A word of ignorables alone has an empty form and vanishes with its blank.
-    text = F.array_join(F.filter(F.transform("ws", lambda x: x["w"]), lambda w: w != ""), " ")
-    wide = joined.groupBy("__key").agg(*[F.max(F.when(F.col("__column") == i, text)).alias(c) for i, c in enumerate(columns)])
-    return kept.select("__key").join(wide, "__key", "left").select(F.col("__key").alias(key), *columns)
+    kept = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *columns)
+    texts = kept.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("text")) for i, c in enumerate(columns)])).alias("p"))
+    place = F.concat_ws(":", "p.i", F.col("key").cast("string"))
+    long = texts.where("p.text IS NOT NULL").select(place.alias("place"), "key", F.col("p.i").alias("i"), F.col("p.text").alias("text"))
+    forms = _with_forms(long, "place", "text")
+    wide = forms.groupBy("key").agg(*[F.max(F.when(F.col("i") == i, F.col("form"))).alias(c) for i, c in enumerate(columns)])
+    none = kept.where(" AND ".join(f"{c} IS NULL" for c in columns)).select("key", *columns).distinct()
+    return wide.unionByName(none.join(wide.select(F.col("key").alias("__k")), F.col("key") == F.col("__k"), "left_anti")).withColumnRenamed("key", key)
 
 
 def lookalike_pairs(cues: DataFrame) -> DataFrame:
     """Pairs of different cues of a transcript whose ``original_text`` reads the same but is another string.
 
-    ``segment_id_a`` is the smaller id. Classes of one string only are left out before rows meet; null texts, and texts
-    with nothing visible, pair like any other text that reads the same, nulls with none.
+    ``segment_id_a`` is the smaller id. Texts and forms are compared by 128 bits of their hash, so that no text is
+    shuffled for it; classes of one string only are left out before rows meet. Cues with a null text or key pair with
+    none, repeated rows count once, empty tables give no rows.
     """
-    forms = canonical_texts(cues, "id", ["original_text"]).select(F.col("id").alias("__id"), F.col("original_text").alias("form"))
-    own = cues.where("original_text IS NOT NULL AND id IS NOT NULL AND transcript_id IS NOT NULL").dropDuplicates(["id"]).select("id", "transcript_id", F.col("original_text").alias("text"))
-    known = own.join(forms, F.col("id") == F.col("__id")).select("id", "transcript_id", "text", F.xxhash64("form").alias("h"), "form")
-    mixed = known.groupBy("transcript_id", "form").agg((F.min("text") != F.max("text")).alias("mixed")).where("mixed").select(F.col("transcript_id").alias("__t"), F.col("form").alias("__f"))
-    kept = known.join(mixed, (F.col("transcript_id") == F.col("__t")) & (F.col("form") == F.col("__f"))).select("id", "transcript_id", "form", "text")
+    own = cues.where("original_text IS NOT NULL AND id IS NOT NULL AND transcript_id IS NOT NULL").select("id", "transcript_id", F.col("original_text").alias("text"))
+    digest = lambda c: F.unhex(F.md5(c))
+    known = _with_forms(own, "id", "text").select("id", "transcript_id", digest(F.col("form")).alias("form"), digest(F.col("text")).alias("text"))
+    same_form = Window.partitionBy("transcript_id", "form")
+    mixed = known.withColumn("__mixed", F.min("text").over(same_form) != F.max("text").over(same_form)).where("__mixed").drop("__mixed").distinct()
+    # Few rows are left; they are met twice.
+    kept = cut_lineage(mixed)
     a, b = kept.alias("a"), kept.alias("b")
     same = (F.col("a.transcript_id") == F.col("b.transcript_id")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.text") != F.col("b.text"))
     return a.join(b, same).select(F.col("a.id").alias("segment_id_a"), F.col("b.id").alias("segment_id_b"))
