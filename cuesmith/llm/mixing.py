@@ -68,6 +68,7 @@ def budgets(target: dict[str, float], capacity: dict[str, float], size: float |
 
 def _plan(counted: DataFrame, targets: DataFrame, size: float | None) -> list[dict]:
     """One entry per row of ``targets``, which bounds what comes to the driver."""
+    targets = targets.select("source", "target_share", "max_repeats")
     per = counted.groupBy(F.col("source").alias("__s")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     rows = targets.where("source IS NOT NULL").dropDuplicates(["source"]).join(per, F.col("source") == F.col("__s"), "left").collect()
     target = {r["source"]: float(r["target_share"] or 0) for r in rows}
@@ -95,6 +96,7 @@ def select_documents(counted: DataFrame, targets: DataFrame, size: float | None
     source whose last pass ends inside a document takes it if at least half of it fits, so a share is off by half a
     document at most. Repeated ids are drawn on their own. Empty tables give no rows.
     """
+    counted = counted.select("doc_id", "source", "n_tokens")
     plan = _plan(counted, targets, size)
     schema = "source string, passes int, rest double, blocks int"
     # One row per target source.

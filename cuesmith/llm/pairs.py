@@ -119,13 +119,14 @@ def _unclosed(text: str) -> bool:
     return any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "“”", "«»"))
 
 
-FEATURES = 22
+FEATURES = 23
 
 
 def features(question: str, parts: list[str], foreign: list[bool]) -> np.ndarray:
     """One row per clause."""
     x = np.zeros((len(parts), FEATURES), np.float32)
     text = "\n".join(parts)
+    asked = (bare(question).split() or [""])[0]
     for i, part in enumerate(parts):
         plain, outer = bare(part), bare(_INNER.sub(" ", part))
         like, last = likeness(question, part), i == len(parts) - 1
@@ -136,7 +137,7 @@ def features(question: str, parts: list[str], foreign: list[bool]) -> np.ndarray
             like >= 0.95, 0.85 <= like < 0.95, 0.75 <= like < 0.85, 0.6 <= like < 0.75, like < 0.6,
             foreign[i], not foreign[i], ends, last and not ends, last and ends, last and not ends and like >= 0.75,
             last and bool(words) and words[-1] in DANGLING and not ends, last and _unclosed(part), last and bool(re.search(r"[,;:(\[“«–—-]$|\.\.$|…$", part)), last and _open_item(text, part),
-            i == 0, len(words) <= 3,
+            i == 0, len(words) <= 3, like >= 0.6 and "?" in part[-3:] and bool(words) and words[0] == asked,
         ]
     return x
 
@@ -222,7 +223,7 @@ def made_sequences(pairs: list[tuple[str, str]], count: int = TRAIN_SEQUENCES, s
             plain = bare(c)
             if _ENDS.search(c) and not c.endswith("..") and len(plain.split()) > 4 and likeness(q, c) < 0.75 and not DECLINES.search(plain) and not NO_EVIDENCE.search(plain) and not MANNERS.search(plain):
                 pool.append((q, c))
-    pool += [(f"What about {s.split()[-1]}?", s.capitalize() + ".") for group in SEEDS.values() for s in group]
+    pool += [(f"What about {s.split()[-1]}?", s.capitalize() + ".") for group in SEEDS.values() for s in group if not DECLINES.search(bare(s)) and not NO_EVIDENCE.search(bare(s))]
     tag = {name: k for k, name in enumerate(TAGS)}
     out = []
     for _ in range(count):
@@ -240,8 +241,8 @@ def made_sequences(pairs: list[tuple[str, str]], count: int = TRAIN_SEQUENCES, s
                 parts, tags = [*parts, rnd.choice(OFFERS)], [*tags, tag["answer"]]
         elif kind in ("echo", "echoed"):
             words = q.split()
-            if rnd.random() < 0.3 and len(words) > 6:
-                words[rnd.randrange(len(words))] = "clip"
+            for _ in range(rnd.choice((0, 0, 1, 2)) if len(words) > 6 else 0):
+                words[rnd.randrange(1, len(words) - 1)] = "clip"
             copy = rnd.choice(("{}", "Q: {}", "“{}”")).format(" ".join(words))
             copy = rnd.choice((copy, copy.upper(), copy.rstrip("?"), copy.lower()))
             parts, tags = ([copy], [tag["echo"]]) if kind == "echo" else ([copy, *parts], [tag["echo"], *tags])
