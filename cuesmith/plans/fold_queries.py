@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import folds
+from ..session import cut_lineage
 from ..sources import subtitles
 from ..tables import table
 from . import sqltext as S
-from .retrieval_queries import chunked
+from .retrieval_queries import CHUNKS, chunked
 from .scalar_queries import segments
 
 QUERIES, SQL = {}, {}
@@ -188,3 +189,79 @@ def c5(spark, folder):
     t = table(spark, folder, "transcripts").select("id", "video_id", "provider", "content_hash", "parser_version")
     first = F.min("id").over(Window.partitionBy("video_id", "provider", "content_hash", "parser_version"))
     return t.where("video_id IS NOT NULL AND provider IS NOT NULL AND content_hash IS NOT NULL AND parser_version IS NOT NULL").select("id", first.alias("published_id")).withColumn("is_new", F.col("id") == F.col("published_id"))
+
+
+@query("g8_playback_cues", None)
+def g8(spark, folder):
+    """The cue shown at each sampled playback position: every half minute of each transcript, by minute and range."""
+    cues = segments(spark, folder).where("end_ms > start_ms").select("transcript_id", "id", "start_ms", "end_ms")
+    spread = cues.withColumn("minute", F.explode(F.sequence(F.floor(F.col("start_ms") / 60_000), F.floor((F.col("end_ms") - 1) / 60_000))))
+    at = F.explode(F.array(F.col("minute") * 60_000, F.col("minute") * 60_000 + 30_000))
+    return spread.withColumn("position_ms", at).where("start_ms <= position_ms AND position_ms < end_ms").select("transcript_id", "position_ms", "id")
+
+
+@query("k1_written_table", "SELECT id, title, status FROM videos")
+def k1(spark, folder):
+    """A table written to the shared folder and read again."""
+    return cut_lineage(table(spark, folder, "videos").select("id", "title", "status"))
+
+
+@query("k2_appended_rows", "SELECT id FROM videos UNION ALL SELECT id FROM transcripts UNION ALL SELECT DISTINCT id FROM transcript_segments")
+def k2(spark, folder):
+    return table(spark, folder, "videos").select("id").unionByName(table(spark, folder, "transcripts").select("id")).unionByName(segments(spark, folder).select("id"))
+
+
+@query("k6_vector_partitions", "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY 1")
+def k6(spark, folder):
+    return table(spark, folder, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+
+
+@query(
+    "k7_posting_update",
+    f"""WITH {S.SEGMENTS}, changed AS (SELECT DISTINCT transcript_id FROM index_versions WHERE status = 'building'), old AS (SELECT * FROM seg WHERE transcript_id NOT IN (SELECT transcript_id FROM changed)),
+      t AS (SELECT id, unnest({S.tokens("coalesce(original_text, '')")}) AS term FROM old UNION ALL SELECT id, unnest({S.tokens("coalesce(normalized_text, '')")}) FROM seg WHERE transcript_id IN (SELECT transcript_id FROM changed))
+    SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM t GROUP BY 1""",
+)
+def k7(spark, folder):
+    """Postings where those of transcripts with a version being built are replaced by postings of the new text."""
+    changed = table(spark, folder, "index_versions").where("status = 'building'").select(F.col("transcript_id").alias("__t")).distinct()
+    s = segments(spark, folder).join(changed, F.col("transcript_id") == F.col("__t"), "left")
+    words = X.tokens(F.coalesce(F.when(F.col("__t").isNull(), F.col("original_text")).otherwise(F.col("normalized_text")), F.lit("")))
+    per = s.select("id", F.explode(words).alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+@query("k11_report", "WITH m AS (SELECT DISTINCT message_id, retrieval_mode, answer FROM chat_messages) SELECT retrieval_mode, '| ' || retrieval_mode || ' | ' || CAST(count(*) AS VARCHAR) || ' | ' || CAST(count(answer) AS VARCHAR) || ' |' AS line FROM m GROUP BY 1")
+def k11(spark, folder):
+    m = table(spark, folder, "chat_messages").dropDuplicates(["message_id"])
+    return m.groupBy("retrieval_mode").agg(F.format_string("| %s | %d | %d |", F.first("retrieval_mode"), F.count("*"), F.count("answer")).alias("line"))
+
+
+@query("g11_attempt_report", "SELECT event_id, event_type <> 'error' AS succeeded, greatest(CAST(floor(value * 10) AS BIGINT), 0) AS elapsed_ms FROM events")
+def g11(spark, folder):
+    return table(spark, folder, "events").select("event_id", (F.col("event_type") != "error").alias("succeeded"), F.greatest(F.floor(F.col("value") * 10), F.lit(0).cast("long")).alias("elapsed_ms"))
+
+
+@query("g12_component_health", "SELECT user_id, bool_and(event_type <> 'error') AS operational FROM events GROUP BY 1")
+def g12(spark, folder):
+    return table(spark, folder, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type") != "error").alias("operational"))
+
+
+@query("g13_failure_status", "SELECT event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'purchase' THEN 409 WHEN 'signup' THEN 404 ELSE 200 END AS status FROM events")
+def g13(spark, folder):
+    kind = F.col("event_type")
+    return table(spark, folder, "events").select("event_id", F.when(kind == "error", 503).when(kind == "purchase", 409).when(kind == "signup", 404).otherwise(200).alias("status"))
+
+
+@query("d3_merged_sections", f"WITH {CHUNKS} SELECT transcript_id, \"window\" // 4 AS section, string_agg({S.shorten('text', 350)}, chr(10) ORDER BY \"window\") AS text FROM chunks GROUP BY ALL")
+def d3(spark, folder):
+    c = chunked(spark, folder).withColumn("section", F.floor(F.col("window") / 4))
+    per = c.groupBy("transcript_id", "section").agg(F.array_sort(F.collect_list(F.struct("window", X.shorten(F.col("text"), 350).alias("t")))).alias("ts"))
+    return per.select("transcript_id", "section", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("text"))
+
+
+@query("d8_cached_outputs", "WITH m AS (SELECT DISTINCT message_id, video_id, question, answer FROM chat_messages), c AS (SELECT video_id, question, max(message_id) AS cached FROM m WHERE coalesce(answer, '') <> '' GROUP BY ALL) SELECT m.message_id, c.cached, c.cached IS NULL AS to_compute FROM m LEFT JOIN c ON c.video_id = m.video_id AND c.question = m.question")
+def d8(spark, folder):
+    m = table(spark, folder, "chat_messages").select("message_id", "video_id", "question", "answer").distinct()
+    c = m.where("coalesce(answer, '') <> ''").groupBy(F.col("video_id").alias("__v"), F.col("question").alias("__q")).agg(F.max("message_id").alias("cached"))
+    return m.join(c, (F.col("video_id") == F.col("__v")) & (F.col("question") == F.col("__q")), "left").select("message_id", "cached", F.col("cached").isNull().alias("to_compute"))
