@@ -9,16 +9,18 @@ each of which is scored again as a text of its own.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .turns import utterances
+from .lookalikes import IGNORABLE
 
 LANGUAGES = ("vi", "en", "fr", "de", "es")
 MAX_N = 4
@@ -37,7 +39,7 @@ SHARPNESS = 4.0
 BATCH = 256
 SWITCH = 1.2
 """Evidence that a change of language within a text must bring."""
-CLAUSE_WORDS = 4
+CLAUSE_WORDS = 5
 """A stretch of fewer words is no whole clause."""
 
 # Spellings of the language codes, first part only.
@@ -67,9 +69,15 @@ def language_code(label: Column) -> Column:
     return F.when(label.isNull() | low.isin(*NO_LANGUAGE), F.lit(None)).otherwise(F.coalesce(known, low))
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ASIDE = re.compile(r"<[^<>\n]*>|\[[^\[\]\n]*\]|\([^()\n]*\)|\{[^{}\n]*\}|\*[^*\n]+\*|♪[^♪\n]*♪?")
+_SIGNS = re.compile(f"[<\\[({{*♪{IGNORABLE}]")
+_HIDDEN = re.compile(f"[{IGNORABLE}]")
+
+
 def plain_words(text: str) -> list[str]:
     """Lower-case words of letters only; apostrophes split words."""
-    return "".join(c if c.isalpha() or unicodedata.combining(c) else " " for c in unicodedata.normalize("NFC", text.lower())).split()
+    return _LETTERS.findall(unicodedata.normalize("NFC", text.lower()))
 
 
 def without_accents(text: str) -> str:
@@ -100,46 +108,70 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_r), np.concatenate(out_s), np.concatenate(out_p)
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """Rows of unit length; the kernel of two texts is the product of their rows."""
+def confidence(scores: np.ndarray) -> np.ndarray:
+    s = np.exp(SHARPNESS * scores)
+    return s / s.sum(1, keepdims=True)
+
+
+def product(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``x @ places`` in slices of few rows: of a large product a library starts a thread on every core, and tasks that do
+    so side by side slow each other down."""
+    return np.concatenate([x[i : i + 6] @ places for i in range(0, len(x), 6)]) if len(x) else np.zeros((0, places.shape[1]), np.float32)
+
+
+def present(texts: list[str], grams: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """1 where a text has an n-gram of the place, else 0."""
     x = np.zeros((len(texts), WIDTH), np.float32)
     if texts:
-        r, _, p = _grams(texts)
+        r, _, p = grams or _grams(texts)
         x[r, p] = 1.0
-        x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1.0)
     return x
 
 
+def presence(texts: list[str]) -> np.ndarray:
+    """Rows of unit length; the kernel of two texts is the product of their rows."""
+    x = present(texts)
+    return x / np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1.0)
+
+
 @dataclass
 class KernelModel:
     landmarks: np.ndarray
     weights: np.ndarray
 
-    @property
+    @cached_property
     def places(self) -> np.ndarray:
         """Weight of each n-gram place for each language: what a single n-gram adds to a score."""
-        return self.landmarks.T @ self.weights
+        return (self.landmarks.T @ self.weights).astype(np.float32)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        parts = [presence(texts[i : i + BATCH]) @ self.landmarks.T @ self.weights for i in range(0, len(texts), BATCH)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(LANGUAGES)), np.float32)
+    @cached_property
+    def places_and_ones(self) -> np.ndarray:
+        """With a column that counts the places of a text, so that its length comes from the same product."""
+        return np.hstack([self.places, np.ones((WIDTH, 1), np.float32)])
+
+    def scores(self, texts: list[str], grams: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """One matrix product a batch: that of the landmarks and the weights is the same for all and done before."""
+        out = [np.zeros((0, len(LANGUAGES)), np.float32)]
+        for i in range(0, len(texts), BATCH):
+            found = product(present(texts[i : i + BATCH], grams), self.places_and_ones)
+            out.append(found[:, :-1] / np.maximum(np.sqrt(found[:, -1:]), 1.0))
+        return np.concatenate(out)
 
     def confidence(self, texts: list[str]) -> np.ndarray:
-        s = np.exp(SHARPNESS * self.scores(texts))
-        return s / s.sum(1, keepdims=True)
+        return confidence(self.scores(texts))
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, rounds: int = 2) -> KernelModel:
     """Fit on labelled texts; labels that a stiff fit contradicts are put right first."""
     words = [" ".join(plain_words(t)) for t in texts]
-    y = np.array([LANGUAGES.index(x) for x in labels])
+    y = np.array([LANGUAGES.index(x) for x in labels], dtype=int)
     anchors = [(" ".join(plain_words(t)), LANGUAGES.index(k)) for k, ts in SEEDS.items() for t in ts]
     # Vietnamese is also written without accents.
     bare = [(without_accents(w), 0) for w, k in zip(words, y) if k == 0][::2] + [(without_accents(w), k) for w, k in anchors if k == 0]
     words += [w for w, _ in anchors + bare]
     fixed = np.zeros(len(words), bool)
     fixed[len(y) : len(y) + len(anchors)] = True
-    y = np.concatenate([y, np.array([k for _, k in anchors + bare])])
+    y = np.concatenate([y, np.array([k for _, k in anchors + bare], dtype=int)])
     chosen = np.linspace(0, len(words) - 1, min(landmarks, len(words))).astype(int)
     marks = presence([words[i] for i in chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -165,8 +197,14 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 def labelled_sample(transcripts: DataFrame, source_cues: DataFrame, canonical_cues: DataFrame) -> list[tuple[str, str]]:
     """At most ``TRAIN_ROWS`` pairs of text and label, the same for the same tables."""
     spark = transcripts.sparkSession
-    labelled = transcripts.select(F.col("id").alias("__t"), language_code(F.col("language_code")).alias("lang"))
-    chosen = [r for code in LANGUAGES for r in labelled.where(F.col("lang") == code).orderBy(F.xxhash64("__t"), "__t").limit(TRAIN_TRANSCRIPTS).collect()]
+    labelled = transcripts.where("id IS NOT NULL").select(F.col("id").alias("__t"), language_code(F.col("language_code")).alias("lang"), F.xxhash64("id").alias("h")).where(F.col("lang").isin(*LANGUAGES))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # About four times what is wanted of each language comes to the driver, however many there are.
+    share = F.lit(0.0)
+    for code, n in counts.items():
+        share = F.when(F.col("lang") == code, min(1.0, 4 * TRAIN_TRANSCRIPTS / n)).otherwise(share)
+    near = sorted((r["h"], r["__t"], r["lang"]) for r in labelled.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).collect())
+    chosen = [{"__t": t, "lang": k} for code in LANGUAGES for _, t, k in [x for x in near if x[2] == code][:TRAIN_TRANSCRIPTS]]
     if not chosen:
         return []
     few = F.broadcast(spark.createDataFrame([(r["__t"], r["lang"]) for r in chosen], "__t string, lang string"))
@@ -182,47 +220,84 @@ def fitted(transcripts: DataFrame, source_cues: DataFrame, canonical_cues: DataF
 
 
 def spoken(text: str | None) -> str:
-    """The words of a cue without labels, times, annotations and fillers."""
-    return " ".join(said for _, _, said in utterances(text) if said)
+    """The words of a cue without times, sounds and bracketed labels."""
+    if not text or not _SIGNS.search(text):
+        return text or ""
+    return _ASIDE.sub(" ", _HIDDEN.sub("", text))
+
 
+def word_evidence(places: np.ndarray, texts: list[str], grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each word of all texts, and what the n-grams that begin in it (or at the blank before) say for each language.
 
-def stretches(model: KernelModel, places: np.ndarray, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """For each text of plain words its stretches ``(first word, last word, language)`` by a Viterbi pass over words."""
+    Scaled like a text of the word's own n-grams, so that long words don't outweigh short ones by much.
+    """
+    _, starts, spots = grams
+    blanks = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), np.uint32) == 32
+    ends = np.cumsum([len(t) + 2 for t in texts]) - 1  # the blank after each text begins no word
+    opens = blanks.copy()
+    opens[ends] = False
+    word_of = np.cumsum(opens) - 1
+    gains = places[spots]
+    gains = gains - gains.mean(1, keepdims=True)
+    n = int(opens.sum())
+    at = word_of[starts]
+    count = np.bincount(at, minlength=n)
+    sums = np.stack([np.bincount(at, weights=gains[:, k], minlength=n) for k in range(gains.shape[1])], 1)
+    rows = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], np.cumsum(opens)[ends]])))
+    return rows, sums / np.sqrt(np.maximum(count, 1))[:, None]
+
+
+def _path(evidence: np.ndarray) -> list[int]:
+    """The best language of each word, a change costing ``SWITCH``, by the Viterbi algorithm."""
+    score, back = evidence[0], []
+    for e in evidence[1:]:
+        best = score.argmax()
+        stay = score >= score[best] - SWITCH
+        back.append(np.where(stay, np.arange(len(score)), best))
+        score = np.where(stay, score, score[best] - SWITCH) + e
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def stretches(places: np.ndarray, texts: list[str], grams: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
+    """For each text of plain words its stretches ``(first word, last word, language)``.
+
+    A change of language pays only where some run of words speaks for another language than the whole by ``SWITCH`` at
+    least; the Viterbi pass is left out where the largest such sum, found for all texts at once, stays below.
+    """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not any(texts):
+    full = [k for k, t in enumerate(texts) if t]
+    if not full:
         return out
-    rows, starts, spots = _grams(texts)
-    offsets = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
-    gains = places[spots] - places[spots].mean(1, keepdims=True)
-    order = np.argsort(starts, kind="stable")
-    starts, gains = starts[order], np.concatenate([np.zeros((1, gains.shape[1])), np.cumsum(gains[order], 0)])
-    for k, text in enumerate(texts):
-        if not text:
+    if grams is None or len(full) < len(texts):
+        texts = [texts[k] for k in full]
+        grams = _grams(texts)
+    rows, evidence = word_evidence(places, texts, grams)
+    begins = np.searchsorted(rows, np.arange(len(texts)))
+    whole = np.add.reduceat(evidence, begins, 0).argmax(1)
+    against = np.cumsum(evidence - evidence[np.arange(len(rows)), whole[rows]][:, None], 0)
+    apart = (np.ptp(against) + 1.0) * rows[:, None]  # sets the texts apart, so that one running minimum serves all
+    before = np.concatenate([np.zeros((1, against.shape[1])), against[:-1]])
+    lowest = np.minimum.accumulate(before - apart, 0) + apart
+    mixed = np.maximum.reduceat((against - lowest).max(1), begins) >= SWITCH
+    limits = np.append(begins, len(rows))
+    for k, spot in enumerate(full):
+        a, b = limits[k], limits[k + 1]
+        if not mixed[k]:
+            out[spot].append((0, int(b - a) - 1, int(whole[k])))
             continue
-        words = text.split(" ")
-        begins = offsets[k] + np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])  # at the blank before each word
-        at = np.searchsorted(starts, begins)
-        # Scaled like a text of the words' own n-grams, so that long words don't outweigh short ones by much.
-        evidence = (gains[at[1:]] - gains[at[:-1]]) / np.sqrt(np.maximum(at[1:] - at[:-1], 1))[:, None]
-        score, back = evidence[0], []
-        for e in evidence[1:]:
-            best = score.argmax()
-            stay = score >= score[best] - SWITCH
-            back.append(np.where(stay, np.arange(len(score)), best))
-            score = np.where(stay, score, score[best] - SWITCH) + e
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
+        path = _path(evidence[a:b])
         first = 0
         for i in range(1, len(path) + 1):
             if i == len(path) or path[i] != path[first]:
-                out[k].append((first, i - 1, path[first]))
+                out[spot].append((first, i - 1, path[first]))
                 first = i
     return out
 
 
-CLASSIFIED = "lang string, confidence double, parts array<struct<lang: string, confidence: double, words: int, text: string>>"
+CLASSIFIED = "lang string, confidence double, parts array<struct<lang: string, confidence: double, words: int>>"
 
 
 def classify(rows: DataFrame, keys: list[str], text: str, model: KernelModel, cues: bool = True) -> DataFrame:
@@ -234,33 +309,40 @@ def classify(rows: DataFrame, keys: list[str], text: str, model: KernelModel, cu
     shared = rows.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        places = model.places
         for whole in batches:
-            for at in range(0, len(whole), 2048):
-                batch = whole.iloc[at : at + 2048]
-                texts = [" ".join(plain_words(spoken(t) if cues else t or "")) for t in batch["__text"]]
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                texts = [" ".join(plain_words(spoken(t) if cues else t or "")) for t in batch.column(len(keys)).to_pylist()]
                 distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-                own = list(distinct)
-                sure = model.confidence(own)
-                cut = stretches(model, places, own)
-                clauses = []
-                for i, (t, parts) in enumerate(zip(own, cut)):
-                    words = t.split(" ")
-                    clauses += [(i, " ".join(words[a : b + 1]), b - a + 1) for a, b, _ in parts if b - a + 1 >= CLAUSE_WORDS]
-                inner = model.confidence([c for _, c, _ in clauses])
-                found: list[list[dict]] = [[] for _ in own]
-                for (i, c, n), p in zip(clauses, inner):
-                    found[i].append({"lang": LANGUAGES[int(p.argmax())], "confidence": float(p.max()), "words": n, "text": c})
-                out = batch[keys].copy()
+                langs, sure, parts = of_texts(model, list(distinct))
                 index = [distinct[t] for t in texts]
-                out["lang"] = [LANGUAGES[int(sure[i].argmax())] if own[i] else None for i in index]
-                out["confidence"] = [float(sure[i].max()) if own[i] else None for i in index]
-                out["parts"] = [found[i] for i in index]
-                yield out
-
-    return rows.select(*keys, F.col(text).alias("__text")).mapInPandas(run, f"{fields}, {CLASSIFIED}")
+                flat = [p for i in index for p in parts[i]]
+                inner = pa.StructArray.from_arrays([pa.array([p[k] for p in flat], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32()))], names=["lang", "confidence", "words"])
+                offsets = np.concatenate([[0], np.cumsum([len(parts[i]) for i in index])]).astype(np.int32)
+                made = [pa.array([langs[i] for i in index], pa.string()), pa.array([sure[i] for i in index], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), inner)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, "lang", "confidence", "parts"])
+
+    return rows.select(*keys, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, {CLASSIFIED}")
+
+
+def of_texts(model: KernelModel, texts: list[str]) -> tuple[list[str | None], list[float | None], list[list[tuple[str, float, int]]]]:
+    """Language, confidence and clauses ``(language, confidence, words)`` of each text of plain words, at most ``BATCH``."""
+    grams = _grams(texts)
+    sure = confidence(model.scores(texts, grams))
+    found: list[list[tuple[str, float, int]]] = [[] for _ in texts]
+    clauses = []
+    for i, (t, cut) in enumerate(zip(texts, stretches(model.places, texts, grams))):
+        if len(cut) == 1:
+            if cut[0][1] + 1 >= CLAUSE_WORDS:
+                found[i].append((LANGUAGES[int(sure[i].argmax())], float(sure[i].max()), cut[0][1] + 1))
+            continue
+        words = t.split(" ")
+        clauses += [(i, " ".join(words[a : b + 1]), b - a + 1) for a, b, _ in cut if b - a + 1 >= CLAUSE_WORDS]
+    for (i, _, n), p in zip(clauses, model.confidence([c for _, c, _ in clauses])):
+        found[i].append((LANGUAGES[int(p.argmax())], float(p.max()), n))
+    return [LANGUAGES[int(p.argmax())] if t else None for t, p in zip(texts, sure)], [float(p.max()) if t else None for t, p in zip(texts, sure)], found
 
 
 MIN_CONFIDENCE = 0.5
@@ -277,7 +359,7 @@ def transcript_languages(source_cues: DataFrame, canonical_cues: DataFrame, mode
 
     a = source_cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").dropDuplicates(["transcript_id", "sequence_number"]).select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), F.lit("source").alias("origin"), "text")
     b = canonical_cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").dropDuplicates(["transcript_id", "sequence_number"]).select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), F.lit("canonical").alias("origin"), F.col("original_text").alias("text"))
-    cues = cut_lineage(classify(a.unionByName(b), ["transcript_id", "sequence_number", "origin"], "text", model).select("transcript_id", "sequence_number", "origin", "lang", "confidence", F.transform("parts", lambda p: F.struct(p["lang"].alias("lang"), p["confidence"].alias("confidence"), p["words"].alias("words"))).alias("parts")))
+    cues = cut_lineage(classify(a.unionByName(b), ["transcript_id", "sequence_number", "origin"], "text", model))
     votes = cues.where("lang IS NOT NULL").groupBy("transcript_id", "lang").agg(F.sum(F.when(F.size("parts") > 0, 1).otherwise(0)).alias("clauses"), F.count("*").alias("cues"), F.sum("confidence").alias("sure"))
     main = votes.groupBy("transcript_id").agg(F.max_by("lang", F.struct("clauses", "cues", "sure", "lang")).alias("main"), (F.max("cues") / F.sum("cues")).alias("share"))
     return cues, main

@@ -61,7 +61,7 @@ _MAYBE = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, SOMETIMES), k
 _ANY_FILLER = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, FILLERS + SOMETIMES), key=len, reverse=True)) + r")(?!\w)|\s[,.;!?…]", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]")
 #: Without any of these a cue is one utterance.
-_MARKED = re.compile(f"[<>\\[(\\]{{*♪:\n–—{IGNORABLE}]|^\\s*-|\\s-\\s")
+_MARKED = re.compile(f"[<>\\[(\\]{{*♪:\n–—{IGNORABLE}]|^\\s*-|\\s-(?:\\s|$)")
 _ALONE = re.compile(r"[\W_]*(?:(?:" + "|".join(sorted(map(re.escape, FILLERS + SOMETIMES), key=len, reverse=True)) + r")[\W_]+)*", re.IGNORECASE)
 
 
