@@ -33,3 +33,8 @@ def hashed(text: str | None) -> list[float]:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed(texts: pd.Series) -> pd.Series:
     return texts.map(hashed)
+
+
+@F.pandas_udf(T.IntegerType())
+def hash_features(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: _bucket(w)[0])

@@ -14,6 +14,8 @@ from uuid import NAMESPACE_URL, uuid5
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W_]+")
 ROLLING_GAP_MS = 250
@@ -264,3 +266,8 @@ def hierarchical_chunks(segments: DataFrame) -> DataFrame:
     A unit keeps to one cue, since cues of this data are whole clauses; cues without times are left out.
     """
     return stream_fold(segments.where("transcript_id IS NOT NULL"), "transcript_id", ["sequence_number", "id"], BothLevels, HIERARCHY)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_units(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: units_of(" ".join((t or "").split()), 12))

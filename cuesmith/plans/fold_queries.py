@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import folds
+from .. import api
+from ..operators import folds, retrieval
 from ..session import cut_lineage
 from ..sources import subtitles
 from ..tables import table
 from . import sqltext as S
-from .retrieval_queries import CHUNKS, chunked
-from .scalar_queries import segments
+from .retrieval_queries import CHUNKS, chunked, questions
+from .scalar_queries import messages, segments
 
 QUERIES, SQL = {}, {}
 
@@ -265,3 +266,59 @@ def d8(spark, folder):
     m = table(spark, folder, "chat_messages").select("message_id", "video_id", "question", "answer").distinct()
     c = m.where("coalesce(answer, '') <> ''").groupBy(F.col("video_id").alias("__v"), F.col("question").alias("__q")).agg(F.max("message_id").alias("cached"))
     return m.join(c, (F.col("video_id") == F.col("__v")) & (F.col("question") == F.col("__q")), "left").select("message_id", "cached", F.col("cached").isNull().alias("to_compute"))
+
+
+def _asked(spark, folder):
+    return questions(spark, folder).select("query_id", "video_id", "question")
+
+
+@query("r10_search_context", None)
+def r10(spark, folder):
+    return api.search(_asked(spark, folder), chunked(spark, folder), "hybrid")[0]
+
+
+@query("r9_reranked_context", None)
+def r9(spark, folder):
+    return api.search(_asked(spark, folder), chunked(spark, folder), "reranked")[0]
+
+
+@query("r14_search_diagnostics", None)
+def r14(spark, folder):
+    return api.search(_asked(spark, folder), chunked(spark, folder), "hybrid")[1]
+
+
+@query("d11_ask", None)
+def d11(spark, folder):
+    return api.ask(_asked(spark, folder), chunked(spark, folder))
+
+
+@query("d12_query_expansion", None)
+def d12(spark, folder):
+    """Chunks for fixed study questions in every video, the best six of all of them by score."""
+    wanted = ("the main ideas of the lesson", "các ý chính của bài học", "steps and examples in plain language")
+    videos = table(spark, folder, "videos").select("id")
+    asked = videos.select(F.col("id").alias("video_id"), F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, wanted))).alias("q"))
+    terms = asked.select("video_id", "query_id", F.explode(X.tokens(F.col("q"))).alias("term"))
+    return retrieval.top(retrieval.bm25(terms, chunked(spark, folder), "video_id", "chunk_id", X.tokens(F.col("text"))), 6, "chunk_id")
+
+
+@query("f23_feature_hash", None)
+def f23(spark, folder):
+    from ..functions.embedding import hash_features
+
+    return messages(spark, folder).select(F.explode(X.tokens(F.col("question"))).alias("word")).distinct().select("word", hash_features("word").alias("bucket"))
+
+
+@query("w18_split_units", None)
+def w18(spark, folder):
+    from ..operators.folds import split_units
+
+    return segments(spark, folder).where("original_text IS NOT NULL").select("id", F.posexplode(split_units("original_text")).alias("place", "unit"))
+
+
+@query("w22_rising_stamps", "SELECT id, updated_at, max(updated_at) OVER () >= updated_at AS ordered FROM videos")
+def w22(spark, folder):
+    """Whether each stamp is at most the newest, which the next one has to exceed."""
+    v = table(spark, folder, "videos").select("id", "updated_at")
+    newest = v.agg(F.max("updated_at").alias("newest"))  # one row
+    return v.crossJoin(F.broadcast(newest)).select("id", "updated_at", (F.col("newest") >= F.col("updated_at")).alias("ordered"))

@@ -254,3 +254,109 @@ def test_rolled_text_is_an_end_of_the_text(numbers):
     words = [str(n % 5) for n in numbers]
     text = " ".join(words[len(words) // 2 :])
     assert text.endswith(folds.without_rolled(" ".join(words[: len(words) // 2]), text))
+
+
+class Canned:
+    def __init__(self, name, results):
+        self.name, self.results = name, list(results)
+
+    def fetch(self, video, languages):
+        got = self.results.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+
+def chain(*results_of):
+    from cuesmith.sources.providers import acquire
+
+    return acquire([Canned(f"s{i}", r) for i, r in enumerate(results_of)], "v", ["vi"], sleep=lambda s: None)
+
+
+def test_the_chain_tries_again_and_goes_on():
+    from cuesmith.sources.providers import SourceError
+
+    again, bad, gone = SourceError("BUSY", retryable=True), SourceError("PARSE_FAILED"), SourceError("PRIVATE", terminal=True)
+    got = chain([again, again], [bad], [[("x", 0, 1)]])
+    assert got.source == "s2" and [a["outcome"] for a in got.attempts] == ["failed"] * 3 + ["succeeded"]
+    assert [a["attempt_number"] for a in got.attempts] == [1, 2, 3, 4]
+    with pytest.raises(SourceError, match="BUSY"):
+        chain([again, again], [bad])
+    with pytest.raises(SourceError, match="PRIVATE"):
+        chain([gone], [[("x", 0, 1)]])
+    with pytest.raises(SourceError, match="DOWNLOAD_FAILED"):
+        chain([RuntimeError("x"), RuntimeError("y")])
+    with pytest.raises(SourceError, match="NOT_FOUND"):
+        chain()
+
+
+def test_models_fall_back():
+    from cuesmith.sources.providers import FakeLlm, generated
+
+    assert generated(None, "p", lambda: "own", bool)[1:] == ("extractive", "no provider")
+    assert generated(FakeLlm(["text"]), "p", lambda: "own", bool) == ("text", "fake", None)
+    assert generated(FakeLlm([ValueError("limit")]), "p", lambda: "own", bool) == ("own", "extractive", "limit")
+    assert generated(FakeLlm([""]), "p", lambda: "own", bool) == ("own", "extractive", "unusable reply")
+
+
+def test_settings_are_checked():
+    from cuesmith.settings import ChunkerConfig, Settings
+
+    assert Settings.read({"TOP_K": "99", "RERANKER": "yes"}).top_k == 20
+    for bad in ({"TRANSCRIPT_ORDER": "manual,manual"}, {"TRANSCRIPT_ORDER": "x"}, {"EMBEDDING": "x"}):
+        with pytest.raises(ValueError):
+            Settings.read(bad)
+    for bad in ({"semantic": True}, {"child_target_tokens": 500}, {"child_overlap_tokens": 400}, {"parent_max_duration_seconds": 0}):
+        with pytest.raises(ValueError):
+            ChunkerConfig(**bad)
+
+
+CHUNK = "chunk_id string, video_id string, transcript_id string, window bigint, text string, start_ms bigint, end_ms bigint"
+
+
+def library(spark):
+    texts = {"v1": ["Alpha exact keyword.", "Beta semantic concept.", "Gamma final evidence."], "v2": ["Alpha private second video."]}
+    return spark.createDataFrame([(f"{v}-{i}", v, f"t{v}", i, t, 1000 * i, 1000 * i + 1000) for v, ts in texts.items() for i, t in enumerate(ts)], CHUNK)
+
+
+@pytest.mark.parametrize("mode", ["lexical", "dense", "hybrid", "reranked"])
+def test_search_keeps_to_its_video_and_brings_neighbours(spark, mode):
+    from cuesmith import api
+
+    asked = spark.createDataFrame([("q", "v1", "alpha exact keyword"), ("none", "v3", "alpha")], "query_id string, video_id string, question string")
+    context, diagnostics = api.search(asked, library(spark), mode, limit=1, context=3)
+    got = context.orderBy("place").collect()
+    assert [(r.chunk_id, r.kind) for r in got] == [("v1-0", "primary"), ("v1-1", "neighbour")]
+    assert {r.query_id for r in diagnostics.collect()} == {"q"} and not any(r.chunk_id.startswith("v2") for r in diagnostics.collect())
+    with pytest.raises(ValueError):
+        api.search(asked, library(spark), "other")
+
+
+def test_ask_says_when_nothing_is_found(spark):
+    from cuesmith import api
+
+    asked = spark.createDataFrame([("q", "v1", "alpha exact keyword"), ("none", "v3", "có gì không")], "query_id string, video_id string, question string")
+    got = {r.query_id: r for r in api.ask(asked, library(spark), "lexical").collect()}
+    assert got["q"].answer == "- [00:00] Alpha exact keyword." and got["q"].warning == "low" and got["q"].sources == ["v1-0"]
+    assert got["none"].language == "vi" and got["none"].warning == "none" and got["none"].sources == []
+
+
+def test_a_failed_rebuild_keeps_the_index(spark, tmp_path):
+    from cuesmith.operators.index import IndexStore
+    from cuesmith.sources.providers import FakeEmbedding, HashingEmbedding
+
+    class Broken(FakeEmbedding):
+        def column(self, text):
+            return F.array(F.lit(float("nan")))
+
+    store = IndexStore(spark, f"file://{tmp_path}/index")
+    assert store.current() is None and store.rows() is None
+    first = store.rebuild(library(spark), FakeEmbedding(8), "one")
+    assert first["dimension"] == 8 and store.rebuild(library(spark), FakeEmbedding(8), "one") == first
+    with pytest.raises(ValueError):
+        store.rebuild(library(spark), Broken(1), "two")
+    with pytest.raises(ValueError):
+        store.rebuild(library(spark).where("false"), FakeEmbedding(8), "three")
+    assert store.current() == first and store.rows().count() == 4
+    second = store.rebuild(library(spark), HashingEmbedding(), "four")
+    assert store.current() == second and second["dimension"] == 256 and store.rows().count() == 4
