@@ -126,7 +126,7 @@ def features(question: str, parts: list[str], foreign: list[bool]) -> np.ndarray
     """One row per clause."""
     x = np.zeros((len(parts), FEATURES), np.float32)
     text = "\n".join(parts)
-    asked = (bare(question).split() or [""])[0]
+    asked = tuple((bare(question).split() or [""])[k] for k in (0, -1))
     for i, part in enumerate(parts):
         plain, outer = bare(part), bare(_INNER.sub(" ", part))
         like, last = likeness(question, part), i == len(parts) - 1
@@ -134,10 +134,10 @@ def features(question: str, parts: list[str], foreign: list[bool]) -> np.ndarray
         words = plain.split()
         x[i, :] = [
             1, bool(DECLINES.search(outer)), bool(NO_EVIDENCE.search(outer)), bool(DECLINES.search(plain)) and not DECLINES.search(outer), bool(MANNERS.search(plain)),
-            like >= 0.95, 0.85 <= like < 0.95, 0.75 <= like < 0.85, 0.6 <= like < 0.75, like < 0.6,
-            foreign[i], not foreign[i], ends, last and not ends, last and ends, last and not ends and like >= 0.75,
+            like >= 0.95, 0.85 <= like < 0.95, 0.8 <= like < 0.85, 0.6 <= like < 0.8, like < 0.6,
+            foreign[i], not foreign[i], ends, last and not ends, last and ends, last and not ends and like >= 0.8,
             last and bool(words) and words[-1] in DANGLING and not ends, last and _unclosed(part), last and bool(re.search(r"[,;:(\[“«–—-]$|\.\.$|…$", part)), last and _open_item(text, part),
-            i == 0, len(words) <= 3, like >= 0.6 and "?" in part[-3:] and bool(words) and words[0] == asked,
+            i == 0, len(words) <= 3, like >= 0.7 and bool(words) and (words[0], words[-1]) == asked,
         ]
     return x
 
@@ -221,7 +221,7 @@ def made_sequences(pairs: list[tuple[str, str]], count: int = TRAIN_SEQUENCES, s
     for q, a in pairs:
         for c in clauses(q, a):
             plain = bare(c)
-            if _ENDS.search(c) and not c.endswith("..") and len(plain.split()) > 4 and likeness(q, c) < 0.75 and not DECLINES.search(plain) and not NO_EVIDENCE.search(plain) and not MANNERS.search(plain):
+            if _ENDS.search(c) and not c.endswith("..") and len(plain.split()) > 4 and likeness(q, c) < 0.8 and not DECLINES.search(plain) and not NO_EVIDENCE.search(plain) and not MANNERS.search(plain):
                 pool.append((q, c))
     pool += [(f"What about {s.split()[-1]}?", s.capitalize() + ".") for group in SEEDS.values() for s in group if not DECLINES.search(bare(s)) and not NO_EVIDENCE.search(bare(s))]
     tag = {name: k for k, name in enumerate(TAGS)}
