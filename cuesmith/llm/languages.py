@@ -35,6 +35,10 @@ TRAIN_TRANSCRIPTS = 120
 TRAIN_CUES = 30
 """Cues of each of them, so the sample has at most 5 x 120 x 30 rows, of which ``TRAIN_ROWS`` are kept by hash."""
 TRAIN_ROWS = 6000
+SEED_WEIGHT = 2.0
+"""What a sentence of our own weighs against one of the sample, whose words are those of its own subjects."""
+TRAIN_MESSAGES = 3000
+"""Answers with a language label that the sample takes besides, by the hash of their ids: they have words of their own."""
 SHARPNESS = 4.0
 BATCH = 256
 SWITCH = 1.2
@@ -51,11 +55,11 @@ NO_LANGUAGE = ("", "und", "unknown", "unk", "none", "null", "n/a", "na", "xx", "
 
 # Plain sentences of our own that anchor each language, also where a sample has none of it.
 SEEDS = {
-    "vi": ("hôm nay chúng ta sẽ nói về cách làm việc của máy này", "tôi không biết câu trả lời cho câu hỏi đó", "các bạn hãy nhìn vào bảng và ghi lại những điều quan trọng", "người ta thường quên rằng nước cũng có thể làm hỏng giấy", "xin lỗi tôi không thể giúp bạn việc này được", "đó là lý do vì sao phần này rất khó với người mới"),
-    "en": ("today we are going to talk about how this machine works", "i do not know the answer to that question", "please look at the board and write down what is important", "people often forget that water can also damage paper", "sorry but i am not able to help you with this", "that is the reason why this part is so hard for beginners"),
-    "fr": ("aujourd'hui nous allons parler du fonctionnement de cette machine", "je ne connais pas la réponse à cette question", "regardez le tableau et notez ce qui est important", "on oublie souvent que l'eau peut aussi abîmer le papier", "désolé mais je ne peux pas vous aider avec cela", "c'est la raison pour laquelle cette partie est difficile pour les débutants"),
-    "de": ("heute sprechen wir darüber wie diese maschine funktioniert", "ich kenne die antwort auf diese frage nicht", "schaut bitte auf die tafel und schreibt das wichtige auf", "man vergisst oft dass wasser auch papier beschädigen kann", "leider kann ich ihnen dabei nicht helfen", "das ist der grund warum dieser teil für anfänger so schwer ist"),
-    "es": ("hoy vamos a hablar de cómo funciona esta máquina", "no conozco la respuesta a esa pregunta", "miren la pizarra y anoten lo que es importante", "la gente olvida a menudo que el agua también puede dañar el papel", "lo siento pero no puedo ayudarle con esto", "esa es la razón por la que esta parte es tan difícil para los principiantes"),
+    "vi": ("hôm nay chúng ta sẽ nói về cách làm việc của máy này", "tôi không biết câu trả lời cho câu hỏi đó", "các bạn hãy nhìn vào bảng và ghi lại những điều quan trọng", "người ta thường quên rằng nước cũng có thể làm hỏng giấy", "xin lỗi tôi không thể giúp bạn việc này được", "đó là lý do vì sao phần này rất khó với người mới", "tôi phải từ chối nói về chuyện đó ở đây", "có lẽ bạn nên hỏi một người khác", "yêu cầu của bạn không được phép", "vâng điều đó đúng", "không tôi không nghĩ vậy", "trợ lý không thể bàn về chủ đề ấy", "rất tiếc là chưa có gì trong đoạn này", "bằng một ví dụ cụ thể", "bằng lời lẽ dễ hiểu", "chúng tôi sẽ trả lời sau"),
+    "en": ("today we are going to talk about how this machine works", "i do not know the answer to that question", "please look at the board and write down what is important", "people often forget that water can also damage paper", "sorry but i am not able to help you with this", "that is the reason why this part is so hard for beginners", "i must refuse to speak about that here", "maybe you should ask somebody else", "your request is not permitted", "yes that is right", "no i do not think so", "as an assistant i decline to discuss the matter", "unfortunately there is nothing in this passage", "i would rather not respond to it", "this is beyond what we can do", "we will reply later"),
+    "fr": ("aujourd'hui nous allons parler du fonctionnement de cette machine", "je ne connais pas la réponse à cette question", "regardez le tableau et notez ce qui est important", "on oublie souvent que l'eau peut aussi abîmer le papier", "désolé mais je ne peux pas vous aider avec cela", "c'est la raison pour laquelle cette partie est difficile pour les débutants", "je dois refuser d'en parler ici", "vous devriez peut-être demander à quelqu'un d'autre", "votre demande n'est pas permise", "oui c'est exact", "non je ne crois pas", "en tant qu'assistant je préfère éviter ce sujet", "malheureusement il n'y a rien dans ce passage", "je n'ai pas le droit d'y répondre", "cela dépasse mes moyens", "nous répondrons plus tard"),
+    "de": ("heute sprechen wir darüber wie diese maschine funktioniert", "ich kenne die antwort auf diese frage nicht", "schaut bitte auf die tafel und schreibt das wichtige auf", "man vergisst oft dass wasser auch papier beschädigen kann", "leider kann ich ihnen dabei nicht helfen", "das ist der grund warum dieser teil für anfänger so schwer ist", "ich muss es ablehnen hier darüber zu sprechen", "vielleicht fragen sie besser jemand anderen", "ihre anfrage ist nicht erlaubt", "ja das stimmt", "nein das glaube ich nicht", "als assistent möchte ich dieses thema vermeiden", "leider steht nichts in diesem abschnitt", "dazu darf ich nichts sagen", "das geht über meine möglichkeiten hinaus", "wir antworten später"),
+    "es": ("hoy vamos a hablar de cómo funciona esta máquina", "no conozco la respuesta a esa pregunta", "miren la pizarra y anoten lo que es importante", "la gente olvida a menudo que el agua también puede dañar el papel", "lo siento pero no puedo ayudarle con esto", "esa es la razón por la que esta parte es tan difícil para los principiantes", "debo negarme a hablar de eso aquí", "quizás debería preguntar a otra persona", "su petición no está permitida", "sí eso es correcto", "no yo no lo creo", "como asistente prefiero evitar ese tema", "por desgracia no hay nada en este pasaje", "no me dejan contestar a ello", "eso supera lo que podemos hacer", "responderemos más tarde"),
 }
 
 
@@ -167,7 +171,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     y = np.array([LANGUAGES.index(x) for x in labels], dtype=int)
     anchors = [(" ".join(plain_words(t)), LANGUAGES.index(k)) for k, ts in SEEDS.items() for t in ts]
     # Vietnamese is also written without accents.
-    bare = [(without_accents(w), 0) for w, k in zip(words, y) if k == 0][::2] + [(without_accents(w), k) for w, k in anchors if k == 0]
+    bare = [(without_accents(w), 0) for w, k in zip(words, y) if k == 0] + [(without_accents(w), k) for w, k in anchors if k == 0]
     words += [w for w, _ in anchors + bare]
     fixed = np.zeros(len(words), bool)
     fixed[len(y) : len(y) + len(anchors)] = True
@@ -185,6 +189,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
         # While labels are checked every row weighs the same, then every language.
         share = np.bincount(y, minlength=len(LANGUAGES)).astype(float)
         w = (len(y) / len(LANGUAGES) / np.maximum(share, 1.0))[y][:, None] if k == rounds else np.ones((len(y), 1))
+        w = w * np.where(fixed, SEED_WEIGHT, 1.0)[:, None]
         stiff = ridge if k == rounds else max(ridge, CLEANING_RIDGE * len(y))
         solved = np.linalg.solve(mapped.T @ (w * mapped) + stiff * np.eye(mapped.shape[1]), mapped.T @ (w * target))
         weights = (root @ solved).astype(np.float32)
@@ -213,9 +218,18 @@ def labelled_sample(transcripts: DataFrame, source_cues: DataFrame, canonical_cu
     return [(r["text"], r["lang"]) for r in rows.orderBy("h", "text").limit(TRAIN_ROWS).collect()]
 
 
-def fitted(transcripts: DataFrame, source_cues: DataFrame, canonical_cues: DataFrame) -> KernelModel:
+def labelled_answers(messages: DataFrame) -> list[tuple[str, str]]:
+    """At most ``TRAIN_MESSAGES`` answers and labels, the same for the same table."""
+    known = messages.where("answer IS NOT NULL AND message_id IS NOT NULL").select("answer", language_code(F.col("answer_language")).alias("lang"), F.xxhash64("message_id").alias("h"))
+    share = min(1.0, 4 * TRAIN_MESSAGES / max(1, messages.count()))
+    rows = known.where(F.col("lang").isin(*LANGUAGES) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))).orderBy("h", "answer").limit(TRAIN_MESSAGES).collect()
+    return [(r["answer"], r["lang"]) for r in rows]
+
+
+def fitted(transcripts: DataFrame, source_cues: DataFrame, canonical_cues: DataFrame, messages: DataFrame | None = None) -> KernelModel:
     pairs = [(spoken(t), k) for t, k in labelled_sample(transcripts, source_cues, canonical_cues)]
-    pairs = [(t, k) for t, k in pairs if len(plain_words(t)) >= CLAUSE_WORDS]
+    pairs += labelled_answers(messages) if messages is not None else []
+    pairs = [(t, k) for t, k in pairs if len(plain_words(t)) >= 3]
     return fit([t for t, _ in pairs], [k for _, k in pairs])
 
 

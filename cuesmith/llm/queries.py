@@ -70,7 +70,7 @@ def p6_turns(spark, folder):
 
 
 def _language_model(spark, folder):
-    return languages.fitted(*[table(spark, folder, t) for t in ("transcripts", "source_segments", "transcript_segments")])
+    return languages.fitted(*[table(spark, folder, t) for t in ("transcripts", "source_segments", "transcript_segments", "chat_messages")])
 
 
 def p4_found(spark, folder):

@@ -102,7 +102,7 @@ def test_the_automaton_agrees_with_the_table():
 
 @pytest.fixture(scope="session")
 def model(spark):
-    return languages.fitted(*[table(spark, t) for t in ("transcripts", "source_segments", "transcript_segments")])
+    return languages.fitted(*[table(spark, t) for t in ("transcripts", "source_segments", "transcript_segments", "chat_messages")])
 
 
 @pytest.fixture(scope="session")
