@@ -15,9 +15,9 @@ BLANKS = "[\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2
 WORD = "[\\p{L}\\p{N}]+"
 #: Zero-width characters that normalising drops.
 ZERO_WIDTH = "​‌‍﻿"
-VIETNAMESE_LETTERS = "[ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"
-# Words that mark a Vietnamese question.
-VIETNAMESE_WORDS = ("la", "va", "cua", "trong", "nhung", "cho", "video", "gi")
+# Letters and words by which a question counts as Vietnamese.
+VIETNAMESE_LETTERS = "[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"
+VIETNAMESE_WORDS = ("không", "gì", "tại", "sao", "hãy", "video", "này", "trong")
 
 
 def tokens(text: Column) -> Column:
@@ -64,15 +64,15 @@ def deep_link(video: Column, seconds: Column) -> Column:
 def redact(text: Column, most: int = 300) -> Column:
     """Squeezed text without addresses and values of credentials, cut."""
     hidden = F.regexp_replace(squeeze(text), "(?i)https?://[^ ]+", "[redacted-url]")
-    hidden = F.regexp_replace(hidden, "(?i)(authorization|cookie|token|api[_-]?key) *[:=] *[^ ]+", "$1=[redacted]")
+    hidden = F.regexp_replace(hidden, "(?i)\\b(api[_-]?key|token|authorization|password|cookie) *[=:] *[^ ,;]+", "$1=[redacted]")
     return F.substring(hidden, 1, most)
 
 
 def answer_language(text: Column, fallback: str = "en") -> Column:
-    """``vi`` for any accented Latin vowel or marker word, ``en`` for other words, else the fallback."""
+    """``vi`` for any accented Latin vowel or marker word, else the fallback."""
     words = tokens(text)
     marked = F.lower(text).rlike(VIETNAMESE_LETTERS) | F.arrays_overlap(words, F.array(*map(F.lit, VIETNAMESE_WORDS)))
-    return F.when(marked, "vi").when(F.size(words) > 0, "en").otherwise(fallback)
+    return F.when(marked, "vi").otherwise(fallback)
 
 
 def uuid5(namespace: str, name: Column) -> Column:

@@ -173,6 +173,7 @@ def sections(chunks: DataFrame) -> DataFrame:
     return stream_fold(chunks.select("transcript_id", "window", "start_ms", "end_ms"), "transcript_id", ["window"], SectionCutter, "transcript_id string, window bigint, section int")
 
 
+# What ends a sentence, and where a long one may be cut.
 SENTENCE = re.compile(r".+?(?:[.!?。！？]+(?=\s|$)|$)", re.DOTALL)
 SOFT = re.compile(r"(?<=[,;:!?।。！？])\s+")
 

@@ -95,7 +95,7 @@ def f9(spark, folder):
 @query(
     "f10_safe_diagnostic",
     r"""SELECT id, substr(regexp_replace(regexp_replace(trim(regexp_replace('fetch of ' || canonical_url || ' failed, token=' || youtube_video_id || ' used', '\s+', ' ', 'g')),
-      'https?://[^ ]+', '[redacted-url]', 'gi'), '(authorization|cookie|token|api[_-]?key) *[:=] *[^ ]+', '\1=[redacted]', 'gi'), 1, 300) AS shown FROM videos""",
+      'https?://[^ ]+', '[redacted-url]', 'gi'), '\b(api[_-]?key|token|authorization|password|cookie) *[=:] *[^ ,;]+', '\1=[redacted]', 'gi'), 1, 300) AS shown FROM videos""",
 )
 def f10(spark, folder):
     said = F.concat(F.lit("fetch of "), "canonical_url", F.lit(" failed, token="), "youtube_video_id", F.lit(" used"))
@@ -110,7 +110,7 @@ def f11(spark, folder):
 @query(
     "f12_answer_language",
     f"""WITH {S.MESSAGES} SELECT message_id, CASE WHEN regexp_matches(lower(question), '{X.VIETNAMESE_LETTERS}')
-      OR len(list_intersect({S.tokens('question')}, {list(X.VIETNAMESE_WORDS)!r})) > 0 THEN 'vi' WHEN len({S.tokens('question')}) > 0 THEN 'en' ELSE 'en' END AS language FROM msg""",
+      OR len(list_intersect({S.tokens('question')}, {list(X.VIETNAMESE_WORDS)!r})) > 0 THEN 'vi' ELSE 'en' END AS language FROM msg""",
 )
 def f12(spark, folder):
     return messages(spark, folder).select("message_id", X.answer_language(F.col("question")).alias("language"))
@@ -312,12 +312,12 @@ def k10(spark, folder):
 @query(
     "pred14_error_kind",
     f"""WITH {S.MESSAGES}, e AS (SELECT message_id, lower('HTTP 429 ' || retrieval_mode || ': retry in ' || CAST(length(question) / 10.0 AS VARCHAR) || 's ' || coalesce(groundedness_warning, '')) AS t FROM msg)
-    SELECT message_id, regexp_matches(t, '429|rate limit|quota') AS rate_limited, regexp_matches(t, 'token limit|context length') AS token_limited, round(CAST(regexp_extract(t, 'retry in ([0-9.]+)s', 1) AS DOUBLE), 3) AS retry_after FROM e""",
+    SELECT message_id, regexp_matches(t, 'http 429|resource_exhausted|quota exceeded|rate limit') AS rate_limited, regexp_matches(t, 'token limit|context length') AS token_limited, greatest(CAST(floor(CAST(regexp_extract(t, 'retry in ([0-9.]+)s', 1) AS DOUBLE)) AS BIGINT), 1) AS retry_after FROM e""",
 )
 def pred14(spark, folder):
     said = F.lower(F.concat(F.lit("HTTP 429 "), "retrieval_mode", F.lit(": retry in "), (F.char_length("question") / 10.0).cast("string"), F.lit("s "), F.coalesce("groundedness_warning", F.lit(""))))
     m = messages(spark, folder).withColumn("t", said)
-    return m.select("message_id", F.col("t").rlike("429|rate limit|quota").alias("rate_limited"), F.col("t").rlike("token limit|context length").alias("token_limited"), F.round(F.regexp_extract("t", "retry in ([0-9.]+)s", 1).cast("double"), 3).alias("retry_after"))
+    return m.select("message_id", F.col("t").rlike("http 429|resource_exhausted|quota exceeded|rate limit").alias("rate_limited"), F.col("t").rlike("token limit|context length").alias("token_limited"), F.greatest(F.floor(F.regexp_extract("t", "retry in ([0-9.]+)s", 1).cast("double")), F.lit(1).cast("long")).alias("retry_after"))
 
 
 @query(
