@@ -46,7 +46,7 @@ def bm25(queries: DataFrame, documents: DataFrame, scope: str, key: str, terms:
 def top(scored: DataFrame, k: int, *ties: str, query: str = "query_id", score: str = "score") -> DataFrame:
     """The ``k`` best rows of each query with ``rank``; ties by the given columns."""
     w = Window.partitionBy(query).orderBy(F.col(score).desc(), *ties)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def fuse(rankings: DataFrame, key: str, constant: int = 60, by_rank: bool = True) -> DataFrame:
@@ -61,7 +61,7 @@ def fuse(rankings: DataFrame, key: str, constant: int = 60, by_rank: bool = True
     dense = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("pos", key)))
     per = dense.groupBy("query_id", key).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 8).alias("score"), F.min("rank").alias("best_rank"))
     order = [F.col("score").desc(), *(["best_rank"] if by_rank else []), key]
-    return per.withColumn("fused_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return per.withColumn("best_rank", F.col("best_rank").cast("long")).withColumn("fused_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
 
 
 def rerank(scored: DataFrame, query_terms: str, document_terms: str, weight: float = 0.65) -> DataFrame:

@@ -68,19 +68,19 @@ both("j12_active_segments", f"SELECT v.youtube_video_id, s.sequence_number, s.st
 both("j13_library_merge", f"SELECT coalesce(v.id, m.video_id) AS id, coalesce(v.title, 'untitled') AS title, coalesce(m.n, 0) AS n FROM videos v FULL OUTER JOIN (SELECT c.video_id, count(DISTINCT c.message_id) AS n FROM chat_messages c GROUP BY c.video_id) m ON m.video_id = v.id")
 
 # Aggregates
-both("a7_segment_counts", f"SELECT s.transcript_id, count(*) AS n, count_if(s.normalized_text IS NULL) AS unnormalized, count_if(s.end_ms <= s.start_ms) AS reversed FROM {SEG} s GROUP BY s.transcript_id")
+both("a7_segment_counts", f"SELECT s.transcript_id, count(*) AS n, CAST(count_if(s.normalized_text IS NULL) AS BIGINT) AS unnormalized, CAST(count_if(s.end_ms <= s.start_ms) AS BIGINT) AS reversed FROM {SEG} s GROUP BY s.transcript_id")
 both("a8_sectioning", f"SELECT s.transcript_id, max(s.end_ms) - min(s.start_ms) AS span_ms, CAST(sum(length(s.original_text)) AS BIGINT) AS chars, max(s.end_ms) - min(s.start_ms) >= 1200000 OR sum(length(s.original_text)) > 9000 AS sectioned FROM {SEG} s GROUP BY s.transcript_id")
 both("a9_duration", f"SELECT s.transcript_id, CAST(floor(max(s.end_ms) / 1000) AS INT) AS seconds FROM {SEG} s GROUP BY s.transcript_id")
-both("a14_answer_tally", f"SELECT m.video_id, count(*) AS asked, count_if(m.answer IS NOT NULL AND m.answer <> '') AS answered, count_if(m.answer IS NULL OR m.answer = '') AS unanswered FROM {MSG} m GROUP BY m.video_id")
+both("a14_answer_tally", f"SELECT m.video_id, count(*) AS asked, CAST(count_if(m.answer IS NOT NULL AND m.answer <> '') AS BIGINT) AS answered, CAST(count_if(m.answer IS NULL OR m.answer = '') AS BIGINT) AS unanswered FROM {MSG} m GROUP BY m.video_id")
 both("a15_best_of_group", "SELECT e.event_type, round(max(e.value), 6) AS best, round(avg(e.value), 6) AS mean FROM events e GROUP BY e.event_type")
 both("a20_usage", "SELECT e.user_id, CAST(sum(e.event_id % 7) AS BIGINT) AS input_units, CAST(sum(e.event_id % 3) AS BIGINT) AS output_units, CAST(sum(e.event_id % 7 + e.event_id % 3) AS BIGINT) AS total_units FROM events e GROUP BY e.user_id")
 
 # Ranks and orders
-both("w1_dense_rank", "SELECT user_id, event_type, first_event, row_number() OVER (PARTITION BY user_id ORDER BY first_event) AS rk FROM (SELECT e.user_id, e.event_type, min(e.event_id) AS first_event FROM events e GROUP BY e.user_id, e.event_type) f")
-both("w2_enumeration", f"SELECT m.video_id, m.message_id, row_number() OVER (PARTITION BY m.video_id ORDER BY m.message_id) AS rk FROM {MSG} m")
-both("w3_attempt_numbers", "SELECT e.event_id, 10 + row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS attempt FROM events e")
+both("w1_dense_rank", "SELECT user_id, event_type, first_event, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_event) AS BIGINT) AS rk FROM (SELECT e.user_id, e.event_type, min(e.event_id) AS first_event FROM events e GROUP BY e.user_id, e.event_type) f")
+both("w2_enumeration", f"SELECT m.video_id, m.message_id, CAST(row_number() OVER (PARTITION BY m.video_id ORDER BY m.message_id) AS BIGINT) AS rk FROM {MSG} m")
+both("w3_attempt_numbers", "SELECT e.event_id, CAST(10 + row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS BIGINT) AS attempt FROM events e")
 both("t2_stable_top", "SELECT event_type, event_id, value FROM (SELECT e.event_type, e.event_id, e.value, row_number() OVER (PARTITION BY e.event_type ORDER BY e.value DESC, e.event_id) AS rk FROM events e) r WHERE rk <= 20")
-both("t4_null_last_order", f"SELECT video_id, message_id, rk FROM (SELECT m.video_id, m.message_id, row_number() OVER (PARTITION BY m.video_id ORDER BY coalesce(length(m.groundedness_warning), -1) DESC, length(m.question) DESC, m.message_id) AS rk FROM {MSG} m) r WHERE rk <= 10")
+both("t4_null_last_order", f"SELECT video_id, message_id, CAST(rk AS BIGINT) AS rk FROM (SELECT m.video_id, m.message_id, row_number() OVER (PARTITION BY m.video_id ORDER BY coalesce(length(m.groundedness_warning), -1) DESC, length(m.question) DESC, m.message_id) AS rk FROM {MSG} m) r WHERE rk <= 10")
 both("t5_recent_videos", "SELECT v.id, v.updated_at FROM videos v ORDER BY v.updated_at DESC, v.id LIMIT 20")
 both("t6_ordered_listing", f"SELECT s.transcript_id, s.sequence_number, s.id FROM {SEG} s ORDER BY s.transcript_id, s.sequence_number, s.id")
 both("t10_arg_min", "SELECT t.video_id, min_by(t.id, concat(CASE WHEN t.transcript_type = 'manual' THEN '0' WHEN t.transcript_type = 'generated' THEN '1' ELSE '2' END, t.id)) AS chosen FROM transcripts t GROUP BY t.video_id")
@@ -103,7 +103,7 @@ both("g10_retry", "SELECT e.event_id, e.user_id FROM events e WHERE e.event_type
 both("s10_language_rank", "SELECT t.id, CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END AS rk FROM transcripts t")
 both("s9_track_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END, CASE t.source_format WHEN 'vtt' THEN 0 WHEN 'srv3' THEN 1 ELSE 2 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
 both("s8_structured_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' THEN 0 WHEN lower(t.language_code) = 'en' THEN 1 ELSE 2 END, CASE WHEN t.transcript_type = 'manual' THEN 0 ELSE 1 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
-both("s11_fallback_chain", "SELECT e.user_id, min(CASE WHEN e.event_type <> 'error' THEN e.event_id END) AS first_success, count_if(e.event_type = 'error') AS failures FROM events e GROUP BY e.user_id")
+both("s11_fallback_chain", "SELECT e.user_id, min(CASE WHEN e.event_type <> 'error' THEN e.event_id END) AS first_success, CAST(count_if(e.event_type = 'error') AS BIGINT) AS failures FROM events e GROUP BY e.user_id")
 both("s14_table_scan", "SELECT d.doc_id, d.lang, d.source, d.n_chars FROM documents d")
 both("s15_canonical_scan", "SELECT t.id, t.video_id, t.provider, t.content_hash, t.is_active FROM transcripts t")
 both("s16_dataset_rules", f"SELECT 'unknown video' AS rule, m.message_id AS id FROM {MSG} m WHERE NOT EXISTS (SELECT 1 FROM videos v WHERE v.id = m.video_id) UNION ALL SELECT 'no answer', m.message_id FROM {MSG} m WHERE m.answer IS NULL UNION ALL SELECT 'answered without question', m.message_id FROM {MSG} m WHERE trim(m.question) = ''")
@@ -236,7 +236,7 @@ def a18(spark, folder):
     return chunked(spark, folder).where(long | many).select("chunk_id", F.when(long, "duration").when(many, "tokens").alias("reason"))
 
 
-@query("a19_vector_checks", "SELECT count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, count_if(len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS broken FROM embeddings")
+@query("a19_vector_checks", "SELECT count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, CAST(count_if(len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS BIGINT) AS broken FROM embeddings")
 def a19(spark, folder):
     bad = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     return table(spark, folder, "embeddings").agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("long").alias("least"), F.max(F.size("embedding")).cast("long").alias("most"), F.count_if(bad).alias("broken"))

@@ -265,7 +265,7 @@ def w17(spark, folder):
     wanted = hits.select("query_id", "rank", F.col("transcript_id").alias("__t"), F.explode(places).alias("p"))
     near = wanted.join(docs.select("transcript_id", "window", "chunk_id"), (F.col("__t") == F.col("transcript_id")) & (F.col("p.want") == F.col("window")))
     once = near.groupBy("query_id", "chunk_id").agg(F.min(F.col("rank") * 10 + F.col("p.kind")).alias("ord"))
-    return once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))).where("place <= 8").select("query_id", "chunk_id", "place")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("ord")).cast("long")).where("place <= 8").select("query_id", "chunk_id", "place")
 
 
 @query("pred12_groundedness_gate", f"WITH {RANKED} SELECT q.query_id, CASE WHEN max(score) IS NULL THEN 'none' WHEN max(score) < 6.0 THEN 'low' ELSE 'ok' END AS gate FROM questions q LEFT JOIN ranked r ON r.query_id = q.query_id AND rank <= 4 GROUP BY 1")
@@ -298,7 +298,7 @@ def metrics(spark, folder):
     docs = chunked(spark, folder).select(F.col("chunk_id").alias("__c"), F.lower("text").alias("text"))
     topic = F.regexp_extract("question", "(?:about|về|đề cập|with|mention|nhắc đến|is|thì) (.{6,24})", 1)
     asked = questions(spark, folder).select(F.col("query_id").alias("__q"), F.lower(topic).alias("topic"))
-    every = scored(spark, folder).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")))
+    every = scored(spark, folder).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")).cast("long"))
     rel = every.join(docs, F.col("chunk_id") == F.col("__c")).join(asked, F.col("query_id") == F.col("__q")).withColumn("rel", F.contains("text", "topic") & (F.col("topic") != ""))
     near = F.col("rel") & (F.col("rank") <= 3)
     per = rel.groupBy("query_id").agg(
@@ -333,4 +333,4 @@ def r13(spark, folder):
     sizes = retrieval.lengths(docs, "video_id", "chunk_id", X.tokens(F.col("text"))).select(F.col("chunk_id").alias("__c"), "dl")
     hits = post.join(asked, (F.col("video_id") == F.col("__v")) & (F.col("term") == F.col("__q"))).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"))
     s = hits.join(sizes, F.col("chunk_id") == F.col("__c")).select("query_id", "chunk_id", F.round(F.col("tf") / F.sqrt(F.greatest("dl", F.lit(1))), 6).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")).cast("long"))
