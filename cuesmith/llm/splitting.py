@@ -96,6 +96,7 @@ def split_oversized(cues: DataFrame, versions: DataFrame) -> DataFrame:
     counted = cues.where("normalized_text IS NOT NULL").select(
         F.col("id").alias("segment_id"), "transcript_id", F.col("normalized_text").alias("text"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), token_count(F.col("normalized_text")).alias("tokens")
     )
-    # The copies of a cue meet after the filter, when few rows are left.
-    over = counted.join(limits, F.col("transcript_id") == F.col("__transcript")).where("tokens > child_max").dropDuplicates(["segment_id"])
+    # Cues within the least limit of all are out before the join, so few texts are shuffled; copies of a cue meet after it.
+    least = limits.agg(F.min("child_max")).first()[0]
+    over = counted.where(F.col("tokens") > (least if least is not None else 0)).join(limits, F.col("transcript_id") == F.col("__transcript")).where("tokens > child_max").dropDuplicates(["segment_id"])
     return over.select("segment_id", "transcript_id", "text", "start_ms", "end_ms", "child_max", "child_overlap").mapInPandas(_split, PIECES)
