@@ -9,7 +9,6 @@ where its garbled form by the chain is the very text that stands there.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd

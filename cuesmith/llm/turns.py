@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .lookalikes import IGNORABLE
 from .repeats import edits_within
-from .splitting import WHITE_SPACE
 from .streams import BUCKET_CUES, by_bucket
 
 RESET_MS = 30_000
