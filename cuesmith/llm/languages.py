@@ -371,9 +371,13 @@ def transcript_languages(source_cues: DataFrame, canonical_cues: DataFrame, mode
     """
     from ..session import cut_lineage
 
-    a = source_cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").dropDuplicates(["transcript_id", "sequence_number"]).select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), F.lit("source").alias("origin"), "text")
-    b = canonical_cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").dropDuplicates(["transcript_id", "sequence_number"]).select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), F.lit("canonical").alias("origin"), F.col("original_text").alias("text"))
-    cues = cut_lineage(classify(a.unionByName(b), ["transcript_id", "sequence_number", "origin"], "text", model))
+    known = "transcript_id IS NOT NULL AND sequence_number IS NOT NULL"
+    number = F.col("sequence_number").cast("int").alias("sequence_number")
+    a = source_cues.where(known).select("transcript_id", number, F.lit("source").alias("origin"), "text")
+    b = canonical_cues.where(known).select("transcript_id", number, F.lit("canonical").alias("origin"), F.col("original_text").alias("text"))
+    # Texts are read where they lie; re-delivered cues meet as short rows afterwards.
+    told = classify(a.unionByName(b), ["transcript_id", "sequence_number", "origin"], "text", model)
+    cues = cut_lineage(told.dropDuplicates(["transcript_id", "sequence_number", "origin"]))
     votes = cues.where("lang IS NOT NULL").groupBy("transcript_id", "lang").agg(F.sum(F.when(F.size("parts") > 0, 1).otherwise(0)).alias("clauses"), F.count("*").alias("cues"), F.sum("confidence").alias("sure"))
     main = votes.groupBy("transcript_id").agg(F.max_by("lang", F.struct("clauses", "cues", "sure", "lang")).alias("main"), (F.max("cues") / F.sum("cues")).alias("share"))
     return cues, main
@@ -389,9 +393,10 @@ def wrong_labels(transcripts: DataFrame, messages: DataFrame, source_cues: DataF
     known = main.select(F.col("transcript_id").alias("__t"), "main", "share")
     labelled = transcripts.where("id IS NOT NULL").dropDuplicates(["id"]).select("id", language_code(F.col("language_code")).alias("said"))
     wrong = labelled.join(known, F.col("id") == F.col("__t")).where("said IS NULL OR said <> main").select(F.lit("transcript").alias("record_type"), F.col("id").alias("record_id"), F.col("main").alias("lang"), F.col("share").alias("confidence"))
-    full = is_empty(messages.where("message_id IS NOT NULL AND answer IS NOT NULL").dropDuplicates(["message_id"]).select("message_id", "answer", "answer_language"))
+    full = is_empty(messages.where("message_id IS NOT NULL AND answer IS NOT NULL").select("message_id", "answer", "answer_language"))
     told = classify(full.withColumn("said", language_code(F.col("answer_language"))), ["message_id", "said"], "answer", model, cues=False)
-    answers = told.where("lang IS NOT NULL AND (said IS NULL OR said <> lang)").select(F.lit("message").alias("record_type"), F.col("message_id").alias("record_id"), "lang", "confidence")
+    wrongly = told.where("lang IS NOT NULL AND (said IS NULL OR said <> lang)").dropDuplicates(["message_id"])
+    answers = wrongly.select(F.lit("message").alias("record_type"), F.col("message_id").alias("record_id"), "lang", "confidence")
     inside = cues.where((F.col("origin") == "source") & (F.size("parts") > 0)).select("transcript_id", "sequence_number", F.explode("parts").alias("p")).where(F.col("p.confidence") >= MIN_CONFIDENCE)
     foreign = inside.join(known, F.col("transcript_id") == F.col("__t")).where(F.col("p.lang") != F.col("main"))
     stretches_ = foreign.groupBy("transcript_id", "sequence_number", "p.lang").agg(F.max("p.confidence").alias("confidence"))
