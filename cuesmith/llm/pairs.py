@@ -326,10 +326,11 @@ def found_defects(messages: DataFrame, model: KernelModel, field: ChainField) ->
                     out += [(key, d) for d in defects]
                 yield pd.DataFrame(out, columns=["message_id", "defect"])
 
-    kept = messages.where("message_id IS NOT NULL").dropDuplicates(["message_id"]).select(
+    kept = messages.where("message_id IS NOT NULL").select(
         "message_id", "question", "answer", language_code(F.col("answer_language")).alias("expected"), (F.trim(F.regexp_replace(F.coalesce("groundedness_warning", F.lit("")), "[\\p{Z}\\p{C}]", "")) != "").alias("warned")
     )
-    return kept.mapInPandas(run, "message_id string, defect string")
+    # Messages sent again have the same defects and meet as short rows.
+    return kept.mapInPandas(run, "message_id string, defect string").distinct()
 
 
 @F.pandas_udf(T.BooleanType())
