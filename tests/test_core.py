@@ -360,3 +360,12 @@ def test_a_failed_rebuild_keeps_the_index(spark, tmp_path):
     assert store.current() == first and store.rows().count() == 4
     second = store.rebuild(library(spark), HashingEmbedding(), "four")
     assert store.current() == second and second["dimension"] == 256 and store.rows().count() == 4
+
+
+def test_an_old_schema_is_refused(spark):
+    from cuesmith.tables import expect_schema
+
+    df = spark.createDataFrame([(1, "a")], "id long, extra string")
+    assert expect_schema(df, {"id": "bigint"}) is df
+    with pytest.raises(ValueError, match="title"):
+        expect_schema(df, {"id": "bigint", "title": "string"})
