@@ -56,3 +56,10 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='cuesmith-code-')}/cuesmith_code", "zip", root.parent, root.name)
     context.addPyFile(archive)
     context._cuesmith_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, where its files would give fewer: a small file is no reason to run
+    Python in one task. Larger inputs are left where they lie."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
