@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, spread
 from .lookalikes import IGNORABLE
 
 LANGUAGES = ("vi", "en", "fr", "de", "es")
@@ -338,7 +339,7 @@ def classify(rows: DataFrame, keys: list[str], text: str, model: KernelModel, cu
                 made = [pa.array([langs[i] for i in index], pa.string()), pa.array([sure[i] for i in index], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), inner)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, "lang", "confidence", "parts"])
 
-    return rows.select(*keys, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, {CLASSIFIED}")
+    return spread(rows.select(*keys, F.col(text).alias("__text"))).mapInArrow(run, f"{fields}, {CLASSIFIED}")
 
 
 def of_texts(model: KernelModel, texts: list[str]) -> tuple[list[str | None], list[float | None], list[list[tuple[str, float, int]]]]:
@@ -369,8 +370,6 @@ def transcript_languages(source_cues: DataFrame, canonical_cues: DataFrame, mode
     confidence of a transcript is the share of its votes. Transcripts without words have no row. The classified cues are
     used twice, so they are written to the checkpoint folder.
     """
-    from ..session import cut_lineage
-
     known = "transcript_id IS NOT NULL AND sequence_number IS NOT NULL"
     number = F.col("sequence_number").cast("int").alias("sequence_number")
     a = source_cues.where(known).select("transcript_id", number, F.lit("source").alias("origin"), "text")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .languages import LANGUAGES, SEEDS, KernelModel, language_code, plain_words
 from .lookalikes import table_form
 from .turns import folded
@@ -330,7 +331,7 @@ def found_defects(messages: DataFrame, model: KernelModel, field: ChainField) ->
         "message_id", "question", "answer", language_code(F.col("answer_language")).alias("expected"), (F.trim(F.regexp_replace(F.coalesce("groundedness_warning", F.lit("")), "[\\p{Z}\\p{C}]", "")) != "").alias("warned")
     )
     # Messages sent again have the same defects and meet as short rows.
-    return kept.mapInPandas(run, "message_id string, defect string").distinct()
+    return spread(kept).mapInPandas(run, "message_id string, defect string").distinct()
 
 
 @F.pandas_udf(T.BooleanType())

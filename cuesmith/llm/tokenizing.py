@@ -17,6 +17,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # The pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -171,7 +173,7 @@ def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
