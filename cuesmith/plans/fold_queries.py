@@ -155,7 +155,14 @@ def s7(spark, folder):
     return v.select("id", F.coalesce(found["id"], "youtube_video_id").alias("video"), F.trim("canonical_url").rlike("^https?://").alias("web"))
 
 
-@query("d4_study_notes", None)
+_AT = f"'- [' || {S.clock('start_ms / 1000.0')} || '] ' || "
+
+
+@query(
+    "d4_study_notes",
+    f"""WITH {CHUNKS} SELECT transcript_id, 'Key points:' || chr(10) || string_agg({_AT} ({S.shorten('text', 180)}), chr(10) ORDER BY "window") FILTER ("window" < 6)
+      || chr(10) || chr(10) || 'See again:' || chr(10) || string_agg({_AT} ({S.shorten('text', 140)}), chr(10) ORDER BY "window") FILTER ("window" < 5) AS notes FROM chunks GROUP BY 1""",
+)
 def d4(spark, folder):
     """Key points and timestamps to see again for each transcript, from its first ten chunks."""
     c = chunked(spark, folder).where("window < 10")
@@ -192,7 +199,10 @@ def c5(spark, folder):
     return t.where("video_id IS NOT NULL AND provider IS NOT NULL AND content_hash IS NOT NULL AND parser_version IS NOT NULL").select("id", first.alias("published_id")).withColumn("is_new", F.col("id") == F.col("published_id"))
 
 
-@query("g8_playback_cues", None)
+@query(
+    "g8_playback_cues",
+    f"WITH {S.SEGMENTS} SELECT transcript_id, u * 30000 AS position_ms, id FROM (SELECT *, unnest(range(CAST(ceil(start_ms / 30000) AS BIGINT), CAST(ceil(end_ms / 30000) AS BIGINT))) AS u FROM seg WHERE end_ms > start_ms)",
+)
 def g8(spark, folder):
     """The cue shown at each sampled playback position: every half minute of each transcript, by minute and range."""
     cues = segments(spark, folder).where("end_ms > start_ms").select("transcript_id", "id", "start_ms", "end_ms")
