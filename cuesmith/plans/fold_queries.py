@@ -199,6 +199,10 @@ def c5(spark, folder):
     return t.where("video_id IS NOT NULL AND provider IS NOT NULL AND content_hash IS NOT NULL AND parser_version IS NOT NULL").select("id", first.alias("published_id")).withColumn("is_new", F.col("id") == F.col("published_id"))
 
 
+# Fixed value: how often the reference's player reads its position.
+PLAYER_MS = 500
+
+
 @query(
     "g8_playback_cues",
     f"WITH {S.SEGMENTS} SELECT transcript_id, u * 30000 AS position_ms, id FROM (SELECT *, unnest(range(CAST(ceil(start_ms / 30000) AS BIGINT), CAST(ceil(end_ms / 30000) AS BIGINT))) AS u FROM seg WHERE end_ms > start_ms)",
@@ -211,6 +215,19 @@ def g8(spark, folder):
     return spread.withColumn("position_ms", at).where("start_ms <= position_ms AND position_ms < end_ms").select("transcript_id", "position_ms", "id")
 
 
+@query(
+    "g8_playback_positions",
+    f"WITH {S.SEGMENTS} SELECT transcript_id, u * 500 AS position_ms, id FROM (SELECT *, unnest(range(CAST(ceil(start_ms / 500) AS BIGINT), CAST(ceil(end_ms / 500) AS BIGINT))) AS u FROM seg WHERE end_ms > start_ms)",
+)
+def g8_positions(spark, folder):
+    """The cue shown at each position that the player samples: every 500 ms of each transcript."""
+    cues = segments(spark, folder).where("end_ms > start_ms").select("transcript_id", "id", "start_ms", "end_ms")
+    first, last = F.ceil(F.col("start_ms") / PLAYER_MS), F.ceil(F.col("end_ms") / PLAYER_MS) - 1
+    # A cue between two positions has none; sequence() would count down for it.
+    at = cues.where(first <= last).withColumn("at", F.explode(F.sequence(first, last)))
+    return at.select("transcript_id", (F.col("at") * PLAYER_MS).alias("position_ms"), "id")
+
+
 @query("k1_written_table", "SELECT id, title, status FROM videos")
 def k1(spark, folder):
     """A table written to the shared folder and read again."""

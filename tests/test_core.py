@@ -369,3 +369,11 @@ def test_an_old_schema_is_refused(spark):
     assert expect_schema(df, {"id": "bigint"}) is df
     with pytest.raises(ValueError, match="title"):
         expect_schema(df, {"id": "bigint", "title": "string"})
+
+
+def test_playback_is_sampled_as_the_player_does(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    cues = [("a", "t", 0, "x", "x", 0, 1001), ("b", "t", 1, "x", "x", 1001, 1499), ("c", "t", 2, "x", "x", 1500, 1501), ("bad", "t", 3, "x", "x", 9, 9), ("none", "t", 4, "x", "x", None, 5)]
+    spark.createDataFrame(cues, "id string, transcript_id string, sequence_number int, original_text string, normalized_text string, start_ms bigint, end_ms bigint").write.parquet(f"{tmp_path}/transcript_segments.parquet")
+    assert rows(entry.queries()["g8_playback_positions"](spark, str(tmp_path))) == [("t", 0, "a"), ("t", 500, "a"), ("t", 1000, "a"), ("t", 1500, "c")]
