@@ -175,26 +175,82 @@ def sections(chunks: DataFrame) -> DataFrame:
 
 # What ends a sentence, and where a long one may be cut.
 SENTENCE = re.compile(r".+?(?:[.!?。！？]+(?=\s|$)|$)", re.DOTALL)
+MARK = re.compile(r"[.!?。！？]")
 SOFT = re.compile(r"(?<=[,;:!?।。！？])\s+")
 
 
+def split_long(text: str, most: int) -> list[str]:
+    """``text``, cut at soft signs if it has more than ``most`` words, or between words where there are none."""
+    if len(text.split()) <= most:
+        return [text] if text else []
+    parts = SOFT.split(text)
+    parts = text.split() if len(parts) == 1 else parts
+    out: list[str] = []
+    now: list[str] = []
+    for part in parts:
+        if now and len(" ".join([*now, part]).split()) > most:
+            out.append(" ".join(now))
+            now = []
+        now.append(part)
+    return [*out, " ".join(now)]
+
+
 def units_of(text: str, most: int) -> list[str]:
     """Sentences, those of more than ``most`` words cut at soft signs, or between words where there are none."""
-    out = []
-    for sentence in (m[0].strip() for m in SENTENCE.finditer(text)):
-        if len(sentence.split()) <= most:
-            out += [sentence] if sentence else []
-            continue
-        parts = SOFT.split(sentence)
-        parts = sentence.split() if len(parts) == 1 else parts
-        now: list[str] = []
-        for part in parts:
-            if now and len(" ".join([*now, part]).split()) > most:
-                out.append(" ".join(now))
-                now = []
-            now.append(part)
-        out.append(" ".join(now))
-    return out
+    return [unit for m in SENTENCE.finditer(text) for unit in split_long(m[0].strip(), most)]
+
+
+class SentenceJoiner:
+    """Sentence units of an entity's cues read as one text: ``text, start, end, sources``.
+
+    A sentence that no cue ends goes on in the next one, and its unit has all cues it lies in as sources. Where it lasts
+    longer than ``longest_ms``, each of its cues is a unit with its whole text instead, as in the reference, so a cue
+    shared with another sentence comes again there. Cues of an entity without any end of a sentence are units each.
+    Only the open sentence is kept. Once a cue starts more than ``longest_ms`` after the sentence did, its cues are given
+    out and no longer kept, as cues come in order of time.
+    """
+
+    def __init__(self, most: int, longest_ms: int) -> None:
+        self.most, self.longest = most, longest_ms
+        self.parts: list[str] = []
+        self.cues: list[tuple[str, int, int, str]] = []
+        self.begun = self.marked = self.too_long = False
+
+    def _single(self, cue: tuple[str, int, int, str]) -> list[tuple]:
+        return [(text, cue[1], cue[2], (cue[3],)) for text in split_long(cue[0], self.most)]
+
+    def _sentence(self, whole: bool = True) -> list[tuple]:
+        cues, text = self.cues, " ".join(self.parts)
+        self.parts, self.cues = [], []
+        if not cues:
+            return []
+        if not whole or self.too_long or cues[-1][2] - cues[0][1] > self.longest:
+            return [x for cue in cues for x in self._single(cue)]
+        sources = tuple(cue[3] for cue in cues)
+        return [(x, cues[0][1], cues[-1][2], sources) for x in split_long(text, self.most)]
+
+    def add(self, row) -> list[tuple]:
+        text, start, end = " ".join((row.text or "").split()), _int(row.start_ms), _int(row.end_ms)
+        if not text or start is None or end is None:
+            return []
+        # The blanks around a cue are those of the joined text; a match up to its end is a sentence that goes on.
+        joined = f" {text} " if self.begun else f"{text} "
+        self.begun, self.marked = True, self.marked or MARK.search(text) is not None
+        out: list[tuple] = []
+        for m in SENTENCE.finditer(joined):
+            if part := m[0].strip():
+                self.parts.append(part)
+                self.cues.append((text, start, end, row.id))
+                if m.end() < len(joined):
+                    out += self._sentence()
+                    self.too_long = False
+        if self.cues and (self.too_long or start - self.cues[0][1] > self.longest):
+            self.too_long = True
+            out += self._sentence()
+        return out
+
+    def close(self) -> list[tuple]:
+        return self._sentence(whole=self.marked or len(self.cues) == 1)
 
 
 class HierarchyPacker:
@@ -205,20 +261,21 @@ class HierarchyPacker:
     """
 
     def __init__(self, entity: str, kind: str, target: int, most: int, longest_ms: int, overlap: int, gap_ms: int, unit_words: int) -> None:
-        self.entity, self.kind, self.target, self.most, self.longest, self.overlap, self.gap, self.unit_words = entity, kind, target, most, longest_ms, overlap, gap_ms, unit_words
-        self.now: list[tuple[str, int, int, str, int]] = []
+        self.entity, self.kind, self.target, self.most, self.longest, self.overlap, self.gap = entity, kind, target, most, longest_ms, overlap, gap_ms
+        self.now: list[tuple[str, int, int, tuple[str, ...], int]] = []
         self.fresh, self.made = False, 0
+        self.sentences = SentenceJoiner(unit_words, longest_ms)
 
     def _chunk(self) -> list[tuple]:
         words, span = sum(u[4] for u in self.now), self.now[-1][2] - self.now[0][1]
         reason = "duration" if span > self.longest else "tokens" if words > self.most else None
         key = str(uuid5(NAMESPACE_URL, f"{self.entity}\n{self.kind}\n{self.made}"))
         self.made += 1
-        ids = list(dict.fromkeys(u[3] for u in self.now))
+        ids = list(dict.fromkeys(source for u in self.now for source in u[3]))
         return [(key, self.entity, self.kind, self.made - 1, " ".join(u[0] for u in self.now), self.now[0][1], self.now[-1][2], words, ids, reason)]
 
-    def put(self, text: str, start: int, end: int, source: str) -> list[tuple]:
-        unit, out = (text, start, end, source, len(text.split())), []
+    def put(self, text: str, start: int, end: int, sources: tuple[str, ...]) -> list[tuple]:
+        unit, out = (text, start, end, sources, len(text.split())), []
         if self.now:
             gap = start - self.now[-1][2] > self.gap
             words = sum(u[4] for u in self.now)
@@ -238,24 +295,26 @@ class HierarchyPacker:
         return out
 
     def add(self, row) -> list[tuple]:
-        start, end = _int(row.start_ms), _int(row.end_ms)
-        if start is None or end is None:
-            return []
-        return [x for text in units_of(" ".join((row.text or "").split()), self.unit_words) for x in self.put(text, start, end, row.id)]
+        return [x for unit in self.sentences.add(row) for x in self.put(*unit)]
 
     def close(self) -> list[tuple]:
-        return self._chunk() if self.now and self.fresh else []
+        out = [x for unit in self.sentences.close() for x in self.put(*unit)]
+        return out + (self._chunk() if self.now and self.fresh else [])
 
 
 class BothLevels:
     def __init__(self, entity: str, child=(160, 200, 75_000, 24), parent=(500, 700, 300_000, 0), gap_ms: int = 2500) -> None:
         self.levels = [HierarchyPacker(entity, kind, *sizes[:3], sizes[3], gap_ms, child[1]) for kind, sizes in (("child", child), ("parent", parent))]
+        self.sentences = SentenceJoiner(child[1], child[2])  # the same units for both
+
+    def _put(self, units: list[tuple]) -> list[tuple]:
+        return [x for level in self.levels for unit in units for x in level.put(*unit)]
 
     def add(self, row) -> list[tuple]:
-        return [x for level in self.levels for x in level.add(row)]
+        return self._put(self.sentences.add(row))
 
     def close(self) -> list[tuple]:
-        return [x for level in self.levels for x in level.close()]
+        return self._put(self.sentences.close()) + [x for level in self.levels for x in level.close()]
 
 
 HIERARCHY = "chunk_id string, transcript_id string, chunk_type string, sequence_number int, text string, start_ms bigint, end_ms bigint, token_count int, segment_ids array<string>, exception string"
@@ -264,7 +323,7 @@ HIERARCHY = "chunk_id string, transcript_id string, chunk_type string, sequence_
 def hierarchical_chunks(segments: DataFrame) -> DataFrame:
     """Children and parents of canonical segments ``id, transcript_id, sequence_number, text, start_ms, end_ms``.
 
-    A unit keeps to one cue, since cues of this data are whole clauses; cues without times are left out.
+    Units are sentences of the joined cues, see :class:`SentenceJoiner`; cues without times are left out.
     """
     return stream_fold(segments.where("transcript_id IS NOT NULL"), "transcript_id", ["sequence_number", "id"], BothLevels, HIERARCHY)
 

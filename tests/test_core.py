@@ -377,3 +377,51 @@ def test_playback_is_sampled_as_the_player_does(spark, tmp_path):
     cues = [("a", "t", 0, "x", "x", 0, 1001), ("b", "t", 1, "x", "x", 1001, 1499), ("c", "t", 2, "x", "x", 1500, 1501), ("bad", "t", 3, "x", "x", 9, 9), ("none", "t", 4, "x", "x", None, 5)]
     spark.createDataFrame(cues, "id string, transcript_id string, sequence_number int, original_text string, normalized_text string, start_ms bigint, end_ms bigint").write.parquet(f"{tmp_path}/transcript_segments.parquet")
     assert rows(entry.queries()["g8_playback_positions"](spark, str(tmp_path))) == [("t", 0, "a"), ("t", 500, "a"), ("t", 1000, "a"), ("t", 1500, "c")]
+
+
+def whole_units(cues, most, longest):
+    """Sentence units made from the whole text and its offsets; cues are ``text, start, end, id``."""
+    document, spans, sentences = "", [], []
+    for cue in cues:
+        document += " " * bool(spans) + cue[0]
+        spans.append((len(document) - len(cue[0]), len(document), cue))
+    for m in folds.SENTENCE.finditer(document):
+        if text := m[0].strip():
+            at = m.start() + m[0].index(text)
+            sentences.append((at, at + len(text)))
+    if len(sentences) == 1 and len(spans) > 1 and not any(c in document for c in ".!?。！？"):
+        sentences = [(a, b) for a, b, _ in spans]
+    out = []
+    for a, b in sentences:
+        its = [cue for x, y, cue in spans if a < y and b > x]
+        if its[-1][2] - its[0][1] > longest:
+            out += [(t, c[1], c[2], (c[3],)) for c in its for t in folds.split_long(c[0], most)]
+        else:
+            out += [(t, its[0][1], its[-1][2], tuple(c[3] for c in its)) for t in folds.split_long(document[a:b], most)]
+    return out
+
+
+def streamed_units(cues, most, longest):
+    joiner = folds.SentenceJoiner(most, longest)
+    row = lambda c: type("R", (), dict(zip(("text", "start_ms", "end_ms", "id"), c)))
+    return [x for c in cues for x in joiner.add(row(c))] + joiner.close()
+
+
+@pytest.mark.parametrize("marks", [["", "", "", ",", ".", "?!", " . "], ["", ","], ["."]])
+def test_joined_sentences_match_the_whole_text(marks):
+    rnd = random.Random(len(marks))
+    for _ in range(400):
+        cues, at = [], 0
+        for k in range(rnd.randrange(1, 9)):
+            text = " ".join("".join((rnd.choice(("a", "bc", "d.e") if len(marks) > 2 else ("a", "bc")), rnd.choice(marks))) for _ in range(rnd.randrange(1, 5)))
+            text = " ".join((rnd.choice(("", "", ". ", ".")) * (len(marks) > 2) + text).split())
+            at += rnd.randrange(0, 15)
+            cues.append((text, at, at + rnd.randrange(1, 12), f"s{k}"))
+        assert streamed_units(cues, 3, 20) == whole_units(cues, 3, 20)
+
+
+def test_a_sentence_over_two_cues_is_one_unit(spark):
+    cues = [("a", "t", 0, "It starts", 0, 1000), ("b", "t", 1, "here and ends. Then", 1000, 2000), ("c", "t", 2, "more.", 9000, 9500), ("u", "u", 0, "no mark", 0, 10), ("v", "u", 1, "at all", 5000, 5010)]
+    df = spark.createDataFrame(cues, "id string, transcript_id string, sequence_number int, text string, start_ms bigint, end_ms bigint")
+    got = folds.hierarchical_chunks(df).where("chunk_type = 'child'").orderBy("transcript_id", "sequence_number").collect()
+    assert [(r.text, r.start_ms, r.end_ms, r.segment_ids) for r in got] == [("It starts here and ends. Then more.", 0, 9500, ["a", "b", "c"]), ("no mark", 0, 10, ["u"]), ("at all", 5000, 5010, ["v"])]
