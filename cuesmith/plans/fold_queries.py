@@ -172,18 +172,87 @@ def d4(spark, folder):
     return per.select("transcript_id", F.concat(F.lit("Key points:\n"), lines(6, "long"), F.lit("\n\nSee again:\n"), lines(5, "short")).alias("notes"))
 
 
+def at_places(c, wanted):
+    """Chunks of each transcript at the windows ``wanted(n)``, an array, with their ``place`` from 1."""
+    n = c.groupBy(F.col("transcript_id").alias("__t")).agg(F.count("*").alias("n"))
+    at = n.select("__t", F.posexplode(F.array_sort(F.array_distinct(wanted(F.col("n"))))).alias("place", "__w"))
+    return c.join(at, (F.col("transcript_id") == F.col("__t")) & (F.col("window") == F.col("__w"))).withColumn("place", F.col("place") + 1).drop("__t", "__w")
+
+
+def spaced(n, k):
+    """``k`` windows evenly over all ``n``, or all where there are no more."""
+    some = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * ((n - 1) / (k - 1))).cast("long"))
+    return F.when(n <= k, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(some)
+
+
+def representative(n, k):
+    """Like :func:`spaced`, but from 18 windows on the first and the middle one of each of up to six sections."""
+    count = min(6, max(3, k // 2))
+    start = lambda i: F.bround(i * n / count).cast("long")
+    both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.array(start(i), start(i) + F.floor((start(i + 1) - start(i)) / 2))))
+    return F.when(n >= 18, F.slice(F.array_sort(F.array_distinct(both)), 1, k)).otherwise(spaced(n, k))
+
+
+# Fixed value: the words by which notes rank key points.
+NOTE_TERMS = ("main", "concepts", "key", "ideas")
+
+
+@query("d4_timeline_notes", None)
+def d4_timeline(spark, folder):
+    """Notes, flashcards and a concept map of each transcript from chunks of its whole length.
+
+    Key points are the six of the sample with most of the wanted words, in order of their number; chunks to see again and
+    sections are the first of the sample.
+    """
+    c = cut_lineage(chunked(spark, folder).select("transcript_id", "window", "text", "start_ms", "end_ms"))
+    clock = lambda ms: X.minutes_seconds(F.col(ms) / 1000)
+    short = lambda n: X.shorten(F.col("text"), n)
+    at, number = F.concat(F.lit("["), clock("start_ms"), F.lit("] ")), F.col("place").cast("string")
+    shared = F.size(F.array_intersect(X.tokens(F.col("text")), F.array(*map(F.lit, NOTE_TERMS))))
+    lines = F.struct(
+        "place", F.concat(F.lit("- "), at, short(140)).alias("again"),
+        F.concat(F.lit("- Part "), number, F.lit(" ("), clock("start_ms"), F.lit("-"), clock("end_ms"), F.lit("): "), short(150)).alias("part"),
+        F.concat(number, F.lit(". "), F.rtrim(at), F.lit("\n   Q: What is the main idea here?\n   A: "), short(170)).alias("card"),
+    )
+    key = F.struct((-shared).alias("less"), "place", F.concat(F.lit("- "), at, short(180)).alias("point"))
+    per = at_places(c, lambda n: representative(n, 12)).groupBy("transcript_id").agg(F.array_sort(F.collect_list(lines)).alias("ls"), F.array_sort(F.collect_list(key)).alias("keys"))
+    show = lambda rows, n, f: F.array_join(F.transform(F.slice(rows, 1, n), lambda x: x[f]), "\n")
+    parts = F.when(F.size("ls") >= 12, F.concat(F.lit("Parts:\n"), show("ls", 6, "part"), F.lit("\n\n"))).otherwise("")
+    notes = F.concat(F.lit("Key points:\n"), show("keys", 6, "point"), F.lit("\n\n"), parts, F.lit("See again:\n"), show("ls", 5, "again"))
+    branch = F.struct("place", F.concat(F.lit("- Topic "), number, F.lit(" "), F.rtrim(at), F.lit("\n  - Idea: "), short(160)).alias("branch"))
+    topics = at_places(c, lambda n: representative(n, 16)).where("place <= 6").groupBy(F.col("transcript_id").alias("__t")).agg(F.array_sort(F.collect_list(branch)).alias("bs"))
+    both = per.join(topics, F.col("transcript_id") == F.col("__t"))
+    return both.select("transcript_id", notes.alias("notes"), F.concat(F.lit("Flashcards:\n"), show("ls", 6, "card")).alias("flashcards"), F.concat(F.lit("Concept map:\n"), show("bs", 6, "branch")).alias("concept_map"))
+
+
+@query("d2_timeline_summary", None)
+def d2_timeline(spark, folder):
+    """The short summary of each transcript: the first seven of eight chunks evenly over its whole length."""
+    c = cut_lineage(chunked(spark, folder).select("transcript_id", "window", "text", "start_ms"))
+    line = F.concat(F.lit("- ["), X.minutes_seconds(F.col("start_ms") / 1000), F.lit("] "), X.shorten(F.col("text"), 150))
+    per = at_places(c, lambda n: spaced(n, 8)).where("place <= 7").groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("ls"))
+    return per.select("transcript_id", F.concat(F.lit("Summary:\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("summary"))
+
+
 @query("d5_quiz_questions", None)
 def d5(spark, folder):
-    """A question for each of the first three chunks of a transcript, choices from the chunks beside it, rotated by its number."""
-    c = chunked(spark, folder).withColumn("short", X.shorten(F.col("text"), 180))
-    near = c.where("window < 8").groupBy(F.col("transcript_id").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("window", "short"))).alias("pool"))
-    asked = c.where("window < 3").join(near, F.col("transcript_id") == F.col("__t"))
+    """A question for each of three chunks evenly over a transcript; the wrong choices are the first three other texts of the
+    whole transcript, rotated by the question's number."""
+    text = F.col("text")
+    c = cut_lineage(chunked(spark, folder).select("transcript_id", "window", "chunk_id", "start_ms", "end_ms", X.shorten(text, 180).alias("short"), X.shorten(text, 220).alias("quoted")))
+    # Of a transcript's distinct texts the first four: one of them may be the answer.
+    texts = c.groupBy(F.col("transcript_id").alias("__t"), "short").agg(F.min("window").alias("first"))
+    best = texts.withColumn("nth", F.row_number().over(Window.partitionBy("__t").orderBy("first"))).where("nth <= 4")
+    pools = best.groupBy("__t").agg(F.array_sort(F.collect_list(F.struct("first", "short"))).alias("pool"))
+    asked = at_places(c, lambda n: spaced(n, 3)).join(pools, F.col("transcript_id") == F.col("__t"))
     others = F.filter(F.transform("pool", lambda x: x["short"]), lambda t: t != F.col("short"))
     canned = F.array(*[F.lit(f"None of the passages says this ({i}).") for i in (1, 2, 3)])
-    options = F.concat(F.array("short"), F.slice(F.concat(F.array_distinct(others), canned), 1, 3))
-    turn = (F.col("window") + 1) % 4
+    options = F.concat(F.array("short"), F.slice(F.concat(others, canned), 1, 3))
+    turn = F.col("place") % 4
     turned = F.concat(F.slice(options, (turn + 1).cast("int"), (4 - turn).cast("int")), F.slice(options, F.lit(1), turn.cast("int")))
-    return asked.select("chunk_id", F.concat(F.lit("What is the main point at "), X.minutes_seconds(F.col("start_ms") / 1000), F.lit("?")).alias("question"), turned.alias("options"), F.col("short").alias("answer"))
+    clock = lambda ms: X.minutes_seconds(F.col(ms) / 1000)
+    why = F.concat(F.lit('The answer rests on "'), "quoted", F.lit('" at '), clock("start_ms"), F.lit("-"), clock("end_ms"), F.lit("."))
+    return asked.select("chunk_id", F.concat(F.lit("What is the main point at "), clock("start_ms"), F.lit("?")).alias("question"), turned.alias("options"), F.col("short").alias("answer"), why.alias("explanation"))
 
 
 @query("d6_quiz_check", "WITH m AS (SELECT DISTINCT message_id, question, answer, sources FROM chat_messages) SELECT message_id, len(sources) >= 1 AND coalesce(answer, '') <> '' AND trim(question) <> '' AS usable FROM m")

@@ -425,3 +425,33 @@ def test_a_sentence_over_two_cues_is_one_unit(spark):
     df = spark.createDataFrame(cues, "id string, transcript_id string, sequence_number int, text string, start_ms bigint, end_ms bigint")
     got = folds.hierarchical_chunks(df).where("chunk_type = 'child'").orderBy("transcript_id", "sequence_number").collect()
     assert [(r.text, r.start_ms, r.end_ms, r.segment_ids) for r in got] == [("It starts here and ends. Then more.", 0, 9500, ["a", "b", "c"]), ("no mark", 0, 10, ["u"]), ("at all", 5000, 5010, ["v"])]
+
+
+def filmed(spark, folder, lengths):
+    """Transcripts of as many windows as given, each with words of its own, and their texts."""
+    cues = [(f"{t}{i}", t, i, f"t{i}", f"t{i}", i * 1000, i * 1000 + 1000) for t, n in lengths.items() for i in range(140 + 110 * (n - 1))]
+    spark.createDataFrame(cues, "id string, transcript_id string, sequence_number int, original_text string, normalized_text string, start_ms bigint, end_ms bigint").write.parquet(f"{folder}/transcript_segments.parquet")
+    spark.createDataFrame([(t, "v") for t in lengths], "id string, video_id string").write.parquet(f"{folder}/transcripts.parquet")
+
+
+def test_quiz_notes_and_summary_use_the_whole_transcript(spark, tmp_path):
+    import re
+
+    import __spark_entry__ as entry
+
+    filmed(spark, tmp_path, sizes := {"a": 1, "b": 5, "c": 14, "d": 21})
+    cut = lambda n, k: [i for i in range(n)] if n <= k else sorted({round(i * (n - 1) / (k - 1)) for i in range(k)})
+    heads = lambda n: sorted({x for i in range(6) for s, e in [(round(i * n / 6), round((i + 1) * n / 6))] for x in (s, s + (e - s) // 2)})[:12]
+    begins = lambda text: [int(x) for x in re.findall(r"t(\d+) t\d+ ", " ".join(re.findall(r"(?:\] |A: |Idea: |: )(t\d+ t\d+ )", text)))]
+    ask = {n: entry.queries()[n](spark, str(tmp_path)).collect() for n in ("d5_quiz_questions", "d4_timeline_notes", "d2_timeline_summary")}
+    quiz = {r.chunk_id: r for r in ask["d5_quiz_questions"]}
+    assert set(quiz) == {f"{t}:{w:06d}" for t, n in sizes.items() for w in cut(n, 3)}
+    first = lambda r: [int(re.match(r"t(\d+)", o)[1]) // 110 if o.startswith("t") else None for o in r.options]
+    assert first(quiz["d:000020"]) == [2, 20, 0, 1] and first(quiz["b:000000"]) == [1, 2, 3, 0] and sorted(map(str, first(quiz["a:000000"]))) == ["0", "None", "None", "None"]
+    assert {r.transcript_id: [x // 110 for x in begins(r.summary)] for r in ask["d2_timeline_summary"]} == {t: cut(n, 8)[:7] for t, n in sizes.items()}
+    for r in ask["d4_timeline_notes"]:
+        n = sizes[r.transcript_id]
+        want = heads(n) if n >= 18 else cut(n, 12)
+        assert [x // 110 for x in begins(r.flashcards)] == want[:6]
+        assert [x // 110 for x in begins(r.concept_map)] == (heads(n) if n >= 18 else cut(n, 16))[:6]
+        assert [x // 110 for x in begins(r.notes)] == want[:6] + want[:6] * (len(want) >= 12) + want[:5]
