@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.embedding import embed
 from ..operators import chunks, retrieval
+from ..session import cut_lineage
 from ..tables import table
 from . import sqltext as S
 from .scalar_queries import messages, segments
@@ -325,6 +326,60 @@ def a11(spark, folder):
     return one.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("recall", "hit", "mrr", "ndcg", "unanswerable")])
 
 
+EVERY = f"""{RANKED}, topics AS (SELECT query_id, video_id, lower(regexp_extract(question, '(?:about|về|đề cập|with|mention|nhắc đến|is|thì) (.{{6,24}})', 1)) AS topic FROM questions),
+  rel AS (SELECT query_id, chunk_id FROM topics JOIN chunks USING (video_id) WHERE topic <> '' AND contains(lower(text), topic)),
+  per AS (SELECT query_id, count(r.chunk_id) AS got, count(rel.chunk_id) AS found, min(CASE WHEN rel.chunk_id IS NOT NULL THEN rank END) AS first_hit, sum(CASE WHEN rel.chunk_id IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg
+          FROM ranked r LEFT JOIN rel USING (query_id, chunk_id) WHERE rank <= 3 GROUP BY 1),
+  e AS (SELECT query_id, coalesce(got, 0) AS got, coalesce(found, 0) AS found, first_hit, dcg, coalesce(relevant, 0) AS relevant FROM topics LEFT JOIN per USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1) USING (query_id)),
+  m AS (SELECT query_id, round(CASE WHEN relevant = 0 THEN 1.0 ELSE found / relevant END, 4) AS recall, CASE WHEN relevant = 0 OR found > 0 THEN 1e0 ELSE 0e0 END AS hit, round(CASE WHEN relevant = 0 THEN 1.0 WHEN found > 0 THEN 1.0 / first_hit ELSE 0.0 END, 4) AS mrr,
+          round(CASE WHEN relevant = 0 THEN 1.0 WHEN found = 0 THEN 0.0 ELSE dcg / (CASE found WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 + 1 / log2(3) ELSE 1.0 + 1 / log2(3) + 0.5 END) END, 4) AS ndcg,
+          round(CASE WHEN relevant = 0 THEN 1.0 ELSE found / greatest(got, 1) END, 4) AS citation_accuracy, CASE WHEN relevant = 0 AND got > 0 THEN 1e0 ELSE 0e0 END AS unanswerable_false_positive, relevant = 0 AS unanswerable FROM e)"""
+
+
+def every_metrics(spark, folder):
+    """Metrics at 3 of every question, whatever it found; all chunks of its video can be relevant.
+
+    The gain's ideal counts the hits found, as in the reference. A question without a relevant chunk scores 1, and is a
+    false positive if anything was retrieved; one that found nothing of what there is scores 0.
+    """
+    docs = cut_lineage(chunked(spark, folder).select("video_id", "chunk_id", "text"))
+    topic = F.lower(F.regexp_extract("question", "(?:about|về|đề cập|with|mention|nhắc đến|is|thì) (.{6,24})", 1))
+    asked = questions(spark, folder).select("video_id", "query_id", "question", topic.alias("topic"))
+    # Topics repeat within a video, so each meets its chunks once.
+    topics = asked.where("topic <> ''").select(F.col("video_id").alias("__v"), "topic").distinct()
+    rel = topics.join(docs, (F.col("__v") == F.col("video_id")) & F.contains(F.lower("text"), F.col("topic"))).select("__v", F.col("topic").alias("__t"), F.col("chunk_id").alias("__c"))
+    counts = rel.groupBy("__v", "__t").agg(F.count("*").alias("relevant"))
+    terms = asked.select("video_id", "query_id", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("term"))
+    best = retrieval.top(retrieval.bm25(terms, docs, "video_id", "chunk_id", X.tokens(F.col("text"))), 3, "chunk_id").select(F.col("query_id").alias("__q"), "chunk_id", "rank")
+    lists = asked.join(best, F.col("query_id") == F.col("__q"), "left").join(rel, (F.col("video_id") == F.col("__v")) & (F.col("topic") == F.col("__t")) & (F.col("chunk_id") == F.col("__c")), "left")
+    good = F.col("__c").isNotNull()
+    per = lists.groupBy("query_id", "video_id", "topic").agg(
+        F.count("chunk_id").alias("got"), F.count("__c").alias("found"), F.min(F.when(good, F.col("rank"))).alias("first_hit"), F.sum(F.when(good, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
+    )
+    both = per.join(counts, (F.col("video_id") == F.col("__v")) & (F.col("topic") == F.col("__t")), "left")
+    ideal = F.when(F.col("found") == 1, 1.0).when(F.col("found") == 2, 1.0 + 1 / F.log2(F.lit(3))).otherwise(1.5 + 1 / F.log2(F.lit(3)))
+    none, found = F.col("relevant").isNull(), F.col("found")
+    return both.select(
+        "query_id", F.round(F.when(none, 1.0).otherwise(found / F.col("relevant")), 4).alias("recall"), F.when(none | (found > 0), 1.0).otherwise(0.0).alias("hit"),
+        F.round(F.when(none, 1.0).when(found > 0, 1.0 / F.col("first_hit")).otherwise(0.0), 4).alias("mrr"),
+        F.round(F.when(none, 1.0).when(found == 0, 0.0).otherwise(F.col("dcg") / ideal), 4).alias("ndcg"),
+        F.round(F.when(none, 1.0).otherwise(found / F.greatest("got", F.lit(1))), 4).alias("citation_accuracy"),
+        F.when(none & (F.col("got") > 0), 1.0).otherwise(0.0).alias("unanswerable_false_positive"), none.alias("unanswerable"),
+    )
+
+
+@query("a10_every_question", f"WITH {EVERY} SELECT * FROM m")
+def a10_every(spark, folder):
+    return every_metrics(spark, folder)
+
+
+@query("a11_every_average", f"WITH {EVERY} SELECT round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg(citation_accuracy), 4) AS citation_accuracy, round(avg(unanswerable_false_positive) FILTER (unanswerable), 4) AS unanswerable_false_positive, round(avg(CASE WHEN unanswerable THEN 1.0 ELSE 0.0 END), 4) AS unanswerable FROM m")
+def a11_every(spark, folder):
+    """Averages over all questions; false positives over those without a relevant chunk."""
+    one = every_metrics(spark, folder).withColumn("unanswerable_false_positive", F.when(F.col("unanswerable"), F.col("unanswerable_false_positive"))).withColumn("unanswerable", F.when(F.col("unanswerable"), 1.0).otherwise(0.0))
+    return one.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("recall", "hit", "mrr", "ndcg", "citation_accuracy", "unanswerable_false_positive", "unanswerable")])
+
+
 @query("r13_tf_ranking", f"WITH {TERMS}, {QUESTIONS}, dl AS (SELECT chunk_id, len(ts) AS dl FROM toks), asked AS (SELECT query_id, video_id, unnest(list_distinct({S.tokens('question')})) AS term FROM questions), s AS (SELECT query_id, chunk_id, round(sum(tf) / sqrt(greatest(any_value(dl), 1)), 6) AS score FROM asked JOIN post USING (video_id, term) JOIN dl USING (chunk_id) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s")
 def r13(spark, folder):
     docs = chunked(spark, folder)

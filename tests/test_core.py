@@ -455,3 +455,18 @@ def test_quiz_notes_and_summary_use_the_whole_transcript(spark, tmp_path):
         assert [x // 110 for x in begins(r.flashcards)] == want[:6]
         assert [x // 110 for x in begins(r.concept_map)] == (heads(n) if n >= 18 else cut(n, 16))[:6]
         assert [x // 110 for x in begins(r.notes)] == want[:6] + want[:6] * (len(want) >= 12) + want[:5]
+
+
+def test_every_question_is_measured(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    filmed(spark, tmp_path, {"a": 3, "b": 1})
+    asked = [("v", "1", "what about t3 t4 t5"), ("v", "2", "what about 99 t20"), ("w", "3", "what about t3 t4 t5"), ("v", "4", "t3 or")]
+    spark.createDataFrame([(m, v, q, "", "en", "hybrid", False) for v, m, q in asked], "message_id string, video_id string, question string, answer string, answer_language string, retrieval_mode string, groundedness_warning boolean").write.parquet(f"{tmp_path}/chat_messages.parquet")
+    got = {r.query_id: tuple(r[1:]) for r in entry.queries()["a10_every_question"](spark, str(tmp_path)).collect()}
+    good = (1.0, 1.0, 1.0, 1.0)
+    # The second topic lies in a chunk only as parts of words, so that chunk shares no term with the question.
+    assert got["1"] == (*good, 1.0, 0.0, False) and got["3"] == (*good, 1.0, 0.0, True) and got["4"] == (*good, 1.0, 1.0, True)
+    assert got["2"] == (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
+    average = entry.queries()["a11_every_average"](spark, str(tmp_path)).collect()[0]
+    assert (average.unanswerable, average.unanswerable_false_positive) == (0.5, 0.5)
