@@ -35,9 +35,8 @@ def p8_decoded(spark, folder):
 
 
 def _counted(spark, folder):
-    documents = table(spark, folder, "documents")
-    sizes = tokenizing.encode_documents(documents.where("source IS NOT NULL")).select(F.col("doc_id").alias("__id"), F.size("ids").alias("n_tokens"))
-    return cut_lineage(documents.select("doc_id", "source").join(sizes, F.col("doc_id") == F.col("__id")).drop("__id"))
+    coded = tokenizing.encode_documents(table(spark, folder, "documents"), beside=("source",))
+    return cut_lineage(coded.select("doc_id", "source", F.size("ids").alias("n_tokens")))
 
 
 def p9_selection(spark, folder):
@@ -132,6 +131,38 @@ SQL["p3_found"] = f"""
     SELECT a.id AS segment_id_a, b.id AS segment_id_b FROM c a JOIN c b ON a.transcript_id = b.transcript_id AND a.f = b.f AND a.id < b.id AND a.t <> b.t"""
 SQL["p3_forms"] = f"""
     SELECT DISTINCT id, {_sql_form("original_text")} AS original_text, {_sql_form("normalized_text")} AS normalized_text FROM transcript_segments"""
+# Words by the tokenizer's pattern; RE2 can't look ahead, so the last blank of a run is first set apart from the others.
+_S = _WS + r"\x{1c}-\x{1f}"
+_PATTERN = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+"
+# One contraction of each word a round: its leftmost pair of least rank, any split of the merged token counting.
+_IDS = rf"""
+    WITH RECURSIVE vocabulary AS (SELECT hex(from_base64(column0)) AS h, CAST(column1 AS INTEGER) AS id FROM read_csv('{tokenizing.VOCABULARY}', delim = ' ', header = false, quote = '', escape = '', all_varchar = true)),
+    merges AS (
+      SELECT a.id AS a, b.id AS b, v.id AS r
+      FROM (SELECT h, id, unnest(range(2, length(h), 2)) AS n FROM vocabulary) v
+      JOIN vocabulary a ON a.h = left(v.h, v.n) JOIN vocabulary b ON b.h = substr(v.h, v.n + 1)
+    ),
+    texts AS (SELECT doc_id, string_split(regexp_replace(text, '([{_S}]+)([{_S}][^{_S}])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS pieces FROM documents WHERE text <> ''),
+    cut AS (SELECT doc_id, flatten(list_transform(pieces, lambda x: regexp_extract_all(x, '{_PATTERN}'))) AS words FROM texts),
+    placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM cut),
+    distinct_words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM placed)),
+    state(n, word, p, t) AS (
+      SELECT 0, word, p, id FROM (SELECT word, h, unnest(range(length(h) // 2)) AS p FROM distinct_words) x JOIN vocabulary v ON v.h = substr(x.h, 2 * p + 1, 2)
+      UNION ALL
+      SELECT n + 1, word, p, CASE WHEN p = best[2] THEN best[1] ELSE t END
+      FROM (
+        SELECT x.*, min(CASE WHEN r IS NOT NULL THEN [r, p] END) OVER (PARTITION BY word) AS best
+        FROM (
+          SELECT s.*, m.r, lag(s.p) OVER (PARTITION BY s.word ORDER BY s.p) AS before
+          FROM (SELECT *, lead(t) OVER (PARTITION BY word ORDER BY p) AS next_t FROM state) s
+          LEFT JOIN merges m ON m.a = s.t AND m.b = s.next_t
+        ) x
+      ) WHERE best IS NOT NULL AND (before IS NULL OR before <> best[2])
+    ),
+    coded AS (SELECT word, list(t ORDER BY p) AS ids FROM (SELECT *, max(n) OVER (PARTITION BY word) AS last FROM state) WHERE n = last GROUP BY word),
+    whole AS (SELECT doc_id, flatten(list(ids ORDER BY spot)) AS ids FROM placed JOIN coded USING (word) GROUP BY doc_id)"""
+SQL["p8_ids"] = _IDS + """
+    SELECT d.doc_id, coalesce(w.ids, CAST([] AS INTEGER[])) AS ids FROM documents d LEFT JOIN whole w USING (doc_id)"""
 SQL["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
 # DuckDB counts edits in bytes: each letter beyond ASCII of the five languages is put as one unused ASCII character.

@@ -312,6 +312,17 @@ def test_ids_equal_the_public_library(spark):
     assert [back[i] for i in range(len(texts))] == texts and back[9000] == ""
 
 
+def test_many_long_words_and_one_of_a_million_bytes():
+    from tokenizers import Tokenizer
+
+    public = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    rnd = random.Random(4)
+    texts = [" ".join("".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(80)) for _ in range(4000)), "a" * 1_000_000, "".join(rnd.choice("etaoinshr") for _ in range(20_000))]
+    with open(tokenizing.VOCABULARY, "rb") as f:
+        encoder = tokenizing.Encoder(f.read())
+    assert encoder.encode(texts) == [e.ids for e in public.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("size", [None, 500, 4000, 10**9])
 def test_mixing_meets_shares_and_limits(spark, monkeypatch, size):
     monkeypatch.setattr(mixing, "BLOCK_DOCUMENTS", 16)
@@ -388,7 +399,7 @@ def test_nfd_and_nfc_are_one_form():
     assert lookalikes.table_form(unicodedata.normalize("NFD", CLEAN)) == lookalikes.table_form(CLEAN)
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p3_forms", "p7_found", "p7_runs", "p7_counts", "p8_decoded"])
+@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p3_forms", "p7_found", "p7_runs", "p7_counts", "p8_ids", "p8_decoded"])
 def test_query_equals_sql(spark, name):
     import os
 
