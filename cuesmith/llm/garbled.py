@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,12 +35,11 @@ _MIXED = re.compile(r"[A-Za-z][Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][a-z]")
 MARK = "�"
 
 BLANK = "[ \\t\\n\\r]+"
-_EDGE = "[!-/:-@\\[-`{-~]+"
 
 
 def core(word: Column) -> Column:
     """The word without ASCII signs at its ends, every digit as 0: garbling leaves both alone."""
-    return F.regexp_replace(F.regexp_replace(word, f"^{_EDGE}|{_EDGE}$", ""), "[0-9]", "0")
+    return F.translate(F.btrim(word, F.lit(ASCII_SIGNS)), "123456789", "0" * 9)
 
 
 def is_clean(word: str) -> bool:
@@ -66,17 +66,17 @@ def is_clean(word: str) -> bool:
     return all(ord(c) >= 0x2E80 or c in "‍️" for c in far)
 
 
+@lru_cache(maxsize=64)
+def _holes(encoding: str) -> list[str]:
+    """What each byte is decoded to; what the set leaves undefined becomes a control character."""
+    return [bytes((b,)).decode(encoding, "ignore") or chr(b) for b in range(256)]
+
+
 def _with_holes(data: bytes, encoding: str) -> str:
-    """Decoded byte by byte; what the set leaves undefined becomes a control character."""
-    out = []
-    for b in data:
-        try:
-            out.append(bytes((b,)).decode(encoding))
-        except UnicodeDecodeError:
-            out.append(chr(b))
-    return "".join(out)
+    return "".join(map(_holes(encoding).__getitem__, data))
 
 
+@lru_cache(maxsize=1 << 14)
 def garbled_forms(word: str) -> dict[str, str]:
     """Every garbled form of a word with the chain that makes it, the first chain for forms that several make."""
     out: dict[str, str] = {}
@@ -143,41 +143,45 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matches that hold: a form of UTF-8 is longer than its original and rarer; others need signs of damage."""
+    """Matches that hold. ``sure`` is false where the garbled form could be a sound word as well: it is one by its letters
+    and more frequent than the original, or as long as the original, as forms of single-byte sets are. Other matches of
+    the same chain in a document decide on those."""
     for rows in batches:
         kept = []
         for r in rows.itertuples(index=False):
             west = r.chain.startswith("cp1252 as")
             single = len(r.part) == 1 and r.part != MARK
-            if r.clean and (west or r.original_n < r.n):
-                continue
             if r.kind == "word" and west and MARK not in r.core and not (len(r.core) > 1 and any(c.isascii() and c.isalpha() for c in r.core)):
                 continue
             if r.kind == "run" and west and MARK not in r.part and not _MIXED.search(r.core):
                 continue
             if r.kind == "run" and single and (not west and (r.core.startswith(r.part) or not r.part.isupper())):
                 continue
-            kept.append((r.core, r.kind, r.part, r.original, r.chain, r.original_n))
-        yield pd.DataFrame(kept, columns=["core", "kind", "part", "original", "chain", "original_n"])
+            sure = not (r.clean and (west or r.original_n < r.n))
+            kept.append((r.core, r.kind, r.part, r.original, r.chain, sure))
+        yield pd.DataFrame(kept, columns=["core", "kind", "part", "original", "chain", "sure"])
 
 
 def document_words(documents: DataFrame, key: str, text: str) -> DataFrame:
     """``key, raw, core``: the distinct words of each document with characters beyond ASCII."""
-    words = F.array_distinct(F.filter(F.split(F.col(text), BLANK), lambda w: w.rlike("[^\\x00-\\x7f]")))
+    beyond = lambda t: F.octet_length(t) != F.char_length(t)
+    words = F.array_distinct(F.filter(F.split(F.col(text), BLANK), beyond))
+    documents = documents.where(beyond(F.col(text)))
     long = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.explode(words).alias("raw"))
     return long.withColumn("core", core(F.col("raw")))
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """``core, kind, part, original, chain, original_n`` for the garbled words of the corpus, the best match of each part."""
-    distinct = words.groupBy("core").agg(F.count("*").alias("n"))
+    """``core, kind, part, original, chain, sure`` for the garbled words of the corpus, the best match of each part."""
+    # The vocabulary is small beside the texts but many forms come of each word, so it is spread over all cores.
+    distinct = words.groupBy("core").agg(F.count("*").alias("n")).repartition(max(8, words.sparkSession.sparkContext.defaultParallelism * 4), "core")
     table = distinct.mapInPandas(_table, "form string, kind string, original string, chain string, n bigint")
     # Of several originals of one form the most frequent counts.
     table = table.groupBy("form", "kind").agg(F.max(F.struct("n", "original", "chain")).alias("o"))
     table = table.select("form", F.col("kind").alias("__kind"), F.col("o.original").alias("original"), F.col("o.chain").alias("chain"), F.col("o.n").alias("original_n"))
     parts = distinct.mapInPandas(_look, "core string, n bigint, clean boolean, kind string, part string")
     matched = parts.join(table, (F.col("part") == F.col("form")) & (F.col("kind") == F.col("__kind")))
-    return matched.select("core", "n", "clean", "kind", "part", "original", "chain", "original_n").mapInPandas(_accept, "core string, kind string, part string, original string, chain string, original_n bigint")
+    return matched.select("core", "n", "clean", "kind", "part", "original", "chain", "original_n").mapInPandas(_accept, "core string, kind string, part string, original string, chain string, sure boolean")
 
 
 def affected(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +191,7 @@ def affected(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     are counted over all documents; a document repeated counts again.
     """
     words = document_words(documents, key, text)
-    cores = garbled_words(words).select(F.col("core").alias("__core")).distinct()
+    cores = garbled_words(words).where("sure").select(F.col("core").alias("__core")).distinct()
     return words.join(cores, F.col("core") == F.col("__core")).select(F.col("__key").alias(key)).distinct()
 
 
@@ -209,11 +213,12 @@ def mend_word(raw: str, core_text: str, fixes: list[tuple[str, str, str]]) -> st
 def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text, restored_text, chains, restorable`` of the affected documents; ``restorable`` if nothing garbled is left.
 
-    Cases as in :func:`affected`; keys have to be unique here.
+    A word that could be sound is put back only in a document where another word was surely garbled by its chain. Cases as in :func:`affected`; keys have to be unique here.
     """
     words = document_words(documents, key, text)
-    fixes = garbled_words(words).groupBy(F.col("core").alias("__core")).agg(F.collect_list(F.struct("kind", "part", "original", "chain")).alias("fixes"))
+    fixes = garbled_words(words).groupBy(F.col("core").alias("__core")).agg(F.collect_list(F.struct("kind", "part", "original", "chain", "sure")).alias("fixes"))
     per = words.join(fixes, F.col("core") == F.col("__core")).groupBy("__key").agg(F.collect_list(F.struct("raw", "core", "fixes")).alias("words"))
+    per = per.where(F.exists("words", lambda w: F.exists(w["fixes"], lambda f: f["sure"])))
     whole = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(text).alias("text")).join(per, F.col("__k") == F.col("__key")).select("__key", "text", "words")
     kind = documents.schema[key].dataType.simpleString()
 
@@ -221,10 +226,12 @@ def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
         for rows in batches:
             out = []
             for k, t, found in zip(rows["__key"], rows["text"], rows["words"]):
-                mended, chains = {}, set()
+                chains = {f["chain"] for w in found for f in w["fixes"] if f["sure"]}
+                mended = {}
                 for w in found:
-                    mended[w["raw"]] = mend_word(w["raw"], w["core"], [(f["kind"], f["part"], f["original"]) for f in w["fixes"]])
-                    chains |= {f["chain"] for f in w["fixes"]}
+                    fixes = [(f["kind"], f["part"], f["original"]) for f in w["fixes"] if f["sure"] or f["chain"] in chains]
+                    if fixes:
+                        mended[w["raw"]] = mend_word(w["raw"], w["core"], fixes)
                 new = re.sub(r"[^ \t\n\r]+", lambda m: mended.get(m[0], m[0]), t)
                 bad = MARK in new or any(raw == good for raw, good in mended.items())
                 out.append((k, t, new, "; ".join(sorted(chains)), not bad))

@@ -386,6 +386,16 @@ def test_garbled_documents(spark):
     assert garbled.affected(df.where("false")).count() == 0
 
 
+def test_a_form_that_looks_sound_is_put_back_beside_a_sure_one(spark):
+    seen = "école très tôt"
+    wrong = wrongly(seen, ("cp1252", "mac_roman"))
+    assert garbled.is_clean(wrong.split()[0])
+    data = [(i, seen) for i in range(9)] + [(100, wrong), (101, wrong.split()[0] + " is a name")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert [(r.doc_id, r.restored_text) for r in garbled.restored(df).collect()] == [(100, seen)]
+    assert [r.doc_id for r in garbled.affected(df).collect()] == [100]
+
+
 def test_very_long_documents(spark):
     df = spark.createDataFrame([(1, (CLEAN + " ") * 3000), (2, ("fÃ¼r " * 30_000))], "doc_id long, text string")
     many = df.union(spark.createDataFrame([(3 + i, "für") for i in range(40)], df.schema))
