@@ -356,6 +356,28 @@ def test_the_exponent_meets_an_entropy():
     assert abs(mixing.entropy(mixing.tempered(shares, x)) - 1.0) < 1e-6
 
 
+def test_the_weights_are_powers_of_the_token_shares():
+    target, tokens, most = {"a": 0.2, "b": 0.5, "c": 0.3}, {"a": 700, "b": 200, "c": 100}, {"a": 2, "b": 3, "c": 4}
+    drawn, exponents = mixing.budgets(target, tokens, most)
+    size = sum(drawn.values())
+    for s in target:
+        assert abs((tokens[s] / 1000) ** exponents[s] - target[s]) < 1e-9 and abs(drawn[s] / size - target[s]) < 1e-9
+    assert exponents["a"] > 1 > exponents["b"]
+    assert max(drawn[s] / (tokens[s] * most[s]) for s in target) == pytest.approx(1)
+    # Beyond that size the limits hold and the shares give way.
+    more, _ = mixing.budgets(target, tokens, most, size * 1.5)
+    assert sum(more.values()) == pytest.approx(size * 1.5) and all(more[s] <= tokens[s] * most[s] * (1 + 1e-9) for s in target)
+
+
+def test_one_exponent_goes_up_to_the_repetition_limit():
+    shares, capacity = {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 700.0, "b": 400.0, "c": 200.0}
+    for size in (300, 600, 900):
+        weights, x = mixing.tempered_weights(shares, capacity, 1.05, size)
+        assert all(w * size <= capacity[s] * (1 + 1e-9) for s, w in weights.items())
+    assert x > mixing.exponent_for_entropy(shares, 1.05)
+    assert max(w * size / capacity[s] for s, w in weights.items()) == pytest.approx(1)
+
+
 # Garbled texts
 
 SOUND = ["Le mot « Âge » et « À suivre » restent en capitales.", "Größe ½ × ¾, Øre and Ångvik are names.", "В конце урока сова летит над рекой.", "用語集: 字幕、区間、索引。", "LÃNG SÃO ÂM LƯỢNG ±3 dB, góc 45°", "🦉📚🧵 family 👨‍👩‍👧", "plain ascii", ""]
