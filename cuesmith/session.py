@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +35,33 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **extra: str) ->
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of this machine only in local mode."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuesmith-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuesmith-checkpoint-"))
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again: smaller than a checkpoint, and columns and
+    filters of later uses reach the scan."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers of a session, once, for clusters whose nodes don't have it installed."""
     context = spark.sparkContext
