@@ -22,6 +22,10 @@ def p3_found(spark, folder):
     return lookalikes.lookalike_pairs(table(spark, folder, "transcript_segments"))
 
 
+def p3_classes(spark, folder):
+    return lookalikes.lookalike_classes(table(spark, folder, "transcript_segments"))
+
+
 def p3_forms(spark, folder):
     return lookalikes.canonical_texts(table(spark, folder, "transcript_segments"), "id", ["original_text", "normalized_text"])
 
@@ -113,24 +117,51 @@ SQL = {
 }
 
 
+# Letters of other scripts, and under them the ones they look like.
+_FOREIGN = "асԁеһіјӏорԛѕԝхуѵАВСЕНІЈКМОРЅТХУҮѴԚԜӀονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿÐƉ"
+_LATIN = "acdehijlopqswxyvABCEHIJKMOPSTXYYVQWIovcjABEZHIKMNOPTYXCJĐĐ"
+_INVISIBLE = r"\x{ad}\x{34f}\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}"
+
+
 def _sql_form(column: str) -> str:
     """The table form in SQL; accents composed last."""
-    twins = lookalikes.TWINS
     wide = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
-    pairs = {**twins, **wide}
+    pairs = {**dict(zip(_FOREIGN, _LATIN, strict=True)), **wide}
     quote = lambda s: s.replace("'", "''")
-    inv = r"\x{ad}\x{34f}\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}"
-    bare = f"regexp_replace({column}, '[{inv}]', '', 'g')"
+    bare = f"regexp_replace({column}, '[{_INVISIBLE}]', '', 'g')"
     latin = f"translate({bare}, '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}')"
     ligatures = f"replace(replace({latin}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
     return f"trim(regexp_replace(nfc_normalize({ligatures}), '[{_WS}]+', ' ', 'g'))"
 
 
-SQL["p3_found"] = f"""
-    WITH c AS (SELECT DISTINCT id, transcript_id, original_text AS t, {_sql_form("original_text")} AS f FROM transcript_segments WHERE original_text IS NOT NULL)
+_ALIKE = f"""
+    WITH c AS (SELECT DISTINCT id, transcript_id, original_text AS t, {_sql_form("original_text")} AS f FROM transcript_segments WHERE original_text IS NOT NULL)"""
+SQL["p3_found"] = _ALIKE + """
     SELECT a.id AS segment_id_a, b.id AS segment_id_b FROM c a JOIN c b ON a.transcript_id = b.transcript_id AND a.f = b.f AND a.id < b.id AND a.t <> b.t"""
-SQL["p3_forms"] = f"""
-    SELECT DISTINCT id, {_sql_form("original_text")} AS original_text, {_sql_form("normalized_text")} AS normalized_text FROM transcript_segments"""
+SQL["p3_classes"] = _ALIKE + """
+    SELECT a.id, a.transcript_id, least(a.id, min(b.id)) AS class_id, count(*) FILTER (WHERE a.t <> b.t) AS links
+    FROM c a JOIN c b ON a.transcript_id = b.transcript_id AND a.f = b.f AND a.id <> b.id GROUP BY a.id, a.transcript_id HAVING count(*) FILTER (WHERE a.t <> b.t) > 0"""
+# A word is spelt like the sound word that it looks like: the one without Cyrillic and Greek, else the most frequent.
+SQL["p3_forms"] = rf"""
+    WITH l AS (SELECT id, 'o' AS k, original_text AS t FROM transcript_segments UNION ALL SELECT id, 'n', normalized_text FROM transcript_segments),
+    cut AS (SELECT id, k, regexp_extract_all(t, '[^{_WS}]+') AS words FROM l WHERE t IS NOT NULL),
+    v AS (SELECT word, count(*) AS n, {_sql_form("word")} AS f FROM (SELECT unnest(words) AS word FROM cut) GROUP BY word),
+    bare AS (SELECT *, regexp_replace(word, '[\x{{370}}-\x{{3ff}}\x{{400}}-\x{{52f}}]', '', 'g') AS rest FROM v),
+    sound AS (
+      SELECT word, f, n, rest <> word AS other FROM bare
+      WHERE word <> '' AND (word = f AND rest = word
+        OR nfc_normalize(word) = word AND NOT regexp_matches(word, '[{_INVISIBLE}\x{{fb00}}-\x{{fb06}}\x{{ff01}}-\x{{ffee}}]') AND NOT regexp_matches(rest, '\p{{L}}')
+           AND (regexp_replace(word, '[\x{{370}}-\x{{3ff}}]', '', 'g') = word OR regexp_replace(word, '[\x{{400}}-\x{{52f}}]', '', 'g') = word))
+    ),
+    chosen AS (SELECT f, first(word ORDER BY other, n DESC, word) AS word FROM sound GROUP BY f),
+    spelt AS (SELECT v.word, coalesce(c.word, v.f) AS form FROM v LEFT JOIN chosen c USING (f)),
+    d AS (SELECT DISTINCT id, k, words FROM cut),
+    placed AS (SELECT id, k, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM d),
+    forms AS (SELECT id, k, string_agg(form, ' ' ORDER BY spot) FILTER (WHERE form <> '') AS form FROM placed JOIN spelt USING (word) GROUP BY id, k),
+    whole AS (SELECT d.id, d.k, coalesce(form, '') AS form FROM d LEFT JOIN forms f ON f.id = d.id AND f.k = d.k)
+    SELECT s.id, o.form AS original_text, n.form AS normalized_text
+    FROM (SELECT DISTINCT id FROM transcript_segments) s LEFT JOIN whole o ON o.id = s.id AND o.k = 'o' LEFT JOIN whole n ON n.id = s.id AND n.k = 'n'"""
+
 # Words by the tokenizer's pattern; RE2 can't look ahead, so the last blank of a run is first set apart from the others.
 _S = _WS + r"\x{1c}-\x{1f}"
 _PATTERN = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+"
