@@ -63,13 +63,12 @@ def p7_counts(spark, folder):
     return repeats.removed_counts(table(spark, folder, "source_segments"))
 
 
-def p6_found(spark, folder):
+def p6_turns(spark, folder):
     return turns.turns(table(spark, folder, "source_segments"))
 
 
-def p6_turns(spark, folder):
-    parts = turns.turn_parts(table(spark, folder, "source_segments"))
-    return parts.where("first_number IS NOT NULL").drop("kind", "marked")
+def p6_found(spark, folder):
+    return p6_turns(spark, folder).where("marked").select("transcript_id", "first_number", "last_number")
 
 
 def _language_model(spark, folder):

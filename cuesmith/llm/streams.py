@@ -6,17 +6,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_CUES = 2048
 """Cues of a transcript that one call gets at most: sequence numbers are unique, so a bucket of them is bounded."""
 
 
+def bucket_of(number: Column) -> Column:
+    return F.floor(number / BUCKET_CUES).cast("int")
+
+
 def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
     """Call ``walk`` with the cues of each ``transcript_id, bucket``, ordered by ``sequence_number``, each number once.
 
-    The buckets of a long transcript spread over tasks; tasks stream over their sorted buckets.
+    The buckets of a long transcript spread over tasks; tasks stream over their sorted buckets. A column ``bucket`` of
+    ``cues`` is taken as it is.
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -36,7 +41,8 @@ def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], sche
             if batch.empty:
                 continue
             ids, numbers = batch["transcript_id"].to_numpy(), batch["bucket"].to_numpy()
-            cuts = [0, *[i for i in range(1, len(batch)) if ids[i] != ids[i - 1] or numbers[i] != numbers[i - 1]], len(batch)]
+            changes = np.flatnonzero((ids[1:] != ids[:-1]) | (numbers[1:] != numbers[:-1])) + 1
+            cuts = [0, *changes.tolist(), len(batch)]
             out: list[tuple] = []
             for a, b in zip(cuts, cuts[1:]):
                 if key != (ids[a], numbers[a]):
@@ -46,5 +52,5 @@ def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], sche
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(flush(), columns=names)
 
-    placed = cues.withColumn("bucket", F.floor(F.col("sequence_number") / BUCKET_CUES).cast("int"))
+    placed = cues if "bucket" in cues.columns else cues.withColumn("bucket", bucket_of(F.col("sequence_number")))
     return placed.repartition("transcript_id", "bucket").sortWithinPartitions("transcript_id", "bucket", "sequence_number").mapInPandas(run, schema)

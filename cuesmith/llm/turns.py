@@ -3,8 +3,9 @@
 A grammar reads each cue: times, sound annotations and fillers are dropped, speaker labels and marks of a change of
 speaker cut it into utterances, and the label is brought to one name per person, role or number. Cue times are repaired
 by isotonic regression within file segments (stretches between resets of the clock). Utterances of one speaker in a row
-are merged into turns. A transcript is walked in buckets of sequence numbers; what reaches over the edge of a bucket
-is joined afterwards.
+are merged into turns, and a turn takes the repaired times of its cues. A transcript is walked in spans: buckets of
+sequence numbers, several together where times contradict each other across their edges, so that the fit of a span is
+the fit of its file segments. Turns that reach over the edge of a span are joined afterwards.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .lookalikes import IGNORABLE
 from .repeats import edits_within
-from .streams import BUCKET_CUES, by_bucket
+from .streams import bucket_of, by_bucket
 
 RESET_MS = 30_000
 """A start this much before the one of the cue before is a reset of the clock, less is an error of the time."""
@@ -187,81 +188,95 @@ def isotonic(values: np.ndarray) -> np.ndarray:
     return np.repeat(means, sizes)
 
 
-def repaired_times(starts: list[int | None], ends: list[int | None], shift: int = 0) -> tuple[list[int], list[int]]:
-    """Times in order: files put one after the other, starts fitted within each, missing ones taken from before."""
-    begin, finish = [], []
-    previous = previous_end = 0
-    for s, e in zip(starts, ends):
-        s = previous if s is None else s
-        if begin and s < previous - RESET_MS:
-            shift += previous_end
-        begin.append(s + shift)
-        finish.append((e if e is not None and e > s else s) + shift)
-        previous, previous_end = s, max(s, e or s)
-    fitted = np.rint(isotonic(np.array(begin, dtype=float))).astype(np.int64)
-    return fitted.tolist(), [int(max(f, f + (e - s))) for f, s, e in zip(fitted, begin, finish)]
+def repaired_times(starts: np.ndarray, ends: np.ndarray, shift: int = 0, before: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Times in order: files put one after the other, starts fitted within each, missing ones taken from before.
 
-
-PARTS = "transcript_id string, bucket int, part int, kind string, speaker string, first_number int, last_number int, text string, start_ms bigint, end_ms bigint, outer int"
+    ``before`` is the last start known earlier, ``shift`` what the clock resets up to the first cue add.
+    """
+    known = np.maximum.accumulate(np.where(np.isnan(starts), 0, np.arange(1, len(starts) + 1)))
+    s = np.where(known > 0, starts[known - 1], before)
+    e = np.where(ends > s, ends, s)  # false for missing ends
+    resets = np.flatnonzero(s[1:] < s[:-1] - RESET_MS) + 1
+    moved = np.zeros(len(s))
+    moved[resets] = e[resets - 1]
+    moved = shift + np.cumsum(moved)
+    fitted = s + moved
+    cuts = [0, *resets.tolist(), len(s)]
+    for a, b in zip(cuts, cuts[1:]):
+        if (fitted[a + 1 : b] < fitted[a : b - 1]).any():
+            fitted[a:b] = isotonic(fitted[a:b])
+    fitted = np.rint(fitted)
+    return fitted.astype(np.int64), (fitted + np.rint(e - s)).astype(np.int64)
 
 
-def _whole(value) -> int | None:
-    return None if pd.isna(value) else int(value)
+PARTS = "transcript_id string, bucket int, part int, kind string, speaker string, first_number int, last_number int, text string, start_ms bigint, end_ms bigint, outer int"
 
 
 def _parts(cues: pd.DataFrame) -> list[tuple]:
     key = (cues["transcript_id"].iloc[0], int(cues["bucket"].iloc[0]))
-    begin, finish = repaired_times([_whole(x) for x in cues["start_ms"]], [_whole(x) for x in cues["end_ms"]], int(cues["shift"].iloc[0]))
-    parts: list[dict] = [{"kind": "", "speaker": None, "numbers": [], "texts": [], "times": []}]
-    for number, text, start, end in zip(cues["sequence_number"].tolist(), cues["text"], begin, finish):
+    begin, finish = repaired_times(cues["start_ms"].to_numpy(float), cues["end_ms"].to_numpy(float), int(cues["shift"].iloc[0]), float(cues["before"].iloc[0]))
+    # Kind, speaker, first and last number, texts, start, end.
+    parts: list[list] = [["", None, None, None, [], None, None]]
+    for number, text, start, end in zip(cues["sequence_number"].tolist(), cues["text"].tolist(), begin.tolist(), finish.tolist()):
         for kind, who, said in utterances(text):
             now = parts[-1]
-            if kind == "change" or kind == "named" and not (now["kind"] == "named" and same_speaker(now["speaker"], who)):
-                parts.append({"kind": kind, "speaker": who, "numbers": [], "texts": [], "times": []})
+            if kind == "change" or kind == "named" and not (now[0] == "named" and same_speaker(now[1], who)):
+                now = [kind, who, None, None, [], None, None]
+                parts.append(now)
             if said:
-                for name, value in (("numbers", number), ("texts", said), ("times", (start, end))):
-                    parts[-1][name].append(value)
-    out = []
-    for k, p in enumerate(parts):
-        n, t = p["numbers"], p["times"]
-        outer = int(k <= 1 or k == len(parts) - 1)
-        out.append((*key, k, p["kind"], p["speaker"], n[0] if n else None, n[-1] if n else None, " ".join(p["texts"]), min(x for x, _ in t) if t else None, max(x for _, x in t) if t else None, outer))
-    return out
-
-
-def _shifts(cues: DataFrame) -> DataFrame:
-    """By how much the clock resets before a bucket shift its times: ``transcript_id, bucket, shift``."""
-    inside = Window.partitionBy("transcript_id", "bucket").orderBy("sequence_number")
-    across = Window.partitionBy("transcript_id").orderBy("bucket")
-    # Re-delivered cues have equal times, so they don't look like resets.
-    placed = cues.withColumn("bucket", F.floor(F.col("sequence_number") / BUCKET_CUES).cast("int")).where("start_ms IS NOT NULL")
-    seen = placed.select("transcript_id", "bucket", "sequence_number", "start_ms", "end_ms", F.lag("start_ms").over(inside).alias("s"), F.lag(F.greatest("start_ms", "end_ms")).over(inside).alias("e"))
-    per = seen.groupBy("transcript_id", "bucket").agg(
-        F.sum(F.when(F.col("start_ms") < F.col("s") - RESET_MS, F.col("e")).otherwise(0)).alias("within"),
-        F.min_by("start_ms", "sequence_number").alias("first"), F.max_by("start_ms", "sequence_number").alias("last"), F.max_by(F.greatest("start_ms", "end_ms"), "sequence_number").alias("until"),
-    )
-    reset = F.when(F.col("first") < F.lag("last").over(across) - RESET_MS, F.lag("until").over(across)).otherwise(0)
-    before = F.coalesce(F.sum("within").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("at_edge", reset).select(F.col("transcript_id").alias("__t"), F.col("bucket").alias("__b"), (before + F.sum("at_edge").over(across.rowsBetween(Window.unboundedPreceding, 0))).alias("shift"))
-
-
-def turn_parts(cues: DataFrame, times: bool = True) -> DataFrame:
-    """Turns in parts of at most one bucket each: ``transcript_id, turn, part_bucket, part, speaker, kind, first_number,
-    last_number, text, start_ms, end_ms, marked``; ``turn`` is unique within a transcript, ``marked`` holds where the
-    transcript has any label or mark.
-
-    Null keys are left out and re-delivered rows count once. Null, blank and annotation-only texts speak no words; a part
-    without words has null numbers. Null times take those of the cue before. Empty tables give no rows.
+                if now[2] is None:
+                    now[2], now[5], now[6] = number, start, end
+                now[3] = number
+                now[4].append(said)
+                now[6] = max(now[6], end)
+    return [(*key, k, kind, who, first, last, " ".join(texts), start, end, int(k <= 1 or k == len(parts) - 1)) for k, (kind, who, first, last, texts, start, end) in enumerate(parts)]
+
+
+def _spans(cues: DataFrame) -> DataFrame:
+    """``transcript_id, number, span, shift, before`` of each bucket: the span it is walked in, the sum of the clock resets
+    before its span and the last start known before.
+
+    An edge of buckets is open if a start before it is greater than one behind it in the same file segment. Only then a fit
+    can reach over it, and the buckets go in one span.
     """
+    inside = Window.partitionBy("transcript_id", "number").orderBy("sequence_number")
+    across = Window.partitionBy("transcript_id").orderBy("number")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    start, until = F.col("start_ms"), F.greatest("start_ms", "end_ms")
+    # Cues without a start take the one before, so they are no part of this; re-delivered cues have equal times.
+    placed = cues.select("transcript_id", bucket_of(F.col("sequence_number")).alias("number"), "sequence_number", "start_ms", "end_ms")
+    known = placed.where("start_ms IS NOT NULL").withColumns({"__s": F.lag(start).over(inside), "__e": F.lag(until).over(inside)})
+    known = known.withColumn("__reset", F.coalesce(start < F.col("__s") - RESET_MS, F.lit(False)))
+    resets = F.sum(F.col("__reset").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumn("__n", resets).withColumn("__all", F.max("__n").over(Window.partitionBy("transcript_id", "number")))
+    timed = known.groupBy("transcript_id", "number").agg(
+        F.sum(F.when(F.col("__reset"), F.col("__e")).otherwise(0)).alias("within"), F.max("__n").alias("resets"),
+        F.min_by("start_ms", "sequence_number").alias("first"), F.max_by("start_ms", "sequence_number").alias("last"), F.max_by(until, "sequence_number").alias("until"),
+        F.min(F.when(F.col("__n") == 0, start)).alias("head_least"), F.max(F.when(F.col("__n") == F.col("__all"), start)).alias("tail_most"),
+    )
+    # One row a bucket from here on; buckets without any start take part with nulls.
+    every = placed.select("transcript_id", "number").distinct()
+    per = every.join(timed.withColumnsRenamed({"transcript_id": "__t", "number": "__b"}), (F.col("transcript_id") == F.col("__t")) & (F.col("number") == F.col("__b")), "left").drop("__t", "__b").fillna(0, ["within", "resets"])
+    per = per.withColumns({"before": F.last("last", ignorenulls=True).over(earlier), "__until": F.last("until", ignorenulls=True).over(earlier)})
+    per = per.withColumn("__at_edge", F.coalesce(F.col("first") < F.col("before") - RESET_MS, F.lit(False)))
+    per = per.withColumn("__until_now", F.sum(F.col("resets") + F.col("__at_edge").cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    same_tail = Window.partitionBy("transcript_id", "__until_now").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    same_head = Window.partitionBy("transcript_id", F.col("__until_now") - F.col("resets")).orderBy("number").rowsBetween(0, Window.unboundedFollowing)
+    per = per.withColumns({"__most": F.max("tail_most").over(same_tail), "__least": F.min("head_least").over(same_head)})
+    is_open = ~F.col("__at_edge") & (F.lag("__most").over(across) > F.col("__least"))
+    shift = F.sum(F.col("within") + F.when(F.col("__at_edge"), F.col("__until")).otherwise(0)).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("within")
+    per = per.withColumns({"__opens": ~F.coalesce(is_open, F.lit(False)), "shift": shift})
+    per = per.withColumn("span", (F.sum(F.col("__opens").cast("int")).over(across) - 1).cast("int"))
+    firsts = Window.partitionBy("transcript_id", "span").orderBy("number")
+    return per.select(F.col("transcript_id").alias("__t"), F.col("number").alias("__b"), "span", F.first("shift").over(firsts).alias("shift"), F.coalesce(F.first("before").over(firsts), F.lit(0)).alias("before"))
+
+
+def _turn_parts(cues: DataFrame) -> DataFrame:
+    """Parts of turns, each within one span, with ``turn``, unique within a transcript, and ``marked``."""
     kept = cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
-    if times:
-        shifts = _shifts(kept)
-        at = F.floor(F.col("sequence_number") / BUCKET_CUES).cast("int")
-        kept = kept.join(shifts, (F.col("transcript_id") == F.col("__t")) & (at == F.col("__b")), "left").drop("__t", "__b").fillna(0, ["shift"])
-    else:
-        kept = kept.withColumn("shift", F.lit(0).cast("long"))
-    parts = by_bucket(kept, _parts, PARTS)
-    # Inner parts are turns of their own; three parts a bucket meet in the window of a transcript.
+    placed = kept.join(_spans(kept), (F.col("transcript_id") == F.col("__t")) & (bucket_of(F.col("sequence_number")) == F.col("__b"))).drop("__t", "__b").withColumnRenamed("span", "bucket")
+    parts = by_bucket(placed, _parts, PARTS)
+    # Inner parts are turns of their own; three parts a span meet in the window of a transcript.
     own = [F.when(F.col("outer") == 0, F.col(c)).otherwise(-1) for c in ("bucket", "part")]
     order = Window.partitionBy("transcript_id", *own).orderBy("bucket", "part")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -272,14 +287,23 @@ def turn_parts(cues: DataFrame, times: bool = True) -> DataFrame:
     goes_on = F.when(F.col("kind") == "", ~F.col("__first")).when(F.col("kind") == "named", (F.col("part") == 1) & F.coalesce(F.col("__last.kind") == "named", F.lit(False)) & F.coalesce(close, F.lit(False))).otherwise(F.lit(False))
     counted = seen.withColumn("__n", F.sum(F.when(goes_on, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     named = counted.withColumn("turn", F.when(F.col("outer") == 1, F.concat(F.lit("o"), "__n")).otherwise(F.concat_ws("-", F.lit("i"), "bucket", "part")))
-    # An unmarked transcript has outer parts only, and the first mark of a bucket is outer, so the window knows.
+    # An unmarked transcript has outer parts only, and the first mark of a span is outer, so the window knows.
     whole = Window.partitionBy("transcript_id", *own)
-    flagged = named.withColumn("marked", F.max(F.col("kind") != "").over(whole))
-    return flagged.select("transcript_id", "turn", F.col("bucket").alias("part_bucket"), "part", "speaker", "kind", "first_number", "last_number", "text", "start_ms", "end_ms", "marked")
+    return named.withColumn("marked", F.max(F.col("kind") != "").over(whole))
 
 
 def turns(cues: DataFrame) -> DataFrame:
-    """``transcript_id, first_number, last_number`` of every turn with words, in transcripts with a label or mark."""
-    parts = turn_parts(cues, times=False).where("marked").select("transcript_id", "turn", "first_number", "last_number")
-    per = parts.groupBy("transcript_id", "turn").agg(F.min("first_number").alias("first_number"), F.max("last_number").alias("last_number"))
-    return per.where("first_number IS NOT NULL").select("transcript_id", "first_number", "last_number")
+    """One row for each turn with words: ``transcript_id, place, speaker, first_number, last_number, text, start_ms, end_ms,
+    marked``. Turns of a transcript are ordered by ``place``; ``marked`` holds where it has any label or mark.
+
+    Null keys are left out and re-delivered rows count once. Null, blank and annotation-only texts speak no words. Null
+    times take those of the cue before. A null ``speaker`` is one without a name. Empty tables give no rows.
+    """
+    at = (F.col("bucket").cast("long") * (1 << 20) + F.col("part")).alias("at")
+    parts = _turn_parts(cues).where("first_number IS NOT NULL OR kind <> ''").select("transcript_id", "turn", at, "speaker", "first_number", "last_number", "text", "start_ms", "end_ms", "marked")
+    spoken = F.sort_array(F.collect_list(F.when(F.col("first_number").isNotNull(), F.struct("at", "text"))))
+    per = parts.groupBy("transcript_id", "turn").agg(
+        F.min("at").alias("place"), F.min_by("speaker", F.when(F.col("speaker").isNotNull(), F.col("at"))).alias("speaker"), F.min("first_number").alias("first_number"), F.max("last_number").alias("last_number"),
+        F.array_join(F.transform(spoken, lambda x: x["text"]), " ").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("marked").alias("marked"),
+    )
+    return per.where("first_number IS NOT NULL").drop("turn")

@@ -253,23 +253,54 @@ def test_turns(spark, monkeypatch, size):
     """Small buckets put every turn across borders."""
     monkeypatch.setattr(streams, "BUCKET_CUES", size)
     df = cues_of(spark, {t: x for t, (x, _) in TURNS.items()})
-    assert rows(turns.turns(df.union(df.where("sequence_number < 2")))) == sorted((t, *w) for t, (_, ws) in TURNS.items() for w in ws)
+    found = turns.turns(df.union(df.where("sequence_number < 2"))).where("marked").select("transcript_id", "first_number", "last_number")
+    assert rows(found) == sorted((t, *w) for t, (_, ws) in TURNS.items() for w in ws)
 
 
-def test_turn_parts_hold_clean_text_and_times(spark):
-    parts = {(r.turn, r.part_bucket): r for r in turns.turn_parts(cues_of(spark, {"a": TURNS["a"][0]})).collect()}
-    said = sorted((r.first_number, r.speaker or "", r.text) for r in parts.values() if r.first_number is not None)
-    assert said[0] == (0, "", "hello all") and (1, "brammo", "one two three") in said and (11, "jorvi", "eight") in said
+@pytest.mark.parametrize("size", [2048, 2])
+def test_turns_hold_clean_text_and_times(spark, monkeypatch, size):
+    monkeypatch.setattr(streams, "BUCKET_CUES", size)
+    got = turns.turns(cues_of(spark, {"a": TURNS["a"][0]})).orderBy("place").collect()
+    said = [(r.first_number, r.speaker or "", r.text, r.start_ms, r.end_ms) for r in got]
+    assert said[:2] == [(0, "", "hello all", 0, 900), (1, "brammo", "one two three", 1000, 4900)] and said[-1] == (11, "jorvi", "eight", 11000, 11900)
     assert turns.turns(cues_of(spark, {"a": ["x"]}).where("false")).count() == 0
 
 
 def test_isotonic_times():
-    fitted = turns.isotonic
     import numpy as np
 
-    assert fitted(np.array([3.0, 1.0, 2.0, 5.0])).tolist() == [2.0, 2.0, 2.0, 5.0]
-    begin, end = turns.repaired_times([0, 50_000, 0, None, 10_000], [900, 50_900, 900, None, None])
-    assert begin == [0, 50_000, 50_900, 50_900, 60_900] and all(b >= a for a, b in zip(begin, end))
+    nan = float("nan")
+    assert turns.isotonic(np.array([3.0, 1.0, 2.0, 5.0])).tolist() == [2.0, 2.0, 2.0, 5.0]
+    begin, end = turns.repaired_times(np.array([0, 50_000, 0, nan, 10_000]), np.array([900, 50_900, 900, nan, nan]))
+    assert begin.tolist() == [0, 50_000, 50_900, 50_900, 60_900] and (end >= begin).all()
+
+
+@pytest.mark.parametrize("size", [2048, 4, 3, 1])
+def test_times_are_fitted_within_file_segments_whatever_the_buckets(spark, monkeypatch, size):
+    monkeypatch.setattr(streams, "BUCKET_CUES", size)
+    rnd = random.Random(size)
+    one = [(t, i, f">> w{i}", s, None if s is None else s + 500, "c") for t, xs in {"a": [0, 1000, 2000, 9000, 3000, 4000, 12_000, None, 13_000], "b": [None, 5000, 90_000, 1000, 3000, 2000, 2000, 99_000, 500]}.items() for i, s in enumerate(xs)]
+    many = [("r", i, f">> w{i}", max(0, 1000 * (i % 40) + rnd.randrange(-4000, 4000)), None, "c") for i in range(160)]
+    got = {}
+    for r in turns.turns(spark.createDataFrame(one + many, CUE)).collect():
+        got.setdefault(r.transcript_id, []).append((r.first_number, r.start_ms))
+    at = {t: [s for _, s in sorted(x)] for t, x in got.items()}
+    assert at["a"] == [0, 1000, 2000, 5333, 5333, 5333, 12_000, 12_000, 13_000]
+    assert at["b"] == [0, 5000, 90_000, 91_500, 92_833, 92_833, 92_833, 189_500, 190_500]
+    # Against the min-max formula of the isotonic fit, segment by segment.
+    raw, want, shift, seg = [r[3] for r in many], [], 0, []
+
+    def close(seg):
+        for j in range(len(seg)):
+            want.append(round(max(min(sum(seg[a : b + 1]) / (b - a + 1) for b in range(j, len(seg))) for a in range(j + 1))))
+
+    for i, s in enumerate(raw):
+        if i and s < raw[i - 1] - turns.RESET_MS:
+            close(seg)
+            shift, seg = shift + raw[i - 1], []
+        seg.append(s + shift)
+    close(seg)
+    assert all(abs(a - b) <= 1 for a, b in zip(at["r"], want)) and len(want) == 160
 
 
 # Repeats
