@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .lookalikes import IGNORABLE
 from .repeats import edits_within
 from .streams import bucket_of, by_bucket
@@ -40,10 +41,10 @@ NO_SPEAKERS = (
     "nota", "ejemplo", "recordatorio", "atencion", "paso", "aviso", "advertencia", "consejo", "resumen", "capitulo", "parte", "ejercicio", "definicion", "importante", "pista",
     "hinweis", "beispiel", "erinnerung", "achtung", "schritt", "warnung", "tipp", "merke", "zusammenfassung", "kapitel", "teil", "anmerkung", "bemerkung", "wichtig", "ubung", "frage", "antwort",
 )
-SOUNDS = (
-    "music", "music playing", "musique", "musica", "musik", "am nhac", "nhac dao", "nhac nen", "nhac", "laughter", "laughs", "laughing", "cuoi", "rires", "risas", "gelachter", "lachen", "applause", "applaudissements", "aplausos", "applaus", "vo tay", "inaudible", "unverstandlich", "khong nghe ro", "inaudible", "ininteligible", "noise", "bruit", "ruido", "rauschen", "tieng on",
-    "silence", "silencio", "stille", "im lang", "coughs", "cough", "toux", "tos", "hustet", "ho", "clears throat", "door closes", "porte qui claque", "se cierra la puerta", "tur fallt zu", "dong cua", "soft strings", "crosstalk", "background noise", "sighs", "cheering", "foreign", "blank audio", "bip", "beep", "pause", "intro", "outro", "cries", "whispers",
-)
+#: A label in brackets with one of these words names a sound.
+SOUNDS = frozenset(
+    "music musik musique musica nhac song singing laughter laughs laughing gelachter lachen rires rire risas risa cuoi applause applaudissements aplausos applaus clapping inaudible unverstandlich inintelligible ininteligible indistinct nghe noise noises bruit bruits ruido gerausch tieng silence silencio stille cough coughs coughing toux tos husten sigh sighs crosstalk static beep pause".split()
+)
 FILLERS = ("ừ", "ừm", "ờ", "ờm", "ưm", "um", "umm", "uh", "uhm", "er", "erm", "hm", "hmm", "mm", "mmm", "mhm", "ah", "euh", "heu", "äh", "ähm", "öh", "ehm", "hum")
 #: Words too; fillers only where a comma or dots follow or nothing else stands in the cue.
 SOMETIMES = ("à", "em", "eh", "ben", "bah", "este", "pues", "tja", "na", "thì là", "kiểu như", "you know", "like", "bueno")
@@ -94,7 +95,7 @@ def speaker(label: str, bracketed: bool = False, dashed: bool = False) -> str |
         return name
     if name in NO_SPEAKERS or _like_any(name, tuple(k for k in NO_SPEAKERS if len(k) > 5)) or _like_any(name, NUMBERED):
         return None
-    if bracketed and _like_any(name, SOUNDS):
+    if bracketed and not SOUNDS.isdisjoint(words):
         return None
     titled = all(w[0].isupper() for w in label.replace("_", " ").split() if w[0].isalpha())
     if (dashed or bracketed) and not titled:
@@ -274,7 +275,9 @@ def _spans(cues: DataFrame) -> DataFrame:
 def _turn_parts(cues: DataFrame) -> DataFrame:
     """Parts of turns, each within one span, with ``turn``, unique within a transcript, and ``marked``."""
     kept = cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
-    placed = kept.join(_spans(kept), (F.col("transcript_id") == F.col("__t")) & (bucket_of(F.col("sequence_number")) == F.col("__b"))).drop("__t", "__b").withColumnRenamed("span", "bucket")
+    # Written before the join, so that its size is known: where it is small enough it is broadcast, else both sides are shuffled.
+    spans = stored(_spans(kept))
+    placed = kept.join(spans, (F.col("transcript_id") == F.col("__t")) & (bucket_of(F.col("sequence_number")) == F.col("__b"))).drop("__t", "__b").withColumnRenamed("span", "bucket")
     parts = by_bucket(placed, _parts, PARTS)
     # Inner parts are turns of their own; three parts a span meet in the window of a transcript.
     own = [F.when(F.col("outer") == 0, F.col(c)).otherwise(-1) for c in ("bucket", "part")]
