@@ -42,7 +42,7 @@ NO_SPEAKERS = (
     "hinweis", "beispiel", "erinnerung", "achtung", "schritt", "warnung", "tipp", "merke", "zusammenfassung", "kapitel", "teil", "anmerkung", "bemerkung", "wichtig", "ubung", "frage", "antwort",
 )
 #: A label in brackets with one of these words names a sound.
-SOUNDS = frozenset(
+SOUNDS = tuple(
     "music musik musique musica nhac song singing laughter laughs laughing gelachter lachen rires rire risas risa cuoi applause applaudissements aplausos applaus clapping inaudible unverstandlich inintelligible ininteligible indistinct nghe noise noises bruit bruits ruido gerausch tieng silence silencio stille cough coughs coughing toux tos husten sigh sighs crosstalk static beep pause".split()
 )
 FILLERS = ("ừ", "ừm", "ờ", "ờm", "ưm", "um", "umm", "uh", "uhm", "er", "erm", "hm", "hmm", "mm", "mmm", "mhm", "ah", "euh", "heu", "äh", "ähm", "öh", "ehm", "hum")
@@ -95,7 +95,7 @@ def speaker(label: str, bracketed: bool = False, dashed: bool = False) -> str |
         return name
     if name in NO_SPEAKERS or _like_any(name, tuple(k for k in NO_SPEAKERS if len(k) > 5)) or _like_any(name, NUMBERED):
         return None
-    if bracketed and not SOUNDS.isdisjoint(words):
+    if bracketed and any(_like_any(w, SOUNDS) for w in words):
         return None
     titled = all(w[0].isupper() for w in label.replace("_", " ").split() if w[0].isalpha())
     if (dashed or bracketed) and not titled:
@@ -234,8 +234,9 @@ def _parts(cues: pd.DataFrame) -> list[tuple]:
 
 
 def _spans(cues: DataFrame) -> DataFrame:
-    """``transcript_id, number, span, shift, before`` of each bucket: the span it is walked in, the sum of the clock resets
-    before its span and the last start known before.
+    """``transcript_id, number, span, shift, before`` of the buckets that are no span of their own, follow a reset of the clock
+    or begin without a start: the first bucket of the span it is walked in, the sum of the clock resets before the span
+    and the last start known before.
 
     An edge of buckets is open if a start before it is greater than one behind it in the same file segment. Only then a fit
     can reach over it, and the buckets go in one span.
@@ -252,12 +253,12 @@ def _spans(cues: DataFrame) -> DataFrame:
     known = known.withColumn("__n", resets).withColumn("__all", F.max("__n").over(Window.partitionBy("transcript_id", "number")))
     timed = known.groupBy("transcript_id", "number").agg(
         F.sum(F.when(F.col("__reset"), F.col("__e")).otherwise(0)).alias("within"), F.max("__n").alias("resets"),
-        F.min_by("start_ms", "sequence_number").alias("first"), F.max_by("start_ms", "sequence_number").alias("last"), F.max_by(until, "sequence_number").alias("until"),
+        F.min("sequence_number").alias("opens_at"), F.min_by("start_ms", "sequence_number").alias("first"), F.max_by("start_ms", "sequence_number").alias("last"), F.max_by(until, "sequence_number").alias("until"),
         F.min(F.when(F.col("__n") == 0, start)).alias("head_least"), F.max(F.when(F.col("__n") == F.col("__all"), start)).alias("tail_most"),
     )
     # One row a bucket from here on; buckets without any start take part with nulls.
-    every = placed.select("transcript_id", "number").distinct()
-    per = every.join(timed.withColumnsRenamed({"transcript_id": "__t", "number": "__b"}), (F.col("transcript_id") == F.col("__t")) & (F.col("number") == F.col("__b")), "left").drop("__t", "__b").fillna(0, ["within", "resets"])
+    every = placed.groupBy("transcript_id", "number").agg(F.min("sequence_number").alias("opening"))
+    per = every.join(timed.withColumnsRenamed({"transcript_id": "__t", "number": "__b"}), (F.col("transcript_id") == F.col("__t")) & (F.col("number") == F.col("__b")), "left").drop("__t", "__b").fillna(0, ["within", "resets"]).withColumn("late", F.col("opens_at") > F.col("opening"))
     per = per.withColumns({"before": F.last("last", ignorenulls=True).over(earlier), "__until": F.last("until", ignorenulls=True).over(earlier)})
     per = per.withColumn("__at_edge", F.coalesce(F.col("first") < F.col("before") - RESET_MS, F.lit(False)))
     per = per.withColumn("__until_now", F.sum(F.col("resets") + F.col("__at_edge").cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
@@ -267,17 +268,19 @@ def _spans(cues: DataFrame) -> DataFrame:
     is_open = ~F.col("__at_edge") & (F.lag("__most").over(across) > F.col("__least"))
     shift = F.sum(F.col("within") + F.when(F.col("__at_edge"), F.col("__until")).otherwise(0)).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("within")
     per = per.withColumns({"__opens": ~F.coalesce(is_open, F.lit(False)), "shift": shift})
-    per = per.withColumn("span", (F.sum(F.col("__opens").cast("int")).over(across) - 1).cast("int"))
+    per = per.withColumn("span", F.last(F.when(F.col("__opens"), F.col("number")), ignorenulls=True).over(across))
     firsts = Window.partitionBy("transcript_id", "span").orderBy("number")
-    return per.select(F.col("transcript_id").alias("__t"), F.col("number").alias("__b"), "span", F.first("shift").over(firsts).alias("shift"), F.coalesce(F.first("before").over(firsts), F.lit(0)).alias("before"))
+    per = per.withColumns({"shift": F.first("shift").over(firsts), "before": F.coalesce(F.first(F.when(F.coalesce("late", F.lit(True)), F.col("before"))).over(firsts), F.lit(0))})
+    return per.where("span <> number OR shift <> 0 OR before <> 0").select(F.col("transcript_id").alias("__t"), F.col("number").alias("__b"), "span", "shift", "before")
 
 
 def _turn_parts(cues: DataFrame) -> DataFrame:
     """Parts of turns, each within one span, with ``turn``, unique within a transcript, and ``marked``."""
     kept = cues.where("transcript_id IS NOT NULL AND sequence_number IS NOT NULL").select("transcript_id", F.col("sequence_number").cast("int").alias("sequence_number"), "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
-    # Written before the join, so that its size is known: where it is small enough it is broadcast, else both sides are shuffled.
+    # Few buckets have a row here. It is written before the join, so that its size is known: small enough, it is broadcast.
     spans = stored(_spans(kept))
-    placed = kept.join(spans, (F.col("transcript_id") == F.col("__t")) & (bucket_of(F.col("sequence_number")) == F.col("__b"))).drop("__t", "__b").withColumnRenamed("span", "bucket")
+    number = bucket_of(F.col("sequence_number"))
+    placed = kept.join(spans, (F.col("transcript_id") == F.col("__t")) & (number == F.col("__b")), "left").withColumn("bucket", F.coalesce("span", number)).drop("__t", "__b", "span").fillna(0, ["shift", "before"])
     parts = by_bucket(placed, _parts, PARTS)
     # Inner parts are turns of their own; three parts a span meet in the window of a transcript.
     own = [F.when(F.col("outer") == 0, F.col(c)).otherwise(-1) for c in ("bucket", "part")]
