@@ -114,15 +114,24 @@ def same_speaker(a: str | None, b: str | None) -> bool:
     return min(len(a), len(b)) >= 4 and edits_within(a, b, 1) is not None
 
 
+#: The first words of fillers, and signs that end or surround words: without any of these words a text needs no closer look.
+_FILLER_STARTS = frozenset(f.split()[0] for f in FILLERS + SOMETIMES)
+_SIGNS = str.maketrans(dict.fromkeys(".,;:!?…\"'“”‘’«»()[]{}<>*-–—_/", " "))
+_APART = (" ,", " .", " ;", " !", " ?", " …")
+
+
 def clean_words(text: str) -> str:
     """Spoken text without fillers, or the empty string where nothing but fillers and signs is left."""
+    single = " ".join(text.split())
+    if _FILLER_STARTS.isdisjoint(single.lower().translate(_SIGNS).split()) and not any(sign in single for sign in _APART):
+        return single.lstrip(" ,;–—-") if _WORD.search(single) else ""
     if not _ANY_FILLER.search(text):
-        return re.sub(r"^[\s,;–—-]+", "", " ".join(text.split())) if _WORD.search(text) else ""
+        return single.lstrip(" ,;–—-") if _WORD.search(single) else ""
     if not any(map(str.isalnum, text)) or not any(map(str.isalnum, text[_ALONE.match(text + " ").end() :])):
         return ""
     text = _MAYBE.sub(" ", _FILLER.sub(" ", text))
     text = re.sub(r"\s+([,.;!?…])", r"\1", re.sub(r"\s+", " ", text)).strip()
-    return re.sub(r"^[\s,;–—-]+", "", text)
+    return text.lstrip(" ,;–—-")
 
 
 def utterances(text: str | None) -> list[tuple[str, str | None, str]]:
