@@ -3,19 +3,25 @@
 An answer is cut into clauses. A linear-chain conditional random field tags each as answer, refusal, echo of the
 question, foreign or unfinished. Since a clause may be foreign and something else, it is decoded twice: without the tag
 foreign for its part, and between answer and foreign for its language. The clauses of each tag make out the defects.
+
+How a refusal is worded is learned from the messages themselves: answers that carry a warning of weak evidence are refusals
+far more often than others. A logistic regression on the words of clauses learns to tell them, first from the warnings,
+then from its own sure verdicts; what it says of a clause is a feature of the field.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +31,10 @@ from .lookalikes import table_form
 from .turns import folded
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
-TRAIN_MESSAGES = 2000
-"""Messages whose clauses the field is trained on, by the hash of their ids; their defects are made, not known."""
+TRAIN_MESSAGES = 4500
+"""Messages without a warning that the models are trained on at most, by the hash of their ids."""
+TRAIN_WARNED = 3000
+"""Messages with one."""
 TRAIN_SEQUENCES = 3000
 STEPS, RATE, PENALTY = 250, 0.1, 1e-3
 
@@ -36,21 +44,6 @@ PLACEHOLDERS = (
     "khong co", "khong co cau tra loi", "khong tra loi", "chua co cau tra loi", "trong", "sin respuesta", "pas de reponse", "aucune reponse", "keine antwort", "ninguna", "keine", "aucune", "br", "p",
 )
 
-# Word patterns of our own, on text without accents in lower case.
-DECLINES = re.compile(
-    r"\b(?:khong (?:the|duoc phep|tien|ho tro|co kha nang|co quyen|duoc)\b.{0,25}\b(?:tra loi|dua ra|giup|ban ve|ban|dap|yeu cau|noi ve|ho tro)|khong ho tro duoc|(?:xin phep )?tu choi|danh bo qua|(?:nam )?ngoai (?:kha nang|pham vi)|khong tien"
-    r"|(?:i|we|to) (?:\w+ ){0,2}?(?:cannot|can not|cant|can t|could not|couldn t|won t|will not|must decline|decline|would rather not|am unable|am not able|am not permitted|am not allowed)|i m (?:sorry|unable|not able)|(?:am|are) (?:not|un)\s?(?:able|permitted|allowed)|rather not (?:answer|say|respond)|must decline|cannot (?:discuss|answer|help|respond)|beyond (?:what i|my)|no answer can be given|unable to"
-    r"|no (?:puedo|podemos|me es posible|estoy autorizad\w)|prefiero no|me niego|fuera de mi alcance|(?:je|nous) (?:ne|n) .{0,12}(?:pas|puis)|prefere ne pas|il m est impossible|hors de ma portee|(?:kann|darf|mochte|werde|konnen) (?:ich|wir)? ?.{0,40}\bnicht|(?:ich|wir) (?:kann|darf|mochte|lehne|konnen)\b.{0,60}(?:nicht|ab)\b|ubersteigt meine)"
-)
-NO_EVIDENCE = re.compile(
-    r"\b(?:khong tim thay|khong (?:co )?du (?:bang chung|thong tin|du lieu|can cu)|chua the tra loi|khong noi gi ve .{0,90}(?:nen|tra loi)|khong co (?:doan|bang chung|thong tin) nao"
-    r"|(?:could|can|did|do) ?n[o ]t find|not (?:hold|contain|provide|give|have|include|offer) (?:enough|sufficient|any) (?:evidence|information|detail)|no(?:thing| passage| evidence| information)? in the (?:retrieved|transcript|video|passages).{0,30}|not enough (?:evidence|information)|no evidence"
-    r"|no (?:encuentro|hay|existe) (?:suficiente|evidencia|informacion|ningun)|pas (?:assez|suffisamment) (?:de preuves|d informations)|(?:n ai|ne) .{0,12}rien trouve|nicht genug (?:belege|informationen)|keine (?:belege|hinweise|informationen)|nichts .{0,20}gefunden)"
-)
-#: Said around a refusal or an answer without being either.
-MANNERS = re.compile(
-    r"^(?:(?:chao ban|hum|cau hoi hay day|cam on ban|rat tiec|xin loi|hi there|hello|hi|hmm|hm|good question|great question|sorry|unfortunately|thanks|thank you|hola|bonjour|hallo|buena pregunta|bonne question|gute frage|lo siento|desole|leider)(?: \w+){0,2}|(?:ban (?:thu|co the)|please|feel free|try|mong ban|you (?:can|may|could)|puede|prueba|vous pouvez|n hesitez|bitte|versuchen)\b.{0,70})$"
-)
 DANGLING = frozenset(
     "nhung va hoac bang voi cua la boi vi o de cho trong tren thi ma neu khi nhu gom the a an of and or but because with in to for from on at by that which as if when while so the pero y o con de en el la los las un una porque que para por sin et ou mais avec dans le les des du une parce pour sur und oder aber weil mit der die das ein eine zu fur auf von dass".split()
 )
@@ -120,21 +113,93 @@ def _unclosed(text: str) -> bool:
     return any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "“”", "«»"))
 
 
-FEATURES = 23
+WORDING_PLACES = 1 << 15
+WORDING_PENALTY = 0.5
+WORDING_SEEDS = 50.0
+"""What a sentence of our own weighs against a clause of the sample."""
+WORDING_STEPS = 150
+
+# Sentences of our own, so that a refusal is known where no warning is.
+REFUSALS = (
+    "We do not comment on that.", "It is not something I may speak about.", "The recording gives me nothing to go on.", "There is no way for me to know this from the clip.", "I will not go into this.", "I am afraid nobody says anything on it.",
+    "Chúng tôi xin không bình luận về việc đó.", "Tôi không có quyền nói về chuyện này.", "Đoạn phim không cho biết điều ấy.", "Mình không trả lời được đâu.", "Tôi chịu, không biết trả lời sao.",
+    "Je ne suis pas en mesure de répondre.", "Je regrette, je ne peux rien dire là-dessus.", "Je refuse d'en parler.", "L'enregistrement ne dit rien à ce sujet.", "Je préfère me taire.", "Pardon, je ne peux pas vous répondre.", "Il ne m'est pas permis de traiter cela.",
+    "Dazu kann ich nichts sagen.", "Ich bin nicht in der Lage, das zu beantworten.", "Das möchte ich lieber nicht beantworten.", "Die Aufnahme gibt darüber keine Auskunft.", "Es ist mir nicht erlaubt, darüber zu sprechen.",
+    "No estoy en condiciones de responder.", "Lamento no poder ayudar con eso.", "No me corresponde hablar de ello.", "Perdone, no puedo contestarle.", "La grabación no dice nada al respecto.", "Prefiero no hablar de eso.",
+)
+
+
+#: Which of the sentences that anchor each language decline something.
+REFUSING_SEEDS = dict.fromkeys(LANGUAGES, (4, 6, 8, 11, 12, 13, 14)) | {"vi": (4, 6, 8, 11, 12)}
+
+
+def _wording(clause: str) -> list[int]:
+    """Places of the runs of one to three words of a clause; what stands in quotation marks is somebody else's word."""
+    words = ["^", *re.sub(r"\d+", "0", bare(_INNER.sub(" qq ", clause))).split(), "$"]
+    return sorted({zlib.crc32(" ".join(words[i : i + n]).encode()) % WORDING_PLACES for n in (1, 2, 3) for i in range(len(words) - n + 1)})
+
+
+def _flat(clauses_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [_wording(c) for c in clauses_]
+    sizes = np.array([len(x) for x in found], int)
+    return np.repeat(np.arange(len(found)), sizes), np.fromiter(chain.from_iterable(found), int, int(sizes.sum())), 1 / np.sqrt(np.maximum(sizes, 1))
+
+
+@dataclass
+class Wording:
+    """How likely a clause is a refusal by its words."""
+
+    weights: np.ndarray
+    offset: float
+
+    def chances(self, clauses_: list[str]) -> np.ndarray:
+        rows, places, scale = _flat(clauses_)
+        return 1 / (1 + np.exp(-np.bincount(rows, self.weights[places], len(clauses_)) * scale - self.offset))
+
+
+def learned_wording(clauses_: list[str], warned: list[bool]) -> Wording:
+    """Logistic regression on ``warned``, then twice on what the fit before holds for more likely than not; sentences of our
+    own keep their side."""
+    refusing = [*REFUSALS, *(SEEDS[k][i] for k in LANGUAGES for i in REFUSING_SEEDS[k])]
+    plain = [x for k in LANGUAGES for i, x in enumerate(SEEDS[k]) if i not in REFUSING_SEEDS[k]]
+    texts = [*clauses_, *refusing, *plain]
+    known = np.arange(len(texts)) >= len(clauses_)
+    y = np.concatenate([np.array(warned, float), np.ones(len(refusing)), np.zeros(len(plain))])
+    weight = np.where(known, WORDING_SEEDS, 1.0)
+    rows, places, scale = _flat(texts)
+    w, offset = np.zeros(WORDING_PLACES), 0.0
+    for _ in range(3):
+        w, m, v = (np.zeros(WORDING_PLACES) for _ in range(3))
+        share = (weight @ y) / weight.sum()
+        offset = float(np.log(share / (1 - share)))
+        p = y
+        for step in range(1, WORDING_STEPS + 1):
+            p = 1 / (1 + np.exp(-np.bincount(rows, w[places], len(texts)) * scale - offset))
+            g = np.bincount(places, (weight * (y - p) * scale)[rows], WORDING_PLACES) - WORDING_PENALTY * w
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        y = np.where(known, y, p > 0.5).astype(float)
+    return Wording(w, offset)
+
+
+FEATURES = 22
+FOREIGN_ONLY = (0, 9, 10)
+"""Features that the second decoding sees: what a clause says has no part in the language it is in."""
 
 
-def features(question: str, parts: list[str], foreign: list[bool]) -> np.ndarray:
-    """One row per clause."""
+def features(question: str, parts: list[str], foreign: list[bool], refused: np.ndarray) -> np.ndarray:
+    """One row per clause; ``refused`` is the chance of each to be a refusal by its words."""
     x = np.zeros((len(parts), FEATURES), np.float32)
     text = "\n".join(parts)
     asked = tuple((bare(question).split() or [""])[k] for k in (0, -1))
     for i, part in enumerate(parts):
-        plain, outer = bare(part), bare(_INNER.sub(" ", part))
-        like, last = likeness(question, part), i == len(parts) - 1
+        plain = bare(part)
+        like, last, no = likeness(question, part), i == len(parts) - 1, refused[i]
         ends = bool(_ENDS.search(part)) and not _open_item(text, part) and not part.endswith("..")
         words = plain.split()
         x[i, :] = [
-            1, bool(DECLINES.search(outer)), bool(NO_EVIDENCE.search(outer)), bool(DECLINES.search(plain)) and not DECLINES.search(outer), bool(MANNERS.search(plain)),
+            1, no >= 0.75, no >= 0.5, no >= 0.25,
             like >= 0.95, 0.85 <= like < 0.95, 0.8 <= like < 0.85, 0.6 <= like < 0.8, like < 0.6,
             foreign[i], not foreign[i], ends, last and not ends, last and ends, last and not ends and like >= 0.8,
             last and bool(words) and words[-1] in DANGLING and not ends, last and _unclosed(part), last and bool(re.search(r"[,;:(\[“«–—-]$|\.\.$|…$", part)), last and _open_item(text, part),
@@ -150,10 +215,11 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass
 class ChainField:
-    """Linear-chain conditional random field: weights of features and of neighbouring tags."""
+    """Linear-chain conditional random field: weights of features and of neighbouring tags, and the wording it was fitted with."""
 
     weights: np.ndarray
     moves: np.ndarray
+    wording: Wording | None = None
 
     def decode(self, x: np.ndarray, allowed: tuple[str, ...]) -> list[str]:
         """The best tags by the Viterbi algorithm, of the allowed ones only."""
@@ -204,42 +270,27 @@ def train(sequences: list[tuple[np.ndarray, list[int]]]) -> ChainField:
     return ChainField(w, t)
 
 
-# Sentences of our own; the field learns from their features.
-REFUSALS = (
-    "I cannot answer that.", "I am unable to help with this.", "That is beyond what I can do.", "I must decline.", "I would rather not say.", "The transcript does not contain enough evidence.", "I could not find anything about it in the video.", "Nothing in the retrieved text speaks of it.",
-    "Tôi không thể trả lời câu này.", "Tôi xin từ chối.", "Việc này nằm ngoài khả năng của tôi.", "Tôi không tìm thấy điều đó trong video.", "Bản ghi không có đủ bằng chứng.", "Mình không tiện trả lời.",
-    "No puedo responder a eso.", "Prefiero no contestar.", "Je ne peux pas répondre.", "Je préfère ne pas en parler.", "Das kann ich nicht beantworten.", "Dazu darf ich mich nicht äußern.",
-)
-COURTESIES = ("Hi there.", "Good question!", "Chào bạn.", "Câu hỏi hay đấy!", "Hmm.")
-OFFERS = ("Please try another question.", "Feel free to ask about something else.", "Bạn thử hỏi câu khác nhé.")
-JOKES = ("The guest says “I cannot answer that” as a joke, and then {}", "Vị khách đùa rằng “tôi không thể trả lời”, rồi {}")
-
-
-def made_sequences(pairs: list[tuple[str, str]], count: int = TRAIN_SEQUENCES, seed: int = 11) -> list[tuple[np.ndarray, list[int]]]:
-    """Answers with made defects: whole clauses of sample answers are put together with refusals, copies and cuts."""
+def made_sequences(pairs: list[tuple[str, str]], wording: Wording, count: int = TRAIN_SEQUENCES, seed: int = 11) -> list[tuple[np.ndarray, list[int]]]:
+    """Answers with made defects: whole clauses of sample answers are put together with refusals, copies and cuts. By its
+    words a clause of the sample is surely a refusal, surely none, or left out."""
     rnd = random.Random(seed)
-    pool = []
-    for q, a in pairs:
-        for c in clauses(q, a):
-            plain = bare(c)
-            if _ENDS.search(c) and not c.endswith("..") and len(plain.split()) > 4 and likeness(q, c) < 0.8 and not DECLINES.search(plain) and not NO_EVIDENCE.search(plain) and not MANNERS.search(plain):
-                pool.append((q, c))
-    pool += [(f"What about {s.split()[-1]}?", s.capitalize() + ".") for group in SEEDS.values() for s in group if not DECLINES.search(bare(s)) and not NO_EVIDENCE.search(bare(s))]
+    seen = [(q, c) for q, a in pairs for c in clauses(q, a) if _ENDS.search(c) and not c.endswith("..") and likeness(q, c) < 0.8]
+    seen += [(f"What about {s.split()[-1]}?", s.capitalize() + ".") for group in SEEDS.values() for s in group]
+    chances = wording.chances([c for _, c in seen])
+    pool = [x for x, p in zip(seen, chances) if p < 0.4 and len(bare(x[1]).split()) > 4]
+    refusals = [c for (_, c), p in zip(seen, chances) if p > 0.6] + list(REFUSALS)
     tag = {name: k for k, name in enumerate(TAGS)}
-    out = []
-    for _ in range(count):
+    made = []
+    for _ in range(count if pool else 0):
         q, first = rnd.choice(pool)
         parts, tags = [first], [tag["answer"]]
         for _ in range(rnd.choice((0, 0, 1, 2))):
             parts.append(rnd.choice(pool)[1])
             tags.append(tag["answer"])
-        kind = rnd.choice(("whole", "whole", "refusal", "echo", "echoed", "cut", "cut", "joke"))
+        kind = rnd.choice(("whole", "whole", "refusal", "echo", "echoed", "cut", "cut"))
         if kind == "refusal":
-            parts, tags = [rnd.choice(REFUSALS)], [tag["refusal"]]
-            if rnd.random() < 0.4:
-                parts, tags = [rnd.choice(COURTESIES), *parts], [tag["answer"], *tags]
-            if rnd.random() < 0.4:
-                parts, tags = [*parts, rnd.choice(OFFERS)], [*tags, tag["answer"]]
+            at = rnd.choice((0, 0, len(parts)))
+            parts, tags = ([rnd.choice(refusals)], [tag["refusal"]]) if rnd.random() < 0.6 else ([*parts[:at], rnd.choice(refusals), *parts[at:]], [*tags[:at], tag["refusal"], *tags[at:]])
         elif kind in ("echo", "echoed"):
             words = q.split()
             for _ in range(rnd.choice((0, 0, 1, 2)) if len(words) > 6 else 0):
@@ -251,29 +302,52 @@ def made_sequences(pairs: list[tuple[str, str]], count: int = TRAIN_SEQUENCES, s
             words = parts[-1].split()
             cut = " ".join(words[: rnd.randint(1, max(1, len(words) - 1))]).rstrip(".!?”")
             parts[-1], tags[-1] = cut + rnd.choice(("", "", "", "…", "...", ",", ";", ":", " (", " “", " and", " nhưng", ": 1. abc 2.")), tag["unfinished"]
-        elif kind == "joke":
-            parts[0] = rnd.choice(JOKES).format(parts[0])
-        foreign = [rnd.random() < 0.03 for _ in parts]
-        if kind == "whole" and rnd.random() < 0.4:
-            foreign, tags = [True] * len(parts), [tag["foreign"]] * len(parts)
-        out.append((features(q, parts, foreign), tags))
+        made.append((q, parts, tags))
+        if rnd.random() < 0.15:
+            made.append((q, parts, [tag["foreign"]] * len(parts)))
+    chances = iter(wording.chances([c for _, parts, _ in made for c in parts]))
+    out = []
+    for q, parts, tags in made:
+        foreign = [t == tag["foreign"] for t in tags]
+        x = features(q, parts, foreign, np.array([next(chances) for _ in parts]))
+        out.append((_language_only(x) if all(foreign) else x, tags))
     return out
 
 
-def fitted_field(messages: DataFrame) -> ChainField:
-    known = messages.where("answer IS NOT NULL AND question IS NOT NULL").select("question", "answer", F.xxhash64("message_id").alias("h"))
-    # About four times what is wanted is ordered, however many there are, so that tasks send little to the driver.
-    share = min(1.0, 4 * TRAIN_MESSAGES / max(1, messages.count()))
-    rows = known.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("h", "answer").limit(TRAIN_MESSAGES).collect()
-    return train(made_sequences([(r["question"], r["answer"]) for r in rows if not is_empty(r["answer"])]))
+def _language_only(x: np.ndarray) -> np.ndarray:
+    kept = np.zeros_like(x)
+    kept[:, FOREIGN_ONLY] = x[:, FOREIGN_ONLY]
+    return kept
+
 
+def _is_warned() -> Column:
+    return F.trim(F.regexp_replace(F.coalesce("groundedness_warning", F.lit("")), "[\\p{Z}\\p{C}]", "")) != ""
 
-def judge(question: str, parts: list[str], own: list[str], sizes: list[int], expected: str | None, warned: bool, field: ChainField) -> tuple[list[str], list[str], list[str]]:
+
+def fitted_field(messages: DataFrame) -> ChainField:
+    """The field and the wording of refusals, fitted on at most ``TRAIN_MESSAGES`` and ``TRAIN_WARNED`` messages."""
+    known = messages.where("answer IS NOT NULL AND question IS NOT NULL").select("question", "answer", _is_warned().alias("warned"), F.xxhash64("message_id").alias("h"))
+    counts = {r["warned"]: r["n"] for r in known.groupBy("warned").agg(F.count("*").alias("n")).collect()}
+    sample = []
+    for warned, most in ((False, TRAIN_MESSAGES), (True, TRAIN_WARNED)):
+        # About twice what is wanted is ordered, however many there are, so that tasks send little to the driver.
+        share = min(1.0, 2 * most / max(1, counts.get(warned, 0)))
+        rows = known.where((F.col("warned") == warned) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))).orderBy("h", "answer").limit(most).collect()
+        sample += [(r["question"], r["answer"], warned) for r in rows if not is_empty(r["answer"])]
+    cut = [(c, warned) for q, a, warned in sample for c in clauses(q, a)]
+    wording = learned_wording([c for c, _ in cut], [w for _, w in cut])
+    sequences = made_sequences([(q, a) for q, a, _ in sample], wording)
+    field = train(sequences) if sequences else ChainField(np.zeros((FEATURES, len(TAGS))), np.zeros((len(TAGS), len(TAGS))))
+    field.wording = wording
+    return field
+
+
+def judge(question: str, parts: list[str], refused: np.ndarray, own: list[str], sizes: list[int], expected: str | None, warned: bool, field: ChainField) -> tuple[list[str], list[str], list[str]]:
     """Defects, tags and languages' tags; ``own`` has the language of each clause, ``sizes`` its words."""
     foreign = [expected is not None and k != expected for k in own]
-    x = features(question, parts, foreign)
+    x = features(question, parts, foreign, refused)
     tags = field.decode(x, ("answer", "refusal", "echo", "unfinished"))
-    tongues = field.decode(x, ("answer", "foreign"))
+    tongues = field.decode(_language_only(x), ("answer", "foreign"))
     defects = []
     if tags[-1] == "unfinished":
         defects.append("truncated")
@@ -315,6 +389,8 @@ def found_defects(messages: DataFrame, model: KernelModel, field: ChainField) ->
                 texts = [" ".join(plain_words(t)) for _, q, parts, _, _ in todo for t in (q, " ".join(parts), *parts)]
                 distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
                 best = model.confidence(list(distinct)).argmax(1)
+                said = list(dict.fromkeys(c for _, _, parts, _, _ in todo for c in parts))
+                chances = dict(zip(said, field.wording.chances(said)))
                 spot = 0
                 for key, question, parts, expected, warned in todo:
                     mine = texts[spot : spot + 2 + len(parts)]
@@ -323,12 +399,12 @@ def found_defects(messages: DataFrame, model: KernelModel, field: ChainField) ->
                     sizes = [len(t.split()) for t in mine[2:]]
                     # A clause of a few words is too short to tell: the answer's language stands for it.
                     own = [k if n >= 4 else all_ for k, n in zip(each, sizes)]
-                    defects, _, _ = judge(question, parts, own, sizes, expected or (asked if mine[0] else None), warned, field)
+                    defects, _, _ = judge(question, parts, np.array([chances[c] for c in parts]), own, sizes, expected or (asked if mine[0] else None), warned, field)
                     out += [(key, d) for d in defects]
                 yield pd.DataFrame(out, columns=["message_id", "defect"])
 
     kept = messages.where("message_id IS NOT NULL").select(
-        "message_id", "question", "answer", language_code(F.col("answer_language")).alias("expected"), (F.trim(F.regexp_replace(F.coalesce("groundedness_warning", F.lit("")), "[\\p{Z}\\p{C}]", "")) != "").alias("warned")
+        "message_id", "question", "answer", language_code(F.col("answer_language")).alias("expected"), _is_warned().alias("warned")
     )
     # Messages sent again have the same defects and meet as short rows.
     return spread(kept).mapInPandas(run, "message_id string, defect string").distinct()

@@ -138,13 +138,36 @@ def model(spark):
 
 @pytest.fixture(scope="session")
 def field(spark):
-    return pairs.fitted_field(table(spark, "chat_messages"))
+    return pairs.fitted_field(spark.read.parquet("/root/testdata/sf0.1/chat_messages.parquet"))
 
 
 def test_the_field_tags_its_own_kind(field):
-    held = pairs.made_sequences([("What is said about bread?", "The tutor explains the bread in plain language. The panel tests it twice.")], 400, seed=99)
+    held = pairs.made_sequences([("What is said about bread?", "The tutor explains the bread in plain language. The panel tests it twice.")], field.wording, 400, seed=99)
     good = [pairs.TAGS[y] == g for x, ys in held for y, g in zip(ys, field.decode(x, pairs.TAGS))]
-    assert sum(good) / len(good) > 0.98
+    assert sum(good) / len(good) > 0.97
+
+
+# Wordings that neither the code nor the tables have.
+DECLINED = (
+    "I cannot tell you anything about the bread.", "Sorry, I am not able to discuss bread with you.", "I could not find bread in the clip, so I cannot say.", "We would rather not talk about this topic.", "I am not allowed to help with this request.",
+    "Tôi không thể nói gì về bánh mì.", "Xin lỗi, tôi không được phép nói về bánh mì.", "Tôi không tìm thấy bánh mì trong đoạn này nên không thể trả lời.", "Lo siento, no puedo hablar de eso.", "Leider darf ich darüber nicht sprechen.",
+)
+ANSWERED = (
+    "The baker explains why the bread cannot rise in the cold.", "She smiles, says “I will not answer that”, and then cuts the bread.", "The host could not find the oven at first, but bakes the bread in the end.", "Yes, shortly after minute three.", "The dough rests for an hour before it is baked.",
+    "Thợ bánh giải thích vì sao bột không nở khi trời lạnh.", "Cô ấy cười, nói “tôi không trả lời đâu” rồi cắt bánh.", "Bột nghỉ một giờ trước khi nướng.", "El panadero explica cómo se hace el pan.", "Der Bäcker erklärt, wie das Brot gebacken wird.",
+)
+
+
+def test_refusals_in_wordings_never_seen(field):
+    found = field.wording.chances([*DECLINED, *ANSWERED]) > 0.5
+    assert found[: len(DECLINED)].sum() >= 8 and found[len(DECLINED) :].sum() <= 1
+
+
+def test_the_wording_is_learned_from_warnings():
+    """An invented way to decline is known by the warnings alone."""
+    clauses = ["The oracle keeps its veil over the bread.", "The tutor bakes the bread.", "The panel tests the bread twice."] * 60
+    wording = pairs.learned_wording(clauses, [i % 3 == 0 for i in range(180)])
+    assert (wording.chances(["The oracle keeps its veil over the soup.", "The tutor bakes the soup."]) > 0.5).tolist() == [True, False]
 
 
 Q, A = "What does the video say about bread?", "The tutor explains a slow bread dough in plain language."
@@ -152,9 +175,9 @@ CASES = [
     (Q, None, "en", None, {"empty"}), (Q, " ​\n", "en", None, {"empty"}), (Q, "N/A", "en", None, {"empty"}), (Q, "<p> </p>", "en", None, {"empty"}), (Q, "(no answer)", "en", None, {"empty"}), (Q, "-", "en", None, {"empty"}),
     (Q, A, "en", None, set()), (Q, A + " [1][3]", " EN-us", None, set()), (Q, A + " 👍", None, None, set()), (Q, "Yes, around minute 9.", "en", None, set()),
     (Q, "The tutor explains a slow bread", "en", None, {"truncated"}), (Q, A + " The panel, as follows: 1. it tests\n2.", "en", None, {"truncated"}), (Q, A + " The reasons are:", "en", None, {"truncated"}), (Q, A + " The panel tests the…", "en", None, {"truncated"}),
-    (Q, "I cannot answer this question.", "en", None, {"refusal"}), (Q, "I cannot answer this question.", "en", "weak", set()), (Q, "I cannot answer this question.", "en", "  ", {"refusal"}), (Q, "Hi there. The transcript does not hold enough evidence to answer that.", "en", "", {"refusal"}),
-    (Q, "The guest says “I cannot answer that” as a joke, and then the panel tests the bread.", "en", None, set()),
-    (Q, Q, "en", None, {"copy"}), (Q, Q.upper(), "en", None, {"copy"}), (Q, f"Q: {Q} {Q}", "en", None, {"copy"}), (Q, Q + " " + A, "en", None, set()), (Q, "What does this clip say about bread?", "en", None, {"copy"}),
+    (Q, "I cannot answer this question.", "en", None, {"refusal"}), (Q, "I cannot answer this question.", "en", "weak", set()), (Q, "I cannot answer this question.", "en", "  ", {"refusal"}), (Q, "Well. I could not find it in the clip, so I cannot tell you.", "en", "", {"refusal"}),
+    (Q, "She laughs, says “I will not tell you that”, and then the panel tests the bread.", "en", None, set()),
+    (Q, Q, "en", None, {"copy"}), (Q, Q.upper(), "en", None, {"copy"}), (Q, f"Q: {Q} {Q}", "en", None, {"copy"}), (Q, Q + " " + A, "en", None, set()), (Q, "What does this clip say about bread?", "en", None, {"copy"}), ("How long does the panel bake", "HOW LONG DOES THE PANEL BAKE", "en", None, {"copy"}),
     (Q, "Người dẫn chương trình giải thích khối bột bánh ủ chậm trong mười phút cuối.", "en", None, {"language"}), (Q, "Người dẫn chương trình giải thích khối bột bánh ủ chậm trong mười phút cuối.", "unknown", None, {"language"}), (Q, "Người dẫn chương trình giải thích khối bột bánh ủ chậm trong mười phút cuối.", "vie", None, set()),
 ]
 
