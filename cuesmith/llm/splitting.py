@@ -89,7 +89,7 @@ def split_oversized(cues: DataFrame, versions: DataFrame) -> DataFrame:
     limits = (
         versions.where(F.col("status") == "active")
         .groupBy(F.col("transcript_id").alias("__transcript"))
-        .agg(F.max(F.struct(F.coalesce("activated_at", F.to_timestamp(F.lit("1970-01-01")).cast("timestamp_ntz")), F.col("chunker_config.child_max_tokens").alias("child_max"), F.coalesce("chunker_config.child_overlap_tokens", F.lit(0)).alias("child_overlap"))).alias("v"))
+        .agg(F.min(F.struct((-F.unix_micros(F.coalesce(F.col("activated_at").cast("timestamp"), F.timestamp_micros(F.lit(0))))).alias("age"), "id", F.col("chunker_config.child_max_tokens").alias("child_max"), F.coalesce("chunker_config.child_overlap_tokens", F.lit(0)).alias("child_overlap"))).alias("v"))
         .select("__transcript", "v.child_max", "v.child_overlap")
         .where("child_max > 0")
     )

@@ -57,7 +57,7 @@ def test_split_cases(spark):
         [("1", "t", "a b c d e", None, None, "x"), ("1", "t", "a b c d e", None, None, "x"), ("2", "t", "a b c", 1, 2, "x"), ("3", "t", None, 1, 2, "x"), ("4", "no", "a b c d e", 1, 2, "x"), ("5", "t", "", 1, 2, "x"), ("6", "t", "a​b c d", 1, 2, "x")],
         "id string, transcript_id string, normalized_text string, start_ms bigint, end_ms bigint, child_max string",
     )
-    versions = spark.createDataFrame([("t", "active", (9, 3, None), None, 1), ("no", "retired", (9, 1, 1), None, 1)], f"transcript_id string, status string, chunker_config {config}, activated_at timestamp_ntz, tokens int")
+    versions = spark.createDataFrame([("2", "t", "active", (9, 9, None), None, 1), ("1", "t", "active", (9, 3, None), None, 1), ("3", "no", "retired", (9, 1, 1), None, 1)], f"id string, transcript_id string, status string, chunker_config {config}, activated_at timestamp_ntz, tokens int")
     got = rows(splitting.split_oversized(cues, versions).select("segment_id", "piece_number", "text", "start_ms"))
     assert got == [("1", 0, "a b c", None), ("1", 1, "d e", None)]
     assert splitting.split_oversized(cues.where("false"), versions.where("false")).count() == 0
