@@ -14,11 +14,13 @@ MODES = ("lexical", "dense", "hybrid", "reranked")
 CANDIDATES = 20
 
 
-def search(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", limit: int = 6, context: int = 12, reranker: Reranker | None = None) -> tuple[DataFrame, DataFrame]:
+def search(
+    questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", limit: int = 6, context: int = 12, reranker: Reranker | None = None, postings: retrieval.Postings | None = None, vectors: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Context rows and diagnostics of each question within its video.
 
     ``questions`` has ``query_id, video_id, question``, ``chunks`` ``chunk_id, video_id, transcript_id, window, text, start_ms,
-    end_ms``. Candidates of the lexical and dense rankings are fused; in mode ``reranked`` the first 20 are scored again and
+    end_ms``; where ``postings`` and ``vectors`` of an index of them are given, they are read, else they are made. Candidates of the lexical and dense rankings are fused; in mode ``reranked`` the first 20 are scored again and
     the others follow by their fused rank. Near copies are dropped, then each hit brings its neighbours, first come first
     kept. The context is ``query_id, place, kind, chunk_id, text, start_ms, end_ms, score``, the score that of the
     fusion; the diagnostics hold the rank in each list of every candidate.
@@ -31,11 +33,11 @@ def search(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", limit:
     lists = []
     if mode != "dense":
         asked = questions.select("video_id", "query_id", F.explode(X.tokens(F.col("question"))).alias("term"))
-        scored = retrieval.bm25(asked, chunks, "video_id", "chunk_id", X.tokens(F.col("text")))
+        scored = retrieval.bm25(asked, postings or retrieval.index_terms(chunks, "video_id", "chunk_id", X.tokens(F.col("text"))))
         lists.append(retrieval.top(scored, CANDIDATES, "chunk_id").select("query_id", F.lit("lexical").alias("source"), "chunk_id", "rank"))
     if mode != "lexical":
         q = questions.select("video_id", "query_id", embed("question").alias("embedding"))
-        d = chunks.select("video_id", F.col("chunk_id").alias("id"), embed("text").alias("embedding"))
+        d = vectors if vectors is not None else chunks.select("video_id", F.col("chunk_id").alias("id"), embed("text").alias("embedding"))
         lists.append(retrieval.dense_top(q, d, "video_id", CANDIDATES).select("query_id", F.lit("dense").alias("source"), F.col("id").alias("chunk_id"), "rank"))
     every = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     fused = retrieval.fuse(every, "chunk_id")
@@ -62,12 +64,12 @@ def search(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", limit:
     return rows.select("query_id", "place", "r.kind", "chunk_id", "r.text", "r.start_ms", "r.end_ms", "r.score"), diagnostics
 
 
-def ask(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", groundedness: float = 0.08) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", groundedness: float = 0.08, **index) -> DataFrame:
     """Extractive answers ``query_id, language, answer, warning, sources``; a question without context says so.
 
     The warning depends on the best score against the threshold, on whatever scale the mode has.
     """
-    context, _ = search(questions, chunks, mode, limit=4)
+    context, _ = search(questions, chunks, mode, limit=4, **index)
     hits = context.where("kind = 'primary'")
     line = F.concat(F.lit("- ["), X.minutes_seconds(F.col("start_ms") / 1000), F.lit("] "), X.shorten(F.col("text"), 220))
     per = hits.groupBy(F.col("query_id").alias("__q")).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line"), "chunk_id"))).alias("ls"), F.max("score").alias("best"))

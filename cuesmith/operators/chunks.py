@@ -15,18 +15,21 @@ def word_windows(segments: DataFrame, size: int = 140, stride: int = 110) -> Dat
     """``transcript_id, window, text, words, first_segment, start_ms, end_ms``: windows of ``size`` words every ``stride``.
 
     The last window of a transcript is the first that reaches its end. Words are counted in buckets of sequence numbers,
-    so no task walks through a whole transcript. Null texts have no words.
+    so no task walks through a whole transcript, and a cue is shuffled once for each window it reaches into. Null texts have no words.
     """
     words = F.filter(F.split(F.coalesce("original_text", F.lit("")), BLANKS), lambda w: w != "")
     cues = segments.select("transcript_id", "sequence_number", "id", "start_ms", "end_ms", words.alias("ws")).where(F.size("ws") > 0)
-    placed = before(cues.withColumn("bucket", F.floor(F.col("sequence_number") / BUCKET)), ["transcript_id"], "bucket", ["sequence_number", "id"], offset=("sum", F.size("ws")))
-    total = cues.groupBy(F.col("transcript_id").alias("__t")).agg(F.sum(F.size("ws")).alias("total"))
-    long = placed.select("transcript_id", "sequence_number", "id", "start_ms", "end_ms", "offset", F.posexplode("ws").alias("i", "w")).withColumn("at", F.col("offset") + F.col("i"))
+    n, at = F.size("ws"), F.col("offset")
+    placed = before(cues.withColumn("bucket", F.floor(F.col("sequence_number") / BUCKET)), ["transcript_id"], "bucket", ["sequence_number", "id"], offset=("sum", n), total=("total", n))
     last = F.ceil(F.greatest(F.col("total") - size, F.lit(0)) / stride)
-    known = long.join(total, F.col("transcript_id") == F.col("__t"))
-    first = F.greatest(F.ceil((F.col("at") - (size - 1)) / stride), F.lit(0))
-    windows = known.select("*", F.explode(F.sequence(first, F.least(F.floor(F.col("at") / stride), last))).alias("window"))
-    return windows.groupBy("transcript_id", "window").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]), " ").alias("text"),
-        F.count("*").alias("words"), F.min_by("id", "at").alias("first_segment"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+    first = F.greatest(F.ceil((at - (size - 1)) / stride), F.lit(0))
+    until = F.least(F.floor((at + n - 1) / stride), last)
+    # One row for each cue and window it reaches into, with the words it gives.
+    spread = placed.where(first <= until).withColumn("window", F.explode(F.sequence(first, until)))
+    a = F.greatest(F.col("window") * stride - at, F.lit(0))
+    z = F.least(F.col("window") * stride + size - at, n)
+    parts = spread.select("transcript_id", "window", "id", "start_ms", "end_ms", (at + a).alias("at"), (z - a).alias("n"), F.array_join(F.slice("ws", (a + 1).cast("int"), (z - a).cast("int")), " ").alias("part"))
+    return parts.groupBy("transcript_id", "window").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), " ").alias("text"),
+        F.sum("n").alias("words"), F.min_by("id", "at").alias("first_segment"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
     )

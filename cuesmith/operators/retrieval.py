@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,34 +13,48 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def postings(documents: DataFrame, scope: str, key: str, terms: Column) -> DataFrame:
-    """``scope, key, term, tf``."""
-    return documents.select(scope, key, F.explode(terms).alias("term")).groupBy(scope, key, "term").agg(F.count("*").alias("tf"))
+@dataclass
+class Postings:
+    """An inverted index: ``rows`` have ``scope, key, term, tf, dl``, ``terms`` ``__s, __term, df, n_docs, avgdl`` of each scope."""
 
+    rows: DataFrame
+    terms: DataFrame
+    scope: str
+    key: str
 
-def lengths(documents: DataFrame, scope: str, key: str, terms: Column) -> DataFrame:
-    return documents.select(scope, key, F.size(terms).alias("dl"))
 
+TERM_BUCKETS = 16
+"""Parts of a scope's postings by the hash of the term, so that a large scope is no single task's."""
 
-def bm25(queries: DataFrame, documents: DataFrame, scope: str, key: str, terms: Column, k1: float = 1.5, b: float = 0.75, plus_one: bool = True) -> DataFrame:
+
+def index_terms(documents: DataFrame, scope: str, key: str, terms: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Postings:
+    """The postings of documents. Terms of a document are counted where it lies; ``keep`` may write both tables, which are laid
+    out by scope and term so that a lookup reads few row groups."""
+    seen = documents.select(scope, key, terms.alias("ts"))
+    counted = F.transform(F.array_distinct("ts"), lambda t: F.struct(t.alias("term"), F.size(F.filter("ts", lambda x: x == t)).alias("tf")))
+    rows = seen.select(scope, key, F.size("ts").alias("dl"), F.explode(counted).alias("t")).select(scope, key, "t.term", F.col("t.tf").cast("long").alias("tf"), "dl")
+    placed = rows.repartition(scope, F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS))).sortWithinPartitions(scope, "term")
+    rows = keep(placed)
+    sizes = seen.groupBy(F.col(scope).alias("__s")).agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("ts")), F.lit(1.0)).alias("avgdl"))
+    df = rows.groupBy(F.col(scope).alias("__ds"), F.col("term").alias("__term")).agg(F.count("*").alias("df"))
+    return Postings(rows, keep(df.join(sizes, F.col("__ds") == F.col("__s")).drop("__ds")), scope, key)
+
+
+def bm25(queries: DataFrame, index: Postings, k1: float = 1.5, b: float = 0.75, plus_one: bool = True) -> DataFrame:
     """``query_id, key, score`` of every document of a query's scope that shares a term with it, score to 6 digits.
 
     ``queries`` has ``scope, query_id, term`` with one row per occurrence that counts. Statistics are those of the scope.
     With ``plus_one`` the inverse document frequency is ``ln(1 + (N - n + .5) / (n + .5))``, without it
     ``ln((N - n + .5) / (n + .5))``, at least 1e-6.
     """
-    found = postings(documents, scope, key, terms)
-    sizes = lengths(documents, scope, key, terms)
-    stats = sizes.groupBy(F.col(scope).alias("__s")).agg(F.count("*").alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    df = found.groupBy(F.col(scope).alias("__s"), F.col("term").alias("__term")).agg(F.count("*").alias("df"))
+    scope, key = index.scope, index.key
     ratio = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    weights = df.join(stats, "__s").select("__s", "__term", F.when(F.lit(plus_one), F.log(ratio + 1)).otherwise(F.greatest(F.log(ratio), F.lit(1e-6))).alias("idf"), "avgdl")
+    idf = F.when(F.lit(plus_one), F.log(ratio + 1)).otherwise(F.greatest(F.log(ratio), F.lit(1e-6)))
     # The terms of the queries meet the weights first: postings of other terms never leave their tasks.
-    asked = queries.join(weights, (F.col(scope) == F.col("__s")) & (F.col("term") == F.col("__term"))).select(F.col(scope).alias("__qs"), F.col("term").alias("__qt"), "query_id", "idf", "avgdl")
-    sized = found.join(sizes.select(F.col(scope).alias("__ds"), F.col(key).alias("__k"), "dl"), (F.col(scope) == F.col("__ds")) & (F.col(key) == F.col("__k")))
+    asked = queries.join(index.terms, (F.col(scope) == F.col("__s")) & (F.col("term") == F.col("__term"))).select(F.col(scope).alias("__qs"), F.col("term").alias("__qt"), "query_id", idf.alias("idf"), "avgdl")
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = sized.join(asked, (F.col(scope) == F.col("__qs")) & (F.col("term") == F.col("__qt")))
+    hits = index.rows.join(asked, (F.col(scope) == F.col("__qs")) & (F.col("term") == F.col("__qt")))
     return hits.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
 
 

@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from ..sources import subtitles
 from ..tables import table
 from . import sqltext as S
-from .retrieval_queries import CHUNKS, chunked, questions
+from .retrieval_queries import CHUNKS, chunked, index, questions
 from .scalar_queries import messages, segments
 
 QUERIES, SQL = {}, {}
@@ -204,7 +204,7 @@ def d4_timeline(spark, folder):
     Key points are the six of the sample with most of the wanted words, in order of their number; chunks to see again and
     sections are the first of the sample.
     """
-    c = cut_lineage(chunked(spark, folder).select("transcript_id", "window", "text", "start_ms", "end_ms"))
+    c = chunked(spark, folder).select("transcript_id", "window", "text", "start_ms", "end_ms")
     clock = lambda ms: X.minutes_seconds(F.col(ms) / 1000)
     short = lambda n: X.shorten(F.col("text"), n)
     at, number = F.concat(F.lit("["), clock("start_ms"), F.lit("] ")), F.col("place").cast("string")
@@ -228,7 +228,7 @@ def d4_timeline(spark, folder):
 @query("d2_timeline_summary", None)
 def d2_timeline(spark, folder):
     """The short summary of each transcript: the first seven of eight chunks evenly over its whole length."""
-    c = cut_lineage(chunked(spark, folder).select("transcript_id", "window", "text", "start_ms"))
+    c = chunked(spark, folder).select("transcript_id", "window", "text", "start_ms")
     line = F.concat(F.lit("- ["), X.minutes_seconds(F.col("start_ms") / 1000), F.lit("] "), X.shorten(F.col("text"), 150))
     per = at_places(c, lambda n: spaced(n, 8)).where("place <= 7").groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("ls"))
     return per.select("transcript_id", F.concat(F.lit("Summary:\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("summary"))
@@ -239,7 +239,7 @@ def d5(spark, folder):
     """A question for each of three chunks evenly over a transcript; the wrong choices are the first three other texts of the
     whole transcript, rotated by the question's number."""
     text = F.col("text")
-    c = cut_lineage(chunked(spark, folder).select("transcript_id", "window", "chunk_id", "start_ms", "end_ms", X.shorten(text, 180).alias("short"), X.shorten(text, 220).alias("quoted")))
+    c = chunked(spark, folder).select("transcript_id", "window", "chunk_id", "start_ms", "end_ms", X.shorten(text, 180).alias("short"), X.shorten(text, 220).alias("quoted"))
     # Of a transcript's distinct texts the first four: one of them may be the answer.
     texts = c.groupBy(F.col("transcript_id").alias("__t"), "short").agg(F.min("window").alias("first"))
     best = texts.withColumn("nth", F.row_number().over(Window.partitionBy("__t").orderBy("first"))).where("nth <= 4")
@@ -368,24 +368,30 @@ def _asked(spark, folder):
     return questions(spark, folder).select("query_id", "video_id", "question")
 
 
+def _found(spark, folder, mode):
+    at = index(spark, folder)
+    return api.search(_asked(spark, folder), at.chunks, mode, postings=at.postings, vectors=at.vectors)
+
+
 @query("r10_search_context", None)
 def r10(spark, folder):
-    return api.search(_asked(spark, folder), chunked(spark, folder), "hybrid")[0]
+    return _found(spark, folder, "hybrid")[0]
 
 
 @query("r9_reranked_context", None)
 def r9(spark, folder):
-    return api.search(_asked(spark, folder), chunked(spark, folder), "reranked")[0]
+    return _found(spark, folder, "reranked")[0]
 
 
 @query("r14_search_diagnostics", None)
 def r14(spark, folder):
-    return api.search(_asked(spark, folder), chunked(spark, folder), "hybrid")[1]
+    return _found(spark, folder, "hybrid")[1]
 
 
 @query("d11_ask", None)
 def d11(spark, folder):
-    return api.ask(_asked(spark, folder), chunked(spark, folder))
+    at = index(spark, folder)
+    return api.ask(_asked(spark, folder), at.chunks, postings=at.postings, vectors=at.vectors)
 
 
 @query("d12_query_expansion", None)
@@ -395,14 +401,15 @@ def d12(spark, folder):
     videos = table(spark, folder, "videos").select("id")
     asked = videos.select(F.col("id").alias("video_id"), F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, wanted))).alias("q"))
     terms = asked.select("video_id", "query_id", F.explode(X.tokens(F.col("q"))).alias("term"))
-    return retrieval.top(retrieval.bm25(terms, chunked(spark, folder), "video_id", "chunk_id", X.tokens(F.col("text"))), 6, "chunk_id")
+    return retrieval.top(retrieval.bm25(terms, index(spark, folder).postings), 6, "chunk_id")
 
 
 @query("f23_feature_hash", None)
 def f23(spark, folder):
     from ..functions.embedding import hash_features
 
-    return messages(spark, folder).select(F.explode(X.tokens(F.col("question"))).alias("word")).distinct().select("word", hash_features("word").alias("bucket"))
+    words = messages(spark, folder).select(F.explode(X.tokens(F.col("question"))).alias("word")).distinct()
+    return words.select("word", hash_features("word").alias("h")).select("word", "h.bucket", "h.sign")
 
 
 @query("w18_split_units", None)

@@ -60,7 +60,6 @@ both("pred17_cache_lookup", f"SELECT m.video_id, m.retrieval_mode, m.question, m
 # Joins
 both("j2_hydration", f"SELECT i.id AS version_id, t.provider, t.language_code, v.title FROM index_versions i JOIN transcripts t ON t.id = i.transcript_id JOIN videos v ON v.id = i.video_id")
 both("j7_previous_of_child", f"SELECT a.id, b.id AS previous_id FROM {SEG} a LEFT JOIN {SEG} b ON b.transcript_id = a.transcript_id AND b.sequence_number = a.sequence_number - 1")
-both("j8_neighbours", f"SELECT a.id, b.id AS neighbour_id, b.sequence_number - a.sequence_number AS side FROM {SEG} a JOIN {SEG} b ON b.transcript_id = a.transcript_id AND b.sequence_number IN (a.sequence_number - 1, a.sequence_number + 1)")
 both("j9_semi_join", "SELECT v.id FROM videos v WHERE EXISTS (SELECT 1 FROM chat_messages m WHERE m.video_id = v.id)")
 both("j9_anti_join", "SELECT t.id FROM transcripts t WHERE NOT EXISTS (SELECT 1 FROM index_versions i WHERE i.transcript_id = t.id AND i.status = 'active')")
 both("j11_entity_graph", f"SELECT v.id, count(DISTINCT t.id) AS transcripts, count(DISTINCT i.id) AS versions FROM videos v LEFT JOIN transcripts t ON t.video_id = v.id LEFT JOIN index_versions i ON i.transcript_id = t.id GROUP BY v.id")
@@ -99,7 +98,6 @@ both("k12_newest_first", f"SELECT c.video_id, c.message_id, max(c.created_at) AS
 both("g1_state_machine", "SELECT event_id, user_id, event_type, previous, CASE WHEN previous IS NULL THEN event_type = 'signup' OR event_type = 'view' WHEN previous = 'error' THEN event_type IN ('view', 'signup') WHEN event_type = 'purchase' THEN previous IN ('view', 'click') ELSE true END AS legal FROM (SELECT e.event_id, e.user_id, e.event_type, lag(e.event_type) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS previous FROM events e) l")
 both("g2_idempotent_create", "SELECT k, min(event_id) AS event_id, count(*) AS n FROM (SELECT e.event_id, concat(CAST(e.user_id AS VARCHAR(40)), ':', e.event_type, ':', CAST(e.event_id % 10 AS VARCHAR(40))) AS k FROM events e) x GROUP BY k")
 both("g3_crash_recovery", "SELECT user_id, CASE WHEN last_type IN ('view', 'click') THEN 'failed' ELSE last_type END AS state, last_type IN ('view', 'click') AS retryable FROM (SELECT e.user_id, max_by(e.event_type, e.event_id) AS last_type FROM events e GROUP BY e.user_id) x")
-both("g10_retry", "SELECT e.event_id, e.user_id FROM events e WHERE e.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_id > e.event_id AND f.event_type = 'error')")
 both("s10_language_rank", "SELECT t.id, CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END AS rk FROM transcripts t")
 both("s9_track_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END, CASE t.source_format WHEN 'vtt' THEN 0 WHEN 'srv3' THEN 1 ELSE 2 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
 both("s8_structured_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' THEN 0 WHEN lower(t.language_code) = 'en' THEN 1 ELSE 2 END, CASE WHEN t.transcript_type = 'manual' THEN 0 ELSE 1 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
@@ -110,6 +108,14 @@ both("s16_dataset_rules", f"SELECT 'unknown video' AS rule, m.message_id AS id F
 both("s19_cue_rules", "SELECT x.transcript_id, x.sequence_number, trim(coalesce(x.text, '')) = '' AS blank, x.end_ms <= x.start_ms AS reversed FROM (SELECT DISTINCT transcript_id, sequence_number, text, start_ms, end_ms FROM source_segments y) x WHERE trim(coalesce(x.text, '')) = '' OR x.end_ms <= x.start_ms OR x.start_ms < 0")
 
 
+@query("j8_neighbours", f"WITH {S.SEGMENTS} SELECT a.id, b.id AS neighbour_id, b.sequence_number - a.sequence_number AS side FROM seg a JOIN seg b ON b.transcript_id = a.transcript_id AND abs(b.sequence_number - a.sequence_number) = 1")
+def j8(spark, folder):
+    """Each cue asks for the numbers beside its own, so that the join is on equal keys."""
+    s = segments(spark, folder).select("id", "transcript_id", "sequence_number")
+    wanted = s.select("id", F.col("transcript_id").alias("__t"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), "sequence_number").withColumn("__n", F.col("sequence_number") + F.col("side")).drop("sequence_number")
+    return wanted.join(s.withColumnRenamed("id", "neighbour_id"), (F.col("__t") == F.col("transcript_id")) & (F.col("__n") == F.col("sequence_number"))).select("id", "neighbour_id", "side")
+
+
 @query("a6_interval_union", INTERVAL_SQL["p1_summary"])
 def a6(spark, folder):
     return intervals.summary(segments(spark, folder))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cached_property
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.embedding import embed
 from ..operators import chunks, retrieval
-from ..session import cut_lineage
+from ..session import file_state, stored
 from ..tables import table
 from . import sqltext as S
 from .scalar_queries import messages, segments
@@ -28,13 +29,57 @@ def query(name, sql):
     return put
 
 
-def chunked(spark, folder):
+def made_chunks(spark, folder):
     """Chunks of every transcript: ``chunk_id, video_id, transcript_id, window, text, start_ms, end_ms``."""
     windows = chunks.word_windows(segments(spark, folder))
     videos = table(spark, folder, "transcripts").select(F.col("id").alias("__t"), "video_id")
     return windows.join(videos, F.col("transcript_id") == F.col("__t")).drop("__t").withColumn("chunk_id", F.concat("transcript_id", F.lit(":"), F.lpad(F.col("window").cast("string"), 6, "0")))
 
 
+class Index:
+    """What queries of one session read of a folder's chunks: the chunks, their postings and their vectors, each written to the
+    shared folder when first asked for."""
+
+    def __init__(self, spark, folder, state) -> None:
+        self.spark, self.folder, self.state, self.written = spark, folder, state, []
+
+    def _keep(self, df):
+        self.written.append(stored(df))
+        return self.written[-1]
+
+    def holds(self, state) -> bool:
+        """Whether the tables are those it was made of, and what was written is still there."""
+        return self.state == state and all(file_state(self.spark, w.inputFiles()[0]) for w in self.written if w.inputFiles())
+
+    @cached_property
+    def chunks(self):
+        return self._keep(made_chunks(self.spark, self.folder))
+
+    @cached_property
+    def postings(self):
+        return retrieval.index_terms(self.chunks, "video_id", "chunk_id", X.tokens(F.col("text")), self._keep)
+
+    @cached_property
+    def folded(self):
+        return retrieval.index_terms(self.chunks, "video_id", "chunk_id", folded_tokens(F.col("text")), self._keep)
+
+    @cached_property
+    def vectors(self):
+        return self._keep(self.chunks.select("video_id", F.col("chunk_id").alias("id"), embed("text").alias("embedding")))
+
+
+def index(spark, folder) -> Index:
+    known = spark.sparkContext.__dict__.setdefault("_cuesmith_indexes", {})
+    state = tuple(file_state(spark, f"{folder}/{name}.parquet") for name in ("transcripts", "transcript_segments"))
+    if folder not in known or not known[folder].holds(state):
+        known[folder] = Index(spark, folder, state)
+    return known[folder]
+
+
+def chunked(spark, folder):
+    return index(spark, folder).chunks
+
+
 def questions(spark, folder):
     """Each question of a video once: ``video_id, query_id, question``."""
     return messages(spark, folder).groupBy("video_id", "question").agg(F.min("message_id").alias("query_id"))
@@ -53,7 +98,7 @@ QUESTIONS = f"{S.MESSAGES}, questions AS (SELECT video_id, question, min(message
 
 @query("w5_word_windows", f"WITH {CHUNKS} SELECT chunk_id, text, words, first_segment, start_ms, end_ms FROM chunks")
 def w5(spark, folder):
-    return chunked(spark, folder).select("chunk_id", "text", "words", "first_segment", "start_ms", "end_ms")
+    return made_chunks(spark, folder).select("chunk_id", "text", "words", "first_segment", "start_ms", "end_ms")
 
 
 TERMS = f"{CHUNKS}, toks AS (SELECT video_id, chunk_id, {S.tokens('text')} AS ts FROM chunks), post AS (SELECT video_id, chunk_id, term, count(*) AS tf FROM (SELECT video_id, chunk_id, unnest(ts) AS term FROM toks) GROUP BY ALL)"
@@ -61,17 +106,17 @@ TERMS = f"{CHUNKS}, toks AS (SELECT video_id, chunk_id, {S.tokens('text')} AS ts
 
 @query("a1_document_frequency", f"WITH {TERMS} SELECT video_id, term, count(*) AS df FROM post GROUP BY ALL")
 def a1(spark, folder):
-    return retrieval.postings(chunked(spark, folder), "video_id", "chunk_id", X.tokens(F.col("text"))).groupBy("video_id", "term").agg(F.count("*").alias("df"))
+    return index(spark, folder).postings.terms.select(F.col("__s").alias("video_id"), F.col("__term").alias("term"), "df")
 
 
 @query("a2_term_frequency", f"WITH {TERMS} SELECT chunk_id, term, tf FROM post")
 def a2(spark, folder):
-    return retrieval.postings(chunked(spark, folder), "video_id", "chunk_id", X.tokens(F.col("text"))).drop("video_id")
+    return index(spark, folder).postings.rows.select("chunk_id", "term", "tf")
 
 
 @query("a3_average_length", f"WITH {TERMS} SELECT video_id, round(greatest(avg(len(ts)), 1.0), 6) AS avgdl, count(*) AS n_docs FROM toks GROUP BY 1")
 def a3(spark, folder):
-    sizes = retrieval.lengths(chunked(spark, folder), "video_id", "chunk_id", X.tokens(F.col("text")))
+    sizes = chunked(spark, folder).select("video_id", F.size(X.tokens(F.col("text"))).alias("dl"))
     return sizes.groupBy("video_id").agg(F.round(F.greatest(F.avg("dl"), F.lit(1.0)), 6).alias("avgdl"), F.count("*").alias("n_docs"))
 
 
@@ -83,9 +128,8 @@ BM25 = f"""{TERMS}, {QUESTIONS}, df AS (SELECT video_id, term, count(*) AS df FR
 
 
 def scored(spark, folder):
-    docs = chunked(spark, folder)
     asked = questions(spark, folder).select("video_id", "query_id", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("term"))
-    return retrieval.bm25(asked, docs, "video_id", "chunk_id", X.tokens(F.col("text")))
+    return retrieval.bm25(asked, index(spark, folder).postings)
 
 
 @query("a4_bm25_scores", f"WITH {BM25} SELECT * FROM bm")
@@ -123,16 +167,14 @@ FTS = f"""{CHUNKS}, {QUESTIONS}, toks AS (SELECT video_id, chunk_id, {_sql_folde
 
 @query("r2_full_text_search", f"WITH {FTS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 20")
 def r2(spark, folder):
-    docs = chunked(spark, folder).select("video_id", "chunk_id", folded_tokens(F.col("text")).alias("ts"))
-    post = retrieval.postings(docs, "video_id", "chunk_id", F.col("ts"))
-    df = post.groupBy(F.col("term").alias("__term")).agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("ts")), F.lit(1.0)).alias("avgdl"))  # one row
+    post = index(spark, folder).folded
+    total = chunked(spark, folder).agg(F.count("*").alias("n"), F.greatest(F.avg(F.size(folded_tokens(F.col("text")))), F.lit(1.0)).alias("mean"))  # one row
+    everywhere = post.terms.groupBy(F.col("__term").alias("__t")).agg(F.sum("df").alias("all"))
     asked = questions(spark, folder).select(F.col("video_id").alias("__v"), "query_id", F.explode(folded_tokens(F.col("question"))).alias("__q"))
-    weighted = asked.join(df, F.col("__q") == F.col("__term")).crossJoin(F.broadcast(total))
-    sized = post.join(docs.select(F.col("chunk_id").alias("__c"), F.size("ts").alias("dl")), F.col("chunk_id") == F.col("__c"))
-    hits = sized.join(weighted, (F.col("video_id") == F.col("__v")) & (F.col("term") == F.col("__q")))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("avgdl")))
+    weighted = asked.join(everywhere, F.col("__q") == F.col("__t")).crossJoin(F.broadcast(total))
+    hits = post.rows.join(weighted, (F.col("video_id") == F.col("__v")) & (F.col("term") == F.col("__q")))
+    idf = F.greatest(F.log((F.col("n") - F.col("all") + 0.5) / (F.col("all") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("mean")))
     return retrieval.top(hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), 20, "chunk_id")
 
 
@@ -221,9 +263,8 @@ def r8(spark, folder):
 
 
 def embedded(spark, folder):
-    docs = chunked(spark, folder).select("video_id", F.col("chunk_id").alias("id"), embed("text").alias("embedding"))
     asked = questions(spark, folder).select("video_id", "query_id", embed("question").alias("embedding"))
-    return asked, docs
+    return asked, index(spark, folder).vectors
 
 
 @query("r7_hybrid_search", None)
@@ -342,7 +383,7 @@ def every_metrics(spark, folder):
     The gain's ideal counts the hits found, as in the reference. A question without a relevant chunk scores 1, and is a
     false positive if anything was retrieved; one that found nothing of what there is scores 0.
     """
-    docs = cut_lineage(chunked(spark, folder).select("video_id", "chunk_id", "text"))
+    docs = chunked(spark, folder).select("video_id", "chunk_id", "text")
     topic = F.lower(F.regexp_extract("question", "(?:about|về|đề cập|with|mention|nhắc đến|is|thì) (.{6,24})", 1))
     asked = questions(spark, folder).select("video_id", "query_id", "question", topic.alias("topic"))
     # Topics repeat within a video, so each meets its chunks once.
@@ -350,7 +391,7 @@ def every_metrics(spark, folder):
     rel = topics.join(docs, (F.col("__v") == F.col("video_id")) & F.contains(F.lower("text"), F.col("topic"))).select("__v", F.col("topic").alias("__t"), F.col("chunk_id").alias("__c"))
     counts = rel.groupBy("__v", "__t").agg(F.count("*").alias("relevant"))
     terms = asked.select("video_id", "query_id", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("term"))
-    best = retrieval.top(retrieval.bm25(terms, docs, "video_id", "chunk_id", X.tokens(F.col("text"))), 3, "chunk_id").select(F.col("query_id").alias("__q"), "chunk_id", "rank")
+    best = retrieval.top(retrieval.bm25(terms, index(spark, folder).postings), 3, "chunk_id").select(F.col("query_id").alias("__q"), "chunk_id", "rank")
     lists = asked.join(best, F.col("query_id") == F.col("__q"), "left").join(rel, (F.col("video_id") == F.col("__v")) & (F.col("topic") == F.col("__t")) & (F.col("chunk_id") == F.col("__c")), "left")
     good = F.col("__c").isNotNull()
     per = lists.groupBy("query_id", "video_id", "topic").agg(
@@ -382,10 +423,8 @@ def a11_every(spark, folder):
 
 @query("r13_tf_ranking", f"WITH {TERMS}, {QUESTIONS}, dl AS (SELECT chunk_id, len(ts) AS dl FROM toks), asked AS (SELECT query_id, video_id, unnest(list_distinct({S.tokens('question')})) AS term FROM questions), s AS (SELECT query_id, chunk_id, round(sum(tf) / sqrt(greatest(any_value(dl), 1)), 6) AS score FROM asked JOIN post USING (video_id, term) JOIN dl USING (chunk_id) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s")
 def r13(spark, folder):
-    docs = chunked(spark, folder)
     asked = questions(spark, folder).select(F.col("video_id").alias("__v"), "query_id", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("__q"))
-    post = retrieval.postings(docs, "video_id", "chunk_id", X.tokens(F.col("text")))
-    sizes = retrieval.lengths(docs, "video_id", "chunk_id", X.tokens(F.col("text"))).select(F.col("chunk_id").alias("__c"), "dl")
-    hits = post.join(asked, (F.col("video_id") == F.col("__v")) & (F.col("term") == F.col("__q"))).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"))
-    s = hits.join(sizes, F.col("chunk_id") == F.col("__c")).select("query_id", "chunk_id", F.round(F.col("tf") / F.sqrt(F.greatest("dl", F.lit(1))), 6).alias("score"))
+    post = index(spark, folder).postings.rows
+    hits = post.join(asked, (F.col("video_id") == F.col("__v")) & (F.col("term") == F.col("__q"))).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    s = hits.select("query_id", "chunk_id", F.round(F.col("tf") / F.sqrt(F.greatest("dl", F.lit(1))), 6).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")).cast("long"))
