@@ -261,13 +261,6 @@ def d6(spark, folder):
     return m.select("message_id", ((F.size("sources") >= 1) & (F.coalesce("answer", F.lit("")) != "") & (F.trim("question") != "")).alias("usable"))
 
 
-@query("c5_publication", "WITH n AS (SELECT video_id, provider, content_hash, parser_version, min(id) AS id FROM transcripts GROUP BY ALL) SELECT t.id, n.id AS published_id, t.id = n.id AS is_new FROM transcripts t JOIN n ON n.video_id = t.video_id AND n.provider = t.provider AND n.content_hash = t.content_hash AND n.parser_version = t.parser_version")
-def c5(spark, folder):
-    t = table(spark, folder, "transcripts").select("id", "video_id", "provider", "content_hash", "parser_version")
-    first = F.min("id").over(Window.partitionBy("video_id", "provider", "content_hash", "parser_version"))
-    return t.where("video_id IS NOT NULL AND provider IS NOT NULL AND content_hash IS NOT NULL AND parser_version IS NOT NULL").select("id", first.alias("published_id")).withColumn("is_new", F.col("id") == F.col("published_id"))
-
-
 # Fixed value: how often the reference's player reads its position.
 PLAYER_MS = 500
 
@@ -297,22 +290,6 @@ def g8_positions(spark, folder):
     return at.select("transcript_id", (F.col("at") * PLAYER_MS).alias("position_ms"), "id")
 
 
-@query("k1_written_table", "SELECT id, title, status FROM videos")
-def k1(spark, folder):
-    """A table written to the shared folder and read again."""
-    return cut_lineage(table(spark, folder, "videos").select("id", "title", "status"))
-
-
-@query("k2_appended_rows", "SELECT id FROM videos UNION ALL SELECT id FROM transcripts UNION ALL SELECT DISTINCT id FROM transcript_segments")
-def k2(spark, folder):
-    return table(spark, folder, "videos").select("id").unionByName(table(spark, folder, "transcripts").select("id")).unionByName(segments(spark, folder).select("id"))
-
-
-@query("k6_vector_partitions", "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY 1")
-def k6(spark, folder):
-    return table(spark, folder, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
-
-
 @query(
     "k7_posting_update",
     f"""WITH {S.SEGMENTS}, changed AS (SELECT DISTINCT transcript_id FROM index_versions WHERE status = 'building'), old AS (SELECT * FROM seg WHERE transcript_id NOT IN (SELECT transcript_id FROM changed)),
@@ -334,22 +311,6 @@ def k11(spark, folder):
     return m.groupBy("retrieval_mode").agg(F.format_string("| %s | %d | %d |", F.first("retrieval_mode"), F.count("*"), F.count("answer")).alias("line"))
 
 
-@query("g11_attempt_report", "SELECT event_id, event_type <> 'error' AS succeeded, greatest(CAST(floor(value * 10) AS BIGINT), 0) AS elapsed_ms FROM events")
-def g11(spark, folder):
-    return table(spark, folder, "events").select("event_id", (F.col("event_type") != "error").alias("succeeded"), F.greatest(F.floor(F.col("value") * 10), F.lit(0).cast("long")).alias("elapsed_ms"))
-
-
-@query("g12_component_health", "SELECT user_id, bool_and(event_type <> 'error') AS operational FROM events GROUP BY 1")
-def g12(spark, folder):
-    return table(spark, folder, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type") != "error").alias("operational"))
-
-
-@query("g13_failure_status", "SELECT event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'purchase' THEN 409 WHEN 'signup' THEN 404 ELSE 200 END AS status FROM events")
-def g13(spark, folder):
-    kind = F.col("event_type")
-    return table(spark, folder, "events").select("event_id", F.when(kind == "error", 503).when(kind == "purchase", 409).when(kind == "signup", 404).otherwise(200).alias("status"))
-
-
 @query("d3_merged_sections", f"WITH {CHUNKS} SELECT transcript_id, \"window\" // 4 AS section, string_agg({S.shorten('text', 350)}, chr(10) ORDER BY \"window\") AS text FROM chunks GROUP BY ALL")
 def d3(spark, folder):
     c = chunked(spark, folder).withColumn("section", F.floor(F.col("window") / 4))

@@ -90,14 +90,6 @@ both("u2_set_algebra", "(SELECT t.video_id FROM transcripts t INTERSECT SELECT m
 both("u3_subset", "SELECT e.user_id, count(DISTINCT CASE WHEN e.event_type IN ('view', 'click') THEN e.event_type END) = 2 AS has_all FROM events e GROUP BY e.user_id")
 
 # Versions and jobs
-both("r17_activation", "SELECT i.id, CASE WHEN i.id = n.newest THEN 'active' WHEN i.status = 'active' THEN 'retired' ELSE i.status END AS status FROM index_versions i JOIN (SELECT b.transcript_id, max(b.id) AS newest FROM index_versions b WHERE b.status IN ('active', 'building') GROUP BY b.transcript_id) n ON n.transcript_id = i.transcript_id")
-both("k3_upsert", f"SELECT video_id, question, answer, first_id, message_id FROM (SELECT m.*, min(m.message_id) OVER (PARTITION BY m.video_id, m.question) AS first_id, row_number() OVER (PARTITION BY m.video_id, m.question ORDER BY m.message_id DESC) AS rk FROM {MSG} m) r WHERE rk = 1")
-both("k4_replace_partition", f"SELECT s.id, s.transcript_id FROM {SEG} s WHERE NOT EXISTS (SELECT 1 FROM index_versions i WHERE i.transcript_id = s.transcript_id AND i.status = 'building') UNION ALL SELECT concat('new-', i.id), i.transcript_id FROM index_versions i WHERE i.status = 'building'")
-both("k5_cascade_delete", f"SELECT s.id FROM {SEG} s JOIN transcripts t ON t.id = s.transcript_id WHERE NOT EXISTS (SELECT 1 FROM videos v WHERE v.id = t.video_id AND v.channel_title IS NULL)")
-both("k12_newest_first", f"SELECT c.video_id, c.message_id, max(c.created_at) AS created_at FROM chat_messages c GROUP BY c.video_id, c.message_id ORDER BY created_at DESC, c.message_id")
-both("g1_state_machine", "SELECT event_id, user_id, event_type, previous, CASE WHEN previous IS NULL THEN event_type = 'signup' OR event_type = 'view' WHEN previous = 'error' THEN event_type IN ('view', 'signup') WHEN event_type = 'purchase' THEN previous IN ('view', 'click') ELSE true END AS legal FROM (SELECT e.event_id, e.user_id, e.event_type, lag(e.event_type) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS previous FROM events e) l")
-both("g2_idempotent_create", "SELECT k, min(event_id) AS event_id, count(*) AS n FROM (SELECT e.event_id, concat(CAST(e.user_id AS VARCHAR(40)), ':', e.event_type, ':', CAST(e.event_id % 10 AS VARCHAR(40))) AS k FROM events e) x GROUP BY k")
-both("g3_crash_recovery", "SELECT user_id, CASE WHEN last_type IN ('view', 'click') THEN 'failed' ELSE last_type END AS state, last_type IN ('view', 'click') AS retryable FROM (SELECT e.user_id, max_by(e.event_type, e.event_id) AS last_type FROM events e GROUP BY e.user_id) x")
 both("s10_language_rank", "SELECT t.id, CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END AS rk FROM transcripts t")
 both("s9_track_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END, CASE t.source_format WHEN 'vtt' THEN 0 WHEN 'srv3' THEN 1 ELSE 2 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
 both("s8_structured_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' THEN 0 WHEN lower(t.language_code) = 'en' THEN 1 ELSE 2 END, CASE WHEN t.transcript_type = 'manual' THEN 0 ELSE 1 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
