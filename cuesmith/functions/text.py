@@ -134,3 +134,51 @@ def normalize(texts: pd.Series) -> pd.Series:
 def fold_accents(texts: pd.Series) -> pd.Series:
     """Lower case without combining marks; letters without a decomposition stay."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn"))
+
+
+# The headings that notes must have.
+NOTE_HEADINGS = ("Mục tiêu bài học", "Khái niệm chính", "Giải thích", "Timestamp nên xem lại")
+
+
+def usable_text(text: Column) -> dict[str, Column]:
+    """Whether a generated text would do as a ``summary`` (35 words, last line ended), a ``short`` one (three bullets besides) or as
+    ``notes`` (45 words and all headings)."""
+    lines = F.split(text, "\n")
+    full = F.filter(lines, lambda x: F.trim(x) != "")
+    complete = F.coalesce(F.trim(F.try_element_at(full, F.lit(-1))).rlike("[.!?)\\]]$"), F.lit(False))
+    words = F.size(F.filter(F.split(text, BLANKS), lambda w: w != ""))
+    bullets = F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*]")))
+    headed = F.lit(True)
+    for h in NOTE_HEADINGS:
+        headed = headed & F.contains(text, F.lit(h))
+    summary = (words >= 35) & complete
+    return {"summary": summary, "short": summary & (bullets >= 3), "notes": (words >= 45) & complete & headed}
+
+
+def json_object(reply: Column) -> Column:
+    """From the first brace of a reply to the last one, a code fence around it left out; null without one."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(reply), "^```[a-zA-Z]*\\s*", ""), "\\s*```$", "")
+    return F.nullif(F.regexp_extract(bare, "(?s)(\\{.*\\})", 1), F.lit(""))
+
+
+def language_rank(code: Column, preferred: tuple[str, ...]) -> Column:
+    """Place of the first preferred language that the code is or begins with, from 1; one more than there are for others."""
+    low = F.replace(F.lower(F.trim(code)), F.lit("_"), F.lit("-"))
+    rank = F.lit(len(preferred) + 1)
+    for i, k in reversed(list(enumerate(preferred, 1))):
+        rank = F.when((low == k) | low.startswith(f"{k}-"), i).otherwise(rank)
+    return rank
+
+
+def sentence_spans(text: Column) -> Column:
+    """Array of ``from_char, to_char, sentence``, blanks around a sentence left out; a mark ends one before a blank or the end."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s).+?(?:[.!?。！？]+(?=\\s)|$)"), F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from_char: bigint, to_char: bigint, sentence: string>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        left = acc["at"] + F.char_length(p) - F.char_length(F.ltrim(p))
+        right = acc["at"] + F.char_length(F.rtrim(p))
+        one = F.array(F.struct(left.cast("long").alias("from_char"), right.cast("long").alias("to_char"), F.trim(p).alias("sentence")))
+        return F.struct((acc["at"] + F.char_length(p)).cast("long").alias("at"), F.when(F.trim(p) == "", acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda a: a["out"])

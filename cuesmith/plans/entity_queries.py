@@ -177,9 +177,9 @@ _COMMANDS = """SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'sig
         CASE WHEN NOT ok THEN r WHEN command = 'fail' THEN can_retry WHEN command = 'advance' THEN r ELSE false END, ok
       FROM (
         SELECT o.*, s.status AS was, s.stage AS spot, s.retryable AS r,
-          CASE command WHEN 'start' THEN s.status = 'pending' WHEN 'advance' THEN s.status = 'running' AND target > s.stage WHEN 'succeed' THEN s.status = 'running' AND s.stage = 7
+          CASE o.command WHEN 'start' THEN s.status = 'pending' WHEN 'advance' THEN s.status = 'running' AND target > s.stage WHEN 'succeed' THEN s.status = 'running' AND s.stage = 7
             WHEN 'retry' THEN s.status = 'failed' AND s.retryable ELSE s.status IN ('pending', 'running') END AS ok,
-          CASE command WHEN 'start' THEN 'running' WHEN 'advance' THEN 'running' WHEN 'succeed' THEN 'ready' WHEN 'retry' THEN 'pending' WHEN 'fail' THEN 'failed' ELSE 'cancelled' END AS next
+          CASE o.command WHEN 'start' THEN 'running' WHEN 'advance' THEN 'running' WHEN 'succeed' THEN 'ready' WHEN 'retry' THEN 'pending' WHEN 'fail' THEN 'failed' ELSE 'cancelled' END AS next
         FROM s JOIN o ON o.job_id = s.job_id AND o.n = s.n + 1)
     ), names AS (SELECT unnest(range(9)) AS i, unnest(['pending', 'fetching_metadata', 'fetching_transcript', 'normalizing', 'validating', 'chunking', 'embedding', 'committing', 'complete']) AS name)
     SELECT job_id, event_id, command, status_before, b.name AS stage_before, status, a.name AS stage, retryable, legal FROM s JOIN names a ON a.i = s.stage JOIN names b ON b.i = s.stage_before WHERE n > 0""",

@@ -380,9 +380,3 @@ def w18(spark, folder):
     return segments(spark, folder).where("original_text IS NOT NULL").select("id", F.posexplode(split_units("original_text")).alias("place", "unit"))
 
 
-@query("w22_rising_stamps", "SELECT id, updated_at, max(updated_at) OVER () >= updated_at AS ordered FROM videos")
-def w22(spark, folder):
-    """Whether each stamp is at most the newest, which the next one has to exceed."""
-    v = table(spark, folder, "videos").select("id", "updated_at")
-    newest = v.agg(F.max("updated_at").alias("newest"))  # one row
-    return v.crossJoin(F.broadcast(newest)).select("id", "updated_at", (F.col("newest") >= F.col("updated_at")).alias("ordered"))

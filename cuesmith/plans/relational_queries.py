@@ -47,13 +47,11 @@ SEG = "(SELECT DISTINCT id, transcript_id, sequence_number, original_text, norma
 
 # Lookups and predicates
 both("pred1_primary_key", f"SELECT m.message_id, v.title, v.status FROM {MSG} m JOIN videos v ON v.id = m.video_id")
-both("pred2_unique_key", "SELECT t.video_id, t.provider, t.content_hash, t.parser_version, t.normalizer_version, min(t.id) AS id, count(*) AS n FROM transcripts t GROUP BY t.video_id, t.provider, t.content_hash, t.parser_version, t.normalizer_version")
 both("pred3_active_version", "SELECT t.id AS transcript_id, i.id AS version_id, i.fingerprint FROM transcripts t JOIN index_versions i ON i.transcript_id = t.id WHERE t.is_active AND i.status = 'active'")
 both("pred4_newest_active_job", "SELECT e.user_id, max_by(e.event_id, e.event_id) AS event_id, count(*) AS n FROM events e WHERE e.event_type IN ('view', 'click') GROUP BY e.user_id")
 both("pred5_running_jobs", "SELECT i.id, i.video_id, i.transcript_id FROM index_versions i WHERE i.status = 'building'")
 both("pred8_segment_count", f"SELECT t.video_id, count(*) AS n FROM {SEG} s JOIN transcripts t ON t.id = s.transcript_id GROUP BY t.video_id")
 both("pred9_filter_after_top", "SELECT user_id, event_id, value FROM (SELECT e.user_id, e.event_id, e.value, row_number() OVER (PARTITION BY e.user_id ORDER BY e.value DESC, e.event_id) AS rk FROM events e) r WHERE rk <= 3 AND value > 50")
-both("pred10_substring", f"SELECT s.id, s.transcript_id FROM {SEG} s WHERE contains(lower(s.original_text), lower(trim(' Micro ')))")
 both("pred15_projection", "SELECT t.id AS transcript_id, t.language_code, t.transcript_type, t.is_active, t.quality_diagnostics.covered_ms AS covered_ms, t.quality_diagnostics.largest_gap_ms AS largest_gap_ms FROM transcripts t")
 both("pred17_cache_lookup", f"SELECT m.video_id, m.retrieval_mode, m.question, max(m.message_id) AS message_id FROM {MSG} m GROUP BY m.video_id, m.retrieval_mode, m.question")
 
@@ -70,16 +68,12 @@ both("j13_library_merge", f"SELECT coalesce(v.id, m.video_id) AS id, coalesce(v.
 both("a7_segment_counts", f"SELECT s.transcript_id, count(*) AS n, CAST(count_if(s.normalized_text IS NULL) AS BIGINT) AS unnormalized, CAST(count_if(s.end_ms <= s.start_ms) AS BIGINT) AS reversed FROM {SEG} s GROUP BY s.transcript_id")
 both("a8_sectioning", f"SELECT s.transcript_id, max(s.end_ms) - min(s.start_ms) AS span_ms, CAST(sum(length(s.original_text)) AS BIGINT) AS chars, max(s.end_ms) - min(s.start_ms) >= 1200000 OR sum(length(s.original_text)) > 9000 AS sectioned FROM {SEG} s GROUP BY s.transcript_id")
 both("a9_duration", f"SELECT s.transcript_id, CAST(floor(max(s.end_ms) / 1000) AS INT) AS seconds FROM {SEG} s GROUP BY s.transcript_id")
-both("a14_answer_tally", f"SELECT m.video_id, count(*) AS asked, CAST(count_if(m.answer IS NOT NULL AND m.answer <> '') AS BIGINT) AS answered, CAST(count_if(m.answer IS NULL OR m.answer = '') AS BIGINT) AS unanswered FROM {MSG} m GROUP BY m.video_id")
 both("a15_best_of_group", "SELECT e.event_type, round(max(e.value), 6) AS best, round(avg(e.value), 6) AS mean FROM events e GROUP BY e.event_type")
-both("a20_usage", "SELECT e.user_id, CAST(sum(e.event_id % 7) AS BIGINT) AS input_units, CAST(sum(e.event_id % 3) AS BIGINT) AS output_units, CAST(sum(e.event_id % 7 + e.event_id % 3) AS BIGINT) AS total_units FROM events e GROUP BY e.user_id")
 
 # Ranks and orders
 both("w1_dense_rank", "SELECT user_id, event_type, first_event, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_event) AS BIGINT) AS rk FROM (SELECT e.user_id, e.event_type, min(e.event_id) AS first_event FROM events e GROUP BY e.user_id, e.event_type) f")
 both("w2_enumeration", f"SELECT m.video_id, m.message_id, CAST(row_number() OVER (PARTITION BY m.video_id ORDER BY m.message_id) AS BIGINT) AS rk FROM {MSG} m")
-both("w3_attempt_numbers", "SELECT e.event_id, CAST(10 + row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS BIGINT) AS attempt FROM events e")
 both("t2_stable_top", "SELECT event_type, event_id, value FROM (SELECT e.event_type, e.event_id, e.value, row_number() OVER (PARTITION BY e.event_type ORDER BY e.value DESC, e.event_id) AS rk FROM events e) r WHERE rk <= 20")
-both("t4_null_last_order", f"SELECT video_id, message_id, CAST(rk AS BIGINT) AS rk FROM (SELECT m.video_id, m.message_id, row_number() OVER (PARTITION BY m.video_id ORDER BY coalesce(length(m.groundedness_warning), -1) DESC, length(m.question) DESC, m.message_id) AS rk FROM {MSG} m) r WHERE rk <= 10")
 both("t5_recent_videos", "SELECT v.id, v.updated_at FROM videos v ORDER BY v.updated_at DESC, v.id LIMIT 20")
 both("t6_ordered_listing", f"SELECT s.transcript_id, s.sequence_number, s.id FROM {SEG} s ORDER BY s.transcript_id, s.sequence_number, s.id")
 both("t10_arg_min", "SELECT t.video_id, min_by(t.id, concat(CASE WHEN t.transcript_type = 'manual' THEN '0' WHEN t.transcript_type = 'generated' THEN '1' ELSE '2' END, t.id)) AS chosen FROM transcripts t GROUP BY t.video_id")
@@ -92,12 +86,8 @@ both("u3_subset", "SELECT e.user_id, count(DISTINCT CASE WHEN e.event_type IN ('
 # Versions and jobs
 both("s10_language_rank", "SELECT t.id, CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END AS rk FROM transcripts t")
 both("s9_track_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END, CASE t.source_format WHEN 'vtt' THEN 0 WHEN 'srv3' THEN 1 ELSE 2 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
-both("s8_structured_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' THEN 0 WHEN lower(t.language_code) = 'en' THEN 1 ELSE 2 END, CASE WHEN t.transcript_type = 'manual' THEN 0 ELSE 1 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
 both("s11_fallback_chain", "SELECT e.user_id, min(CASE WHEN e.event_type <> 'error' THEN e.event_id END) AS first_success, CAST(count_if(e.event_type = 'error') AS BIGINT) AS failures FROM events e GROUP BY e.user_id")
 both("s14_table_scan", "SELECT d.doc_id, d.lang, d.source, d.n_chars FROM documents d")
-both("s15_canonical_scan", "SELECT t.id, t.video_id, t.provider, t.content_hash, t.is_active FROM transcripts t")
-both("s16_dataset_rules", f"SELECT 'unknown video' AS rule, m.message_id AS id FROM {MSG} m WHERE NOT EXISTS (SELECT 1 FROM videos v WHERE v.id = m.video_id) UNION ALL SELECT 'no answer', m.message_id FROM {MSG} m WHERE m.answer IS NULL UNION ALL SELECT 'answered without question', m.message_id FROM {MSG} m WHERE trim(m.question) = ''")
-both("s19_cue_rules", "SELECT x.transcript_id, x.sequence_number, trim(coalesce(x.text, '')) = '' AS blank, x.end_ms <= x.start_ms AS reversed FROM (SELECT DISTINCT transcript_id, sequence_number, text, start_ms, end_ms FROM source_segments y) x WHERE trim(coalesce(x.text, '')) = '' OR x.end_ms <= x.start_ms OR x.start_ms < 0")
 
 
 @query("j8_neighbours", f"WITH {S.SEGMENTS} SELECT a.id, b.id AS neighbour_id, b.sequence_number - a.sequence_number AS side FROM seg a JOIN seg b ON b.transcript_id = a.transcript_id AND abs(b.sequence_number - a.sequence_number) = 1")
@@ -240,16 +230,6 @@ def a19(spark, folder):
     return table(spark, folder, "embeddings").agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("long").alias("least"), F.max(F.size("embedding")).cast("long").alias("most"), F.count_if(bad).alias("broken"))
 
 
-@query(
-    "a12_set_metrics",
-    f"WITH {S.MESSAGES}, t AS (SELECT message_id, list_distinct({S.tokens('question')}) AS q, {S.tokens(_ANSWER)} AS a FROM msg) SELECT message_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_filter(a, lambda w: list_contains(q, w))) / len(a) END, 6) AS precision, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, a)) / len(q) END, 6) AS recall FROM t",
-)
-def a12(spark, folder):
-    q, a = F.array_distinct(X.tokens(F.col("question"))), X.tokens(F.coalesce("answer", F.lit("")))
-    hits = F.size(F.filter(a, lambda w: F.array_contains(q, w)))
-    return messages(spark, folder).select("message_id", F.round(F.when(F.size(a) == 0, 0.0).otherwise(hits / F.size(a)), 6).alias("precision"), F.round(F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, a)) / F.size(q)), 6).alias("recall"))
-
-
 @query("a13_percentiles", "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(max(CASE WHEN i = CAST(round_even((n - 1) * 0.5, 0) AS BIGINT) THEN value END), 6) AS p50, round(max(CASE WHEN i = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT) THEN value END), 6) AS p95 FROM o GROUP BY 1")
 def a13(spark, folder):
     """Nearest-rank percentiles by counts of values, so that no task holds a group's values."""
@@ -262,17 +242,6 @@ def a13(spark, folder):
     return known.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
 
 
-@query(
-    "w6_recommendation",
-    f"""WITH {S.MESSAGES}, v AS (SELECT retrieval_mode, avg(CASE WHEN answer IS NULL THEN 0.0 ELSE 1.0 END) AS quality, avg(length(question)) AS cost FROM msg GROUP BY 1)
-    SELECT retrieval_mode FROM v WHERE quality >= (SELECT max(quality) FROM v) - 0.01 ORDER BY cost, retrieval_mode LIMIT 1""",
-)
-def w6(spark, folder):
-    v = messages(spark, folder).groupBy("retrieval_mode").agg(F.avg(F.when(F.col("answer").isNull(), 0.0).otherwise(1.0)).alias("quality"), F.avg(F.char_length("question")).alias("cost"))
-    best = F.max("quality").over(Window.partitionBy())  # a row per mode
-    return v.withColumn("best", best).where("quality >= best - 0.01").orderBy("cost", "retrieval_mode").limit(1).select("retrieval_mode")
-
-
 @query(
     "w8_gap_runs",
     f"WITH {S.SEGMENTS}, l AS (SELECT id, transcript_id, sequence_number, start_ms, lag(end_ms) OVER (PARTITION BY transcript_id ORDER BY sequence_number, id) AS prev FROM seg WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL) SELECT id, sum(CASE WHEN start_ms - prev > 2500 THEN 1 ELSE 0 END) OVER (PARTITION BY transcript_id ORDER BY sequence_number, id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM l",
@@ -288,13 +257,6 @@ def w8(spark, folder):
     return before(opened, ["transcript_id"], "bucket", ["sequence_number", "id"], run=("sum", F.col("opens"))).select("id", (F.col("run") + F.col("opens")).cast("long").alias("run"))
 
 
-@query("w10_order_violations", "WITH c AS (SELECT DISTINCT transcript_id, sequence_number, start_ms FROM source_segments) SELECT b.transcript_id, b.sequence_number FROM c a JOIN c b ON a.transcript_id = b.transcript_id AND b.sequence_number = a.sequence_number + 1 WHERE b.start_ms < a.start_ms")
-def w10(spark, folder):
-    c = table(spark, folder, "source_segments").select("transcript_id", "sequence_number", "start_ms").distinct()
-    a = c.select(F.col("transcript_id").alias("__t"), (F.col("sequence_number") + 1).alias("__n"), F.col("start_ms").alias("before_ms"))
-    return c.join(a, (F.col("transcript_id") == F.col("__t")) & (F.col("sequence_number") == F.col("__n"))).where("start_ms < before_ms").select("transcript_id", "sequence_number")
-
-
 @query("w21_text_offsets", f"WITH {S.SEGMENTS} SELECT id, CAST(sum(length(coalesce(original_text, '')) + 1) OVER (PARTITION BY transcript_id ORDER BY sequence_number, id) - length(coalesce(original_text, '')) - 1 AS BIGINT) AS off FROM seg")
 def w21(spark, folder):
     cues = segments(spark, folder).select("id", "transcript_id", "sequence_number", (F.char_length(F.coalesce("original_text", F.lit(""))) + 1).alias("n")).withColumn("bucket", F.floor(F.col("sequence_number") / 2048))
@@ -330,12 +292,6 @@ def w12(spark, folder):
     return c.join(spans, (F.col("transcript_id") == F.col("__t")) & (F.col("window") == F.col("__w"))).select("chunk_id", "section")
 
 
-@query("w19_sentences", f"WITH {S.SEGMENTS} SELECT id, len(list_filter(list_transform(regexp_extract_all(coalesce(original_text, ''), '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> ''))::INTEGER AS n FROM seg")
-def w19(spark, folder):
-    parts = F.filter(F.transform(F.regexp_extract_all(F.coalesce("original_text", F.lit("")), F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
-    return segments(spark, folder).select("id", F.size(parts).alias("n"))
-
-
 @query(
     "t8_term_rank",
     f"""WITH m AS (SELECT DISTINCT message_id, question, sources FROM chat_messages), x AS (SELECT message_id, list_distinct({S.tokens('question')}) AS q, s.chunk_id AS chunk_id, s.text AS text, i FROM (SELECT message_id, question, unnest(sources) AS s, generate_subscripts(sources, 1) AS i FROM m))

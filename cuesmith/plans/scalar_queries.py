@@ -126,11 +126,6 @@ def f13(spark, folder):
     return segments(spark, folder).select("id", F.sha2(material, 256).alias("hash"))
 
 
-@query("f14_fingerprint", "SELECT id, sha256(video_id || chr(10) || transcript_id || chr(10) || chunker_version) AS print FROM index_versions")
-def f14(spark, folder):
-    return table(spark, folder, "index_versions").select("id", F.sha2(F.concat_ws("\n", "video_id", "transcript_id", "chunker_version"), 256).alias("print"))
-
-
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -224,33 +219,6 @@ def f24(spark, folder):
     return messages(spark, folder).select("message_id", F.round(tf / F.sqrt(F.greatest(F.size(a), F.lit(1))), 6).alias("score"))
 
 
-@query("f25_extract_json", r"SELECT event_id, regexp_extract('reply: ' || props || ' end', '(?s)(\{.*\})', 1) AS found FROM events")
-def f25(spark, folder):
-    return table(spark, folder, "events").select("event_id", F.regexp_extract(F.concat(F.lit("reply: "), "props", F.lit(" end")), "(?s)(\\{.*\\})", 1).alias("found"))
-
-
-@query(
-    "f26_json_rows",
-    """WITH m AS (SELECT DISTINCT message_id, video_id, to_json(sources) AS j FROM chat_messages), s AS (SELECT message_id, unnest(from_json(j, '[{"chunk_id":"VARCHAR","score":"DOUBLE"}]')) AS x FROM m)
-    SELECT DISTINCT message_id, x.chunk_id AS chunk_id, round(x.score, 6) AS score FROM s WHERE x.chunk_id IS NOT NULL""",
-)
-def f26(spark, folder):
-    m = table(spark, folder, "chat_messages").dropDuplicates(["message_id"]).select("message_id", F.to_json("sources").alias("j"))
-    s = m.select("message_id", F.explode(F.from_json("j", "array<struct<chunk_id: string, score: double>>")).alias("x"))
-    return s.where("x.chunk_id IS NOT NULL").select("message_id", "x.chunk_id", F.round("x.score", 6).alias("score")).distinct()
-
-
-@query(
-    "f27_cache_key",
-    """WITH m AS (SELECT DISTINCT message_id, retrieval_mode, sources FROM chat_messages)
-    SELECT message_id, 'quiz:' || retrieval_mode || ':' || array_to_string(list_sort(list_transform(sources[1:8], lambda s: s.chunk_id)), ',') AS key FROM m""",
-)
-def f27(spark, folder):
-    m = table(spark, folder, "chat_messages").dropDuplicates(["message_id"])
-    ids = F.array_sort(F.transform(F.slice("sources", 1, 8), lambda s: s["chunk_id"]))
-    return m.select("message_id", F.concat_ws(":", F.lit("quiz"), "retrieval_mode", F.array_join(ids, ",")).alias("key"))
-
-
 @query("f28_goal", f"WITH {S.MESSAGES} SELECT message_id, nullif(substr({S.squeeze('groundedness_warning')}, 1, 240), '') AS goal FROM msg")
 def f28(spark, folder):
     return messages(spark, folder).select("message_id", F.nullif(F.substring(X.squeeze(F.col("groundedness_warning")), 1, 240), F.lit("")).alias("goal"))
@@ -262,17 +230,6 @@ def f29(spark, folder):
     return messages(spark, folder).select("message_id", F.when(vi, "Không đủ bằng chứng.").otherwise("Not enough evidence.").alias("message"))
 
 
-@query(
-    "f30_context_lines",
-    f"""WITH m AS (SELECT DISTINCT message_id, sources FROM chat_messages)
-    SELECT message_id, array_to_string(list_transform(sources, lambda s, i: '[' || CAST(i AS VARCHAR) || '] timestamp=' || {S.clock('s.start_seconds')} || '-' || {S.clock('s.end_seconds')} || ' text=' || s.text), chr(10)) AS context FROM m""",
-)
-def f30(spark, folder):
-    m = table(spark, folder, "chat_messages").dropDuplicates(["message_id"])
-    line = lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] timestamp="), X.minutes_seconds(s["start_seconds"]), F.lit("-"), X.minutes_seconds(s["end_seconds"]), F.lit(" text="), s["text"])
-    return m.select("message_id", F.array_join(F.transform("sources", line), "\n").alias("context"))
-
-
 @query("f31_token_count", f"WITH {S.SEGMENTS} SELECT id, CAST(len(regexp_extract_all(original_text, '[^{S.WS[1:-2]}]+')) AS INTEGER) AS n FROM seg")
 def f31(spark, folder):
     return segments(spark, folder).select("id", F.size(F.filter(F.split(F.col("original_text"), X.BLANKS), lambda w: w != "")).alias("n"))
@@ -299,33 +256,8 @@ def s12(spark, folder):
     return table(spark, folder, "events").select("event_id", F.round(0.5 * F.pow(F.lit(2.0), F.col("user_id") % 5) * (1 + 0.25 * jitter), 6).alias("delay"))
 
 
-@query("s13_blank_to_null", "SELECT id, nullif(trim(title), '') AS title, nullif(trim(channel_title), '') AS channel_title FROM videos")
-def s13(spark, folder):
-    return table(spark, folder, "videos").select("id", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("title", "channel_title")])
-
-
 @query("k10_slug", "SELECT id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'untitled') || '.md' AS filename FROM videos")
 def k10(spark, folder):
     return table(spark, folder, "videos").select("id", F.concat(X.slug(F.col("title")), F.lit(".md")).alias("filename"))
 
 
-@query(
-    "pred14_error_kind",
-    f"""WITH {S.MESSAGES}, e AS (SELECT message_id, lower('HTTP 429 ' || retrieval_mode || ': retry in ' || CAST(length(question) / 10.0 AS VARCHAR) || 's ' || coalesce(groundedness_warning, '')) AS t FROM msg)
-    SELECT message_id, regexp_matches(t, 'http 429|resource_exhausted|quota exceeded|rate limit') AS rate_limited, regexp_matches(t, 'token limit|context length') AS token_limited, greatest(CAST(floor(CAST(regexp_extract(t, 'retry in ([0-9.]+)s', 1) AS DOUBLE)) AS BIGINT), 1) AS retry_after FROM e""",
-)
-def pred14(spark, folder):
-    said = F.lower(F.concat(F.lit("HTTP 429 "), "retrieval_mode", F.lit(": retry in "), (F.char_length("question") / 10.0).cast("string"), F.lit("s "), F.coalesce("groundedness_warning", F.lit(""))))
-    m = messages(spark, folder).withColumn("t", said)
-    return m.select("message_id", F.col("t").rlike("http 429|resource_exhausted|quota exceeded|rate limit").alias("rate_limited"), F.col("t").rlike("token limit|context length").alias("token_limited"), F.greatest(F.floor(F.regexp_extract("t", "retry in ([0-9.]+)s", 1).cast("double")), F.lit(1).cast("long")).alias("retry_after"))
-
-
-@query(
-    "pred13_usable",
-    f"""WITH {S.MESSAGES}, l AS (SELECT message_id, answer, list_filter(list_transform(string_split(coalesce(answer, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM msg)
-    SELECT message_id, len(lines) > 0 AND regexp_matches(lines[-1], '[.!?)\\]]$') AS complete, len(regexp_extract_all(coalesce(answer, ''), '[^{S.WS[1:-2]}]+')) >= 35 AS long_enough FROM l""",
-)
-def pred13(spark, folder):
-    lines = F.filter(F.transform(F.split(F.coalesce("answer", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    words = F.size(F.filter(F.split(F.coalesce("answer", F.lit("")), X.BLANKS), lambda w: w != ""))
-    return messages(spark, folder).select("message_id", ((F.size(lines) > 0) & F.coalesce(F.try_element_at(lines, F.lit(-1)).rlike("[.!?)\\]]$"), F.lit(False))).alias("complete"), (words >= 35).alias("long_enough"))
