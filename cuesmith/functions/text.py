@@ -182,3 +182,11 @@ def sentence_spans(text: Column) -> Column:
         return F.struct((acc["at"] + F.char_length(p)).cast("long").alias("at"), F.when(F.trim(p) == "", acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
     return F.aggregate(pieces, start, step, lambda a: a["out"])
+
+
+def answer_fault(answer: Column, allowed: Column, language: Column) -> Column:
+    """What is wrong with a structured answer, null if nothing: ``invalid_json`` for a null one, ``unknown_citation`` of a passage not
+    given, ``language`` other than asked for, ``citations_without_evidence`` where it says there is none."""
+    unknown = F.size(F.filter(answer["citations"], lambda c: ~F.array_contains(allowed, c["chunk_id"]))) > 0
+    none = answer.isNull() | answer["answer"].isNull() | answer["citations"].isNull() | answer["insufficient_evidence"].isNull()
+    return F.when(none, "invalid_json").when(unknown, "unknown_citation").when(F.lower(answer["answer_language"]) != F.lower(language), "language").when(answer["insufficient_evidence"] & (F.size(answer["citations"]) > 0), "citations_without_evidence")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..settings import ChunkerConfig
+
 WORD = re.compile(r"[^\W_]+")
 ROLLING_GAP_MS = 250
 
@@ -303,7 +305,7 @@ class HierarchyPacker:
 
 
 class BothLevels:
-    def __init__(self, entity: str, child=(160, 200, 75_000, 24), parent=(500, 700, 300_000, 0), gap_ms: int = 2500) -> None:
+    def __init__(self, entity: str, child: tuple, parent: tuple, gap_ms: int) -> None:
         self.levels = [HierarchyPacker(entity, kind, *sizes[:3], sizes[3], gap_ms, child[1]) for kind, sizes in (("child", child), ("parent", parent))]
         self.sentences = SentenceJoiner(child[1], child[2])  # the same units for both
 
@@ -320,12 +322,26 @@ class BothLevels:
 HIERARCHY = "chunk_id string, transcript_id string, chunk_type string, sequence_number int, text string, start_ms bigint, end_ms bigint, token_count int, segment_ids array<string>, exception string"
 
 
-def hierarchical_chunks(segments: DataFrame) -> DataFrame:
+def hierarchical_chunks(segments: DataFrame, config: ChunkerConfig | None = None) -> DataFrame:
     """Children and parents of canonical segments ``id, transcript_id, sequence_number, text, start_ms, end_ms``.
 
     Units are sentences of the joined cues, see :class:`SentenceJoiner`; cues without times are left out.
     """
-    return stream_fold(segments.where("transcript_id IS NOT NULL"), "transcript_id", ["sequence_number", "id"], BothLevels, HIERARCHY)
+    c = config or ChunkerConfig()
+    child = (c.child_target_tokens, c.child_max_tokens, c.child_max_duration_seconds * 1000, c.child_overlap_tokens)
+    parent = (c.parent_target_tokens, c.parent_max_tokens, c.parent_max_duration_seconds * 1000, 0)
+    gap = round(c.timing_gap_boundary_seconds * 1000)
+    return stream_fold(segments.where("transcript_id IS NOT NULL"), "transcript_id", ["sequence_number", "id"], lambda entity: BothLevels(entity, child, parent, gap), HIERARCHY)
+
+
+def with_parents(chunks: DataFrame) -> DataFrame:
+    """Children with ``parent_id``: the parent that shares most segments with them, the first of several."""
+    links = chunks.select("chunk_type", "transcript_id", "chunk_id", "sequence_number", F.explode("segment_ids").alias("segment"))
+    c = links.where("chunk_type = 'child'").select("transcript_id", "chunk_id", "segment")
+    p = links.where("chunk_type = 'parent'").select(F.col("transcript_id").alias("__t"), F.col("chunk_id").alias("parent_id"), F.col("sequence_number").alias("__n"), F.col("segment").alias("__s"))
+    shared = c.join(p, (F.col("transcript_id") == F.col("__t")) & (F.col("segment") == F.col("__s"))).groupBy("chunk_id", "parent_id", "__n").agg(F.count("*").alias("n"))
+    best = shared.groupBy(F.col("chunk_id").alias("__c")).agg(F.max_by("parent_id", F.struct("n", -F.col("__n"))).alias("parent_id"))
+    return chunks.where("chunk_type = 'child'").join(best, F.col("chunk_id") == F.col("__c"), "left").drop("__c")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .. import api
 from ..operators import folds, retrieval
-from ..session import cut_lineage
+from ..session import stored
+from ..settings import ChunkerConfig
 from ..sources import subtitles
 from ..tables import table
 from . import sqltext as S
@@ -54,19 +55,30 @@ def c1(spark, folder):
     return cues.groupBy("transcript_id").agg(F.count("*").alias("canonical_segment_count"), F.max("removed_so_far").alias("removed_duplicate_count"), F.bit_xor(one).alias("content_hash"))
 
 
-@query("w11_time_sections", None)
-def w11(spark, folder):
-    return folds.sections(chunked(spark, folder))
+# The sizes of the chunks that questions are asked of; smaller than the defaults, so that a short transcript has several.
+SIZES = ChunkerConfig(child_target_tokens=160, child_max_tokens=200, child_overlap_tokens=24, parent_target_tokens=500, parent_max_tokens=700)
+
+
+def hierarchy(spark, folder):
+    return folds.hierarchical_chunks(canonical(spark, folder), SIZES)
 
 
 @query("c2_hierarchical_chunks", None)
 def c2(spark, folder):
-    return folds.hierarchical_chunks(canonical(spark, folder))
+    return hierarchy(spark, folder)
 
 
 @query("w7_child_chunks", None)
 def w7(spark, folder):
-    return folds.hierarchical_chunks(canonical(spark, folder)).where("chunk_type = 'child'")
+    return hierarchy(spark, folder).where("chunk_type = 'child'")
+
+
+def _children(spark, folder):
+    """Children with their parent and video, and the parents; the chunks are made once and written."""
+    chunks = stored(hierarchy(spark, folder))
+    videos = table(spark, folder, "transcripts").select(F.col("id").alias("__v"), "video_id")
+    child = folds.with_parents(chunks).join(videos, F.col("transcript_id") == F.col("__v")).drop("__v")
+    return child, chunks.where("chunk_type = 'parent'").select(F.col("chunk_id").alias("parent_id"), "text", "start_ms", "end_ms")
 
 
 @query("r16_index_rows", None)
@@ -74,14 +86,8 @@ def r16(spark, folder):
     """Rows of a rebuilt index: children with their parent, fingerprint and embedding."""
     from ..functions.embedding import embed
 
-    chunks = folds.hierarchical_chunks(canonical(spark, folder))
-    links = chunks.select("chunk_type", "transcript_id", "chunk_id", "sequence_number", F.explode("segment_ids").alias("segment"))
-    c = links.where("chunk_type = 'child'").select("transcript_id", "chunk_id", "segment")
-    p = links.where("chunk_type = 'parent'").select(F.col("transcript_id").alias("__t"), F.col("chunk_id").alias("parent_id"), F.col("sequence_number").alias("__n"), F.col("segment").alias("__s"))
-    shared = c.join(p, (F.col("transcript_id") == F.col("__t")) & (F.col("segment") == F.col("__s"))).groupBy("chunk_id", "parent_id", "__n").agg(F.count("*").alias("n"))
-    best = shared.groupBy(F.col("chunk_id").alias("__c")).agg(F.max_by("parent_id", F.struct("n", -F.col("__n"))).alias("parent_id"))
-    child = chunks.where("chunk_type = 'child'")
-    return child.join(best, F.col("chunk_id") == F.col("__c"), "left").select("chunk_id", "parent_id", "transcript_id", F.sha2(F.concat_ws("\n", "transcript_id", "text"), 256).alias("fingerprint"), embed("text").alias("embedding"))
+    child, _ = _children(spark, folder)
+    return child.select("chunk_id", "parent_id", "transcript_id", F.sha2(F.concat_ws("\n", "transcript_id", "text"), 256).alias("fingerprint"), embed("text").alias("embedding"))
 
 
 BLOCK = 100
@@ -255,12 +261,6 @@ def d5(spark, folder):
     return asked.select("chunk_id", F.concat(F.lit("What is the main point at "), clock("start_ms"), F.lit("?")).alias("question"), turned.alias("options"), F.col("short").alias("answer"), why.alias("explanation"))
 
 
-@query("d6_quiz_check", "WITH m AS (SELECT DISTINCT message_id, question, answer, sources FROM chat_messages) SELECT message_id, len(sources) >= 1 AND coalesce(answer, '') <> '' AND trim(question) <> '' AS usable FROM m")
-def d6(spark, folder):
-    m = table(spark, folder, "chat_messages").dropDuplicates(["message_id"])
-    return m.select("message_id", ((F.size("sources") >= 1) & (F.coalesce("answer", F.lit("")) != "") & (F.trim("question") != "")).alias("usable"))
-
-
 # Fixed value: how often the reference's player reads its position.
 PLAYER_MS = 500
 
@@ -318,20 +318,16 @@ def d3(spark, folder):
     return per.select("transcript_id", "section", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("text"))
 
 
-@query("d8_cached_outputs", "WITH m AS (SELECT DISTINCT message_id, video_id, question, answer FROM chat_messages), c AS (SELECT video_id, question, max(message_id) AS cached FROM m WHERE coalesce(answer, '') <> '' GROUP BY ALL) SELECT m.message_id, c.cached, c.cached IS NULL AS to_compute FROM m LEFT JOIN c ON c.video_id = m.video_id AND c.question = m.question")
-def d8(spark, folder):
-    m = table(spark, folder, "chat_messages").select("message_id", "video_id", "question", "answer").distinct()
-    c = m.where("coalesce(answer, '') <> ''").groupBy(F.col("video_id").alias("__v"), F.col("question").alias("__q")).agg(F.max("message_id").alias("cached"))
-    return m.join(c, (F.col("video_id") == F.col("__v")) & (F.col("question") == F.col("__q")), "left").select("message_id", "cached", F.col("cached").isNull().alias("to_compute"))
-
-
 def _asked(spark, folder):
     return questions(spark, folder).select("query_id", "video_id", "question")
 
 
 def _found(spark, folder, mode):
-    at = index(spark, folder)
-    return api.search(_asked(spark, folder), at.chunks, mode, postings=at.postings, vectors=at.vectors)
+    """Context and diagnostics over the child chunks of transcripts with an active version; a video without one gives none."""
+    child, parents = _children(spark, folder)
+    active = table(spark, folder, "index_versions").where("status = 'active'").select(F.col("transcript_id").alias("__a")).distinct()
+    scope = stored(child.join(active, F.col("transcript_id") == F.col("__a"), "left_semi").withColumn("window", F.col("sequence_number")))
+    return api.search(_asked(spark, folder), scope, mode, parents=parents)
 
 
 @query("r10_search_context", None)
@@ -339,6 +335,16 @@ def r10(spark, folder):
     return _found(spark, folder, "hybrid")[0]
 
 
+@query("r10_lexical_context", None)
+def r10_lexical(spark, folder):
+    return _found(spark, folder, "lexical")[0]
+
+
+@query("r10_dense_context", None)
+def r10_dense(spark, folder):
+    return _found(spark, folder, "dense")[0]
+
+
 @query("r9_reranked_context", None)
 def r9(spark, folder):
     return _found(spark, folder, "reranked")[0]
@@ -346,7 +352,17 @@ def r9(spark, folder):
 
 @query("r14_search_diagnostics", None)
 def r14(spark, folder):
-    return _found(spark, folder, "hybrid")[1]
+    """The four best candidates of each question with the rank in each list, and the time of the search."""
+    at = index(spark, folder)
+    found, ms = api.debug(_asked(spark, folder), at.chunks, "hybrid", 4, postings=at.postings, vectors=at.vectors)
+    return found.withColumn("latency_ms", F.lit(ms))
+
+
+@query("d11_ask_lexical", None)
+def d11_lexical(spark, folder):
+    """Answers in the lexical mode, whose scores reach the gate's threshold."""
+    at = index(spark, folder)
+    return api.ask(_asked(spark, folder), at.chunks, "lexical", groundedness=0.0, postings=at.postings)
 
 
 @query("d11_ask", None)

@@ -86,7 +86,6 @@ both("u3_subset", "SELECT e.user_id, count(DISTINCT CASE WHEN e.event_type IN ('
 # Versions and jobs
 both("s10_language_rank", "SELECT t.id, CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END AS rk FROM transcripts t")
 both("s9_track_selection", "SELECT video_id, id FROM (SELECT t.video_id, t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY CASE WHEN lower(t.language_code) = 'vi' OR lower(t.language_code) LIKE 'vi-%' THEN 0 WHEN lower(t.language_code) = 'en' OR lower(t.language_code) LIKE 'en-%' THEN 1 ELSE 2 END, CASE t.source_format WHEN 'vtt' THEN 0 WHEN 'srv3' THEN 1 ELSE 2 END, t.id) AS rk FROM transcripts t) r WHERE rk = 1")
-both("s11_fallback_chain", "SELECT e.user_id, min(CASE WHEN e.event_type <> 'error' THEN e.event_id END) AS first_success, CAST(count_if(e.event_type = 'error') AS BIGINT) AS failures FROM events e GROUP BY e.user_id")
 both("s14_table_scan", "SELECT d.doc_id, d.lang, d.source, d.n_chars FROM documents d")
 
 
@@ -332,16 +331,6 @@ def k9(spark, folder):
     return m.select("message_id", F.concat(F.lit("# Chat\n**Q:** "), "question", F.lit("\n**A:** "), F.coalesce("answer", F.lit("")), F.lit("\n"), F.array_join(F.transform("sources", bullet), "\n"), F.lit("\n")).alias("page"))
 
 
-@query(
-    "d9_citation_check",
-    f"WITH m AS (SELECT DISTINCT message_id, answer, sources FROM chat_messages), x AS (SELECT message_id, list_transform(regexp_extract_all(coalesce(answer, ''), '\\[(\\d+)\\]', 1), lambda c: CAST(c AS INTEGER)) AS cited, len(sources) AS n FROM m) SELECT message_id, len(cited)::INTEGER AS citations, len(list_filter(cited, lambda c: c < 1 OR c > n)) = 0 AS valid FROM x",
-)
-def d9(spark, folder):
-    m = table(spark, folder, "chat_messages").dropDuplicates(["message_id"])
-    cited = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit("\\[(\\d+)\\]"), F.lit(1)), lambda c: c.cast("int"))
-    return m.select("message_id", F.size(cited).alias("citations"), (F.size(F.filter(cited, lambda c: (c < 1) | (c > F.size("sources")))) == 0).alias("valid"))
-
-
 @query(
     "w15_character_budget",
     None,

@@ -165,8 +165,8 @@ FTS = f"""{CHUNKS}, {QUESTIONS}, toks AS (SELECT video_id, chunk_id, {_sql_folde
          FROM asked JOIN df USING (term) CROSS JOIN st JOIN post USING (video_id, term) JOIN dl USING (chunk_id) GROUP BY ALL)"""
 
 
-@query("r2_full_text_search", f"WITH {FTS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 20")
-def r2(spark, folder):
+def folded_scores(spark, folder):
+    """Scores of the folded terms of each question in its video, with the statistics of all chunks."""
     post = index(spark, folder).folded
     total = chunked(spark, folder).agg(F.count("*").alias("n"), F.greatest(F.avg(F.size(folded_tokens(F.col("text")))), F.lit(1.0)).alias("mean"))  # one row
     everywhere = post.terms.groupBy(F.col("__term").alias("__t")).agg(F.sum("df").alias("all"))
@@ -175,7 +175,12 @@ def r2(spark, folder):
     hits = post.rows.join(weighted, (F.col("video_id") == F.col("__v")) & (F.col("term") == F.col("__q")))
     idf = F.greatest(F.log((F.col("n") - F.col("all") + 0.5) / (F.col("all") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("mean")))
-    return retrieval.top(hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), 20, "chunk_id")
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+@query("r2_full_text_search", f"WITH {FTS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 20")
+def r2(spark, folder):
+    return retrieval.top(folded_scores(spark, folder), 20, "chunk_id")
 
 
 DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
