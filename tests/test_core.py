@@ -115,10 +115,13 @@ def ranking(spark, lists):
 
 
 def test_fusion_uses_ranks_only(spark):
-    fused = retrieval.fuse(ranking(spark, {"lexical": ["shared", "lexical-only"], "dense": ["shared", "dense-only"]}), "key").orderBy("fused_rank")
-    assert [r.key for r in fused.collect()] == ["shared", "dense-only", "lexical-only"]
-    twice = retrieval.fuse(ranking(spark, {"lexical": ["b", "b", "a"]}), "key").orderBy("fused_rank").collect()
-    assert [(r.key, r.best_rank) for r in twice] == [("b", 1), ("a", 2)]
+    lists = {"words": ["oak", "elm", "ash"], "vectors": ["fir", "oak"], "titles": ["yew", "ash"]}
+    fused = retrieval.fuse(ranking(spark, lists), "key").orderBy("fused_rank").collect()
+    score = {k: round(sum(1 / (60 + xs.index(k) + 1) for xs in lists.values() if k in xs), 8) for k in {k for xs in lists.values() for k in xs}}
+    first = {k: min(xs.index(k) + 1 for xs in lists.values() if k in xs) for k in score}
+    assert [(r.key, r.score) for r in fused] == [(k, score[k]) for k in sorted(score, key=lambda k: (-score[k], first[k], k))]
+    twice = retrieval.fuse(ranking(spark, {"words": ["elm", "elm", "elm", "oak"]}), "key").orderBy("fused_rank").collect()
+    assert [(r.key, r.best_rank, r.score) for r in twice] == [("elm", 1, round(1 / 61, 8)), ("oak", 2, round(1 / 62, 8))]
     with pytest.raises(ValueError):
         retrieval.fuse(ranking(spark, {"a": ["x"]}), "key", constant=0)
 
@@ -315,30 +318,180 @@ CHUNK = "chunk_id string, video_id string, transcript_id string, window bigint,
 
 
 def library(spark):
-    texts = {"v1": ["Alpha exact keyword.", "Beta semantic concept.", "Gamma final evidence."], "v2": ["Alpha private second video."]}
-    return spark.createDataFrame([(f"{v}-{i}", v, f"t{v}", i, t, 1000 * i, 1000 * i + 1000) for v, ts in texts.items() for i, t in enumerate(ts)], CHUNK)
+    texts = {"bread": ["Knead the rye dough.", "Let it rest in a bowl.", "Bake until the crust sounds hollow."], "boats": ["Rye grows near the harbour."]}
+    return spark.createDataFrame([(f"{v}#{i}", v, f"t-{v}", i, t, 4000 * i, 4000 * i + 3500) for v, ts in texts.items() for i, t in enumerate(ts)], CHUNK)
 
 
 @pytest.mark.parametrize("mode", ["lexical", "dense", "hybrid", "reranked"])
 def test_search_keeps_to_its_video_and_brings_neighbours(spark, mode):
     from cuesmith import api
 
-    asked = spark.createDataFrame([("q", "v1", "alpha exact keyword"), ("none", "v3", "alpha")], "query_id string, video_id string, question string")
+    asked = spark.createDataFrame([("q", "bread", "who can knead the rye dough"), ("none", "kites", "rye")], "query_id string, video_id string, question string")
     context, diagnostics = api.search(asked, library(spark), mode, limit=1, context=3)
     got = context.orderBy("place").collect()
-    assert [(r.chunk_id, r.kind) for r in got] == [("v1-0", "primary"), ("v1-1", "neighbour")]
-    assert {r.query_id for r in diagnostics.collect()} == {"q"} and not any(r.chunk_id.startswith("v2") for r in diagnostics.collect())
+    assert [(r.chunk_id, r.kind) for r in got] == [("bread#0", "primary"), ("bread#1", "neighbour")]
+    assert {r.query_id for r in diagnostics.collect()} == {"q"} and not any(r.chunk_id.startswith("boats") for r in diagnostics.collect())
     with pytest.raises(ValueError):
         api.search(asked, library(spark), "other")
 
 
+def test_search_brings_the_parent_before_the_neighbours(spark):
+    from cuesmith import api
+
+    asked = spark.createDataFrame([("q", "bread", "rest in a bowl")], "query_id string, video_id string, question string")
+    parents = spark.createDataFrame([("P", "Knead the rye dough. Let it rest in a bowl.", 0, 7500)], "parent_id string, text string, start_ms bigint, end_ms bigint")
+    children = library(spark).withColumn("parent_id", F.when(F.col("window") < 2, "P"))
+    context, _ = api.search(asked, children, "lexical", limit=1, parents=parents)
+    assert [(r.chunk_id, r.kind) for r in context.orderBy("place").collect()] == [("bread#1", "primary"), ("P", "parent"), ("bread#0", "neighbour"), ("bread#2", "neighbour")]
+    found, ms = api.debug(asked, library(spark), "hybrid", 2)
+    assert found.count() == 2 and ms >= 0 and api.candidates("hybrid", 4) == 8 and api.candidates("reranked", 4) == 16 and api.candidates("dense", 3) == 3
+    with pytest.raises(ValueError):
+        api.candidates("hybrid", 21)
+
+
 def test_ask_says_when_nothing_is_found(spark):
     from cuesmith import api
 
-    asked = spark.createDataFrame([("q", "v1", "alpha exact keyword"), ("none", "v3", "có gì không")], "query_id string, video_id string, question string")
+    asked = spark.createDataFrame([("q", "bread", "hollow crust"), ("none", "kites", "có gì không")], "query_id string, video_id string, question string")
     got = {r.query_id: r for r in api.ask(asked, library(spark), "lexical").collect()}
-    assert got["q"].answer == "- [00:00] Alpha exact keyword." and got["q"].warning == "low" and got["q"].sources == ["v1-0"]
+    assert got["q"].answer == "- [00:08] Bake until the crust sounds hollow." and got["q"].warning == "low" and got["q"].sources == ["bread#2"]
     assert got["none"].language == "vi" and got["none"].warning == "none" and got["none"].sources == []
+    assert {r.query_id: r.warning for r in api.ask(asked, library(spark), "lexical", groundedness=0.0).collect()} == {"q": None, "none": "none"}
+
+
+def test_a_store_changes_as_a_whole(spark, tmp_path):
+    from cuesmith.operators.store import NothingDeleted, TableStore
+
+    s = TableStore(spark, str(tmp_path))
+    df = lambda rows: spark.createDataFrame(rows, "id string, part string, n int")
+    have = lambda: sorted(tuple(r) for r in s.read("a").collect())
+    assert s.read("a") is None
+    with s.transaction() as tx:
+        tx.append("a", df([("1", "x", 1), ("1", "x", 1), ("2", "y", 2)]), "id")
+        tx.rewrite("b", df([("1", "x", 1)]))
+    with s.transaction() as tx:
+        tx.append("a", df([("2", "y", 9), ("3", "y", 3)]), "id")
+    assert have() == [("1", "x", 1), ("2", "y", 2), ("3", "y", 3)]
+    with pytest.raises(RuntimeError), s.transaction() as tx:
+        tx.rewrite("a", df([]))
+        tx.drop("b")
+        raise RuntimeError
+    assert len(have()) == 3 and s.read("b").count() == 1 and len(list((tmp_path / "tables").iterdir())) == 3
+    with s.transaction() as tx:
+        tx.replace("a", "part", df([("4", "y", 4)]))
+    assert have() == [("1", "x", 1), ("4", "y", 4)]
+    gone = spark.createDataFrame([("1",), ("7",)], "id string")
+    with s.transaction() as tx:
+        assert tx.cascade([("a", "id"), ("b", "id")], gone) == {"a": 1, "b": 1}
+    with pytest.raises(NothingDeleted), s.transaction() as tx:
+        tx.cascade([("a", "id"), ("b", "id")], gone)
+    assert have() == [("4", "y", 4)]
+
+
+def test_an_upsert_keeps_creation_and_stamps_rise(spark, tmp_path):
+    from cuesmith.operators.store import TableStore
+
+    s = TableStore(spark, str(tmp_path))
+    at = datetime(2025, 1, 1)
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int, now timestamp_ntz")
+    for batch in (rows(("a", 1, at), ("b", 1, at)), rows(("a", 2, at - timedelta(days=1)), ("c", 3, at))):
+        with s.transaction() as tx:
+            tx.upsert("t", batch, ["k"], "now")
+    got = {r.k: (r.v, r.created_at, r.updated_at) for r in s.read("t").collect()}
+    assert got == {"a": (2, at, at + timedelta(microseconds=1)), "b": (1, at, at), "c": (3, at, at)}
+
+
+def test_a_job_moves_forward_only():
+    from cuesmith.operators.jobs import IllegalMove, Job
+
+    job = Job().apply("start").apply("advance", "chunking")
+    for command, argument in (("start", None), ("advance", "chunking"), ("advance", "normalizing"), ("advance", "complete"), ("succeed", None), ("retry", None), ("unknown", None)):
+        with pytest.raises(IllegalMove):
+            job.apply(command, argument)
+    assert job.apply("advance", "committing").apply("succeed") == Job("ready", "complete")
+    failed = job.apply("fail", "TIMEOUT", retryable=True)
+    assert (failed.status, failed.stage, failed.error_code) == ("failed", "chunking", "TIMEOUT") and failed.apply("retry") == Job()
+    for done in (failed, job.apply("cancel")):
+        with pytest.raises(IllegalMove):
+            done.apply("cancel")
+    with pytest.raises(IllegalMove):
+        job.apply("fail", "BAD").apply("retry")
+
+
+def test_a_video_has_one_open_job():
+    from threading import Event
+
+    from cuesmith.operators.jobs import JobRunner
+
+    go, runner = Event(), JobRunner(2)
+    first = runner.submit("a", lambda: go.wait(5))
+    assert runner.submit("a", lambda: 0) is first and runner.submit("b", lambda: 7).result(5) == 7
+    go.set()
+    assert first.result(5) and runner.submit("a", lambda: 8).result(5) == 8
+    runner.close()
+
+
+def test_an_ingest_publishes_all_or_nothing(spark, tmp_path):
+    from cuesmith.operators.jobs import Stage, ingest
+    from cuesmith.operators.store import TableStore
+
+    s = TableStore(spark, str(tmp_path))
+    asked = lambda *x: spark.createDataFrame([(v, f, v.upper()) for v, f in x], "video_id string, fingerprint string, title string")
+    make = [Stage("chunking", lambda rows: rows.select("video_id", F.concat("fingerprint", F.lit("!")).alias("text")))]
+    have = lambda: sorted((r.video_id, r.text) for r in s.read("chunks").collect())
+
+    def broken(rows):
+        raise OSError("gone")
+
+    assert ingest(s, asked(("a", "1"), ("b", "1"), ("a", "1")), make).status == "ready" and have() == [("a", "1!"), ("b", "1!")]
+    assert ingest(s, asked(("a", "2")), make, cancelled=lambda: True).status == "cancelled" and have() == [("a", "1!"), ("b", "1!")]
+    failed = ingest(s, asked(("a", "2"), ("n", "1")), [Stage("chunking", broken)])
+    assert (failed.status, failed.error_code) == ("failed", "INTERNAL_INGEST_ERROR") and have() == [("a", "1!"), ("b", "1!")]
+    assert {r.video_id: r.status for r in s.read("videos").collect()} == {"a": "ready", "b": "ready", "n": "failed"}
+    assert ingest(s, asked(("a", "2"), ("b", "1")), make).status == "ready" and have() == [("a", "2!"), ("b", "1!")]
+    assert {r.video_id: r.outcome for r in s.read("jobs").where("video_id <> 'n'").collect()} == {"a": "made", "b": "hit"}
+
+
+def test_list_metrics(spark):
+    from cuesmith.operators.evaluation import list_metrics, recommended
+
+    cases = [(["x", "y", "y"], ["y", "z"]), (["x"], []), ([], ["x"]), (["p", "q"], ["q", "q"]), (["x"], ["y"])]
+    df = spark.createDataFrame(cases, "got array<string>, want array<string>")
+    p, r, m = list_metrics(F.col("got"), F.col("want"))
+    assert [tuple(x) for x in df.select(p, r, m).collect()] == [(0.6667, 0.5, 0.5), (0, 0, 0), (0, 0, 0), (0.5, 1, 0.5), (0, 0, 0)]
+    v = spark.createDataFrame([("slow", 0.9, 0.8, 50, 1.0, 1.0), ("fast", 0.895, 0.795, 5, 0.5, 0.5), ("rough", 0.5, 0.9, 1, 1.0, 1.0), ("tied", 0.895, 0.8, 5, 0.5, 0.6)], "variant_id string, citation_accuracy double, ndcg double, p95_ms int, recall double, mrr double")
+    assert recommended(v).first()[0] == "tied" and recommended(v, 0.0).first()[0] == "slow"
+
+
+def test_texts_are_judged(spark):
+    df = spark.createDataFrame([("One.  Two is 3.5 long! end", "```json\n{\"a\": {}}\n```"), ("", "none"), ("a\n\nb.", "x {1} y {2} z")], "t string, r string")
+    got = df.select(X.sentence_spans(F.col("t")).alias("s"), X.json_object(F.col("r")).alias("j")).collect()
+    assert [[(x.from_char, x.to_char, x.sentence) for x in r.s] for r in got] == [[(0, 4, "One."), (6, 22, "Two is 3.5 long!"), (23, 26, "end")], [], [(0, 5, "a\n\nb.")]]
+    assert [r.j for r in got] == ['{"a": {}}', None, "{1} y {2}"]
+
+
+def test_a_word_window_takes_slices_of_cues(spark):
+    from cuesmith.operators import chunks
+
+    rnd = random.Random(6)
+    data, words = [], {"a": [], "b": []}
+    for t, n in (("a", 30), ("b", 3)):
+        for i in range(n):
+            ws = [f"{t}{i}.{k}" for k in range(rnd.randrange(0, 9))]
+            words[t] += ws
+            data.append((f"{t}-{i}", t, i, " ".join(ws), None, 10 * i, 10 * i + 5))
+    made = chunks.word_windows(spark.createDataFrame(data, "id string, transcript_id string, sequence_number int, original_text string, normalized_text string, start_ms bigint, end_ms bigint"), 14, 11)
+    got = {(r.transcript_id, r.window): (r.text, r.words) for r in made.collect()}
+    want = {}
+    for t, ws in words.items():
+        k = 0
+        while True:
+            part = ws[k * 11 : k * 11 + 14]
+            want[(t, k)] = (" ".join(part), len(part))
+            if k * 11 + 14 >= len(ws):
+                break
+            k += 1
+    assert got == want
 
 
 def test_a_failed_rebuild_keeps_the_index(spark, tmp_path):
