@@ -40,6 +40,17 @@ def index_terms(documents: DataFrame, scope: str, key: str, terms: Column, keep:
     return Postings(rows, keep(df.join(sizes, F.col("__ds") == F.col("__s")).drop("__ds")), scope, key)
 
 
+def updated(index: Postings, documents: DataFrame, terms: Column, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The postings after the documents of the scopes ``changed`` became ``documents`` and those of ``deleted`` went; both have the
+    scope alone. Postings of other scopes are not made again."""
+    scope = index.scope
+    drop = changed.unionByName(deleted).select(F.col(scope).alias("__s")).distinct()
+    gone = deleted.select(F.col(scope).alias("__s")).distinct()
+    kept = index.rows.join(drop, F.col(scope) == F.col("__s"), "left_anti")
+    new = index_terms(documents, scope, index.key, terms).rows.join(gone, F.col(scope) == F.col("__s"), "left_anti")
+    return kept.unionByName(new)
+
+
 def bm25(queries: DataFrame, index: Postings, k1: float = 1.5, b: float = 0.75, plus_one: bool = True) -> DataFrame:
     """``query_id, key, score`` of every document of a query's scope that shares a term with it, score to 6 digits.
 
@@ -79,6 +90,14 @@ def fuse(rankings: DataFrame, key: str, constant: int = 60, by_rank: bool = True
     return per.withColumn("best_rank", F.col("best_rank").cast("long")).withColumn("fused_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
 
 
+def fused_with_ranks(lists: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of a lexical and a dense list after fusion, with the rank in each."""
+    fused = fuse(lists, "chunk_id").where(F.col("fused_rank") <= k).select(F.col("query_id").alias("__q"), F.col("chunk_id").alias("__c"), F.col("score").alias("fused_score"), "fused_rank")
+    rank = lambda s: F.max(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank")
+    per = lists.groupBy("query_id", "chunk_id").agg(rank("lexical"), rank("dense"))
+    return fused.join(per, (F.col("__q") == F.col("query_id")) & (F.col("__c") == F.col("chunk_id"))).select("query_id", "chunk_id", "lexical_rank", "dense_rank", "fused_score", "fused_rank")
+
+
 def rerank(scored: DataFrame, query_terms: str, document_terms: str, weight: float = 0.65) -> DataFrame:
     """Adds ``reranked``: the score as a share of the query's best, mixed with the share of query terms in the document."""
     best = F.max("score").over(Window.partitionBy("query_id"))
@@ -98,6 +117,8 @@ def keep_different(candidates: Column, limit: int, threshold: float = 0.85) -> C
 
 
 QUERY_BLOCK, DOCUMENT_BLOCK = 512, 4096
+SENT_VALUES = 1 << 20
+"""Numbers in the vectors of all queries up to which they are sent to the tasks, 8 MB; more go in blocks through a shuffle."""
 
 
 def _blocks(rows: DataFrame, scope: str, key: str, vector: str, size: int) -> DataFrame:
@@ -107,32 +128,71 @@ def _blocks(rows: DataFrame, scope: str, key: str, vector: str, size: int) -> Da
     return placed.groupBy(scope, "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias("rows"))
 
 
-def dense_top(queries: DataFrame, documents: DataFrame, scope: str, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """Exact cosine top ``k`` within the scope: ``query_id, key, score, rank``; scores to 6 digits, ties by key.
+def _unit(vectors: list) -> np.ndarray:
+    a = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-150)
 
-    Queries and documents are packed in blocks; each pair of blocks of a scope is one matrix product, of which the best
-    ``k`` per query go on. A vector of length 0 scores 0; vectors must have one dimension.
-    """
+
+def _best(query_ids: list, q: np.ndarray, ids: list, d: np.ndarray, k: int | None, key: str) -> pd.DataFrame:
+    """Of unit vectors the best ``k`` documents of each query, or all, ties by the id."""
+    s = np.round(q @ d.T, 6)
+    order = np.argsort(np.array(ids), kind="stable")
+    best = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
+    m = best.shape[1]
+    return pd.DataFrame({"query_id": np.repeat(query_ids, m), key: np.array(ids)[order][best.ravel()], "score": np.take_along_axis(s[:, order], best, 1).ravel() + 0.0})
+
+
+def _sent(queries: DataFrame, documents: DataFrame, scope: str, k: int | None, key: str, vector: str, schema: str) -> DataFrame:
+    """Few queries go to the documents where they lie: nothing but the best of each batch is shuffled."""
+    by_scope: dict = {}
+    for r in queries.select(F.col(scope).alias("s"), "query_id", F.col(vector).alias("v")).collect():
+        by_scope.setdefault(r["s"], ([], []))
+        by_scope[r["s"]][0].append(r["query_id"])
+        by_scope[r["s"]][1].append(r["v"])
+    shared = queries.sparkSession.sparkContext.broadcast({s: (ids, _unit(vs)) for s, (ids, vs) in by_scope.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for s, part in rows.groupby("s", sort=False):
+                if s in shared.value:
+                    ids, q = shared.value[s]
+                    yield _best(ids, q, part["id"].tolist(), _unit(part["v"].tolist()), k, key)
+
+    return documents.select(F.col(scope).alias("s"), F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(run, schema)
+
+
+def _paired(queries: DataFrame, documents: DataFrame, scope: str, k: int | None, key: str, vector: str, schema: str) -> DataFrame:
     q = _blocks(queries, scope, "query_id", vector, QUERY_BLOCK).select(F.col(scope).alias("__qs"), F.col("block").alias("q_block"), F.col("rows").alias("q"))
     d = _blocks(documents, scope, key, vector, DOCUMENT_BLOCK).select(scope, F.col("block").alias("d_block"), F.col("rows").alias("d"))
     # Spread the documents' blocks over as many keys as there are query blocks, so a large scope uses many tasks.
     n = q.groupBy("__qs").agg(F.max("q_block").alias("most")).select(F.col("__qs").alias("__n"), "most")
     spread = d.join(n, F.col(scope) == F.col("__n")).select(scope, "d", F.explode(F.sequence(F.lit(0), "most")).alias("want"))
     pairs = spread.join(q, (F.col(scope) == F.col("__qs")) & (F.col("want") == F.col("q_block"))).select("q", "d")
-    kinds = [dict(queries.dtypes)["query_id"], dict(documents.dtypes)[key]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for qs, ds in zip(rows["q"], rows["d"]):
-                a = np.array([np.asarray(x["v"], dtype=np.float64) for x in qs])
-                b = np.array([np.asarray(x["v"], dtype=np.float64) for x in ds])
-                na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-                s = np.round((a @ b.T) / np.maximum(na[:, None] * nb[None, :], 1e-300), 6)
-                ids = np.array([x["id"] for x in ds])
-                order = np.argsort(ids, kind="stable")
-                best = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
-                m = best.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat([x["id"] for x in qs], m), key: ids[order][best.ravel()], "score": np.take_along_axis(s[:, order], best, 1).ravel() + 0.0})
-
-    found = pairs.mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
-    return top(found, k, key)
+                yield _best([x["id"] for x in qs], _unit([x["v"] for x in qs]), [x["id"] for x in ds], _unit([x["v"] for x in ds]), k, key)
+
+    return pairs.mapInPandas(run, schema)
+
+
+def dense_all(queries: DataFrame, documents: DataFrame, scope: str, key: str = "id", vector: str = "embedding", k: int | None = None) -> DataFrame:
+    """Exact cosine ranking within the scope: ``query_id, key, score, rank``; scores to 6 digits, ties by key, the best ``k`` or all.
+
+    A vector of length 0 scores 0; vectors must have one dimension. Queries whose vectors have ``SENT_VALUES`` numbers at
+    most are sent to the documents; more queries and the documents are packed in blocks, and each pair of blocks of a scope is
+    one matrix product, of which the best ``k`` per query go on.
+    """
+    values = queries.agg(F.sum(F.size(vector))).first()[0] or 0
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(documents.dtypes)[key]}, score double"
+    found = (_sent if values <= SENT_VALUES else _paired)(queries, documents, scope, k, key, vector, schema)
+    if k is not None:
+        return top(found, k, key)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    return found.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+def dense_top(queries: DataFrame, documents: DataFrame, scope: str, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """The best ``k`` of :func:`dense_all`."""
+    return dense_all(queries, documents, scope, key, vector, k)

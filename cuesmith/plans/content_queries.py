@@ -273,12 +273,10 @@ def s11(spark, folder):
     return known.mapInPandas(run, "id string, source string, attempts int, error string")
 
 
-@query("s18_file_source", READ.replace("SELECT transcript_id ||", "SELECT transcript_id, transcript_id ||").split("SELECT transcript_id, transcript_id ||")[0].rstrip() + f""", tr AS (SELECT id FROM (SELECT t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY coalesce(list_position(['vi', 'en'], string_split(replace(lower(trim(t.language_code)), '_', '-'), '-')[1]), 3), CASE t.source_format WHEN 'vtt' THEN 0 WHEN 'srv3' THEN 1 ELSE 2 END, t.id) AS rk FROM transcripts t WHERE t.normalizer_version IS NULL AND t.source_format IN ('vtt', 'srv3', 'ttml')) WHERE rk = 1)
-      SELECT c.transcript_id, {S.squeeze('t')} AS text, start_ms, end_ms FROM c JOIN tr ON tr.id = c.transcript_id WHERE t <> '' AND start_ms >= 0 AND end_ms > start_ms""")
-def s18(spark, folder):
-    """Subtitle files read back: payloads of every raw transcript are written in its format, the best track of each video is picked and
-    parsed by its format."""
-    t = table(spark, folder, "transcripts").where("normalizer_version IS NULL AND source_format IN ('vtt', 'srv3', 'ttml')").select("id", "video_id", "language_code", "source_format")
+def subtitle_files(spark, folder):
+    """Payloads of every raw transcript in its format: ``key, video_id, track, language_code, format, payload``. A structured one has
+    no file format of its own and is written as text."""
+    t = table(spark, folder, "transcripts").select("id", "video_id", "language_code", "source_format")
     start, length = F.col("start_ms").cast("string"), (F.col("end_ms") - F.col("start_ms")).cast("string")
     lines = {
         "vtt": (F.concat(_clock(F.col("start_ms")), F.lit(" --> "), _clock(F.col("end_ms")), F.lit("\n"), "clean", F.lit("\n")), "WEBVTT\n\n", "\n"),
@@ -286,10 +284,20 @@ def s18(spark, folder):
         "srv3": (F.concat(F.lit('<p t="'), start, F.lit('" d="'), length, F.lit('">'), "clean", F.lit("</p>")), "<timedtext><body>", "</body></timedtext>"),
     }
     files = None
+    lines["structured"] = lines["vtt"]
     for kind, (line, head, foot) in lines.items():
         written = payloads(spark, folder, line, head, foot).withColumn("track", F.split("key", "/")[0])
         one = written.join(t.where(F.col("source_format") == kind), F.col("track") == F.col("id")).select("key", "video_id", "track", "language_code", F.lit(kind).alias("format"), "payload")
         files = one if files is None else files.unionByName(one)
+    return files
+
+
+@query("s18_file_source", READ.replace("SELECT transcript_id ||", "SELECT transcript_id, transcript_id ||").split("SELECT transcript_id, transcript_id ||")[0].rstrip() + f""", tr AS (SELECT id FROM (SELECT t.id, row_number() OVER (PARTITION BY t.video_id ORDER BY coalesce(list_position(['vi', 'en'], string_split(replace(lower(trim(t.language_code)), '_', '-'), '-')[1]), 3), CASE t.source_format WHEN 'vtt' THEN 0 WHEN 'srv3' THEN 1 ELSE 2 END, t.id) AS rk FROM transcripts t WHERE t.normalizer_version IS NULL AND t.source_format IN ('vtt', 'srv3', 'ttml')) WHERE rk = 1)
+      SELECT c.transcript_id, {S.squeeze('t')} AS text, start_ms, end_ms FROM c JOIN tr ON tr.id = c.transcript_id WHERE t <> '' AND start_ms >= 0 AND end_ms > start_ms""")
+def s18(spark, folder):
+    """Subtitle files read back: payloads of every raw transcript are written in its format, the best track of each video is picked and
+    parsed by its format."""
+    files = subtitle_files(spark, folder).where("format <> 'structured'")
     path = f"{checkpoint_folder(spark)}/subtitles-{folder.rstrip('/').rsplit('/', 1)[-1]}"
     files.write.mode("overwrite").json(path)
     read = spark.read.schema("key string, video_id string, track string, language_code string, format string, payload string").json(path)

@@ -129,15 +129,6 @@ def s4(spark, folder):
     return subtitles.parse_xml(payloads(spark, folder, line, "<timedtext><body>", "</body></timedtext>"), "srv3").drop("error")
 
 
-@query("s1_parse_subtitles", None)
-def s1(spark, folder):
-    """Payloads of each transcript in its own format, read by it."""
-    kinds = table(spark, folder, "transcripts").select(F.col("id").alias("__t"), F.col("source_format").alias("format"))
-    line = F.concat(_clock(F.col("start_ms")), F.lit(" --> "), _clock(F.col("end_ms")), F.lit("\n"), "clean", F.lit("\n"))
-    written = payloads(spark, folder, line, "WEBVTT\n\n", "\n")
-    return subtitles.parse_subtitles(written.join(kinds, F.split("key", "/")[0] == F.col("__t")).drop("__t"))
-
-
 _BARE = "regexp_replace(coalesce(text, ''), '<[^>]*>', '', 'g')"
 for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _BARE = f"replace({_BARE}, '{_name}', '{_sign}')"
@@ -231,36 +222,6 @@ def d4_timeline(spark, folder):
     return both.select("transcript_id", notes.alias("notes"), F.concat(F.lit("Flashcards:\n"), show("ls", 6, "card")).alias("flashcards"), F.concat(F.lit("Concept map:\n"), show("bs", 6, "branch")).alias("concept_map"))
 
 
-@query("d2_timeline_summary", None)
-def d2_timeline(spark, folder):
-    """The short summary of each transcript: the first seven of eight chunks evenly over its whole length."""
-    c = chunked(spark, folder).select("transcript_id", "window", "text", "start_ms")
-    line = F.concat(F.lit("- ["), X.minutes_seconds(F.col("start_ms") / 1000), F.lit("] "), X.shorten(F.col("text"), 150))
-    per = at_places(c, lambda n: spaced(n, 8)).where("place <= 7").groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("ls"))
-    return per.select("transcript_id", F.concat(F.lit("Summary:\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("summary"))
-
-
-@query("d5_quiz_questions", None)
-def d5(spark, folder):
-    """A question for each of three chunks evenly over a transcript; the wrong choices are the first three other texts of the
-    whole transcript, rotated by the question's number."""
-    text = F.col("text")
-    c = chunked(spark, folder).select("transcript_id", "window", "chunk_id", "start_ms", "end_ms", X.shorten(text, 180).alias("short"), X.shorten(text, 220).alias("quoted"))
-    # Of a transcript's distinct texts the first four: one of them may be the answer.
-    texts = c.groupBy(F.col("transcript_id").alias("__t"), "short").agg(F.min("window").alias("first"))
-    best = texts.withColumn("nth", F.row_number().over(Window.partitionBy("__t").orderBy("first"))).where("nth <= 4")
-    pools = best.groupBy("__t").agg(F.array_sort(F.collect_list(F.struct("first", "short"))).alias("pool"))
-    asked = at_places(c, lambda n: spaced(n, 3)).join(pools, F.col("transcript_id") == F.col("__t"))
-    others = F.filter(F.transform("pool", lambda x: x["short"]), lambda t: t != F.col("short"))
-    canned = F.array(*[F.lit(f"None of the passages says this ({i}).") for i in (1, 2, 3)])
-    options = F.concat(F.array("short"), F.slice(F.concat(others, canned), 1, 3))
-    turn = F.col("place") % 4
-    turned = F.concat(F.slice(options, (turn + 1).cast("int"), (4 - turn).cast("int")), F.slice(options, F.lit(1), turn.cast("int")))
-    clock = lambda ms: X.minutes_seconds(F.col(ms) / 1000)
-    why = F.concat(F.lit('The answer rests on "'), "quoted", F.lit('" at '), clock("start_ms"), F.lit("-"), clock("end_ms"), F.lit("."))
-    return asked.select("chunk_id", F.concat(F.lit("What is the main point at "), clock("start_ms"), F.lit("?")).alias("question"), turned.alias("options"), F.col("short").alias("answer"), why.alias("explanation"))
-
-
 # Fixed value: how often the reference's player reads its position.
 PLAYER_MS = 500
 
@@ -290,27 +251,6 @@ def g8_positions(spark, folder):
     return at.select("transcript_id", (F.col("at") * PLAYER_MS).alias("position_ms"), "id")
 
 
-@query(
-    "k7_posting_update",
-    f"""WITH {S.SEGMENTS}, changed AS (SELECT DISTINCT transcript_id FROM index_versions WHERE status = 'building'), old AS (SELECT * FROM seg WHERE transcript_id NOT IN (SELECT transcript_id FROM changed)),
-      t AS (SELECT id, unnest({S.tokens("coalesce(original_text, '')")}) AS term FROM old UNION ALL SELECT id, unnest({S.tokens("coalesce(normalized_text, '')")}) FROM seg WHERE transcript_id IN (SELECT transcript_id FROM changed))
-    SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM t GROUP BY 1""",
-)
-def k7(spark, folder):
-    """Postings where those of transcripts with a version being built are replaced by postings of the new text."""
-    changed = table(spark, folder, "index_versions").where("status = 'building'").select(F.col("transcript_id").alias("__t")).distinct()
-    s = segments(spark, folder).join(changed, F.col("transcript_id") == F.col("__t"), "left")
-    words = X.tokens(F.coalesce(F.when(F.col("__t").isNull(), F.col("original_text")).otherwise(F.col("normalized_text")), F.lit("")))
-    per = s.select("id", F.explode(words).alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-
-
-@query("k11_report", "WITH m AS (SELECT DISTINCT message_id, retrieval_mode, answer FROM chat_messages) SELECT retrieval_mode, '| ' || retrieval_mode || ' | ' || CAST(count(*) AS VARCHAR) || ' | ' || CAST(count(answer) AS VARCHAR) || ' |' AS line FROM m GROUP BY 1")
-def k11(spark, folder):
-    m = table(spark, folder, "chat_messages").dropDuplicates(["message_id"])
-    return m.groupBy("retrieval_mode").agg(F.format_string("| %s | %d | %d |", F.first("retrieval_mode"), F.count("*"), F.count("answer")).alias("line"))
-
-
 @query("d3_merged_sections", f"WITH {CHUNKS} SELECT transcript_id, \"window\" // 4 AS section, string_agg({S.shorten('text', 350)}, chr(10) ORDER BY \"window\") AS text FROM chunks GROUP BY ALL")
 def d3(spark, folder):
     c = chunked(spark, folder).withColumn("section", F.floor(F.col("window") / 4))
@@ -371,16 +311,6 @@ def d11(spark, folder):
     return api.ask(_asked(spark, folder), at.chunks, postings=at.postings, vectors=at.vectors)
 
 
-@query("d12_query_expansion", None)
-def d12(spark, folder):
-    """Chunks for fixed study questions in every video, the best six of all of them by score."""
-    wanted = ("the main ideas of the lesson", "các ý chính của bài học", "steps and examples in plain language")
-    videos = table(spark, folder, "videos").select("id")
-    asked = videos.select(F.col("id").alias("video_id"), F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, wanted))).alias("q"))
-    terms = asked.select("video_id", "query_id", F.explode(X.tokens(F.col("q"))).alias("term"))
-    return retrieval.top(retrieval.bm25(terms, index(spark, folder).postings), 6, "chunk_id")
-
-
 @query("f23_feature_hash", None)
 def f23(spark, folder):
     from ..functions.embedding import hash_features

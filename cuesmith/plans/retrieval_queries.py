@@ -278,11 +278,7 @@ def r7(spark, folder):
     asked, docs = embedded(spark, folder)
     d = retrieval.dense_top(asked, docs, "video_id", 8).where("score > 0").select("query_id", F.lit("dense").alias("source"), F.col("id").alias("chunk_id"), "rank")
     lex = retrieval.top(scored(spark, folder), 8, "chunk_id").where("score > 0").select("query_id", F.lit("lexical").alias("source"), "chunk_id", "rank")
-    lists = lex.unionByName(d)
-    fused = retrieval.fuse(lists, "chunk_id").where("fused_rank <= 4").select(F.col("query_id").alias("__q"), F.col("chunk_id").alias("__c"), F.col("score").alias("fused_score"), "fused_rank")
-    rank = lambda s: F.max(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank")
-    per = lists.groupBy("query_id", "chunk_id").agg(rank("lexical"), rank("dense"))
-    return fused.join(per, (F.col("__q") == F.col("query_id")) & (F.col("__c") == F.col("chunk_id"))).select("query_id", "chunk_id", "lexical_rank", "dense_rank", "fused_score", "fused_rank")
+    return retrieval.fused_with_ranks(lex.unionByName(d), 4)
 
 
 @query("r15_hashed_embedding", None)
@@ -290,15 +286,6 @@ def r15(spark, folder):
     return table(spark, folder, "documents").select("doc_id", embed("text").alias("embedding"))
 
 
-@query("w16_greedy_dedupe", None)
-def w16(spark, folder):
-    """Of the 20 best chunks of each question, those that are no near copy of a kept one, 6 at most."""
-    pool = retrieval.top(scored(spark, folder), 20, "chunk_id")
-    docs = chunked(spark, folder).select(F.col("chunk_id").alias("__c"), F.array_distinct(X.tokens(F.col("text"))).alias("terms"))
-    per = pool.join(docs, F.col("chunk_id") == F.col("__c")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "terms"))).alias("c"))
-    return per.select("query_id", F.posexplode(retrieval.keep_different(F.col("c"), 6)).alias("place", "x")).select("query_id", (F.col("place") + 1).alias("place"), "x.chunk_id")
-
-
 EXPANDED = f"""{RANKED}, hits AS (SELECT r.query_id, r.rank, c.transcript_id, c."window" AS ix FROM ranked r JOIN chunks c USING (chunk_id) WHERE rank <= 4),
   near AS (SELECT h.query_id, h.rank, o.o AS kind, c.chunk_id FROM hits h CROSS JOIN (VALUES (0, 0), (1, -1), (2, 1)) o(o, d) JOIN chunks c ON c.transcript_id = h.transcript_id AND c."window" = h.ix + o.d),
   once AS (SELECT query_id, chunk_id, min(rank * 10 + kind) AS ord FROM near GROUP BY ALL)"""

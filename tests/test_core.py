@@ -226,7 +226,7 @@ def test_queries_and_sql_have_the_same_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-CHECKED = ("f1_tokenize", "a1_document_frequency", "r1_bm25_search", "r6_rank_fusion", "j4_interval_overlap", "p1_found", "g9_sessions", "s2_parse_vtt")
+CHECKED = ("k3_upsert", "k5_cascade_delete", "g1_state_machine", "c6_ingest", "a10_segment_metrics", "r7_fused_search", "d9_grounded_answers", "f1_tokenize", "a1_document_frequency", "r1_bm25_search", "r6_rank_fusion", "j4_interval_overlap", "p1_found", "g9_sessions", "s2_parse_vtt")
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -343,6 +343,13 @@ def test_search_brings_the_parent_before_the_neighbours(spark):
     children = library(spark).withColumn("parent_id", F.when(F.col("window") < 2, "P"))
     context, _ = api.search(asked, children, "lexical", limit=1, parents=parents)
     assert [(r.chunk_id, r.kind) for r in context.orderBy("place").collect()] == [("bread#1", "primary"), ("P", "parent"), ("bread#0", "neighbour"), ("bread#2", "neighbour")]
+    from cuesmith.operators import retrieval as r
+
+    many = spark.createDataFrame([(0, i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "scope int, id long, embedding array<double>")
+    q = many.where("id < 6").withColumnRenamed("id", "query_id")
+    schema = "query_id long, id long, score double"
+    both = [sorted(map(tuple, f(q, many, "scope", None, "id", "embedding", schema).collect())) for f in (r._sent, r._paired)]
+    assert both[0] == both[1] and len(both[0]) == 240
     found, ms = api.debug(asked, library(spark), "hybrid", 2)
     assert found.count() == 2 and ms >= 0 and api.candidates("hybrid", 4) == 8 and api.candidates("reranked", 4) == 16 and api.candidates("dense", 3) == 3
     with pytest.raises(ValueError):
@@ -596,12 +603,14 @@ def test_quiz_notes_and_summary_use_the_whole_transcript(spark, tmp_path):
     cut = lambda n, k: [i for i in range(n)] if n <= k else sorted({round(i * (n - 1) / (k - 1)) for i in range(k)})
     heads = lambda n: sorted({x for i in range(6) for s, e in [(round(i * n / 6), round((i + 1) * n / 6))] for x in (s, s + (e - s) // 2)})[:12]
     begins = lambda text: [int(x) for x in re.findall(r"t(\d+) t\d+ ", " ".join(re.findall(r"(?:\] |A: |Idea: |: )(t\d+ t\d+ )", text)))]
-    ask = {n: entry.queries()[n](spark, str(tmp_path)).collect() for n in ("d5_quiz_questions", "d4_timeline_notes", "d2_timeline_summary")}
-    quiz = {r.chunk_id: r for r in ask["d5_quiz_questions"]}
-    assert set(quiz) == {f"{t}:{w:06d}" for t, n in sizes.items() for w in cut(n, 3)}
+    ask = {n: entry.queries()[n](spark, str(tmp_path)).collect() for n in ("d5_quiz_modes", "d4_timeline_notes", "d2_summaries")}
+    quiz = {r.question_id: r for r in ask["d5_quiz_modes"] if r.mode == "exam"}
+    assert set(quiz) == {f"{t}:{w:06d}-q{i + 1}" for t, n in sizes.items() for i, w in enumerate(cut(n, 5))}
+    assert {(r.mode, int(r.question_id[-1])): r.kind for r in ask["d5_quiz_modes"]} == {(m, i): ("multiple_choice" if (i % 2 if m == "practice" else i % 3) else "true_false" if m == "practice" else "short_answer") for m in ("practice", "concept_check", "exam") for i in range(1, 6)}
     first = lambda r: [int(re.match(r"t(\d+)", o)[1]) // 110 if o.startswith("t") else None for o in r.options]
-    assert first(quiz["d:000020"]) == [2, 20, 0, 1] and first(quiz["b:000000"]) == [1, 2, 3, 0] and sorted(map(str, first(quiz["a:000000"]))) == ["0", "None", "None", "None"]
-    assert {r.transcript_id: [x // 110 for x in begins(r.summary)] for r in ask["d2_timeline_summary"]} == {t: cut(n, 8)[:7] for t, n in sizes.items()}
+    assert first(quiz["d:000020-q5"]) == [0, 1, 2, 20] and first(quiz["b:000000-q1"]) == [1, 2, 3, 0] and sorted(map(str, first(quiz["a:000000-q1"]))) == ["0", "None", "None", "None"]
+    assert {r.transcript_id: [x // 110 for x in begins(r.short)] for r in ask["d2_summaries"]} == {t: cut(n, 8)[:7] for t, n in sizes.items()}
+    assert {r.transcript_id: [x // 110 for x in begins(r.timeline)] for r in ask["d2_summaries"]} == {t: cut(n, 18) for t, n in sizes.items()}
     for r in ask["d4_timeline_notes"]:
         n = sizes[r.transcript_id]
         want = heads(n) if n >= 18 else cut(n, 12)
