@@ -13,34 +13,41 @@ from collections.abc import Callable, Iterator
 from uuid import NAMESPACE_URL, uuid5
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
 from ..settings import ChunkerConfig
+from .ordered import before
 
 WORD = re.compile(r"[^\W_]+")
 ROLLING_GAP_MS = 250
 
 
-def stream_fold(rows: DataFrame, entity: str, order: list[str], machine: Callable[[str], object], schema: str) -> DataFrame:
-    """Feed the rows of each entity, in order, to ``machine(entity)``; its ``add(row)`` and ``close()`` give output tuples."""
+def stream_fold(rows: DataFrame, entity: str, order: list[str], machine: Callable[[str], object], schema: str, part: str | None = None) -> DataFrame:
+    """Feed the rows of each entity, in order, to ``machine(entity)``; its ``add(row)`` and ``close()`` give output tuples.
+
+    With ``part``, a column of numbers, each part of an entity has a machine of its own, ``machine(entity, part)``, and the parts
+    of a long entity spread over tasks.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
+    keys = [entity] if part is None else [entity, part]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, key = None, None
         for batch in batches:
             out: list[tuple] = []
             for row in batch.itertuples(index=False):
-                if now is None or getattr(row, entity) != key:
+                at = tuple(getattr(row, k) for k in keys)
+                if now is None or at != key:
                     out += now.close() if now is not None else []
-                    key = getattr(row, entity)
-                    now = machine(key)
+                    key, now = at, machine(*at)
                 out += now.add(row)
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(now.close() if now is not None else [], columns=names)
 
-    return rows.repartition(entity).sortWithinPartitions(entity, *order).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _int(value) -> int | None:
@@ -115,15 +122,15 @@ def without_rolled(before: str, text: str) -> str:
 class CaptionRoller:
     """Captions that roll: one that repeats the last kept one extends it, one that begins with its end loses that start."""
 
-    def __init__(self, entity: str) -> None:
-        self.entity, self.last, self.made, self.removed, self.read = entity, None, 0, 0, 0
+    def __init__(self, entity: str, part: int) -> None:
+        self.entity, self.part, self.last, self.made, self.removed = entity, part, None, 0, 0
 
     def _out(self) -> list[tuple]:
         if self.last is None:
             return []
         text, start, end, source = self.last
         self.made += 1
-        return [(self.entity, self.made - 1, source, text, start, end, self.removed)]
+        return [(self.entity, int(self.part), self.made - 1, source, text, start, end, self.removed)]
 
     def add(self, row) -> list[tuple]:
         text, start, end = normal_text(row.text), _int(row.start_ms), _int(row.end_ms)
@@ -145,12 +152,45 @@ class CaptionRoller:
         return self._out()
 
 
-CANONICAL = "transcript_id string, sequence_number int, original_text string, normalized_text string, start_ms bigint, end_ms bigint, removed_so_far int"
+ROLLED = "transcript_id string, part bigint, sequence_number int, original_text string, normalized_text string, start_ms bigint, end_ms bigint, removed_so_far int"
+PART_CUES = 2048
+
+
+def _caption_parts(cues: DataFrame) -> DataFrame:
+    """Where long transcripts may be cut: ``__t, __b, cut, earlier`` of each bucket of numbers behind the first.
+
+    A readable cue that starts more than the rolling gap after all that was before it opens a caption whatever came before, so
+    the first such cue of a bucket begins a part.
+    """
+    readable = F.col("text").rlike("[\\p{L}\\p{N}]") & ~F.contains("text", F.lit("&")) & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    narrow = cues.select("transcript_id", "sequence_number", "start_ms", "end_ms", F.coalesce(readable, F.lit(False)).alias("readable"), F.floor(F.col("sequence_number") / PART_CUES).alias("bucket"))
+    seen = before(narrow, ["transcript_id"], "bucket", ["sequence_number"], until=("max", F.col("end_ms")))
+    opens = F.col("readable") & (F.col("bucket") > 0) & (F.col("start_ms") > F.col("until") + ROLLING_GAP_MS)
+    per = seen.groupBy("transcript_id", "bucket").agg(F.min(F.when(opens, F.col("sequence_number"))).alias("cut"))
+    earlier = Window.partitionBy("transcript_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("earlier", F.max("cut").over(earlier)).where("cut IS NOT NULL OR earlier IS NOT NULL")
+    return per.select(F.col("transcript_id").alias("__t"), F.col("bucket").alias("__b"), "cut", "earlier")
 
 
 def canonical_cues(cues: DataFrame) -> DataFrame:
-    """Canonical cues of source cues, see :class:`CaptionRoller`; blank texts and null times are left out."""
-    return stream_fold(cues.where("transcript_id IS NOT NULL"), "transcript_id", ["sequence_number"], CaptionRoller, CANONICAL)
+    """Canonical cues of source cues, see :class:`CaptionRoller`; blank texts and null times are left out.
+
+    A long transcript is cut where captions can't roll on; numbers and counts of removed cues are added up over its parts.
+    """
+    cues = cues.where("transcript_id IS NOT NULL")
+    # Few buckets have a row; it is written first, so that its size is known when it is joined.
+    parts = stored(_caption_parts(cues))
+    at = (F.col("transcript_id") == F.col("__t")) & (F.floor(F.col("sequence_number") / PART_CUES) == F.col("__b"))
+    part = F.when(F.col("sequence_number") >= F.col("cut"), F.col("cut")).otherwise(F.coalesce("earlier", F.lit(-1))).cast("long")
+    placed = cues.join(parts, at, "left").withColumn("part", part).drop("__t", "__b", "cut", "earlier")
+    rolled = stored(stream_fold(placed, "transcript_id", ["sequence_number"], CaptionRoller, ROLLED, part="part"))
+    # One row a part from here; transcripts of one part need none.
+    totals = rolled.groupBy(F.col("transcript_id").alias("__t"), F.col("part").alias("__p")).agg(F.count("*").alias("made"), F.max("removed_so_far").alias("removed"))
+    earlier = Window.partitionBy("__t").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.withColumns({"made": F.sum("made").over(earlier), "removed": F.sum("removed").over(earlier)}).where("made IS NOT NULL")
+    both = rolled.join(shifts, (F.col("transcript_id") == F.col("__t")) & (F.col("part") == F.col("__p")), "left")
+    moved = lambda c, by: (F.col(c) + F.coalesce(by, F.lit(0))).cast("int").alias(c)
+    return both.select("transcript_id", moved("sequence_number", "made"), "original_text", "normalized_text", "start_ms", "end_ms", moved("removed_so_far", "removed"))
 
 
 class SectionCutter:

@@ -158,6 +158,24 @@ def test_rolling_captions(spark):
     assert max(r.removed_so_far for r in got if r.transcript_id == "a") == 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_captions_roll_alike_in_parts(spark, monkeypatch, seed):
+    """Cut or whole, a transcript gives the same cues, numbers and counts."""
+    rnd = random.Random(seed)
+    data, at = [], 0
+    for i in range(240):
+        text = rnd.choice(("we mix the", "mix the dough now", "the dough now rests", "&nbsp;", None, " ", "it rests", "we mix the"))
+        data.append(("t", i, text, at if rnd.random() < 0.95 else None, at + 900))
+        at += rnd.choice((300, 900, 1100, 1200, 2000))
+    df = spark.createDataFrame(data, FOLD)
+    runs = []
+    for size in (2048, 16, 5, 1):
+        monkeypatch.setattr(folds, "PART_CUES", size)
+        runs.append(sorted(map(tuple, folds.canonical_cues(df).collect())))
+        assert (folds._caption_parts(df).count() > 0) == (size < 240)
+    assert runs[0] == runs[1] == runs[2] == runs[3] and [r[1] for r in runs[0]] == list(range(len(runs[0])))
+
+
 def test_segment_packing_carries_an_overlap(spark):
     cues = [("v", i, f"Word{i} Next{i} Last{i}", i, i + 1) for i in range(4)]
     machine = folds.SegmentPacker("v", 6, 2)
