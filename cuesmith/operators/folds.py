@@ -1,7 +1,8 @@
 """Sequential operators: one pass over the ordered rows of each entity with bounded state.
 
 Where a row's treatment depends on what was made of all rows before it, an entity can't be cut. Its rows are streamed
-in order through a state machine instead of being collected, so a long entity takes time but no memory.
+in order through a state machine instead of being collected, so a long entity takes time but no memory. Captions and
+chunks have places where nothing goes on; there a long entity is cut into parts that spread over tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Callable, Iterator
 from uuid import NAMESPACE_URL, uuid5
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import uuid5 as uuid5_column
 from ..session import stored
 from ..settings import ChunkerConfig
 from .ordered import before
@@ -156,33 +158,38 @@ ROLLED = "transcript_id string, part bigint, sequence_number int, original_text
 PART_CUES = 2048
 
 
-def _caption_parts(cues: DataFrame) -> DataFrame:
-    """Where long transcripts may be cut: ``__t, __b, cut, earlier`` of each bucket of numbers behind the first.
-
-    A readable cue that starts more than the rolling gap after all that was before it opens a caption whatever came before, so
-    the first such cue of a bucket begins a part.
-    """
-    readable = F.col("text").rlike("[\\p{L}\\p{N}]") & ~F.contains("text", F.lit("&")) & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
-    narrow = cues.select("transcript_id", "sequence_number", "start_ms", "end_ms", F.coalesce(readable, F.lit(False)).alias("readable"), F.floor(F.col("sequence_number") / PART_CUES).alias("bucket"))
-    seen = before(narrow, ["transcript_id"], "bucket", ["sequence_number"], until=("max", F.col("end_ms")))
-    opens = F.col("readable") & (F.col("bucket") > 0) & (F.col("start_ms") > F.col("until") + ROLLING_GAP_MS)
+def _parts_of(seen: DataFrame, opens: Column) -> DataFrame:
+    """The parts of long transcripts, ``__t, __b, cut, earlier``: in each bucket of numbers the first cue that may begin one."""
     per = seen.groupBy("transcript_id", "bucket").agg(F.min(F.when(opens, F.col("sequence_number"))).alias("cut"))
     earlier = Window.partitionBy("transcript_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("earlier", F.max("cut").over(earlier)).where("cut IS NOT NULL OR earlier IS NOT NULL")
     return per.select(F.col("transcript_id").alias("__t"), F.col("bucket").alias("__b"), "cut", "earlier")
 
 
+def _in_parts(cues: DataFrame, parts: DataFrame) -> DataFrame:
+    """``cues`` with ``part``, -1 before the first cut. Few buckets have a row in ``parts``; it is written first, so that its size
+    is known when it is joined."""
+    at = (F.col("transcript_id") == F.col("__t")) & (F.floor(F.col("sequence_number") / PART_CUES) == F.col("__b"))
+    part = F.when(F.col("sequence_number") >= F.col("cut"), F.col("cut")).otherwise(F.coalesce("earlier", F.lit(-1))).cast("long")
+    return cues.join(stored(parts), at, "left").withColumn("part", part).drop("__t", "__b", "cut", "earlier")
+
+
+def _caption_parts(cues: DataFrame) -> DataFrame:
+    """A readable cue behind the first bucket that starts more than the rolling gap after all that was before it opens a caption
+    whatever came before, so it may begin a part."""
+    readable = F.col("text").rlike("[\\p{L}\\p{N}]") & ~F.contains("text", F.lit("&")) & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    narrow = cues.select("transcript_id", "sequence_number", "start_ms", "end_ms", F.coalesce(readable, F.lit(False)).alias("readable"), F.floor(F.col("sequence_number") / PART_CUES).alias("bucket"))
+    seen = before(narrow, ["transcript_id"], "bucket", ["sequence_number"], until=("max", F.col("end_ms")))
+    return _parts_of(seen, F.col("readable") & (F.col("bucket") > 0) & (F.col("start_ms") > F.col("until") + ROLLING_GAP_MS))
+
+
 def canonical_cues(cues: DataFrame) -> DataFrame:
     """Canonical cues of source cues, see :class:`CaptionRoller`; blank texts and null times are left out.
 
     A long transcript is cut where captions can't roll on; numbers and counts of removed cues are added up over its parts.
     """
     cues = cues.where("transcript_id IS NOT NULL")
-    # Few buckets have a row; it is written first, so that its size is known when it is joined.
-    parts = stored(_caption_parts(cues))
-    at = (F.col("transcript_id") == F.col("__t")) & (F.floor(F.col("sequence_number") / PART_CUES) == F.col("__b"))
-    part = F.when(F.col("sequence_number") >= F.col("cut"), F.col("cut")).otherwise(F.coalesce("earlier", F.lit(-1))).cast("long")
-    placed = cues.join(parts, at, "left").withColumn("part", part).drop("__t", "__b", "cut", "earlier")
+    placed = _in_parts(cues, _caption_parts(cues))
     rolled = stored(stream_fold(placed, "transcript_id", ["sequence_number"], CaptionRoller, ROLLED, part="part"))
     # One row a part from here; transcripts of one part need none.
     totals = rolled.groupBy(F.col("transcript_id").alias("__t"), F.col("part").alias("__p")).agg(F.count("*").alias("made"), F.max("removed_so_far").alias("removed"))
@@ -345,23 +352,36 @@ class HierarchyPacker:
 
 
 class BothLevels:
-    def __init__(self, entity: str, child: tuple, parent: tuple, gap_ms: int) -> None:
+    def __init__(self, entity: str, part: int, child: tuple, parent: tuple, gap_ms: int) -> None:
+        self.part = int(part)
         self.levels = [HierarchyPacker(entity, kind, *sizes[:3], sizes[3], gap_ms, child[1]) for kind, sizes in (("child", child), ("parent", parent))]
         self.sentences = SentenceJoiner(child[1], child[2])  # the same units for both
+        self.sentences.marked = self.part >= 0  # a part behind another follows the end of a sentence
 
     def _put(self, units: list[tuple]) -> list[tuple]:
-        return [x for level in self.levels for unit in units for x in level.put(*unit)]
+        return [(*x, self.part) for level in self.levels for unit in units for x in level.put(*unit)]
 
     def add(self, row) -> list[tuple]:
         return self._put(self.sentences.add(row))
 
     def close(self) -> list[tuple]:
-        return self._put(self.sentences.close()) + [x for level in self.levels for x in level.close()]
+        return self._put(self.sentences.close()) + [(*x, self.part) for level in self.levels for x in level.close()]
 
 
 HIERARCHY = "chunk_id string, transcript_id string, chunk_type string, sequence_number int, text string, start_ms bigint, end_ms bigint, token_count int, segment_ids array<string>, exception string"
 
 
+def _sentence_parts(segments: DataFrame, gap_ms: int) -> DataFrame:
+    """A cue behind the first bucket may begin a part if it starts more than the gap after the cue before it, which has the same
+    bucket and ends a sentence: then neither a sentence nor an overlap goes on. Cues without words or times stand in no chunk."""
+    mark = F.regexp_replace("text", "[\\s\\u00a0]+$", "").rlike("[.!?。！？]$")
+    full = F.coalesce(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull() & F.col("text").rlike("[\\p{L}\\p{N}]"), F.lit(False))
+    rows = segments.select(full.alias("full"), "transcript_id", "sequence_number", "id", "start_ms", "end_ms", mark.alias("ends"), F.floor(F.col("sequence_number") / PART_CUES).alias("bucket"))
+    inside = Window.partitionBy("transcript_id", "bucket").orderBy("sequence_number", "id")
+    seen = rows.withColumns({"__end": F.lag("end_ms").over(inside), "__ends": F.lag(F.col("ends") & F.col("full")).over(inside)})
+    return _parts_of(seen, (F.col("bucket") > 0) & F.col("full") & F.col("__ends") & (F.col("start_ms") - F.col("__end") > gap_ms))
+
+
 def hierarchical_chunks(segments: DataFrame, config: ChunkerConfig | None = None) -> DataFrame:
     """Children and parents of canonical segments ``id, transcript_id, sequence_number, text, start_ms, end_ms``.
 
@@ -371,7 +391,18 @@ def hierarchical_chunks(segments: DataFrame, config: ChunkerConfig | None = None
     child = (c.child_target_tokens, c.child_max_tokens, c.child_max_duration_seconds * 1000, c.child_overlap_tokens)
     parent = (c.parent_target_tokens, c.parent_max_tokens, c.parent_max_duration_seconds * 1000, 0)
     gap = round(c.timing_gap_boundary_seconds * 1000)
-    return stream_fold(segments.where("transcript_id IS NOT NULL"), "transcript_id", ["sequence_number", "id"], lambda entity: BothLevels(entity, child, parent, gap), HIERARCHY)
+    segments = segments.where("transcript_id IS NOT NULL")
+    placed = _in_parts(segments, _sentence_parts(segments, gap))
+    packed = stored(stream_fold(placed, "transcript_id", ["sequence_number", "id"], lambda entity, part: BothLevels(entity, part, child, parent, gap), f"{HIERARCHY}, part bigint", part="part"))
+    # One row a kind and part from here; transcripts of one part need none.
+    totals = packed.groupBy(F.col("transcript_id").alias("__t"), F.col("chunk_type").alias("__k"), F.col("part").alias("__p")).agg(F.count("*").alias("made"))
+    earlier = Window.partitionBy("__t", "__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.withColumn("made", F.sum("made").over(earlier)).where("made IS NOT NULL")
+    both = packed.join(shifts, (F.col("transcript_id") == F.col("__t")) & (F.col("chunk_type") == F.col("__k")) & (F.col("part") == F.col("__p")), "left")
+    number = (F.col("sequence_number") + F.coalesce("made", F.lit(0))).cast("int")
+    name = F.concat_ws("\n", "transcript_id", "chunk_type", number.cast("string"))
+    moved = both.withColumns({"chunk_id": F.when(F.col("made").isNull(), F.col("chunk_id")).otherwise(uuid5_column(NAMESPACE_URL.hex, name)), "sequence_number": number})
+    return moved.select(*[c.split()[0] for c in HIERARCHY.split(", ")])
 
 
 def with_parents(chunks: DataFrame) -> DataFrame:

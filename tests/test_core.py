@@ -176,6 +176,27 @@ def test_captions_roll_alike_in_parts(spark, monkeypatch, seed):
     assert runs[0] == runs[1] == runs[2] == runs[3] and [r[1] for r in runs[0]] == list(range(len(runs[0])))
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_chunks_are_alike_in_parts(spark, monkeypatch, seed):
+    from cuesmith.settings import ChunkerConfig
+
+    rnd = random.Random(seed)
+    data, at = [], 0
+    for i in range(300):
+        text = rnd.choice(("we mix it.", "then the dough", "rests now!", None, " ", "... ", "is it done? yes", "so we wait,"))
+        data.append((f"s{i}", "t", i, text, at if rnd.random() < 0.97 else None, at + 900))
+        at += rnd.choice((900, 1000, 3500, 5000))
+    data += [("u0", "u", 0, "no mark here", 0, 900), ("u1", "u", 1, "nor there", 5000, 5900)]
+    df = spark.createDataFrame(data, "id string, transcript_id string, sequence_number int, text string, start_ms bigint, end_ms bigint")
+    config = ChunkerConfig(child_target_tokens=6, child_max_tokens=12, child_overlap_tokens=3, parent_target_tokens=20, parent_max_tokens=40)
+    runs = []
+    for size in (2048, 30, 7):
+        monkeypatch.setattr(folds, "PART_CUES", size)
+        runs.append(sorted(map(str, folds.hierarchical_chunks(df, config).collect())))
+        assert (folds._sentence_parts(df, 2500).count() > 0) == (size < 300)
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 60
+
+
 def test_segment_packing_carries_an_overlap(spark):
     cues = [("v", i, f"Word{i} Next{i} Last{i}", i, i + 1) for i in range(4)]
     machine = folds.SegmentPacker("v", 6, 2)
