@@ -12,6 +12,7 @@ import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,16 +93,17 @@ def agglomerate(texts: list[tuple[str, str]], starts: list[int | None], ends: li
     return out
 
 
-def _whole(value) -> int | None:
-    return None if pd.isna(value) else int(value)
+def _whole(values: np.ndarray) -> list[int | None]:
+    known = values.astype(float)
+    return [None if lost else int(x) for x, lost in zip(known.tolist(), np.isnan(known).tolist())]
 
 
-def _runs(cues: pd.DataFrame) -> list[tuple]:
+def _runs(cues: dict[str, np.ndarray]) -> list[tuple]:
     texts = [reduced(t) for t in cues["text"]]
-    starts, ends = [_whole(x) for x in cues["start_ms"]], [_whole(x) for x in cues["end_ms"]]
+    starts, ends = _whole(cues["start_ms"]), _whole(cues["end_ms"])
     numbers = cues["sequence_number"].tolist()
     found = agglomerate(texts, starts, ends)
-    key = (cues["transcript_id"].iloc[0], int(cues["bucket"].iloc[0]))
+    key = (cues["transcript_id"][0], int(cues["bucket"][0]))
     out = []
     for k, (a, b) in enumerate(found):
         known = [x for x in ends[a : b + 1] if x is not None]

@@ -17,8 +17,8 @@ def bucket_of(number: Column) -> Column:
     return F.floor(number / BUCKET_CUES).cast("int")
 
 
-def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """Call ``walk`` with the cues of each ``transcript_id, bucket``, ordered by ``sequence_number``, each number once.
+def by_bucket(cues: DataFrame, walk: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """Call ``walk`` with the columns of the cues of each ``transcript_id, bucket``, ordered by ``sequence_number``, each number once.
 
     The buckets of a long transcript spread over tasks; tasks stream over their sorted buckets. A column ``bucket`` of
     ``cues`` is taken as it is.
@@ -26,21 +26,22 @@ def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], sche
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
+        kept: list[dict[str, np.ndarray]] = []
         key = None
 
         def flush() -> list[tuple]:
             if not kept:
                 return []
-            cues = pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
-            at = cues["sequence_number"].to_numpy()
+            cues = {c: np.concatenate([k[c] for k in kept]) for c in kept[0]} if len(kept) > 1 else kept[0]
+            at = cues["sequence_number"]
             first = np.r_[True, at[1:] != at[:-1]]  # re-delivered cues stand next to each other
-            return walk(cues if first.all() else cues[first].reset_index(drop=True))
+            return walk(cues if first.all() else {c: v[first] for c, v in cues.items()})
 
         for batch in batches:
             if batch.empty:
                 continue
-            ids, numbers = batch["transcript_id"].to_numpy(), batch["bucket"].to_numpy()
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            ids, numbers = columns["transcript_id"], columns["bucket"]
             changes = np.flatnonzero((ids[1:] != ids[:-1]) | (numbers[1:] != numbers[:-1])) + 1
             cuts = [0, *changes.tolist(), len(batch)]
             out: list[tuple] = []
@@ -48,7 +49,7 @@ def by_bucket(cues: DataFrame, walk: Callable[[pd.DataFrame], list[tuple]], sche
                 if key != (ids[a], numbers[a]):
                     out += flush()
                     kept, key = [], (ids[a], numbers[a])
-                kept.append(batch.iloc[a:b].reset_index(drop=True))
+                kept.append({c: v[a:b] for c, v in columns.items()})
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(flush(), columns=names)
 

@@ -15,7 +15,6 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,9 +221,9 @@ def repaired_times(starts: np.ndarray, ends: np.ndarray, shift: int = 0, before:
 PARTS = "transcript_id string, bucket int, part int, kind string, speaker string, first_number int, last_number int, text string, start_ms bigint, end_ms bigint, outer int"
 
 
-def _parts(cues: pd.DataFrame) -> list[tuple]:
-    key = (cues["transcript_id"].iloc[0], int(cues["bucket"].iloc[0]))
-    begin, finish = repaired_times(cues["start_ms"].to_numpy(float), cues["end_ms"].to_numpy(float), int(cues["shift"].iloc[0]), float(cues["before"].iloc[0]))
+def _parts(cues: dict[str, np.ndarray]) -> list[tuple]:
+    key = (cues["transcript_id"][0], int(cues["bucket"][0]))
+    begin, finish = repaired_times(cues["start_ms"].astype(float), cues["end_ms"].astype(float), int(cues["shift"][0]), float(cues["before"][0]))
     # Kind, speaker, first and last number, texts, start, end.
     parts: list[list] = [["", None, None, None, [], None, None]]
     for number, text, start, end in zip(cues["sequence_number"].tolist(), cues["text"].tolist(), begin.tolist(), finish.tolist()):
