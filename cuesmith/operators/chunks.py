@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS
-from .ordered import before
+from ..session import stored
 
 BUCKET = 2048
 
@@ -14,13 +14,26 @@ BUCKET = 2048
 def word_windows(segments: DataFrame, size: int = 140, stride: int = 110) -> DataFrame:
     """``transcript_id, window, text, words, first_segment, start_ms, end_ms``: windows of ``size`` words every ``stride``.
 
-    The last window of a transcript is the first that reaches its end. Words are counted in buckets of sequence numbers,
-    so no task walks through a whole transcript, and a cue is shuffled once for each window it reaches into. Null texts have no words.
+    The last window of a transcript is the first that reaches its end. Words are counted in buckets of sequence numbers, so no task
+    walks through a whole transcript: cues are shuffled once, where rows that repeat another whole are dropped too, and then once
+    for each window that they reach into. Null texts have no words.
     """
+    cues = segments.withColumn("bucket", F.floor(F.col("sequence_number") / BUCKET)).repartition("transcript_id", "bucket").distinct()
     words = F.filter(F.split(F.coalesce("original_text", F.lit("")), BLANKS), lambda w: w != "")
-    cues = segments.select("transcript_id", "sequence_number", "id", "start_ms", "end_ms", words.alias("ws")).where(F.size("ws") > 0)
-    n, at = F.size("ws"), F.col("offset")
-    placed = before(cues.withColumn("bucket", F.floor(F.col("sequence_number") / BUCKET)), ["transcript_id"], "bucket", ["sequence_number", "id"], offset=("sum", n), total=("total", n))
+    inside = Window.partitionBy("transcript_id", "bucket")
+    counted = cues.withColumn("n", F.size(words)).where("n > 0").withColumns(
+        {"before": F.sum("n").over(inside.orderBy("sequence_number", "id").rowsBetween(Window.unboundedPreceding, -1)), "inside": F.sum("n").over(inside)}
+    )
+    local = stored(counted.select("transcript_id", "bucket", "id", "start_ms", "end_ms", "original_text", "n", "before", "inside"))
+    # Only transcripts beyond the first bucket need more than what their bucket holds.
+    beyond = local.where("bucket IS NULL OR bucket <> 0").select("transcript_id").distinct()
+    buckets = local.select("transcript_id", "bucket", "inside").distinct().join(beyond, "transcript_id", "left_semi")
+    across = Window.partitionBy("transcript_id")
+    earlier = F.coalesce(F.sum("inside").over(across.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = stored(buckets.select(F.col("transcript_id").alias("__t"), F.col("bucket").alias("__b"), earlier.alias("earlier"), F.sum("inside").over(across).alias("all")))
+    known = local.join(totals, (F.col("transcript_id") == F.col("__t")) & F.col("bucket").eqNullSafe(F.col("__b")), "left")
+    n, at = F.col("n"), F.col("offset")
+    placed = known.withColumns({"ws": words, "offset": F.coalesce("before", F.lit(0)) + F.coalesce("earlier", F.lit(0)), "total": F.coalesce("all", "inside")})
     last = F.ceil(F.greatest(F.col("total") - size, F.lit(0)) / stride)
     first = F.greatest(F.ceil((at - (size - 1)) / stride), F.lit(0))
     until = F.least(F.floor((at + n - 1) / stride), last)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import stored
 
 
 @dataclass
@@ -75,17 +76,139 @@ def top(scored: DataFrame, k: int, *ties: str, query: str = "query_id", score: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def fuse(rankings: DataFrame, key: str, constant: int = 60, by_rank: bool = True) -> DataFrame:
+PLACE_DOCUMENTS, PLACE_QUERIES = 2048, 256
+"""Documents of a scope in one place, and queries that are scored there at once."""
+
+
+def best_pairs(queries: DataFrame, documents: DataFrame, scope: str, key: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``query_id, key, score, share`` of each query with documents of its scope that share a word with it: the score as in
+    :func:`bm25`, and the share of the query's distinct words that the document has. Among them are the ``k`` best of each
+    query by either, ties by key; most others are left out.
+
+    ``queries`` has ``scope, query_id, words``, ``documents`` ``scope, key, words``; a word that a query repeats counts each time.
+    A scope lies in places of about ``PLACE_DOCUMENTS`` documents by the hash of the key, each with all queries of the scope, so a
+    document is shuffled once, and of each place only what can be among the best goes on.
+    """
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    documents = documents.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col(key).alias("id"), words.alias("words"))
+    queries = queries.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col("query_id").alias("id"), words.alias("words"))
+    counts = documents.groupBy(F.col("s").alias("__s")).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > PLACE_DOCUMENTS)
+    large = stored(counts.withColumn("parts", F.ceil(F.col("n_docs") / PLACE_DOCUMENTS).cast("int")))
+    # What lies in one place is counted there; scopes of several places need their statistics before.
+    several = lambda rows: rows.join(large, F.col("s") == F.col("__s"))
+    terms = lambda rows: rows.select("s", F.explode(F.array_distinct("words")).alias("term"))
+    df = terms(several(documents)).groupBy("s", "term").agg(F.count("*").alias("df"))
+    wanted = terms(several(queries)).distinct().select(F.col("s").alias("__ws"), F.col("term").alias("__wt"))
+    df = df.join(wanted, (F.col("s") == F.col("__ws")) & (F.col("term") == F.col("__wt")), "left_semi").groupBy(F.col("s").alias("__d")).agg(F.collect_list(F.struct("term", "df")).alias("t"))
+    sizes = several(documents).groupBy("s", "n_docs", "parts").agg(F.greatest(F.avg(F.size("words")), F.lit(1.0)).alias("avgdl"))
+    row = lambda kind, id, words, df=F.lit(None), n=F.lit(None), mean=F.lit(None): [
+        "s", "part", F.lit(kind).alias("kind"), id.cast("string").alias("id"), F.array_join(words, " ").alias("words"), df.cast("array<bigint>").alias("df"), n.cast("bigint").alias("n_docs"), mean.cast("double").alias("avgdl"),
+    ]
+    everywhere = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    known = sizes.join(df, F.col("s") == F.col("__d")).select("*", everywhere)
+    known = known.select(*row(0, F.lit(None), F.col("t.term"), F.col("t.df"), F.col("n_docs"), F.col("avgdl")))
+    asked = queries.join(large, F.col("s") == F.col("__s"), "left").select("s", "id", "words", everywhere).select(*row(1, F.col("id"), F.col("words")))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    placed = documents.join(large, F.col("s") == F.col("__s"), "left").select("s", "id", "words", part).select(*row(2, F.col("id"), F.col("words")))
+    every = known.unionByName(asked).unionByName(placed).repartition("s", "part").sortWithinPartitions("s", "part", "kind")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for rows in _places(batches):
+            for found in _pairs_of_place(rows, k, k1, b):
+                held.append(found)
+                n += len(found[0])
+                if n >= 10_000:
+                    yield _as_frame(held, key)
+                    held, n = [], 0
+        if held:
+            yield _as_frame(held, key)
+
+    return every.mapInPandas(run, f"query_id string, {key} string, score double, share double")
+
+
+def _as_frame(held: list[tuple], key: str) -> pd.DataFrame:
+    return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", key, "score", "share"), zip(*held))})
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The rows of one place after another, without where they lie; a place can go on over batches."""
+    at, held = None, []
+    for rows in batches:
+        for row in zip(*(rows[c].tolist() for c in ("s", "part", "kind", "id", "words", "df", "n_docs", "avgdl"))):
+            if row[:2] != at:
+                if held:
+                    yield held
+                at, held = row[:2], []
+            held.append(row[2:])
+    if held:
+        yield held
+
+
+def _pairs_of_place(rows: list[tuple], k: int, k1: float, b: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids of queries and documents, scores and shares of the pairs that are among the ``k`` best of a query here."""
+    asked, docs = [r for r in rows if r[0] == 1], sorted((r for r in rows if r[0] == 2), key=lambda r: r[1])
+    if not asked or not docs:
+        return
+    terms: dict[str, int] = {}
+    number: dict[str, int] = {}
+    q = np.array([(number.setdefault(r[1], len(number)), terms.setdefault(w, len(terms))) for r in asked for w in r[2].split()], dtype=np.int64).reshape(-1, 2)
+    if not len(q):
+        return
+    split = [r[2].split() for r in docs]
+    length = np.array([len(ws) for ws in split], dtype=np.float64)
+    at = np.array([terms[w] * len(docs) + j for j, ws in enumerate(split) for w in ws if w in terms], dtype=np.int64)
+    at, tf = np.unique(at, return_counts=True)
+    term, doc = at // len(docs), at % len(docs)
+    n, mean, df = len(docs), max(length.mean(), 1.0), np.bincount(term, minlength=len(terms)).astype(np.float64)
+    for _, _, ws, counts, n_docs, avgdl in (r for r in rows if r[0] == 0):
+        n, mean = n_docs, avgdl
+        for w, c in zip(ws.split(), counts):
+            df[terms[w]] = c
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+    pairs, times = np.unique(q[:, 0] * len(terms) + q[:, 1], return_counts=True)
+    who, what = pairs // len(terms), pairs % len(terms)
+    distinct = np.bincount(who, minlength=len(number)).astype(np.float64)
+    query_ids, ids = np.array(list(number), dtype=object), np.array([r[1] for r in docs], dtype=object)
+    here = np.zeros(len(terms), dtype=bool)
+    here[term] = True
+    for low in range(0, len(number), PLACE_QUERIES):
+        of = slice(*np.searchsorted(who, (low, low + PLACE_QUERIES)))
+        used = np.unique(what[of][here[what[of]]])
+        if not len(used):
+            continue
+        place = np.full(len(terms), -1)
+        place[used] = np.arange(len(used))
+        x, w = np.zeros((len(used), len(docs))), np.zeros((min(PLACE_QUERIES, len(number) - low), len(used)))
+        mine, mine_q = place[term] >= 0, place[what[of]] >= 0
+        x[place[term[mine]], doc[mine]] = weight[mine]
+        w[who[of][mine_q] - low, place[what[of]][mine_q]] = times[of][mine_q]
+        shared = (w > 0).astype(np.float32) @ (x > 0).astype(np.float32)
+        score = np.where(shared > 0, np.round(w @ x, 6), -1.0)
+        share = shared.astype(np.float64) / distinct[low : low + len(w), None]
+        keep = shared > 0
+        if len(docs) > k:
+            best = np.zeros_like(keep)
+            for by in (score, share):
+                np.put_along_axis(best, np.argsort(-by, axis=1, kind="stable")[:, :k], True, 1)
+            keep &= best
+        i, j = np.nonzero(keep)
+        yield query_ids[low + i], ids[j], score[i, j], share[i, j]
+
+
+def fuse(rankings: DataFrame, key: str, constant: int = 60, by_rank: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion of rows ``query_id, source, key, rank``: ``query_id, key, score, best_rank, fused_rank``.
 
     A key that a source ranks twice counts once, with its first rank among distinct keys. ``by_rank`` puts ties of the
-    score in order of the best source rank, then of the key; without it the key alone decides.
+    score in order of the best source rank, then of the key; without it the key alone decides. ``carried`` columns, of one value for
+    a query and key, are kept.
     """
     if constant <= 0:
         raise ValueError("the constant must be positive")
-    first = rankings.groupBy("query_id", "source", key).agg(F.min("rank").alias("pos"))
+    first = rankings.groupBy("query_id", "source", key).agg(F.min("rank").alias("pos"), *[F.max(c).alias(c) for c in carried])
     dense = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("pos", key)))
-    per = dense.groupBy("query_id", key).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 8).alias("score"), F.min("rank").alias("best_rank"))
+    per = dense.groupBy("query_id", key).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 8).alias("score"), F.min("rank").alias("best_rank"), *[F.max(c).alias(c) for c in carried])
     order = [F.col("score").desc(), *(["best_rank"] if by_rank else []), key]
     return per.withColumn("best_rank", F.col("best_rank").cast("long")).withColumn("fused_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
 

@@ -14,7 +14,6 @@ from ..operators import chunks, retrieval
 from ..session import file_state, stored
 from ..tables import table
 from . import sqltext as S
-from .scalar_queries import messages, segments
 
 QUERIES, SQL = {}, {}
 
@@ -31,7 +30,9 @@ def query(name, sql):
 
 def made_chunks(spark, folder):
     """Chunks of every transcript: ``chunk_id, video_id, transcript_id, window, text, start_ms, end_ms``."""
-    windows = chunks.word_windows(segments(spark, folder))
+    # Rows that differ in the normalised text alone are two, as in `segments`; its digest tells them apart.
+    cues = table(spark, folder, "transcript_segments").select("id", "transcript_id", "sequence_number", "original_text", F.unhex(F.md5("normalized_text")).alias("normalized"), "start_ms", "end_ms")
+    windows = chunks.word_windows(cues)
     videos = table(spark, folder, "transcripts").select(F.col("id").alias("__t"), "video_id")
     return windows.join(videos, F.col("transcript_id") == F.col("__t")).drop("__t").withColumn("chunk_id", F.concat("transcript_id", F.lit(":"), F.lpad(F.col("window").cast("string"), 6, "0")))
 
@@ -82,7 +83,8 @@ def chunked(spark, folder):
 
 def questions(spark, folder):
     """Each question of a video once: ``video_id, query_id, question``."""
-    return messages(spark, folder).groupBy("video_id", "question").agg(F.min("message_id").alias("query_id"))
+    # Re-delivered rows don't change a minimum, so only these columns are shuffled.
+    return table(spark, folder, "chat_messages").groupBy("video_id", "question").agg(F.min("message_id").alias("query_id"))
 
 
 CHUNKS = f"""{S.SEGMENTS},
@@ -219,15 +221,20 @@ TWO = f"""{BM25}, share AS (SELECT b.query_id, b.chunk_id, len(list_intersect(li
   cut AS (SELECT * FROM lists WHERE rank <= 20), fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score, min(rank) AS best_rank FROM cut GROUP BY ALL)"""
 
 
+def two_ranks(spark, folder):
+    """Pairs of a question and a chunk that are among its 20 best by score or by share, with both and the rank by each; a rank over
+    20 is null."""
+    docs = chunked(spark, folder).select("video_id", "chunk_id", X.tokens(F.col("text")).alias("words"))
+    asked = questions(spark, folder).select("video_id", "query_id", F.array_distinct(X.tokens(F.col("question"))).alias("words"))
+    pairs = retrieval.best_pairs(asked, docs, "video_id", "chunk_id", 20)
+    rank = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(c).desc(), "chunk_id")).cast("long")
+    ranks = pairs.select("*", rank("score").alias("score_rank"), rank("share").alias("share_rank")).where("score_rank <= 20 OR share_rank <= 20")
+    return ranks.withColumns({c: F.when(F.col(c) <= 20, F.col(c)) for c in ("score_rank", "share_rank")})
+
+
 def two_lists(spark, folder):
-    hits = scored(spark, folder)
-    docs = chunked(spark, folder).select(F.col("chunk_id").alias("__c"), X.tokens(F.col("text")).alias("d_terms"))
-    asked = questions(spark, folder).select(F.col("query_id").alias("__q"), X.tokens(F.col("question")).alias("q_terms"))
-    both = hits.join(docs, F.col("chunk_id") == F.col("__c")).join(asked, F.col("query_id") == F.col("__q"))
-    share = both.withColumn("share", X.overlap_ratio(F.col("q_terms"), F.col("d_terms")))
-    a = retrieval.top(share, 20, "chunk_id").select("query_id", F.lit("score").alias("source"), "chunk_id", "rank")
-    b = retrieval.top(share, 20, "chunk_id", score="share").select("query_id", F.lit("share").alias("source"), "chunk_id", "rank")
-    return a.unionByName(b)
+    lists = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"{s}_rank").alias("rank")) for s in ("score", "share")])
+    return two_ranks(spark, folder).select("query_id", "chunk_id", "share", F.explode(lists).alias("l")).select("query_id", "l.source", "chunk_id", "l.rank", "share").where("rank IS NOT NULL")
 
 
 @query("r6_rank_fusion", f"WITH {TWO} SELECT query_id, chunk_id, score, best_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, chunk_id) AS fused_rank FROM fused")
@@ -245,10 +252,7 @@ def t3(spark, folder):
     f"WITH {TWO}, a AS (SELECT * FROM cut WHERE source = 'score'), b AS (SELECT * FROM cut WHERE source = 'share') SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS score_rank, b.rank AS share_rank FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id",
 )
 def j3(spark, folder):
-    lists = two_lists(spark, folder)
-    a = lists.where("source = 'score'").select("query_id", "chunk_id", F.col("rank").alias("score_rank"))
-    b = lists.where("source = 'share'").select("query_id", "chunk_id", F.col("rank").alias("share_rank"))
-    return a.join(b, ["query_id", "chunk_id"], "full_outer")
+    return two_ranks(spark, folder).select("query_id", "chunk_id", "score_rank", "share_rank")
 
 
 @query(

@@ -284,6 +284,42 @@ def test_query_equals_sql(spark, name):
     assert _rows(df.columns, df.collect()) == _rows([d[0] for d in res.description], res.fetchall())
 
 
+@pytest.mark.parametrize("name", ("t3_fusion_by_id",))
+def test_pairs_of_two_rankings_meet_no_documents(spark, name):
+    """What every question and chunk have in common is told where the chunk lies; only the best of a place are shuffled, once."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    above, kernel, _ = plan.partition("MapInPandas")
+    assert kernel and "Join" not in above
+
+
+@pytest.mark.parametrize("size", (3, 2048))
+def test_best_pairs_equal_all_pairs(spark, size, monkeypatch):
+    """Scopes of several places and of one; repeated words, a query without words, a scope without documents, null scopes and ties."""
+    monkeypatch.setattr(retrieval, "PLACE_DOCUMENTS", size)
+    texts = ["red fox", "red red dog", "a cat", "fox", "fox", "dog dog dog a", "", "blue", "red fox dog", "fox fox red"]
+    docs = [("v", f"d{i:02}", t.split()) for i, t in enumerate(texts)] + [("w", "e1", ["fox"]), (None, "e2", ["fox"]), ("v", "e3", None)]
+    asked = [("v", "q1", ["red", "fox"]), ("v", "q2", ["dog", "dog", "zebra"]), ("v", "q3", []), ("w", "q4", ["fox"]), ("x", "q5", ["fox"]), (None, "q6", ["fox"])]
+    documents = spark.createDataFrame(docs, "scope string, key string, words array<string>")
+    queries = spark.createDataFrame(asked, "scope string, query_id string, words array<string>")
+    got = {}
+    for r in retrieval.best_pairs(queries, documents, "scope", "key", 2).collect():
+        got.setdefault(r["query_id"], []).append((r["key"], r["score"], r["share"]))
+    whole = documents.fillna({"scope": "none"}).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    post = retrieval.index_terms(whole, "scope", "key", F.col("words"))
+    every = {}
+    for r in retrieval.bm25(queries.select("scope", "query_id", F.explode("words").alias("term")), post).collect():
+        q, d = set(next(x[2] for x in asked if x[1] == r["query_id"])), set(next(x[2] for x in docs if x[1] == r["key"]))
+        every.setdefault(r["query_id"], []).append((r["key"], r["score"], len(q & d) / len(q)))
+    assert set(got) == set(every) == {"q1", "q2", "q4"}
+    for q, rows in every.items():
+        assert set(got[q]) <= set(rows)
+        for c in (1, 2):
+            best = sorted(rows, key=lambda r: (-r[c], r[0]))[:2]
+            assert sorted(got[q], key=lambda r: (-r[c], r[0]))[:2] == best
+
+
 def test_top_k_needs_no_full_sort(spark):
     df = spark.createDataFrame([("q", float(i), i) for i in range(9)], "query_id string, score double, id int")
     plan = retrieval.top(df, 2, "id")._jdf.queryExecution().toString()
