@@ -330,14 +330,10 @@ def t1(spark, folder):
 @query("t4_rerank_order", f"WITH {TWO}, o AS (SELECT f.query_id, f.chunk_id, f.score, CASE WHEN s.share >= 0.3 THEN round(s.share, 6) END AS again FROM fused f JOIN share s USING (query_id, chunk_id)) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(again, '-inf'::DOUBLE) DESC, score DESC, chunk_id) AS place FROM o")
 def t4(spark, folder):
     """Candidates by their second score, those without one last, then by the fused score and the id. Shares below 0.3 have no second score."""
-    fused = retrieval.fuse(two_lists(spark, folder), "chunk_id").select(F.col("query_id").alias("q"), F.col("chunk_id").alias("c"), "score")
-    docs = chunked(spark, folder).select(F.col("chunk_id").alias("__c"), X.tokens(F.col("text")).alias("d"))
-    asked = questions(spark, folder).select(F.col("query_id").alias("__q"), X.tokens(F.col("question")).alias("t"))
-    both = fused.join(docs, F.col("c") == F.col("__c")).join(asked, F.col("q") == F.col("__q"))
-    share = X.overlap_ratio(F.col("t"), F.col("d"))
-    again = F.when(share >= 0.3, F.round(share, 6))
+    fused = retrieval.fuse(two_lists(spark, folder), "chunk_id", carried=("share",))
+    again = F.when(F.col("share") >= 0.3, F.round("share", 6))
     w = Window.partitionBy("query_id").orderBy(F.coalesce("again", F.lit(float("-inf"))).desc(), F.col("score").desc(), "chunk_id")
-    return both.select(F.col("q").alias("query_id"), F.col("c").alias("chunk_id"), "score", again.alias("again")).select("query_id", "chunk_id", F.row_number().over(w).cast("long").alias("place"))
+    return fused.select("query_id", "chunk_id", "score", again.alias("again")).select("query_id", "chunk_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 STUDY = ("the main ideas of the lesson", "các ý chính của bài học", "steps and examples in plain language")
