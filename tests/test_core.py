@@ -284,7 +284,7 @@ def test_query_equals_sql(spark, name):
     assert _rows(df.columns, df.collect()) == _rows([d[0] for d in res.description], res.fetchall())
 
 
-@pytest.mark.parametrize("name", ("t3_fusion_by_id", "r6_rank_fusion", "t4_rerank_order"))
+@pytest.mark.parametrize("name", ("t3_fusion_by_id", "r6_rank_fusion", "t4_rerank_order", "j3_merged_lists"))
 def test_pairs_of_two_rankings_meet_no_documents(spark, name):
     """What every question and chunk have in common is told where the chunk lies; only the best of a place are shuffled, once."""
     import __spark_entry__ as entry
