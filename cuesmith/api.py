@@ -36,24 +36,31 @@ def search(
     chunks = chunks.select("chunk_id", "video_id", "transcript_id", "window", "text", "start_ms", "end_ms", parent.alias("parent_id"))
     lists = []
     if mode != "dense":
-        asked = questions.select("video_id", "query_id", F.explode(X.tokens(F.col("question"))).alias("term"))
-        scored = retrieval.bm25(asked, postings or retrieval.index_terms(chunks, "video_id", "chunk_id", X.tokens(F.col("text"))))
+        asked = questions.select("video_id", "query_id", X.tokens(F.col("question")).alias("words"))
+        if postings is None:
+            scored = retrieval.best_pairs(asked, chunks.select("video_id", "chunk_id", X.tokens(F.col("text")).alias("words")), "video_id", "chunk_id", CANDIDATES)
+        else:
+            scored = retrieval.bm25(asked.select("video_id", "query_id", F.explode("words").alias("term")), postings)
         lists.append(retrieval.top(scored, CANDIDATES, "chunk_id").select("query_id", F.lit("lexical").alias("source"), "chunk_id", "rank"))
     if mode != "lexical":
-        q = questions.select("video_id", "query_id", embed("question").alias("embedding"))
-        d = vectors if vectors is not None else chunks.select("video_id", F.col("chunk_id").alias("id"), embed("text").alias("embedding"))
-        lists.append(retrieval.dense_top(q, d, "video_id", CANDIDATES).select("query_id", F.lit("dense").alias("source"), F.col("id").alias("chunk_id"), "rank"))
+        if vectors is None:
+            near = retrieval.best_vectors(questions.select("video_id", "query_id", F.col("question").alias("text")), chunks.select("video_id", F.col("chunk_id").alias("id"), "text"), "video_id", "id", CANDIDATES)
+            found = retrieval.top(near, CANDIDATES, "id")
+        else:
+            found = retrieval.dense_top(questions.select("video_id", "query_id", embed("question").alias("embedding")), vectors, "video_id", CANDIDATES)
+        lists.append(found.select("query_id", F.lit("dense").alias("source"), F.col("id").alias("chunk_id"), "rank"))
     every = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     fused = retrieval.fuse(every, "chunk_id")
     rank = lambda s: F.max(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank")
     per = every.groupBy(F.col("query_id").alias("__q"), F.col("chunk_id").alias("__c")).agg(rank("lexical"), rank("dense"))
     diagnostics = fused.join(per, (F.col("query_id") == F.col("__q")) & (F.col("chunk_id") == F.col("__c"))).drop("__q", "__c")
     known = chunks.select(F.col("chunk_id").alias("__c"), "transcript_id", "window", "text", "parent_id")
-    pool = fused.join(known, F.col("chunk_id") == F.col("__c")).drop("__c")
-    order = [F.col("fused_rank")]
+    order, pool = [F.col("fused_rank")], fused
+    if mode == "reranked":  # the questions meet the candidates before the texts do
+        pool = pool.join(questions.select(F.col("query_id").alias("__q"), "question"), F.col("query_id") == F.col("__q")).drop("__q")
+    pool = pool.join(known, F.col("chunk_id") == F.col("__c")).drop("__c")
     if mode == "reranked":
-        texts = questions.select(F.col("query_id").alias("__q"), "question")
-        again = (reranker or OverlapReranker()).scores(pool.join(texts, F.col("query_id") == F.col("__q")).drop("__q"))
+        again = (reranker or OverlapReranker()).scores(pool)
         pool = again.withColumn("rerank_score", F.when(F.col("fused_rank") <= CANDIDATES, F.col("rerank_score")).otherwise(F.lit(float("-inf"))))
         order = [F.col("rerank_score").desc(), F.col("score").desc(), F.col("chunk_id")]
     placed = pool.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
@@ -61,16 +68,20 @@ def search(
     kept = placed.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("c")).select("query_id", F.posexplode(retrieval.keep_different(F.col("c"), limit)).alias("at", "x"))
     kinds = F.array(*[F.struct(F.lit(k).alias("o"), F.lit(name).alias("kind"), (F.col("x.window") + d).alias("want")) for k, name, d in ((0, "primary", 0), (2, "neighbour", -1), (3, "neighbour", 1))])
     wanted = kept.select("query_id", "at", F.col("x.score").alias("score"), F.col("x.transcript_id").alias("__t"), F.explode(kinds).alias("k"))
-    columns = ["query_id", "at", "score", "k", "chunk_id", "text", "start_ms", "end_ms"]
+    # Texts come last, so neither the hits nor their neighbours carry them through a shuffle.
+    columns = ["query_id", "at", "score", "k", "chunk_id"]
     near = wanted.join(chunks, (F.col("__t") == F.col("transcript_id")) & (F.col("k.want") == F.col("window"))).select(*columns)
+    shown = ["text", "start_ms", "end_ms"]
+    texts = chunks.select(F.lit(False).alias("__up"), F.col("chunk_id").alias("__c"), *shown)
     if parents is not None:
-        up = kept.select("query_id", "at", F.col("x.score").alias("score"), F.col("x.parent_id").alias("__p"), F.struct(F.lit(1).alias("o"), F.lit("parent").alias("kind"), F.lit(None).cast(chunks.schema["window"].dataType).alias("want")).alias("k"))
-        found = up.join(parents.select(F.col("parent_id").alias("chunk_id"), "text", "start_ms", "end_ms"), F.col("__p") == F.col("chunk_id"))
-        near = near.unionByName(found.select(*columns))
-    first = near.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("at", "k.o", "k.kind", "score", "text", "start_ms", "end_ms"), F.struct("at", "k.o")).alias("r"))
+        up = kept.select("query_id", "at", F.col("x.score").alias("score"), F.col("x.parent_id").alias("chunk_id"), F.struct(F.lit(1).alias("o"), F.lit("parent").alias("kind"), F.lit(None).cast(chunks.schema["window"].dataType).alias("want")).alias("k"))
+        near = near.unionByName(up.join(parents.select(F.col("parent_id").alias("__p")), F.col("chunk_id") == F.col("__p"), "left_semi").select(*columns))
+        texts = texts.unionByName(parents.select(F.lit(True).alias("__up"), F.col("parent_id").alias("__c"), *shown))
+    first = near.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("at", "k.o", "k.kind", "score"), F.struct("at", "k.o")).alias("r"))
     w = Window.partitionBy("query_id").orderBy("r.at", "r.o")
-    rows = first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= context)
-    return rows.select("query_id", "place", "r.kind", "chunk_id", "r.text", "r.start_ms", "r.end_ms", "r.score"), diagnostics
+    placed = first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= context)
+    rows = placed.join(texts, (F.col("chunk_id") == F.col("__c")) & ((F.col("r.kind") == "parent") == F.col("__up")))
+    return rows.select("query_id", "place", "r.kind", "chunk_id", "text", "start_ms", "end_ms", "r.score"), diagnostics
 
 
 def candidates(mode: str, k: int, rerank_k: int = 8) -> int:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.embedding import hashed_all
 from ..session import stored
 
 
@@ -87,13 +88,12 @@ def best_pairs(queries: DataFrame, documents: DataFrame, scope: str, key: str, k
 
     ``queries`` has ``scope, query_id, words``, ``documents`` ``scope, key, words``; a word that a query repeats counts each time.
     A scope lies in places of about ``PLACE_DOCUMENTS`` documents by the hash of the key, each with all queries of the scope, so a
-    document is shuffled once, and of each place only what can be among the best goes on.
+    document is shuffled once, and of each place only what can be among the best goes on. Ids are strings.
     """
     words = F.coalesce("words", F.array().cast("array<string>"))
     documents = documents.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col(key).alias("id"), words.alias("words"))
     queries = queries.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col("query_id").alias("id"), words.alias("words"))
-    counts = documents.groupBy(F.col("s").alias("__s")).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > PLACE_DOCUMENTS)
-    large = stored(counts.withColumn("parts", F.ceil(F.col("n_docs") / PLACE_DOCUMENTS).cast("int")))
+    large = _large(documents)
     # What lies in one place is counted there; scopes of several places need their statistics before.
     several = lambda rows: rows.join(large, F.col("s") == F.col("__s"))
     terms = lambda rows: rows.select("s", F.explode(F.array_distinct("words")).alias("term"))
@@ -104,11 +104,10 @@ def best_pairs(queries: DataFrame, documents: DataFrame, scope: str, key: str, k
     row = lambda kind, id, words, df=F.lit(None), n=F.lit(None), mean=F.lit(None): [
         "s", "part", F.lit(kind).alias("kind"), id.cast("string").alias("id"), F.array_join(words, " ").alias("words"), df.cast("array<bigint>").alias("df"), n.cast("bigint").alias("n_docs"), mean.cast("double").alias("avgdl"),
     ]
-    everywhere = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    everywhere, part = _parts()
     known = sizes.join(df, F.col("s") == F.col("__d")).select("*", everywhere)
     known = known.select(*row(0, F.lit(None), F.col("t.term"), F.col("t.df"), F.col("n_docs"), F.col("avgdl")))
     asked = queries.join(large, F.col("s") == F.col("__s"), "left").select("s", "id", "words", everywhere).select(*row(1, F.col("id"), F.col("words")))
-    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
     placed = documents.join(large, F.col("s") == F.col("__s"), "left").select("s", "id", "words", part).select(*row(2, F.col("id"), F.col("words")))
     every = known.unionByName(asked).unionByName(placed).repartition("s", "part").sortWithinPartitions("s", "part", "kind")
 
@@ -127,15 +126,57 @@ def best_pairs(queries: DataFrame, documents: DataFrame, scope: str, key: str, k
     return every.mapInPandas(run, f"query_id string, {key} string, score double, share double")
 
 
+def best_vectors(queries: DataFrame, documents: DataFrame, scope: str, key: str, k: int) -> DataFrame:
+    """``query_id, key, score`` of the ``k`` documents of a query's scope that are nearest to it, and of some others: cosines of
+    hashed embeddings to 6 digits as :func:`dense_all` has them, ties by key. ``queries`` has ``scope, query_id, text``,
+    ``documents`` ``scope, key, text``; texts go to the places of :func:`best_pairs` and are embedded there, so no vector is shuffled."""
+    documents = documents.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col(key).alias("id"), "text")
+    queries = queries.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), F.col("query_id").alias("id"), "text")
+    large, (everywhere, part) = _large(documents), _parts()
+    at = lambda rows, part, kind: rows.join(large, F.col("s") == F.col("__s"), "left").select("s", part, F.lit(kind).alias("kind"), "id", "text")
+    every = at(queries, everywhere, 1).unionByName(at(documents, part, 2)).repartition("s", "part").sortWithinPartitions("s", "part", "kind")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for rows in _places(batches):
+            asked, docs = ([r for r in rows if r[0] == kind] for kind in (1, 2))
+            if not asked or not docs:
+                continue
+            d = _unit(hashed_all([r[2] for r in docs]))
+            for low in range(0, len(asked), PLACE_QUERIES):
+                some = asked[low : low + PLACE_QUERIES]
+                held.append(_best([r[1] for r in some], _unit(hashed_all([r[2] for r in some])), [r[1] for r in docs], d, k, key))
+                n += len(held[-1])
+                if n >= 10_000:
+                    yield pd.concat(held)
+                    held, n = [], 0
+        if held:
+            yield pd.concat(held)
+
+    return every.mapInPandas(run, f"query_id string, {key} string, score double")
+
+
+def _large(documents: DataFrame) -> DataFrame:
+    """``__s, n_docs, parts`` of the scopes ``s`` of several places, written."""
+    counts = documents.groupBy(F.col("s").alias("__s")).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > PLACE_DOCUMENTS)
+    return stored(counts.withColumn("parts", F.ceil(F.col("n_docs") / PLACE_DOCUMENTS).cast("int")))
+
+
+def _parts() -> tuple[Column, Column]:
+    """The part of a row of a scope of ``parts``, null for one: every one, and that of its id."""
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    return every, F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+
+
 def _as_frame(held: list[tuple], key: str) -> pd.DataFrame:
     return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", key, "score", "share"), zip(*held))})
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """The rows of one place after another, without where they lie; a place can go on over batches."""
+    """The rows of one place after another, without where they lie (``s, part``, the first columns); a place can go on over batches."""
     at, held = None, []
     for rows in batches:
-        for row in zip(*(rows[c].tolist() for c in ("s", "part", "kind", "id", "words", "df", "n_docs", "avgdl"))):
+        for row in zip(*(rows[c].tolist() for c in rows.columns)):
             if row[:2] != at:
                 if held:
                     yield held

@@ -74,8 +74,8 @@ def w7(spark, folder):
 
 
 def _children(spark, folder):
-    """Children with their parent and video, and the parents; the chunks are made once and written."""
-    chunks = stored(hierarchy(spark, folder))
+    """Children with their parent and video, and the parents; the chunks are written once, where they are packed."""
+    chunks = hierarchy(spark, folder)
     videos = table(spark, folder, "transcripts").select(F.col("id").alias("__v"), "video_id")
     child = folds.with_parents(chunks).join(videos, F.col("transcript_id") == F.col("__v")).drop("__v")
     return child, chunks.where("chunk_type = 'parent'").select(F.col("chunk_id").alias("parent_id"), "text", "start_ms", "end_ms")

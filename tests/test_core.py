@@ -320,6 +320,21 @@ def test_best_pairs_equal_all_pairs(spark, size, monkeypatch):
             assert sorted(got[q], key=lambda r: (-r[c], r[0]))[:2] == best
 
 
+@pytest.mark.parametrize("size", (3, 2048))
+def test_texts_embedded_in_place_rank_as_their_vectors(spark, size, monkeypatch):
+    from cuesmith.functions.embedding import embed
+
+    monkeypatch.setattr(retrieval, "PLACE_DOCUMENTS", size)
+    texts = ["red fox", "red red dog", "a cat", "fox", "fox", "dog dog dog a", "", "blue", None, "fox fox red"]
+    documents = spark.createDataFrame([("v", f"d{i:02}", t) for i, t in enumerate(texts)] + [("w", "e1", "fox"), (None, "e2", "fox")], "scope string, id string, text string")
+    queries = spark.createDataFrame([("v", "q1", "red fox"), ("v", "q2", ""), ("w", "q3", "fox"), ("x", "q4", "fox"), (None, "q5", "fox")], "scope string, query_id string, text string")
+    got = retrieval.top(retrieval.best_vectors(queries, documents, "scope", "id", 4), 4, "id")
+    vectors = lambda rows, key: rows.where("scope IS NOT NULL").select("scope", key, embed("text").alias("embedding"))
+    want = retrieval.dense_top(vectors(queries, "query_id"), vectors(documents, "id"), "scope", 4)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 9
+
+
 def test_top_k_needs_no_full_sort(spark):
     df = spark.createDataFrame([("q", float(i), i) for i in range(9)], "query_id string, score double, id int")
     plan = retrieval.top(df, 2, "id")._jdf.queryExecution().toString()
