@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,16 @@ def test_long_and_null_questions_and_answers(spark, model, field):
     assert rows(pairs.found_defects(df, model, field)) == [("b", "empty")]
 
 
+def test_one_clause_in_another_language_makes_no_foreign_answer(field):
+    """The languages of clauses are told apart by a clear margin, whatever sample the field was fitted on."""
+    parts, own = [A, "Das Brot schmeckt allen gut.", A], ["en", "de", "en"]
+    defects, _, tongues = pairs.judge(Q, parts, field.wording.chances(parts), own, [10, 5, 10], "en", False, field)
+    assert (defects, tongues) == ([], ["answer", "foreign", "answer"])
+    x = pairs._language_only(pairs.features(Q, parts, [False, True, False], np.zeros(3)))
+    said = (x @ field.language.weights)[:, [pairs.TAGS.index("answer"), pairs.TAGS.index("foreign")]]
+    assert (said[[0, 2], 0] > said[[0, 2], 1] + 2).all() and said[1, 1] > said[1, 0] + 2
+
+
 HELD_OUT = {
     "vi": ["trời mưa suốt đêm nên sáng nay đường rất trơn", "co giao da sua bai tap cua chung toi vao hom qua", "anh ấy thích uống trà nóng khi đọc báo"],
     "en": ["it rained all night so the road was slippery this morning", "she likes to drink hot tea while reading the newspaper", "the keys were lying under the old blanket"],
