@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.embedding import embed
 from ..operators import chunks, retrieval
-from ..session import file_state, stored
+from ..session import discard, file_state, stored
 from ..tables import table
 from . import sqltext as S
 
@@ -28,13 +28,13 @@ def query(name, sql):
     return put
 
 
-def made_chunks(spark, folder):
+def made_chunks(spark, folder, keep=stored):
     """Chunks of every transcript: ``chunk_id, video_id, transcript_id, window, text, start_ms, end_ms``."""
-    # Rows that differ in the normalised text alone are two, as in `segments`; its digest tells them apart.
-    cues = table(spark, folder, "transcript_segments").select("id", "transcript_id", "sequence_number", "original_text", F.unhex(F.md5("normalized_text")).alias("normalized"), "start_ms", "end_ms")
-    windows = chunks.word_windows(cues)
-    videos = table(spark, folder, "transcripts").select(F.col("id").alias("__t"), "video_id")
-    return windows.join(videos, F.col("transcript_id") == F.col("__t")).drop("__t").withColumn("chunk_id", F.concat("transcript_id", F.lit(":"), F.lpad(F.col("window").cast("string"), 6, "0")))
+    # Rows that differ in the normalised text alone are two, as in `segments`; its digest tells them apart, an empty one from the original.
+    digest = F.when(F.col("normalized_text") == F.col("original_text"), F.unhex(F.lit(""))).otherwise(F.unhex(F.md5("normalized_text")))
+    cues = table(spark, folder, "transcript_segments").select("id", "transcript_id", "sequence_number", "original_text", digest.alias("normalized"), "start_ms", "end_ms")
+    videos = table(spark, folder, "transcripts").select(F.col("id").alias("transcript_id"), "video_id")
+    return chunks.word_windows(cues, videos=videos, keep=keep).withColumn("chunk_id", F.concat("transcript_id", F.lit(":"), F.lpad(F.col("window").cast("string"), 6, "0")))
 
 
 class Index:
@@ -54,7 +54,11 @@ class Index:
 
     @cached_property
     def chunks(self):
-        return self._keep(made_chunks(self.spark, self.folder))
+        passing = []
+        made = self._keep(made_chunks(self.spark, self.folder, lambda df: passing.append(stored(df)) or passing[-1]))
+        for df in passing:
+            discard(df)
+        return made
 
     @cached_property
     def postings(self):

@@ -591,6 +591,35 @@ def test_a_word_window_takes_slices_of_cues(spark):
     assert got == want
 
 
+def test_windows_have_their_video_where_the_cues_lie(spark):
+    """No join above the windows, whose texts would be shuffled for it; cues without a number come first, others by theirs."""
+    from cuesmith.operators import chunks
+    from cuesmith.plans.retrieval_queries import made_chunks
+
+    plan = made_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    above, aggregate, _ = plan.partition("ObjectHashAggregate")
+    assert aggregate and "Join" not in above
+    data = [(f"{t}{i}", t, i, f"{t}.{i}", 0, 1) for t in "abc" for i in (None, -5000, -1, 0, 3000)]
+    cues = spark.createDataFrame(data, "id string, transcript_id string, sequence_number int, original_text string, start_ms bigint, end_ms bigint")
+    videos = spark.createDataFrame([("a", "v"), ("b", None)], "transcript_id string, video_id string")
+    got = sorted((r.transcript_id, r.video_id, r.window, r.text) for r in chunks.word_windows(cues, 4, 3, videos).collect())
+    ws = {t: [f"{t}.{i}" for i in (None, -5000, -1, 0, 3000)] for t in "ab"}
+    assert got == [(t, v, k, " ".join(ws[t][3 * k : 3 * k + 4])) for t, v in (("a", "v"), ("b", None)) for k in (0, 1)]
+
+
+def test_only_the_chunks_of_an_index_stay(spark):
+    """What was written on the way to the chunks is deleted."""
+    import os
+
+    from cuesmith.plans.retrieval_queries import Index
+    from cuesmith.session import checkpoint_folder
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    made = Index(spark, "/root/testdata/sf0.001", ()).chunks
+    assert len(set(os.listdir(folder)) - before) == 1 and made.count() > 0
+
+
 def test_a_failed_rebuild_keeps_the_index(spark, tmp_path):
     from cuesmith.operators.index import IndexStore
     from cuesmith.sources.providers import FakeEmbedding, HashingEmbedding
