@@ -98,7 +98,8 @@ def best_pairs(queries: DataFrame, documents: DataFrame, scope: str, key: str, k
     several = lambda rows: rows.join(large, F.col("s") == F.col("__s"))
     terms = lambda rows: rows.select("s", F.explode(F.array_distinct("words")).alias("term"))
     df = terms(several(documents)).groupBy("s", "term").agg(F.count("*").alias("df"))
-    wanted = terms(several(queries)).distinct().select(F.col("s").alias("__ws"), F.col("term").alias("__wt"))
+    # The id is read here too: of queries that are groups the same shuffle then serves this and their places.
+    wanted = terms(several(queries.where(F.length(F.coalesce("id", F.lit(""))) >= 0))).distinct().select(F.col("s").alias("__ws"), F.col("term").alias("__wt"))
     df = df.join(wanted, (F.col("s") == F.col("__ws")) & (F.col("term") == F.col("__wt")), "left_semi").groupBy(F.col("s").alias("__d")).agg(F.collect_list(F.struct("term", "df")).alias("t"))
     sizes = several(documents).groupBy("s", "n_docs", "parts").agg(F.greatest(F.avg(F.size("words")), F.lit(1.0)).alias("avgdl"))
     row = lambda kind, id, words, df=F.lit(None), n=F.lit(None), mean=F.lit(None): [

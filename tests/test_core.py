@@ -294,6 +294,19 @@ def test_pairs_of_two_rankings_meet_no_documents(spark, name):
     assert kernel and "Join" not in above
 
 
+@pytest.mark.parametrize("name", ("r6_rank_fusion", "j3_merged_lists"))
+def test_messages_are_shuffled_once_for_their_questions(spark, name):
+    """The words that large scopes are asked for come from the shuffle that brings questions to their places."""
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("/chat_messages.parquet") == 1
+
+
 @pytest.mark.parametrize("size", (3, 2048))
 def test_best_pairs_equal_all_pairs(spark, size, monkeypatch):
     """Scopes of several places and of one; repeated words, a query without words, a scope without documents, null scopes and ties."""
